@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import ascii_lower, table
 
-MIN_DICE = 0.8
+#: The least Dice coefficient, as a fraction, so that comparisons are exact.
+MIN_DICE = (4, 5)
 
 #: Wording of public licence notices, by SPDX-like id.
 TEMPLATES = {
@@ -46,9 +49,18 @@ TEMPLATES = {
 }
 
 
+#: ASCII characters that are no letter or digit, but for the line feed.
+_MARKS = r"[\x00-\x09\x0b-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
+
+
 def normalised(c: Column) -> Column:
-    """Lower case (A-Z), with every run of ASCII characters that are no letter or digit as one blank."""
-    return F.trim(F.regexp_replace(ascii_lower(c), r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", " "))
+    """Lower case (A-Z), with every run of ASCII characters that are no letter or digit as one blank;
+    line feeds stay."""
+    return F.regexp_replace(ascii_lower(c), _MARKS, " ")
+
+
+def _words(c: Column) -> Column:
+    return F.split(F.btrim(c, F.lit(" \n")), "[ \n]+")
 
 
 def _bigrams(words: Column) -> Column:
@@ -56,47 +68,63 @@ def _bigrams(words: Column) -> Column:
     return F.arrays_zip(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))).alias("a"), F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0))).alias("b"))
 
 
+def anchor_words(templates: dict[str, tuple[str, ...]], min_dice: tuple[int, int]) -> list[str]:
+    """Words of which every matching segment holds one. A segment that reaches num / den shares at
+    least num / (2 * den - num) of a template's bigrams; so it holds one of any larger rest of them,
+    of which the longest words are taken, being rare."""
+    num, den = min_dice
+    out: set[str] = set()
+    for text in (x for texts in templates.values() for x in texts):
+        words = re.findall("[a-z0-9]+", text.lower())
+        longest = sorted((max(pair, key=len) for pair in zip(words, words[1:])), key=lambda w: (-len(w), w))
+        need = -(-num * len(longest) // (2 * den - num))
+        out.update(longest[: len(longest) - need + 1])
+    return sorted(out)
+
+
 def template_table(spark: SparkSession, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """One row per (template, bigram): its count, and the template's number of bigrams. Its size is
     that of the templates given, a parameter, not of the data."""
     rows = [(name, i, text) for name, texts in templates.items() for i, text in enumerate(texts)]
     t = spark.createDataFrame(rows, "license string, variant int, text string")
-    t = t.withColumn("words", F.split(normalised(F.col("text")), " ")).withColumn("t_size", F.size("words") - 1)
+    t = t.withColumn("words", _words(normalised(F.col("text")))).withColumn("t_size", F.size("words") - 1)
     t = t.select("license", "variant", "t_size", F.explode(_bigrams(F.col("words"))).alias("g"))
     return t.groupBy("license", "variant", "t_size", F.col("g.a").alias("a"), F.col("g.b").alias("b")).agg(F.count(F.lit(1)).alias("t_n"))
 
 
-def match_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, min_dice: float = MIN_DICE, text: str = "text") -> DataFrame:
+def match_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, min_dice: tuple[int, int] = MIN_DICE, text: str = "text") -> DataFrame:
     """One row per row of docs (doc_id, licenses: array of (license, dice, n_segments) by name).
 
     Compared with the templates are the lines of a text, the paragraphs between blank lines and the
     whole text. Dice is 2 * shared bigrams / (bigrams of both), counting repeats. A segment of n
     bigrams can reach the threshold d only for templates of n * d / (2 - d) to n * (2 - d) / d
     bigrams: longer and shorter segments than any template allows are dropped before a bigram is
-    made, and a bigram meets only templates of fitting size. Null, empty and one-word texts match
+    made, and a bigram meets only templates of fitting size. Texts without any of the words that a
+    match must hold (anchor_words) aren't split at all. Null, empty and one-word texts match
     nothing; repeated rows are answered each; rows of an empty table: none.
     """
     spark = docs.sparkSession
     t = template_table(spark, templates)
-    low, high = min_dice / (2 - min_dice), (2 - min_dice) / min_dice
-    n_words = [len(w.split()) - 1 for texts in templates.values() for w in texts]
-    # Room for words that normalising splits in two.
-    least, most = max(1, int(min(n_words) * low)), int(2 * max(n_words) * high) + 1
+    num, den = min_dice
+    # Sizes t and s can reach num / den only if t * (2 * den - num) >= s * num, and the other way round.
+    n_words = [len(re.findall("[A-Za-z0-9]+", w)) - 1 for texts in templates.values() for w in texts]
+    least, most = max(1, -(-min(n_words) * num // (2 * den - num))), max(n_words) * (2 * den - num) // num
     body = F.coalesce(F.col(text), F.lit(""))
     key = F.xxhash64("doc_id", body).alias("k1"), F.xxhash64(F.lit(3), "doc_id", body).alias("k2")
-    lines = F.split(body, "\n", -1)
-    parts = F.split(body, r"\n[\x20\x09-\x0D]*\n", -1)
-    short = lambda c: F.filter(c, lambda x: F.length(x) <= most * 40)
-    segments = F.concat(lines, F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>")), F.when((F.size(lines) > 1), F.array(body)).otherwise(F.array().cast("array<string>")))
-    seg = docs.select("doc_id", *key, F.posexplode(short(segments)).alias("seg", "s"))
-    seg = seg.withColumn("words", F.split(normalised(F.col("s")), " ")).withColumn("size", F.size("words") - 1)
-    seg = seg.where(F.col("size").between(least, most))
+    none = F.array().cast("array<string>")
+    anchored = rf"(?:^|[ \n])(?:{'|'.join(anchor_words(templates, min_dice))})(?:[ \n]|$)"
+    seg = docs.select(*key, normalised(body).alias("body")).where(F.col("body").rlike(anchored))
+    seg = seg.withColumn("lines", F.split("body", "\n", -1)).withColumn("parts", F.split("body", r"\n *\n", -1))
+    segments = F.concat("lines", F.when(F.size("parts") > 1, F.col("parts")).otherwise(none), F.when(F.size("lines") > 1, F.array("body")).otherwise(none))
+    seg = seg.select("k1", "k2", F.posexplode(F.transform(segments, _words)).alias("seg", "words"))
+    seg = seg.select("k1", "k2", "seg", "words", (F.size("words") - 1).alias("size")).where(F.col("size").between(least, most))
     grams = seg.select("k1", "k2", "seg", "size", F.explode(_bigrams(F.col("words"))).alias("g")).select("k1", "k2", "seg", "size", "g.a", "g.b")
-    fits = (grams["a"] == t["a"]) & (grams["b"] == t["b"]) & (t["t_size"] >= grams["size"] * low) & (t["t_size"] <= grams["size"] * high)
+    fits = (grams["a"] == t["a"]) & (grams["b"] == t["b"]) & (t["t_size"] * (2 * den - num) >= grams["size"] * num) & (grams["size"] * (2 * den - num) >= t["t_size"] * num)
     met = grams.join(F.broadcast(t), fits).select("k1", "k2", "seg", "size", "license", "variant", "t_size", t["a"], t["b"], "t_n")
     met = met.groupBy("k1", "k2", "seg", "size", "license", "variant", "t_size", "a", "b", "t_n").agg(F.count(F.lit(1)).alias("n"))
     dice = met.groupBy("k1", "k2", "seg", "size", "license", "variant", "t_size").agg(F.sum(F.least("n", "t_n")).alias("shared"))
-    dice = dice.withColumn("dice", 2 * F.col("shared") / (F.col("size") + F.col("t_size"))).where(F.col("dice") >= min_dice)
+    dice = dice.where(2 * den * F.col("shared") >= num * (F.col("size") + F.col("t_size")))
+    dice = dice.withColumn("dice", 2 * F.col("shared") / (F.col("size") + F.col("t_size")))
     per = dice.groupBy("k1", "k2", "license").agg(F.max("dice").alias("dice"), F.countDistinct("seg").alias("n_segments"))
     per = per.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("license", "dice", "n_segments"))).alias("licenses"))
     none = F.array().cast("array<struct<license:string,dice:double,n_segments:bigint>>")
@@ -115,28 +143,25 @@ def op7_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 _VALUES = ", ".join("(" + f"'{n}', {i}, '" + x.replace("'", "''") + "')" for n, xs in TEMPLATES.items() for i, x in enumerate(xs))
-_LOW, _HIGH = MIN_DICE / (2 - MIN_DICE), (2 - MIN_DICE) / MIN_DICE
-
-
-def _words(c: str) -> str:
-    return f"string_split(trim(regexp_replace(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+', ' ', 'g')), ' ')"
-
+_NUM, _DEN = MIN_DICE
+_NORMAL = f"regexp_replace(translate(%s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_MARKS}', ' ', 'g')"
+_SPLIT = "string_split_regex(trim(%s, ' ' || chr(10)), '[ \\n]+')"
 
 ORACLE = f"""
 WITH t0(license, variant, text) AS (VALUES {_VALUES}),
-t1 AS (SELECT license, variant, {_words("text")} AS w FROM t0),
+t1 AS (SELECT license, variant, {_SPLIT % (_NORMAL % "text")} AS w FROM t0),
 t AS (SELECT license, variant, len(w) - 1 AS t_size, w[i] AS a, w[i + 1] AS b, count(*) AS t_n
       FROM (SELECT *, unnest(generate_series(1, len(w) - 1)) AS i FROM t1) GROUP BY ALL),
-d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, string_split_regex(coalesce(text, ''), '\\n[ \\t\\n\\v\\f\\r]*\\n') AS parts, coalesce(text, '') AS body FROM documents),
+d0 AS (SELECT doc_id, {_NORMAL % "coalesce(text, '')"} AS body FROM documents),
+d AS (SELECT doc_id, body, string_split(body, chr(10)) AS lines, string_split_regex(body, '\\n *\\n') AS parts FROM d0),
 s0 AS (SELECT doc_id, list_concat(lines, CASE WHEN len(parts) > 1 THEN parts ELSE [] END, CASE WHEN len(lines) > 1 THEN [body] ELSE [] END) AS segs FROM d),
 s1 AS (SELECT doc_id, unnest(generate_series(1, len(segs))) AS seg, unnest(segs) AS s FROM s0),
-s2 AS (SELECT doc_id, seg, {_words("s")} AS w FROM s1),
-s3 AS (SELECT doc_id, seg, len(w) - 1 AS size, unnest(w[1:len(w) - 1]) AS a, unnest(w[2:]) AS b FROM s2
-       WHERE len(w) - 1 BETWEEN 1 AND (SELECT max(t_size) * {_HIGH} FROM t)),
-met AS (SELECT doc_id, seg, size, license, variant, t_size, s3.a, s3.b, t_n, count(*) AS n FROM s3 JOIN t ON s3.a = t.a AND s3.b = t.b
-        WHERE t_size >= size * {_LOW} AND t_size <= size * {_HIGH} GROUP BY ALL),
-dice AS (SELECT doc_id, seg, license, variant, 2 * sum(least(n, t_n))::DOUBLE / (size + t_size) AS dice FROM met GROUP BY doc_id, seg, license, variant, size, t_size),
-per AS (SELECT doc_id, license, max(dice) AS dice, count(DISTINCT seg) AS n_segments FROM dice WHERE dice >= {MIN_DICE} GROUP BY doc_id, license),
+s2 AS (SELECT doc_id, seg, {_SPLIT % "s"} AS w FROM s1),
+s3 AS (SELECT doc_id, seg, len(w) - 1 AS size, unnest(w[1:len(w) - 1]) AS a, unnest(w[2:]) AS b FROM s2 WHERE len(w) > 1),
+met AS (SELECT doc_id, seg, size, license, variant, t_size, s3.a, s3.b, t_n, count(*) AS n FROM s3 JOIN t ON s3.a = t.a AND s3.b = t.b GROUP BY ALL),
+dice AS (SELECT doc_id, seg, license, variant, size, t_size, sum(least(n, t_n)) AS shared FROM met GROUP BY doc_id, seg, license, variant, size, t_size),
+per AS (SELECT doc_id, license, max((2 * shared)::DOUBLE / (size + t_size)) AS dice, count(DISTINCT seg) AS n_segments
+        FROM dice WHERE {2 * _DEN} * shared >= {_NUM} * (size + t_size) GROUP BY doc_id, license),
 agg AS (SELECT doc_id, count(*) AS n_licenses, string_agg(license, ',' ORDER BY license) AS licenses, sum(n_segments) AS n_segments,
         max(dice) AS best_dice, max_by(license, struct_pack(dice := dice, license := license)) AS best_license FROM per GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_licenses, 0)::BIGINT AS n_licenses, coalesce(licenses, '') AS licenses, coalesce(n_segments, 0)::BIGINT AS n_segments,

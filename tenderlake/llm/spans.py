@@ -94,7 +94,7 @@ class Cache:
     fill(indices) is asked for the rows of contents that are not known. At most `most` keys are
     kept; beyond that the cache starts anew, which costs time only."""
 
-    def __init__(self, most: int = 600_000):
+    def __init__(self, most: int = 1_500_000):
         self.most = most
         self.clear()
 
@@ -117,7 +117,7 @@ class Cache:
         if not known.all():
             lengths, flat = fill(first[~known])
             starts = len(self.flat) + np.cumsum(lengths) - lengths
-            keys_, order = np.concatenate([self.keys, distinct[~known]]), None
+            keys_ = np.concatenate([self.keys, distinct[~known]])
             order = np.argsort(keys_, kind="stable")
             self.keys = keys_[order]
             self.lengths = np.concatenate([self.lengths, lengths])[order]
