@@ -112,8 +112,11 @@ def match_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMP
     body = F.coalesce(F.col(text), F.lit(""))
     key = F.xxhash64("doc_id", body).alias("k1"), F.xxhash64(F.lit(3), "doc_id", body).alias("k2")
     none = F.array().cast("array<string>")
-    anchored = rf"(?:^|[ \n])(?:{'|'.join(anchor_words(templates, min_dice))})(?:[ \n]|$)"
-    seg = docs.select(*key, normalised(body).alias("body")).where(F.col("body").rlike(anchored))
+    initials: dict[str, list[str]] = {}
+    for word in anchor_words(templates, min_dice):
+        initials.setdefault(word[0], []).append(word[1:])
+    anchored = "(?:^|[^a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in initials.items()) + ")"
+    seg = docs.where(F.lower(text).rlike(anchored)).select(*key, normalised(body).alias("body"))
     seg = seg.withColumn("lines", F.split("body", "\n", -1)).withColumn("parts", F.split("body", r"\n *\n", -1))
     segments = F.concat("lines", F.when(F.size("parts") > 1, F.col("parts")).otherwise(none), F.when(F.size("lines") > 1, F.array("body")).otherwise(none))
     seg = seg.select("k1", "k2", F.posexplode(F.transform(segments, _words)).alias("seg", "words"))

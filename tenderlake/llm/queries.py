@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import licenses, lines, mixing, secrets
+from . import fertility, licenses, lines, minhash, mixing, secrets
 
 
 def queries() -> dict:
     return {
+        "op1_minhash_dedup": minhash.op1_minhash_dedup,
         "op3_secret_scan": secrets.op3_secret_scan,
         "op5_line_dedup": lines.op5_line_dedup,
         "op7_license_scan": licenses.op7_license_scan,
+        "op8_quality_rules": fertility.op8_quality_rules,
         "op9_mixing": mixing.op9_mixing,
     }
 
