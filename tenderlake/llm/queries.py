@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fertility, licenses, lines, minhash, mixing, secrets
+from . import fertility, licenses, lines, minhash, mixing, secrets, vectors
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op7_license_scan": licenses.op7_license_scan,
         "op8_quality_rules": fertility.op8_quality_rules,
         "op9_mixing": mixing.op9_mixing,
+        "op10_embedding_dedup": vectors.op10_embedding_dedup,
     }
 
 
