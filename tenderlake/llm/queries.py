@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import fertility, licenses, lines, minhash, mixing, secrets, vectors
+from . import fertility, licenses, lines, minhash, mixing, packing, secrets, vectors
 
 
 def queries() -> dict:
     return {
         "op1_minhash_dedup": minhash.op1_minhash_dedup,
         "op3_secret_scan": secrets.op3_secret_scan,
+        "op4_packing": packing.op4_packing,
         "op5_line_dedup": lines.op5_line_dedup,
         "op7_license_scan": licenses.op7_license_scan,
         "op8_quality_rules": fertility.op8_quality_rules,
