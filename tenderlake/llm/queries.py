@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fertility, licenses, lines, minhash, mixing, packing, secrets, vectors
+from . import fertility, language, licenses, lines, minhash, mixing, packing, secrets, vectors
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_secret_scan": secrets.op3_secret_scan,
         "op4_packing": packing.op4_packing,
         "op5_line_dedup": lines.op5_line_dedup,
+        "op6_language_id": language.op6_language_id,
         "op7_license_scan": licenses.op7_license_scan,
         "op8_quality_rules": fertility.op8_quality_rules,
         "op9_mixing": mixing.op9_mixing,
