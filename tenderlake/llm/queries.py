@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fertility, language, licenses, lines, minhash, mixing, packing, secrets, vectors
+from . import classifier, fertility, language, licenses, lines, minhash, mixing, packing, secrets, vectors
 
 
 def queries() -> dict:
     return {
         "op1_minhash_dedup": minhash.op1_minhash_dedup,
+        "op2_quality_classifier": classifier.op2_quality_classifier,
         "op3_secret_scan": secrets.op3_secret_scan,
         "op4_packing": packing.op4_packing,
         "op5_line_dedup": lines.op5_line_dedup,
