@@ -1,0 +1,136 @@
+"""op3, op5, op7 and op9 against plain Python, with nulls, empty texts, ties and repeated rows."""
+
+import collections
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from tenderlake.llm import licenses, lines, mixing, secrets
+
+BLANK = " \t\n\x0b\x0c\r"
+
+
+def test_line_dedup(spark):
+    pick = random.Random(1)
+    common = ["Same line", "  same LINE\t", "Ünique É", "", "x"]
+    rows = [(i, "\n".join(pick.choice([*common, f"own {i} {j}"]) for j in range(pick.randint(0, 6))), i) for i in range(60)]
+    rows += [(100, None, 1), (101, "", 2), (None, "same line\nrest", 3), (5, "same line", 4), (5, "same line", 4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, pos int").repartition(3)
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(BLANK))
+    count = collections.Counter(k for _, t, _ in rows for k in {key(x) for x in (t or "").split("\n")} if k)
+    want = sorted(((d, None if t is None else "\n".join(x for x in t.split("\n") if count[key(x)] < 10), p, len((t or "").split("\n")), sum(count[key(x)] >= 10 for x in (t or "").split("\n"))) for d, t, p in rows), key=str)
+    assert sorted(map(tuple, lines.drop_common_lines(df).collect()), key=str) == want
+    assert lines.drop_common_lines(df.limit(0)).collect() == []
+
+
+def _plain_spans(text, rules):
+    found = []
+    for k, rule in enumerate(rules):
+        for m in re.finditer(rule.pattern, text, re.ASCII):
+            if len(m[rule.group]) >= rule.min_length:
+                found.append((m.start(), k, m.end()))
+    return ",".join(f"{rules[k].kind}:{s}:{e}" for s, k, e in sorted(found))
+
+
+def test_secrets(spark):
+    pick = random.Random(2)
+    bits = ["token = \"", "abcdef0123456789", "AKIA", "ABCDEFGHIJ1234567", "password:", "Secret", "=", "'", " ", "é😀", "short", "\n", "api_key: ", "APIKEY=", "g", "0123456789abcdefghijk", "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1" * 18, "token: password: abcdefghijklmnop"]
+    rows = [(i, "".join(pick.choice(bits) for _ in range(pick.randint(0, 14)))) for i in range(300)]
+    rows += [(400, None), (401, ""), (None, rows[3][1]), (3, rows[3][1]), (402, "x" * 50_000 + "token=" + "a" * 40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found, ledger = secrets.find_secrets(df)
+    listed = found.select("doc_id", secrets._listed(F.col("spans"), secrets.RULES).alias("s"))
+    assert sorted(map(tuple, listed.collect()), key=str) == sorted(((d, _plain_spans(t or "", secrets.RULES)) for d, t in rows), key=str)
+    # The next run scans only what the ledger lacks, and still answers every path.
+    more = spark.createDataFrame([(900, rows[0][1]), (901, "token=abcdefghijklmnopq")], "doc_id bigint, text string")
+    _, new = secrets.update_ledger(more, ledger)
+    assert new.count() == 1
+    found, _ = secrets.find_secrets(more, ledger)
+    assert {r.doc_id: len(r.spans) for r in found.collect()}[901] == 1
+    assert secrets.find_secrets(df.limit(0))[0].collect() == []
+
+
+def test_access_and_hex_forms_equal_those_of_the_contract():
+    pick = random.Random(3)
+    for _ in range(3000):
+        text = "".join(pick.choice("AKIAKIA09Bzabcdef 0") for _ in range(60))
+        for short, rule in ((r"AKIA[A-Z0-9]+", secrets.BASE_RULES[1]), (r"[0-9a-f]+", secrets.BASE_RULES[2])):
+            plain = [m.span() for m in re.finditer(short, text) if len(m[0]) >= rule.min_length]
+            assert plain == [m.span() for m in re.finditer(rule.pattern, text)]
+
+
+def _plain_licenses(text):
+    norm = lambda x: re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), x))
+    body = re.sub(r"[\x00-\x09\x0b-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", " ", text)
+    parts = re.split("\n *\n", body)
+    segments = body.split("\n") + (parts if len(parts) > 1 else []) + ([body] if "\n" in body else [])
+    best = {}
+    for s in segments:
+        w = norm(s)
+        a = collections.Counter(zip(w, w[1:]))
+        for name, texts in licenses.TEMPLATES.items():
+            for t in texts:
+                v = norm(t)
+                b = collections.Counter(zip(v, v[1:]))
+                shared = sum((a & b).values())
+                if a and 10 * shared >= 4 * (len(w) - 1 + len(v) - 1):
+                    best[name] = max(best.get(name, 0), 2 * shared / (len(w) + len(v) - 2))
+    return best
+
+
+def test_licenses(spark):
+    pick = random.Random(4)
+    notices = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    rows = []
+    for i in range(150):
+        words = pick.choice(notices).split(" ")
+        for _ in range(pick.randint(0, 4)):
+            words[pick.randrange(len(words))] = pick.choice(["other", "Word", "the", ""])
+        notice = pick.choice([" ", "\n", " -- "]).join(words) if pick.random() < 0.5 else " ".join(words)
+        rows.append((i, "\n".join([f"some text {i}"] * pick.randint(0, 2) + [""] * pick.randint(0, 1) + [notice, "", "more text of it"][: pick.randint(1, 3)])))
+    rows += [(500, None), (501, ""), (502, "All rights reserved. " * 3000), (None, "All rights reserved."), (1, rows[1][1]), (503, "...\nALL RIGHTS RESERVED\n...")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted(((r.doc_id, {x.license: x.dice for x in r.licenses}) for r in licenses.match_licenses(df).collect()), key=str)
+    assert got == sorted(((d, dict(sorted(_plain_licenses(t or "").items()))) for d, t in rows), key=str)
+    assert licenses.match_licenses(df.limit(0)).collect() == []
+
+
+def test_mixing(spark):
+    pick = random.Random(5)
+    rows = [(i, " ".join(["w"] * pick.choice([0, 1, 5, 40, 40, 400])), pick.choice(["a", "a", "a", "a", "b", "B", "é", None])) for i in range(500)]
+    rows += [(600, None, "a"), (601, "x y", "tiny"), (601, "x y", "tiny"), (None, "x", "a")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    out = mixing.mix(df).collect()
+    assert sorted(map(tuple, out), key=str) == sorted(map(tuple, mixing.mix(df.repartition(5)).collect()), key=str)
+    size = collections.Counter()
+    for _, t, s in rows:
+        size[s] += len((t or "").split())
+    # The targets by the rule itself, round for round.
+    order = sorted((s for s in size if s is not None), key=lambda s: s.encode()) + ([None] if None in size else [])
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    open_, target, rest = set(order), {}, sum(size.values())
+    while True:
+        unit = rest / sum(weight[s] for s in open_)
+        over = [s for s in open_ if unit * weight[s] > 3 * size[s]]
+        if not over:
+            break
+        for s in over:
+            target[s] = 3 * size[s]
+            rest -= target[s]
+            open_.remove(s)
+    target |= {s: unit * weight[s] for s in open_}
+    taken = collections.Counter()
+    for r in out:
+        assert abs(r.target - target[r.source]) < 1e-6 and r.source_size == size[r.source]
+        assert r.taken == r.copies * r["size"] and 0 <= r.copies <= 3
+        taken[r.source] += r.taken
+    for s in order:
+        assert abs(taken[s] - target[s]) <= 400
+    assert len(out) == len(rows)
+    applied = mixing.apply_mix(df)
+    assert applied.columns == df.columns and applied.count() == sum(r.copies for r in out)
+    assert mixing.mix(df.limit(0)).collect() == [] == mixing.apply_mix(df.limit(0)).collect()
+    bare = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id bigint, text string, source string")
+    assert sum(r.taken for r in mixing.mix(bare).collect()) == 0
