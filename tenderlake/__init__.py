@@ -1 +1,37 @@
 """Spark-native engine for registers of public procurement notices."""
+
+from __future__ import annotations
+
+import io
+import uuid
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; set here only where the session names none."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = f"/tmp/checkpoints/{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the session's Python workers, once per context: a ZIP of it
+    goes through the shared folder."""
+    context = spark.sparkContext
+    if getattr(context, "_tenderlake_shipped", False):
+        return
+    here, body = Path(__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(body, "w") as box:
+        for source in sorted(here.rglob("*.py")):
+            box.write(source, source.relative_to(here.parent).as_posix())
+    target = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/package-{uuid.uuid4().hex}/tenderlake.zip")
+    out = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(body.getvalue()))
+    out.close()
+    context.addPyFile(target.toString())
+    context._tenderlake_shipped = True
