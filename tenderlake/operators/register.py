@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import canonical_key, previous_key
-from ..functions.text import any_of, or_empty
+from ..functions.text import any_of, let, or_empty
 
 # Fixed values -------------------------------------------------------------------------------------
 INDEX_PATHS = ("/business", "/procurement", "/jobs", "/tenders", "/opportunities", "/doing-business")
@@ -92,11 +92,13 @@ def first_wins(a: Column, b: Column) -> Column:
 
 def _merge_pair(a: Column, b: Column, kinds: dict[str, str]) -> Column:
     """One row of two copies: the winner's, with what only the loser has."""
-    wins = first_wins(a, b)
-    keep = {c: F.when(wins, a[c]).otherwise(b[c]) for c in kinds}
-    other = {c: F.when(wins, b[c]).otherwise(a[c]) for c in kinds}
+    sides = let(first_wins(a, b), lambda wins: F.struct(F.when(wins, a).otherwise(b).alias("keep"), F.when(wins, b).otherwise(a).alias("other")))
+    return let(sides, lambda x: _enrich(a, b, x["keep"], x["other"], kinds))
+
+
+def _enrich(a: Column, b: Column, keep: Column, other: Column, kinds: dict[str, str]) -> Column:
     fill = lambda c: F.when(~_filled(keep[c], kinds[c]) & _filled(other[c], kinds[c]), other[c]).otherwise(keep[c])
-    out = dict(keep)
+    out = {c: keep[c] for c in kinds}
     for c in (*ENRICHED, *CARRIED):
         if c in kinds:
             out[c] = fill(c)
@@ -129,9 +131,10 @@ def merge_copies(rows: DataFrame, order: list[str]) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name not in order and f.name != "key"}
     keyed = rows if "key" in rows.columns else with_key(rows)
     keyed = keyed.where("key != ''")
-    packed = keyed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*kinds).alias("row")))).alias("copies"))
+    packed = keyed.groupBy("key").agg(F.collect_list(F.struct(F.struct(*order).alias("at"), F.struct(*kinds).alias("row"))).alias("copies"))
     single, several = packed.where("size(copies) = 1"), packed.where("size(copies) > 1")
-    # A fold step is evaluated once per pair by storing both sides in the accumulator first.
+    earlier = lambda x, y: F.when(x["at"] < y["at"], -1).when(x["at"] > y["at"], 1).otherwise(0)
+    several = several.withColumn("copies", F.array_sort("copies", earlier))
     fold = F.aggregate(F.slice("copies", 2, 1 << 30), F.get("copies", 0)["row"], lambda acc, x: _merge_pair(acc, x["row"], kinds))
     merged = several.select("key", fold.alias("row")).unionByName(single.select("key", F.get("copies", 0)["row"].alias("row")))
     return merged.select("key", "row.*")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import date_queries, text_queries
+from . import date_queries, register_queries, text_queries, work_queries
+
+_MODULES = (text_queries, date_queries, register_queries, work_queries)
 
 
 def queries() -> dict:
-    return {**text_queries.QUERIES, **date_queries.QUERIES}
+    return {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**text_queries.ORACLES, **date_queries.ORACLES}
+    return {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
