@@ -112,22 +112,22 @@ def date_evidence(iso: Column, text: Column, hits: Column) -> Column:
 def cue_places(text: Column, cues: tuple[str, ...]) -> Column:
     """Every place of every cue as (start, end), by cue in list order, then by place; places may overlap."""
     low = F.lower(or_empty(text))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
 
-    def places(cue: str) -> Column:
-        # A place is the end of a prefix before the cue; split without overlap is enough, as no cue
-        # can overlap itself.
-        parts = F.split(low, "(?=" + "".join("\\" + c if not c.isalnum() and c != " " else c for c in cue) + ")", -1)
+    def places(cue: Column) -> Column:
+        # The text is cut before each place of the cue; no cue overlaps itself, so no place is missed.
+        # A cut at the very start leaves no piece before it.
+        parts = F.split(low, F.concat(F.lit(r"(?=\Q"), cue, F.lit(r"\E)")), F.lit(-1))
         ends = F.aggregate(
             F.slice(parts, F.lit(1), F.size(parts) - 1),
             F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")),
             lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["found"], F.array(acc["at"] + F.length(x))).alias("found")),
             lambda acc: acc["found"],
         )
-        ends = F.when(F.startswith(low, F.lit(cue)), F.array_union(F.array(F.lit(0)), ends)).otherwise(ends)
-        return F.when(F.contains(low, F.lit(cue)), F.transform(ends, lambda s: F.struct(s.alias("start"), (s + len(cue)).alias("end")))).otherwise(empty)
+        ends = F.when(F.startswith(low, cue), F.array_union(F.array(F.lit(0)), ends)).otherwise(ends)
+        return F.transform(ends, lambda s: F.struct(s.alias("start"), (s + F.length(cue)).alias("end")))
 
-    return F.flatten(F.array(*[places(c) for c in cues]))
+    present = F.filter(F.array(*[F.lit(c) for c in cues]), lambda c: F.contains(low, c))
+    return F.flatten(F.transform(present, places))
 
 
 def nearest_after_cue(text: Column, hits: Column, cues: tuple[str, ...] = DEADLINE_CUES, reach: int = 180) -> Column:
