@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import table
@@ -142,8 +142,9 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     the sample is collected. Rows without a label or with a null id are left out; of repeated labels
     of a document the largest counts. Without both labels the network stays as drawn."""
     known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y")).withColumn("h", F.xxhash64("doc_id"))
-    rank = F.row_number().over(Window.partitionBy("y").orderBy("h", "doc_id"))
-    chosen = known.withColumn("rank", rank).where(F.col("rank") <= per_label).select("doc_id", "y")
+    # A top-k of each label: every task keeps its own first rows, so no label is gathered whole.
+    first = [known.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_label) for y in (0, 1)]
+    chosen = first[0].unionByName(first[1]).select("doc_id", "y")
     step = CHARACTERS // SPREAD
     places = [F.substring(F.col(text), F.floor(F.greatest(F.length(text) - step, F.lit(0)) * k / max(SPREAD - 1, 1)).cast("int") + 1, F.lit(step)) for k in range(SPREAD)]
     piece = F.when(F.length(text) <= CHARACTERS, F.col(text)).otherwise(F.concat_ws("", *places))
