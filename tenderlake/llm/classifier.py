@@ -85,7 +85,7 @@ class Network:
         top, bounds, fills, *_ = self._chunks(data, offsets, False)
         x, _ = self._features(top, bounds, fills, np.diff(offsets))
         z = np.tanh(x @ self.p["hidden"] + self.p["hidden_bias"]) @ self.p["out"] + self.p["out_bias"]
-        return 1 / (1 + np.exp(-np.clip(z.astype(float), -30, 30)))
+        return np.round(1 / (1 + np.exp(-np.clip(z.astype(float), -30, 30))), 6)  # the same however rows are batched
 
     def fit(self, texts: list[bytes], sizes: list[int], labels: list[int], epochs: int = EPOCHS) -> Network:
         """Adam on the log loss, both labels weighing the same; sizes: bytes of the whole texts."""
@@ -122,7 +122,9 @@ class Network:
         spread = dx[:, 2 * FILTERS : 3 * FILTERS]
         d_most = dx[:, FILTERS : 2 * FILTERS] + spread
         least = most - x[:, 2 * FILTERS : 3 * FILTERS]
-        d_top = dx[text_of, :FILTERS] * share[:, None] + d_most[text_of] * (top == most[text_of]) - spread[text_of] * (np.abs(top - least[text_of]) < 1e-6)
+        # Chunks that tie share what their common maximum or minimum gets.
+        split = lambda mask: mask / np.add.reduceat(mask.astype(np.float32), bounds[:-1], axis=0)[text_of]
+        d_top = dx[text_of, :FILTERS] * share[:, None] + d_most[text_of] * split(top == most[text_of]) - spread[text_of] * split(np.abs(top - least[text_of]) < 1e-6)
         d_top = (d_top * (top > 0)).astype(np.float32)
         index = starts[at][:, :, None] + np.arange(WIDTH)
         window = np.where(index < ends[at][:, :, None], padded[np.minimum(index, len(data))], 0)
