@@ -27,7 +27,7 @@ REGISTER = (
     "sol string, link string, title string, tier string, sector string, platform string, agency string, domestic boolean, post string, "
     "country string, source string, posted string, deadline string, qa string, status string, archived boolean, archivedOn string, "
     "updated string, lastDeepScan string, firstSeen string, changed string, verified string, verifyNotes array<string>, files array<string>, "
-    "fileCount int, citation struct<doc:string,quote:string>, restrictions array<struct<t:string,k:string,note:string>>, "
+    "fileCount int, datesVerified boolean, citation struct<doc:string,quote:string>, restrictions array<struct<t:string,k:string,note:string>>, "
     "dateEvidence map<string,string>, dateProof map<string,string>, dateWarnings array<string>, datesSeen array<string>, value string, "
     "setaside string, samId string, estimate double, secondOpinion boolean, repairTries int, prevKey string, needs string, noDate boolean, "
     "deleted boolean, deletedOn string, hidden boolean, hiddenOn string, switched boolean, switchedOn string, unhiddenBecause string, notes string, fp string"
