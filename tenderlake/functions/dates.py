@@ -40,17 +40,14 @@ _HIT = "struct<start:int,end:int,iso:string,ambiguous:boolean>"
 
 def build_date(year: Column, month: Column, day: Column) -> Column:
     """An ISO date of year 2000 to 2100, or NULL if there is no such day."""
-    y, m, d = (x.try_cast("int") for x in (year, month, day))
-    text = F.format_string("%04d-%02d-%02d", y, m, d)
-    ok = m.between(1, 12) & d.between(1, 31) & y.between(2000, 2100)
-    return F.when(ok, F.date_format(F.try_to_date(F.when(ok, text)), "yyyy-MM-dd"))
+    text = F.format_string("%04d-%02d-%02d", *(x.try_cast("int") for x in (year, month, day)))
+    return let(F.try_to_date(text).cast("string"), lambda iso: F.when(iso.between("2000-01-01", "2100-12-31"), iso))
 
 
 def month_number(name: Column) -> Column:
     """By the first three letters; NULL for other words. Digits stand for themselves."""
-    names = F.array(*[F.lit(m) for m in MONTHS])
-    at = F.array_position(names, F.lower(F.substring(name, 1, 3)))
-    return F.when(name.rlike(r"^\d+$"), name.try_cast("int")).when(at > 0, at.cast("int"))
+    at = F.find_in_set(F.lower(F.substring(name, 1, 3)), F.lit(",".join(MONTHS)))
+    return F.coalesce(name.try_cast("int"), F.nullif(at, F.lit(0)))
 
 
 def _part(c: Column, pattern: str, group: int) -> Column:
@@ -59,10 +56,9 @@ def _part(c: Column, pattern: str, group: int) -> Column:
 
 def _textual(text: Column, pattern: str, order: tuple[int, int, int]) -> Column:
     def hit(m: Column) -> Column:
-        year = _part(m["value"], pattern, order[0])
-        year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
-        iso = build_date(year, month_number(_part(m["value"], pattern, order[1])).cast("string"), _part(m["value"], pattern, order[2]))
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), iso.alias("iso"), F.lit(False).alias("ambiguous"))
+        year, month, day = (_part(m["value"], pattern, g) for g in order)
+        year = F.substring(F.concat(F.lit("20"), year), -4, 4)  # of two digits or four
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), build_date(year, month_number(month), day).alias("iso"), F.lit(False).alias("ambiguous"))
 
     return F.transform(match_spans(text, pattern), hit)
 
@@ -70,10 +66,13 @@ def _textual(text: Column, pattern: str, order: tuple[int, int, int]) -> Column:
 def _numeric(text: Column) -> Column:
     def hits(m: Column) -> Column:
         a, b, y = (_part(m["value"], NUMERIC, g) for g in (1, 2, 3))
-        day_first, month_first = build_date(y, b, a), build_date(y, a, b)
-        two = day_first.isNotNull() & month_first.isNotNull() & (day_first != month_first)
-        one = lambda iso: F.struct(m["start"].alias("start"), m["end"].alias("end"), iso.alias("iso"), F.coalesce(two, F.lit(False)).alias("ambiguous"))
-        return F.when(two, F.array(one(day_first), one(month_first))).otherwise(F.array(one(F.coalesce(day_first, month_first))))
+        one = lambda iso, two: F.struct(m["start"].alias("start"), m["end"].alias("end"), iso.alias("iso"), F.lit(two).alias("ambiguous"))
+
+        def readings(r: Column) -> Column:
+            both = F.array(one(r["day_first"], True), one(r["month_first"], True))
+            return F.when(r["day_first"] != r["month_first"], both).otherwise(F.array(one(F.coalesce(r["day_first"], r["month_first"]), False)))
+
+        return let(F.struct(build_date(y, b, a).alias("day_first"), build_date(y, a, b).alias("month_first")), readings)
 
     return F.flatten(F.transform(match_spans(text, NUMERIC), hits))
 
@@ -83,9 +82,8 @@ def scan_dates(text: Column) -> Column:
     numbers can both be months gives both readings, marked ambiguous."""
     t = or_empty(text)
     found = F.concat(_numeric(t), *[_textual(t, p, order) for p, order in TEXTUAL])
-    valid = F.filter(found, lambda h: h["iso"].isNotNull())
-    by_place = F.array_sort(F.transform(valid, lambda h: F.struct(h["start"].alias("start"), h["iso"].alias("iso"), h["end"].alias("end"), h["ambiguous"].alias("ambiguous"))))
-    listed = F.transform(by_place, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["iso"].alias("iso"), h["ambiguous"].alias("ambiguous")))
+    # Hits that start at one place end at one too, so their fields sort them by place and date.
+    listed = F.array_sort(F.filter(found, lambda h: h["iso"].isNotNull()))
     # Most texts hold no year: they cost one search.
     return F.when(t.rlike(r"\d[-/.\s]|[A-Za-z]\.?[-\s]\d"), listed).otherwise(F.array().cast(f"array<{_HIT}>"))
 
@@ -133,14 +131,13 @@ def cue_places(text: Column, cues: tuple[str, ...]) -> Column:
 def nearest_after_cue(text: Column, hits: Column, cues: tuple[str, ...] = DEADLINE_CUES, reach: int = 180) -> Column:
     """Of the unambiguous dates that start at most `reach` characters after the end of a cue, the
     nearest to one; of ties the earliest; NULL if there is none."""
-    clear = F.filter(hits, lambda h: ~h["ambiguous"])
-
-    def nearest(spots: Column) -> Column:
+    def nearest(clear: Column, spots: Column) -> Column:
         gap = lambda h: F.array_min(F.filter(F.transform(spots, lambda s: h["start"] - s["end"]), lambda g: (g >= 0) & (g <= reach)))
         gaps = F.transform(clear, lambda h: F.struct(gap(h).alias("gap"), h["start"].alias("start"), h["iso"].alias("iso")))
         return F.array_min(F.filter(gaps, lambda g: g["gap"].isNotNull()))["iso"]
 
-    return F.when(F.size(hits) > 0, let(cue_places(text, cues), nearest))
+    clear = F.filter(hits, lambda h: ~h["ambiguous"])
+    return let(clear, lambda c: F.when(F.size(c) > 0, let(cue_places(text, cues), lambda spots: nearest(c, spots))))
 
 
 def anchored(iso: Column, text: Column, hits: Column, cues: tuple[str, ...] = DEADLINE_CUES, window: int = 200) -> Column:

@@ -178,14 +178,17 @@ def match_spans(c: Column, pattern: str, group: int = 0) -> Column:
     matches alternate, so their running lengths are the offsets. Start counts from 0."""
     text = or_empty(c)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = hits if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    steps = F.slice(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), values.alias("value")), F.lit(1), F.size(hits))
+    gap = F.split(text, pattern, -1).alias("gap")
+    # The last gap has no match after it.
+    zipped = F.arrays_zip(gap, hits.alias("value")) if group == 0 else F.arrays_zip(gap, hits.alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
+    hit_of = "value" if group == 0 else "hit"
+    steps = F.filter(zipped, lambda x: x[hit_of].isNotNull())
     kind = "struct<start:int,end:int,value:string>"
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("found"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["gap"])
-        e = s + F.length(x["hit"])
+        e = s + F.length(x[hit_of])
         one = F.array(F.struct(s.alias("start"), e.alias("end"), x["value"].alias("value")))
         return F.struct(e.alias("at"), F.concat(acc["found"], one).alias("found"))
 
