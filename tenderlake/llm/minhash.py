@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -19,6 +19,8 @@ BANDS, ROWS = 24, 5
 JACCARD = (85, 100)
 #: Buckets up to this size give pairs; larger ones are compared in tasks of up to CHUNK documents a side.
 SMALL_BUCKET, CHUNK = 16, 512
+#: Shingles a side of such a task: buckets of long texts are dealt into more, smaller parts.
+CHUNK_SHINGLES = 2_000_000
 
 _FOLDED = _BYTE[FOLD]
 
@@ -142,6 +144,11 @@ def _chunk_links(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _parts(size, shingles) -> Column:
+    """Into how many parts of a bucket documents are dealt."""
+    return F.ceil(F.greatest(size / CHUNK, shingles / CHUNK_SHINGLES)).cast("int")
+
+
 def _in_chunks(members: DataFrame, sets: DataFrame) -> DataFrame:
     """members: (key, part, other, side, doc_id, comp) of comparing tasks."""
     return members.join(sets, "doc_id").groupBy("key", "part", "other").applyInArrow(_chunk_links, "a bigint, b bigint")
@@ -172,7 +179,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     # One row a class: that of its smallest id. Rows with the same id and set are equal.
     first = sketches.where("n_shingles > 0").join(classes.select("f1", "f2", F.col("rep").alias("doc_id")), ["f1", "f2", "doc_id"], "left_semi")
     members = written(first.select("doc_id", "n_shingles", F.explode("bands").alias("key")), "minhash-members")
-    buckets = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "minhash-buckets")
+    buckets = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("shingles")).where("size > 1"), "minhash-buckets")
     members = written(members.join(buckets, "key"), "minhash-met")
     small, large = members.where(F.col("size") <= SMALL_BUCKET), members.where(F.col("size") > SMALL_BUCKET)
 
@@ -188,8 +195,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     verified = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_verify_pairs, "a bigint, b bigint")
 
-    parts = F.ceil(F.col("size") / CHUNK).cast("int")
-    dealt = large.select("key", "size", "doc_id", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"))
+    dealt = large.withColumn("parts", _parts(F.col("size"), F.col("shingles")))
+    dealt = dealt.select("key", "parts", "n_shingles", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
     inner = dealt.select("key", "part", F.lit(-1).alias("other"), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("comp"))
     links = written(verified.unionByName(_in_chunks(inner, sets)), "minhash-links")
     if not large.isEmpty():
@@ -206,18 +213,19 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 def _join_rest(links: DataFrame, dealt: DataFrame, sets: DataFrame) -> DataFrame:
     """The links, and those between different components of a large bucket."""
     parents = written(components(links, "minhash-first"), "minhash-parents").withColumnRenamed("node", "doc_id")
-    now = dealt.join(parents, "doc_id", "left").select("key", "size", "part", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    now = dealt.join(parents, "doc_id", "left").select("key", "parts", "n_shingles", "part", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
     now = written(now, "minhash-now")
     counts = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     most = counts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
     open_keys = written(most.where("comps > 1").select("key", F.col("top.comp").alias("main")), "minhash-open")
     # The smaller components of a bucket, dealt anew, meet each chunk of the bucket.
     minor = now.join(open_keys, "key").where(F.col("comp") != F.col("main"))
-    minors = written(minor.groupBy("key").agg(F.count(F.lit(1)).alias("n_minor")), "minhash-minors")
-    minor = minor.join(minors, "key").withColumn("other", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.ceil(F.col("n_minor") / CHUNK).cast("int")).cast("int"))
-    chunks = F.sequence(F.lit(0), F.ceil(F.col("size") / CHUNK).cast("int") - 1)
+    minors = minor.groupBy("key").agg(_parts(F.count(F.lit(1)), F.sum("n_shingles")).alias("minor_parts"))
+    minors = written(minors, "minhash-minors")
+    minor = minor.join(minors, "key").withColumn("other", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("minor_parts")).cast("int"))
+    chunks = F.sequence(F.lit(0), F.col("parts") - 1)
     first = minor.select("key", F.explode(chunks).alias("part"), "other", F.lit(0).alias("side"), "doc_id", "comp")
-    others = F.sequence(F.lit(0), F.ceil(F.col("n_minor") / CHUNK).cast("int") - 1)
+    others = F.sequence(F.lit(0), F.col("minor_parts") - 1)
     second = now.join(minors, "key").select("key", "part", F.explode(others).alias("other"), F.lit(1).alias("side"), "doc_id", "comp")
     return links.unionByName(written(_in_chunks(first.unionByName(second), sets), "minhash-rest"))
 

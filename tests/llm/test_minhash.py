@@ -48,10 +48,11 @@ def _rows():
     return rows
 
 
-@pytest.mark.parametrize(("small", "chunk"), [(16, 512), (2, 8)])
-def test_components_match_brute_force(spark, monkeypatch, small, chunk):
+@pytest.mark.parametrize(("small", "chunk", "shingles"), [(16, 512, 2_000_000), (2, 8, 2_000_000), (2, 512, 1000)])
+def test_components_match_brute_force(spark, monkeypatch, small, chunk, shingles):
     monkeypatch.setattr(minhash, "SMALL_BUCKET", small)
     monkeypatch.setattr(minhash, "CHUNK", chunk)
+    monkeypatch.setattr(minhash, "CHUNK_SHINGLES", shingles)
     rows = _rows()
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     assert sorted(map(tuple, minhash.near_duplicates(df).collect())) == brute(rows)
