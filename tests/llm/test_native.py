@@ -97,6 +97,29 @@ def test_licenses(spark):
     assert licenses.match_licenses(df.limit(0)).collect() == []
 
 
+#: Written as they stand in documents, not taken from TEMPLATES.
+NOTICES = [
+    ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+    ("This document is licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"),
+    ("This work is licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "CC-BY-NC-ND-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License. To view a copy of this license,\nvisit https://creativecommons.org/licenses/by-nc-sa/3.0/.", "CC-BY-NC-SA-3.0"),
+    ("Released under CC BY-ND 4.0", "CC-BY-ND-4.0"),
+    ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.", "LGPL-2.1"),
+    ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as\npublished by the Free Software Foundation, either version 3 of the\nLicense, or (at your option) any later version.", "AGPL-3.0"),
+    ("Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this\nlist of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\nthis list of conditions and the following disclaimer in the documentation\nand/or other materials provided with the distribution.", "BSD"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the 'Software'), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED 'AS IS', WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.", "MIT"),
+]
+
+
+def test_notices_as_they_stand_in_documents(spark):
+    texts = [f"Some prose of the document.\n\n{notice}\n\nMore prose that follows it." for notice, _ in NOTICES]
+    df = spark.createDataFrame([*enumerate(texts), (99, "The licence fee is due by May, under the terms of the lease.")], "doc_id bigint, text string")
+    best = {r.doc_id: max(r.licenses, key=lambda x: x.dice).license if r.licenses else None for r in licenses.match_licenses(df).collect()}
+    assert best == {i: name for i, (_, name) in enumerate(NOTICES)} | {99: None}
+
+
 def test_mixing(spark):
     pick = random.Random(5)
     rows = [(i, " ".join(["w"] * pick.choice([0, 1, 5, 40, 40, 400])), pick.choice(["a", "a", "a", "a", "b", "B", "é", None])) for i in range(500)]
