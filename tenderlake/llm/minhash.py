@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +15,12 @@ from .shared import table, written
 from .spans import FOLD, ORDER, _BYTE, batches, mix64, span_hashes, text_slices, word_spans
 
 SHINGLE = 5
-BANDS, ROWS = 24, 5
-#: A link: JACCARD[1] * shared >= JACCARD[0] * union.
-JACCARD = (85, 100)
+ROWS = 5
+#: A link: JACCARD[1] * shared >= JACCARD[0] * union. JACCARD is op1's; STAGE_JACCARD that of a
+#: corpus without near-duplicates.
+JACCARD, STAGE_JACCARD = (85, 100), (80, 100)
+#: The most probable a pair at exactly the threshold may be missed.
+MISS = 1e-6
 #: Buckets up to this size give pairs; larger ones are compared in tasks of up to CHUNK documents a side.
 SMALL_BUCKET, CHUNK = 16, 512
 #: Shingles a side of such a task: buckets of long texts are dealt into more, smaller parts.
@@ -25,6 +29,14 @@ CHUNK_SHINGLES = 2_000_000
 _FOLDED = _BYTE[FOLD]
 
 
+def bands_for(jaccard: tuple[int, int]) -> int:
+    """The least number of bands that misses a pair at the threshold with probability up to MISS."""
+    return math.ceil(math.log(MISS) / math.log1p(-((jaccard[0] / jaccard[1]) ** ROWS)))
+
+
+BANDS = bands_for(JACCARD)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """For each text its sorted distinct 64-bit shingle hashes: of 5 words, or of all if fewer."""
     starts, ends, bounds = word_spans(data, offsets)
@@ -73,20 +85,21 @@ def signatures(sets: list[np.ndarray], k: int = BANDS * ROWS, block: int = 1 <<
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band of each signature."""
-    parts = signature.reshape(len(signature), BANDS, ROWS).astype(np.uint64)
-    keys = (parts * ORDER[5 : 5 + ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * ORDER[14]
+    bands = signature.shape[1] // ROWS
+    parts = signature.reshape(len(signature), bands, ROWS).astype(np.uint64)
+    keys = (parts * ORDER[5 : 5 + ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * ORDER[14]
     return mix64(keys).view(np.int64)
 
 
-def _sketch(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(frames: Iterator[pa.RecordBatch], n_bands: int) -> Iterator[pa.RecordBatch]:
     for batch in batches(frames):
         for first, end, data, offsets in text_slices(batch, "text"):
             sets = shingle_sets(data, offsets)
             n = np.array([len(s) for s in sets], np.int64)
             marks = [np.array([mix64(s ^ ORDER[j]).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for j in (6, 7)]
             full = n > 0
-            bands = band_keys(signatures([s for s in sets if len(s)]))
-            starts = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
+            bands = band_keys(signatures([s for s in sets if len(s)], n_bands * ROWS))
+            starts = np.concatenate([[0], np.cumsum(full * n_bands)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(first, end - first), pa.array(n), pa.array(marks[0]), pa.array(marks[1]), pa.ListArray.from_arrays(pa.array(starts), pa.array(bands.ravel()))],
                 names=["doc_id", "n_shingles", "f1", "f2", "bands"],
@@ -100,22 +113,22 @@ def _sets(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
 
-def similar(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return JACCARD[1] * shared >= JACCARD[0] * (a + b - shared)
+def similar(shared: np.ndarray, a: np.ndarray, b: np.ndarray, jaccard: tuple[int, int] = JACCARD) -> np.ndarray:
+    return jaccard[1] * shared >= jaccard[0] * (a + b - shared)
 
 
-def _verify_pairs(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify_pairs(frames: Iterator[pa.RecordBatch], jaccard: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches(frames):
         x, y = batch.column(2), batch.column(3)
         keep = []
         for i in range(batch.num_rows):
             s, t = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
             shared = len(np.intersect1d(s, t, assume_unique=True))
-            keep.append(bool(similar(shared, len(s), len(t))))
+            keep.append(bool(similar(shared, len(s), len(t), jaccard)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
 
-def _chunk_links(group: pa.Table) -> pa.Table:
+def _chunk_links(group: pa.Table, jaccard: tuple[int, int]) -> pa.Table:
     """Links among one task's documents that join what isn't joined yet: a spanning forest.
 
     A document of the left side is compared with those of both sides, or, where no side is left,
@@ -136,7 +149,7 @@ def _chunk_links(group: pa.Table) -> pa.Table:
         present[mine] = True
         shared = np.add.reduceat(present[flat], begins, dtype=np.int64)
         present[mine] = False
-        for j in np.flatnonzero(similar(shared, lengths, lengths[i]) & (label != label[i])):
+        for j in np.flatnonzero(similar(shared, lengths, lengths[i], jaccard) & (label != label[i])):
             if label[j] != label[i]:
                 a.append(ids[i])
                 b.append(ids[j])
@@ -149,30 +162,35 @@ def _parts(size, shingles) -> Column:
     return F.ceil(F.greatest(size / CHUNK, shingles / CHUNK_SHINGLES)).cast("int")
 
 
-def _in_chunks(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _in_chunks(members: DataFrame, sets: DataFrame, jaccard: tuple[int, int]) -> DataFrame:
     """members: (key, part, other, side, doc_id, comp) of comparing tasks."""
-    return members.join(sets, "doc_id").groupBy("key", "part", "other").applyInArrow(_chunk_links, "a bigint, b bigint")
+
+    def compare(group: pa.Table) -> pa.Table:
+        return _chunk_links(group, jaccard)
+
+    return members.join(sets, "doc_id").groupBy("key", "part", "other").applyInArrow(compare, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", jaccard: tuple[int, int] = JACCARD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id bigint, text).
 
     A text's words are lower-cased in A-Z; its set holds its distinct 5-word shingles, or its whole
-    word sequence if it is shorter. Documents with 100 * shared >= 85 * union are linked. Null and
+    word sequence if it is shorter. Documents with jaccard[1] * shared >= jaccard[0] * union are linked. Null and
     empty texts have no set and are linked with nothing. Equal sets form one class whose smallest id
     stands for it. A null doc_id takes part in no link: component_id and kept are null. Rows that
     share a doc_id count as one document with several texts and share its component. An empty table
     gives an empty table.
 
-    Candidates share one of 24 bands of 5 circulant MinHash coordinates (a pair at exactly 0.85 is
-    missed with probability below 1e-6). Small buckets give pairs, each verified once on full sets;
+    Candidates share one of the bands of 5 circulant MinHash coordinates (24 at 0.85, 35 at 0.8: a
+    pair at exactly the threshold is missed with probability below MISS). Small buckets give pairs, each verified once on full sets;
     large ones are dealt into chunks that one task compares in bounded memory. Then, where a large
     bucket still has several components, the documents outside its largest one are compared with
     all of the bucket, chunk by chunk: every pair of a bucket is either compared or already joined,
     and no group is gathered or expanded into all its pairs.
     """
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    sketches = written(source.mapInArrow(_sketch, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>"), "minhash-sketches")
+    n_bands = bands_for(jaccard)
+    sketches = written(source.mapInArrow(lambda frames: _sketch(frames, n_bands), "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>"), "minhash-sketches")
     narrow = sketches.select("doc_id", "n_shingles", "f1", "f2")
     known = narrow.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = written(known.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "minhash-classes")
@@ -185,7 +203,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
     one = small.select("key", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"))
     two = small.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"))
-    fits = JACCARD[1] * F.least("na", "nb") >= JACCARD[0] * F.greatest("na", "nb")
+    fits = jaccard[1] * F.least("na", "nb") >= jaccard[0] * F.greatest("na", "nb")
     pairs = one.join(two, "key").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
     pairs = written(pairs, "minhash-pairs")
 
@@ -193,14 +211,14 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     wanted = written(wanted, "minhash-wanted")
     sets = written(source.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, shingles binary"), "minhash-sets")
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    verified = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_verify_pairs, "a bigint, b bigint")
+    verified = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(lambda frames: _verify_pairs(frames, jaccard), "a bigint, b bigint")
 
     dealt = large.withColumn("parts", _parts(F.col("size"), F.col("shingles")))
     dealt = dealt.select("key", "parts", "n_shingles", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
     inner = dealt.select("key", "part", F.lit(-1).alias("other"), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("comp"))
-    links = written(verified.unionByName(_in_chunks(inner, sets)), "minhash-links")
+    links = written(verified.unionByName(_in_chunks(inner, sets, jaccard)), "minhash-links")
     if not large.isEmpty():
-        links = _join_rest(links, dealt, sets)
+        links = _join_rest(links, dealt, sets, jaccard)
 
     parents = components(links, "minhash").select(F.col("node").alias("rep"), "component")
     changed = classes.join(parents, "rep", "left").where("copies > 1 OR component IS NOT NULL")
@@ -210,7 +228,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
-def _join_rest(links: DataFrame, dealt: DataFrame, sets: DataFrame) -> DataFrame:
+def _join_rest(links: DataFrame, dealt: DataFrame, sets: DataFrame, jaccard: tuple[int, int]) -> DataFrame:
     """The links, and those between different components of a large bucket."""
     parents = written(components(links, "minhash-first"), "minhash-parents").withColumnRenamed("node", "doc_id")
     now = dealt.join(parents, "doc_id", "left").select("key", "parts", "n_shingles", "part", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
@@ -227,13 +245,13 @@ def _join_rest(links: DataFrame, dealt: DataFrame, sets: DataFrame) -> DataFrame
     first = minor.select("key", F.explode(chunks).alias("part"), "other", F.lit(0).alias("side"), "doc_id", "comp")
     others = F.sequence(F.lit(0), F.col("minor_parts") - 1)
     second = now.join(minors, "key").select("key", "part", F.explode(others).alias("other"), F.lit(1).alias("side"), "doc_id", "comp")
-    return links.unionByName(written(_in_chunks(first.unionByName(second), sets), "minhash-rest"))
+    return links.unionByName(written(_in_chunks(first.unionByName(second), sets, jaccard), "minhash-rest"))
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the rows whose document isn't the smallest of its component. Of rows that share
+def drop_near_duplicates(docs: DataFrame, text: str = "text", jaccard: tuple[int, int] = STAGE_JACCARD) -> DataFrame:
+    """docs without the rows whose document isn't the smallest of its component (see near_duplicates). Of rows that share
     a kept doc_id one stays; rows with a null doc_id all stay."""
-    found = written(near_duplicates(docs, text), "minhash-result")
+    found = written(near_duplicates(docs, text, jaccard), "minhash-result")
     kept = docs.join(written(found.where("NOT kept").select("doc_id").distinct(), "minhash-dropped"), "doc_id", "left_anti")
     repeated = written(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "minhash-repeated")
     if not repeated.isEmpty():
@@ -242,4 +260,4 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), jaccard=JACCARD)

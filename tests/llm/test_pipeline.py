@@ -64,3 +64,20 @@ def test_pipeline(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sum(p.length for p in pieces) == total
     assert collections.Counter(p.doc_id for p in pieces if p.start == 0) == collections.Counter(r[0] for r in mixed)
+
+
+def test_near_dedup_links_from_080_up(spark):
+    pick = random.Random(9)
+    word = lambda: "".join(pick.choice("abcdefgh") for _ in range(6))
+    rows, sets = [], {}
+    for i in range(0, 240, 2):  # pairs that share from 0.70 to 0.95 of their shingles
+        words = [word() for _ in range(204)]
+        own = pick.randint(5, 35)
+        for d, w in ((i, words), (i + 1, words[:-own] + [word() for _ in range(own)])):
+            rows.append((d, " ".join(w)))
+            sets[d] = {tuple(w[k : k + 5]) for k in range(200)}
+    share = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 240, 2)}
+    assert sum(0.8 <= x < 0.85 for x in share.values()) > 10 and sum(x < 0.8 for x in share.values()) > 10
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert kept == {d for d, _ in rows if d % 2 == 0 or 100 * share[d - 1] < 80}
