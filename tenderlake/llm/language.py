@@ -19,6 +19,8 @@ RUN = 512
 SLICE_CHARS = 1 << 20
 UNKNOWN = "und"
 _BREAK = 1 << 30
+#: Alphabets up to this width have dense transition tables; wider ones a sorted list of transitions.
+DENSE = 250
 
 
 class Automaton:
@@ -53,7 +55,7 @@ class Automaton:
 
 
 class Model:
-    """Transition tables of all languages in one array: from (state, symbol) to the next state, or,
+    """Transitions of all languages, as one dense table or, for many letters, sorted by state and symbol: from (state, symbol) to the next state, or,
     where the phrase ends, to the state that begins a new one, marked with _BREAK."""
 
     def __init__(self, samples: dict[str, str]):
@@ -61,7 +63,9 @@ class Model:
         letters = sorted({c for text in samples.values() for c in fold(text)} - {" "})
         self.symbols = {c: i + 1 for i, c in enumerate(letters)}
         self.width = len(letters) + 2  # blank, letters, any other letter
+        self.dense = self.width <= DENSE
         tables, self.roots, self.scale, base = [], [], [], 0
+        keys, targets, self.begins = [], [], []
         for name in self.languages:
             text = fold(samples[name])
             automaton = Automaton([self.symbols.get(c, 0) for c in text])
@@ -69,19 +73,25 @@ class Model:
             root = np.full(self.width, base, np.int64)
             for c, to in automaton.next[0].items():
                 root[c] = base + to
-            moves = np.tile(root | _BREAK, (n, 1))
-            for state, followers in enumerate(automaton.next):
-                for c, to in followers.items():
-                    moves[state, c] = base + to
-            tables.append(moves)
+            if self.dense:
+                moves = np.tile(root | _BREAK, (n, 1))
+                for state, followers in enumerate(automaton.next):
+                    for c, to in followers.items():
+                        moves[state, c] = base + to
+                tables.append(moves)
+            else:
+                for state, followers in enumerate(automaton.next):
+                    for c in sorted(followers):
+                        keys.append((base + state) * self.width + c)
+                        targets.append(base + followers[c])
+                self.begins.append((root | _BREAK).astype(np.int32))
             self.roots.append(base)
             # With more text come longer phrases, by its logarithm.
             self.scale.append(np.log(max(len(text), 3)))
             base += n
         self.moves = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
-        self.points = np.zeros(0x110000, np.uint8)
-        if self.width > 250:
-            raise ValueError("too many letters for one byte each")
+        self.keys, self.targets = np.array(keys, np.int64), np.array(targets, np.int32)
+        self.points = np.zeros(0x110000, np.uint8 if self.dense else np.uint32)
         for c, i in self.symbols.items():
             self.points[ord(c)] = i
 
@@ -103,6 +113,13 @@ class Model:
         symbols = symbols[keep]
         return symbols[: len(symbols) - 1] if len(symbols) and symbols[-1] == 0 else symbols
 
+    def _step(self, language: int, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        if self.dense:
+            return self.moves[state * np.int32(self.width) + symbols]
+        key = state.astype(np.int64) * self.width + symbols
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.targets[at], self.begins[language][symbols])
+
     def phrases(self, encoded: list[np.ndarray]) -> np.ndarray:
         """Phrases per text and language: each text is parsed from left to right into the longest
         pieces that the language's sample holds. All runs take a step at a time together."""
@@ -116,18 +133,17 @@ class Model:
             return out
         order = np.argsort([-len(r) for r in runs], kind="stable")
         lengths = np.array([len(runs[k]) for k in order])
-        grid = np.zeros((int(lengths[0]), len(runs)), np.uint8)
+        grid = np.zeros((int(lengths[0]), len(runs)), self.points.dtype)
         for column, k in enumerate(order):
             grid[: lengths[column], column] = runs[k]
         alive = np.searchsorted(-lengths, -np.arange(len(grid)), side="left")  # runs longer than t
         owners = np.array(owner)[order]
-        width = np.int32(self.width)
         for language, root in enumerate(self.roots):
             state = np.full(len(runs), root, np.int32)
             count = np.ones(len(runs), np.int32)
             for t in range(len(grid)):
                 n = alive[t]
-                to = self.moves[state[:n] * width + grid[t, :n]]
+                to = self._step(language, state[:n], grid[t, :n])
                 count[:n] += to >> 30
                 state[:n] = to & np.int32(_BREAK - 1)
             out[:, language] = np.bincount(owners, weights=count, minlength=len(encoded))

@@ -65,3 +65,21 @@ def test_no_labels(spark):
 def test_without_letters(text):
     model = Model({"aa": "ka ro mi"})
     assert model.predict([text, None])[0] == [UNKNOWN, UNKNOWN]
+
+
+def test_alphabets_of_any_size(monkeypatch):
+    from tenderlake.llm import language
+
+    pick = random.Random(4)
+    han = [chr(c) for c in range(0x4E00, 0x4E00 + 900)]
+    lexicon = ["".join(han[3 * i : 3 * i + 3]) for i in range(300)]
+    chinese = lambda n: "".join(pick.choice(lexicon) + ("，" if pick.random() < 0.1 else "") for _ in range(n))
+    samples = {k: _text(k, pick, 60) for k in SYLLABLES}
+    model = Model(samples | {"zz": chinese(1500)})
+    assert model.width > 600
+    assert model.predict([chinese(40), _text("aa", pick, 30), _text("bb", pick, 30)])[0] == ["zz", "aa", "bb"]
+    texts = [_text(k, pick, 40) + " Жя 日" for k in SYLLABLES]
+    dense = Model(samples)
+    monkeypatch.setattr(language, "DENSE", 0)
+    sparse = Model(samples)
+    assert (dense.phrases([dense.encode(x) for x in texts]) == sparse.phrases([sparse.encode(x) for x in texts])).all()
