@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, ascii_lower, table, written
+from .shared import BLANKS, ascii_lower, fresh, table, written
 
 MIN_DOCUMENTS = 10
 MIN_LENGTH = 1
@@ -24,8 +24,8 @@ def line_counts(docs: DataFrame, text: str = "text", min_length: int = MIN_LENGT
 
 
 def drop_common_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCUMENTS, min_length: int = MIN_LENGTH) -> DataFrame:
-    """docs with every column, the text replaced by its kept lines, and two more columns:
-    __n_lines (lines before dropping) and __n_dropped.
+    """docs with every column, the text replaced by its kept lines, and two more columns at the end:
+    n_lines (lines before dropping) and n_dropped, led by underscores if docs has such columns.
 
     Each row counts as one document. A null or empty text is one empty line: its key has no code
     points, so it is never dropped for min_length >= 1, and the text stays as it is. A text whose
@@ -34,31 +34,34 @@ def drop_common_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_D
 
     Counts combine on the map side, so a line that a third of all documents hold costs one partial
     row a task. The frequent lines are written, and Spark broadcasts them only if that file is
-    small; else both sides are dealt by hash and a hot line is split by the skew join.
+    small; else both sides are dealt by hash and a hot line is split by the skew join. A text is put
+    together again from the positions that stay, in time linear in its lines.
     """
+    n_lines, n_dropped, d1, d2, gone = fresh(docs, "n_lines", "n_dropped", "d1", "d2", "gone")
     frequent = written(line_counts(docs, text, min_length).where(F.col("n_docs") >= min_docs).select("h1", "h2"), "frequent-lines")
     # A document is found again by a 128-bit hash of its id and text, so null and repeated ids do no harm.
     ids = [c for c in docs.columns if c == "doc_id"]
     body = F.coalesce(F.col(text), F.lit(""))
-    d1, d2 = F.xxhash64(*ids, body), F.xxhash64(F.lit(2), *ids, body)
-    lines = docs.select(d1.alias("d1"), d2.alias("d2"), F.posexplode(F.split(body, "\n", -1)).alias("pos", "line"))
-    lines = lines.select("d1", "d2", "pos", _key(F.col("line")).alias("key")).where(F.length("key") >= min_length)
-    lines = lines.select("d1", "d2", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
-    found = lines.join(frequent, ["h1", "h2"], "left_semi").groupBy("d1", "d2").agg(F.collect_set("pos").alias("__gone"))
+    first, second = F.xxhash64(*ids, body), F.xxhash64(F.lit(2), *ids, body)
+    lines = docs.select(first.alias(d1), second.alias(d2), F.posexplode(F.split(body, "\n", -1)).alias("pos", "line"))
+    lines = lines.select(d1, d2, "pos", _key(F.col("line")).alias("key")).where(F.length("key") >= min_length)
+    lines = lines.select(d1, d2, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+    found = lines.join(frequent, ["h1", "h2"], "left_semi").groupBy(d1, d2).agg(F.collect_set("pos").alias(gone))
     parts = F.split(body, "\n", -1)
-    gone = F.coalesce(F.col("__gone"), F.array().cast("array<int>"))
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), "\n")
-    joined = docs.withColumns({"__d1": d1, "__d2": d2}).join(found.withColumnsRenamed({"d1": "__d1", "d2": "__d2"}), ["__d1", "__d2"], "left")
+    # A struct in an array of one holds the lines and the positions for the function that joins them.
+    held = F.transform(F.array(F.struct(parts.alias("parts"))), lambda s: F.struct(s["parts"].alias("parts"), F.array_except(F.sequence(F.lit(0), F.size(s["parts"]) - 1), F.col(gone)).alias("stay")))
+    kept = F.transform(held, lambda s: F.array_join(F.transform(s["stay"], lambda i: F.get(s["parts"], i)), "\n"))[0]
+    joined = docs.withColumns({d1: first, d2: second}).join(found, [d1, d2], "left")
     return joined.select(
-        *[(F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c)) for c in docs.columns],
-        F.size(parts).cast("long").alias("__n_lines"),
-        F.size(gone).cast("long").alias("__n_dropped"),
+        *[(F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c)) for c in docs.columns],
+        F.size(parts).cast("long").alias(n_lines),
+        F.coalesce(F.size(F.when(F.col(gone).isNotNull(), F.col(gone))), F.lit(0)).cast("long").alias(n_dropped),
     )
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 _BLANK_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
