@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import table, written
@@ -37,81 +37,102 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 
-def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """Spans of a rule in text as (start, order, end), in code points, with built-in functions only:
-    the matches and the gaps between them alternate, so running sums of their lengths give offsets."""
+_SPANS = "array<struct<start:int,end:int,rule:string>>"
+
+
+def _steps(text: Column, rule: Rule) -> Column:
+    """The matches of a rule in text as (gap before it, its length, length of its group), in code
+    points; null where there is none. Matches and the gaps between them alternate."""
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matches
-    steps = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), matches.alias("hit"), values.alias("value"))
-    span = "struct<start:int,ord:int,end:int>"
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("found"))
+    pairs = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), matches.alias("hit"), values.alias("value"))
+    lengths = F.transform(pairs, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), F.length(x["value"]).alias("value")))
+    return F.when(text.rlike(rule.pattern), lengths)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        new = F.array(F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end")))
-        keep = F.coalesce(F.length(x["value"]) >= rule.min_length, F.lit(False))
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["found"], new)).otherwise(acc["found"]).alias("found"))
 
-    found = F.aggregate(steps, empty, step, lambda acc: acc["found"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(f"array<{span}>"))
+def _name(rule: Rule) -> str:
+    return f"{rule.kind}:{rule.version}"
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Findings (blob, rules, spans: array of (start, ord, end) by start, then rule) of blobs (blob, text)."""
-    found = F.array_sort(F.concat(*[_spans(F.col("text"), r, i) for i, r in enumerate(rules)]))
-    return blobs.select("blob", F.lit(ruleset(rules)).alias("rules"), found.alias("spans"))
-
-
-def ruleset(rules: tuple[Rule, ...]) -> str:
-    return ",".join(f"{r.kind}:{r.version}" for r in rules)
+    """Ledger rows (blob, rules: names of the rule versions tried, spans: array of (start, end, rule))
+    of blobs (blob, text, missing: names of the rules to try). A blob that stands twice gives two.
+
+    A task reads each text once and keeps the lengths of gaps and matches; only those of blobs with
+    a match go on, where a running sum over the matches of a blob turns lengths into offsets, in
+    time linear in the matches however many a text holds."""
+    tried = [F.when(F.array_contains("missing", _name(r)), _steps(F.col("text"), r)).alias(f"r{i}") for i, r in enumerate(rules)]
+    read = blobs.select("blob", F.col("missing").alias("rules"), *tried).withColumn("scan", F.monotonically_increasing_id())
+    read = written(read, "secret-scan")
+    none = F.forall(F.array(*[F.col(f"r{i}").isNull() for i in range(len(rules))]), lambda x: x)
+    clean = read.where(none).select("blob", "rules", F.array().cast(_SPANS).alias("spans"))
+    hits = None
+    for i, r in enumerate(rules):
+        own = read.where(F.col(f"r{i}").isNotNull()).select("scan", F.lit(_name(r)).alias("rule"), F.lit(r.min_length).alias("least"), F.posexplode(f"r{i}").alias("pos", "step"))
+        hits = own if hits is None else hits.unionByName(own)
+    up_to = Window.partitionBy("scan", "rule").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hits = hits.select("scan", "rule", "least", "pos", "step.*").where("hit IS NOT NULL")
+    hits = hits.withColumn("end", F.sum(F.col("gap") + F.col("hit")).over(up_to).cast("int")).where("value >= least")
+    found = hits.groupBy("scan").agg(F.collect_list(F.struct((F.col("end") - F.col("hit")).alias("start"), "end", "rule")).alias("spans"))
+    rest = read.where(~none).select("scan", "blob", "rules").join(found, "scan", "left")
+    return clean.unionByName(rest.select("blob", "rules", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans")))
 
 
 def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(paths, new): paths has doc_id and the blob (SHA-256) of each row of docs; new has the ledger
-    rows of the blobs that ledger does not yet hold for these rule versions.
+    rows (blob, rules, spans) of the pairs of a blob and a rule version that ledger doesn't hold yet.
 
-    Only unseen blobs are scanned, and of equal texts one copy. Which copy is settled on hashes and
+    Each blob is scanned once, in one copy, and only with the rules whose version it hasn't seen: a
+    new blob with all, an old one with those added or raised since. Which copy is settled on hashes and
     ids alone; the text is then dealt out once, by blob and id, so that a large group of copies is
     spread. A null text is the empty blob. Equal rows may both be scanned; the ledger keeps one.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    paths = written(docs.select("doc_id", F.unhex(F.sha2(body, 256)).alias("blob")), "secret-paths")
+    blob = F.unhex(F.sha2(body, 256))
+    paths = written(docs.select("doc_id", blob.alias("blob")), "secret-paths")
     todo = paths.groupBy("blob").agg(F.min(F.xxhash64("doc_id")).alias("path"))
-    if ledger is not None:
-        todo = todo.join(ledger.where(F.col("rules") == ruleset(rules)), "blob", "left_anti")
-    texts = docs.select(F.xxhash64("doc_id").alias("path"), F.unhex(F.sha2(body, 256)).alias("blob"), body.alias("text"))
-    unseen = texts.join(todo.hint("shuffle_hash"), ["blob", "path"], "left_semi").select("blob", "text")
-    new = written(scan(unseen, rules), "secret-ledger")
-    once = new.groupBy("blob", "rules").agg(F.max("spans").alias("spans"))
-    return paths, once
+    every = F.array(*[F.lit(_name(r)) for r in rules])
+    if ledger is None:
+        todo = todo.withColumn("missing", every)
+    else:
+        seen = ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+        todo = todo.join(seen, "blob", "left").withColumn("missing", F.when(F.col("seen").isNull(), every).otherwise(F.array_except(every, "seen"))).drop("seen")
+        todo = written(todo.where(F.size("missing") > 0), "secret-todo")
+    texts = docs.select(F.xxhash64("doc_id").alias("path"), blob.alias("blob"), body.alias("text"))
+    new = scan(texts.join(todo, ["blob", "path"]).select("blob", "text", "missing"), rules)
+    # Equal rows give equal ledger rows; rules are arrays, so they are told apart by blob alone.
+    new = new.groupBy("blob").agg(F.first("rules").alias("rules"), F.first("spans").alias("spans"))
+    return paths, written(new, "secret-ledger")
 
 
-def _listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
-    kinds = F.array(*[F.lit(r.kind) for r in rules])
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["ord"] + 1), s["start"], s["end"])), ",")
+def _listed(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.split_part(s["rule"], F.lit(":"), F.lit(1)), s["start"], s["end"])), ",")
 
 
 def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(findings, ledger): a row for each row of docs with doc_id and spans, and the ledger to hand to
-    the next run. Findings of a blob reach every row that holds it, whatever its id; a null doc_id
-    stays null. An empty table gives no rows."""
+    """(findings, ledger): a row for each row of docs with doc_id and spans (start, end, rule), by
+    start, then in the order of rules; and the ledger to hand to the next run. Findings of a blob reach
+    every row that holds it, whatever its id; those of other rules or versions don't count. A null
+    doc_id stays null. An empty table gives no rows."""
     paths, new = update_ledger(docs, ledger, rules, text)
-    known = new if ledger is None else ledger.where(F.col("rules") == ruleset(rules)).unionByName(new)
-    hits = written(known.where(F.size("spans") > 0).select("blob", "spans"), "secret-hits")
-    none = F.array().cast("array<struct<start:int,ord:int,end:int>>")
-    out = paths.join(hits, "blob", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
-    return out, (new if ledger is None else ledger.unionByName(new))
+    whole = new if ledger is None else ledger.unionByName(new)
+    order = F.array(*[F.lit(_name(r)) for r in rules])
+    hits = whole.where(F.size("spans") > 0).select("blob", F.filter("spans", lambda s: F.array_contains(order, s["rule"])).alias("spans"))
+    hits = hits.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans")).where(F.size("spans") > 0)
+    ranked = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["rule"]).alias("rank"), s["end"].alias("end"), s["rule"].alias("rule"))))
+    hits = hits.select("blob", F.transform(ranked, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rule"].alias("rule"))).alias("spans"))
+    out = paths.join(written(hits, "secret-hits"), "blob", "left")
+    return out.select("doc_id", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans")), whole
 
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
     found, _ = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    n_base = len(BASE_RULES)
-    base = F.filter("spans", lambda s: s["ord"] < n_base)
-    n_of = lambda i: F.size(F.filter("spans", lambda s: s["ord"] == i)).cast("long")
+    names = [_name(r) for r in BASE_RULES]
+    base = F.filter("spans", lambda s: s["rule"].isin(*names))
+    n_of = lambda name: F.size(F.filter("spans", lambda s: s["rule"] == name)).cast("long")
     return found.select(
-        "doc_id", *[n_of(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE_RULES)],
-        F.sha2(_listed(base, RULES), 256).alias("base_sha256"), _listed(F.col("spans"), RULES).alias("spans"),
+        "doc_id", *[n_of(_name(r)).alias(f"n_{r.kind}") for r in BASE_RULES],
+        F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"),
     )
 
 
