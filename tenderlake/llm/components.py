@@ -32,3 +32,17 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         before = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def same_document(held: DataFrame) -> DataFrame:
+    """Links (a, b) that join the nodes which one document holds, of rows (id, node): a star each."""
+    held = held.distinct()
+    least = held.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b != last")
+    return held.join(least, "id").where("node != b").select(F.col("node").alias("a"), "b")
+
+
+def smallest_ids(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """node, component (the smallest node reachable) and least (the smallest id of its component) of
+    those nodes (node, id) that have links."""
+    linked = written(nodes.join(components(links, name), "node").select("node", "id", "component"), f"{name}-linked")
+    return linked.join(linked.groupBy("component").agg(F.min("id").alias("least")), "component").select("node", "component", "least")

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .shared import table, written
+from .components import components, same_document, smallest_ids
+from .shared import fresh, table, written
 from .spans import FOLD, ORDER, _BYTE, batches, mix64, span_hashes, text_slices, word_spans
 
 SHINGLE = 5
@@ -101,8 +102,8 @@ def _sketch(frames: Iterator[pa.RecordBatch], n_bands: int) -> Iterator[pa.Recor
             bands = band_keys(signatures([s for s in sets if len(s)], n_bands * ROWS))
             starts = np.concatenate([[0], np.cumsum(full * n_bands)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, end - first), pa.array(n), pa.array(marks[0]), pa.array(marks[1]), pa.ListArray.from_arrays(pa.array(starts), pa.array(bands.ravel()))],
-                names=["doc_id", "n_shingles", "f1", "f2", "bands"],
+                [batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array(n), pa.array(marks[0]), pa.array(marks[1]), pa.ListArray.from_arrays(pa.array(starts), pa.array(bands.ravel()))],
+                names=["doc_id", "mark", "n_shingles", "f1", "f2", "bands"],
             )
 
 
@@ -110,7 +111,7 @@ def _sets(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches(frames):
         for first, end, data, offsets in text_slices(batch, "text"):
             sets = [s.tobytes() for s in shingle_sets(data, offsets)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(first, end - first) for c in (0, 1)], pa.array(sets, pa.binary())], names=["node", "again", "shingles"])
 
 
 def similar(shared: np.ndarray, a: np.ndarray, b: np.ndarray, jaccard: tuple[int, int] = JACCARD) -> np.ndarray:
@@ -133,7 +134,7 @@ def _chunk_links(group: pa.Table, jaccard: tuple[int, int]) -> pa.Table:
 
     A document of the left side is compared with those of both sides, or, where no side is left,
     all with all. Documents of one known component need no comparison."""
-    ids = group.column("doc_id").to_numpy()
+    ids = group.column("node").to_numpy()
     left = group.column("side").to_numpy() == 0
     _, comp = np.unique(group.column("comp").to_numpy(), return_inverse=True)
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles").combine_chunks()]
@@ -163,75 +164,80 @@ def _parts(size, shingles) -> Column:
 
 
 def _in_chunks(members: DataFrame, sets: DataFrame, jaccard: tuple[int, int]) -> DataFrame:
-    """members: (key, part, other, side, doc_id, comp) of comparing tasks."""
+    """members: (key, part, other, side, node, comp) of comparing tasks."""
 
     def compare(group: pa.Table) -> pa.Table:
         return _chunk_links(group, jaccard)
 
-    return members.join(sets, "doc_id").groupBy("key", "part", "other").applyInArrow(compare, "a bigint, b bigint")
+    return members.join(sets, "node").groupBy("key", "part", "other").applyInArrow(compare, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", jaccard: tuple[int, int] = JACCARD) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs (doc_id bigint, text).
+@dataclass
+class Classes:
+    """The texts of a table by their shingle sets. rows: doc_id, mark (64-bit hash of id and text),
+    n_shingles, f1, f2 (128-bit hash of the set) and row (a number of its own) of each row of the
+    table; classes: f1, f2, n_shingles, rep (smallest doc_id), node (the row of one of its texts) and
+    copies of each set that has words and an id; links: (a, b) between the nodes of near-duplicates,
+    enough of them to join all that belong together."""
+
+    rows: DataFrame
+    classes: DataFrame
+    links: DataFrame
 
-    A text's words are lower-cased in A-Z; its set holds its distinct 5-word shingles, or its whole
-    word sequence if it is shorter. Documents with jaccard[1] * shared >= jaccard[0] * union are linked. Null and
-    empty texts have no set and are linked with nothing. Equal sets form one class whose smallest id
-    stands for it. A null doc_id takes part in no link: component_id and kept are null. Rows that
-    share a doc_id count as one document with several texts and share its component. An empty table
-    gives an empty table.
 
-    Candidates share one of the bands of 5 circulant MinHash coordinates (24 at 0.85, 35 at 0.8: a
+def find_classes(docs: DataFrame, text: str, jaccard: tuple[int, int]) -> Classes:
+    """Candidates share one of the bands of 5 circulant MinHash coordinates (24 at 0.85, 35 at 0.8: a
     pair at exactly the threshold is missed with probability below MISS). Small buckets give pairs, each verified once on full sets;
     large ones are dealt into chunks that one task compares in bounded memory. Then, where a large
     bucket still has several components, the documents outside its largest one are compared with
     all of the bucket, chunk by chunk: every pair of a bucket is either compared or already joined,
-    and no group is gathered or expanded into all its pairs.
+    and no group is gathered or expanded into all its pairs. Only one text of a set goes into
+    buckets, however often it, or the row itself, is repeated.
     """
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", text).alias("mark"), F.col(text).alias("text"))
     n_bands = bands_for(jaccard)
-    sketches = written(source.mapInArrow(lambda frames: _sketch(frames, n_bands), "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>"), "minhash-sketches")
-    narrow = sketches.select("doc_id", "n_shingles", "f1", "f2")
-    known = narrow.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = written(known.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "minhash-classes")
-    # One row a class: that of its smallest id. Rows with the same id and set are equal.
-    first = sketches.where("n_shingles > 0").join(classes.select("f1", "f2", F.col("rep").alias("doc_id")), ["f1", "f2", "doc_id"], "left_semi")
-    members = written(first.select("doc_id", "n_shingles", F.explode("bands").alias("key")), "minhash-members")
+    sketches = source.mapInArrow(lambda frames: _sketch(frames, n_bands), "doc_id bigint, mark bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>")
+    sketches = written(sketches.withColumn("row", F.monotonically_increasing_id()), "minhash-sketches")
+    rows = sketches.drop("bands")
+    known = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
+    classes = known.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("row", "doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
+    classes = written(classes, "minhash-classes")
+    first = sketches.withColumnRenamed("row", "node").join(classes.select("node"), "node", "left_semi")
+    members = written(first.select("node", "n_shingles", F.explode("bands").alias("key")), "minhash-members")
     buckets = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("shingles")).where("size > 1"), "minhash-buckets")
     members = written(members.join(buckets, "key"), "minhash-met")
     small, large = members.where(F.col("size") <= SMALL_BUCKET), members.where(F.col("size") > SMALL_BUCKET)
 
-    one = small.select("key", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"))
-    two = small.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"))
+    one = small.select("key", F.col("node").alias("a"), F.col("n_shingles").alias("na"))
+    two = small.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("nb"))
     fits = jaccard[1] * F.least("na", "nb") >= jaccard[0] * F.greatest("na", "nb")
     pairs = one.join(two, "key").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
     pairs = written(pairs, "minhash-pairs")
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(large.select("doc_id")).distinct()
-    wanted = written(wanted, "minhash-wanted")
-    sets = written(source.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, shingles binary"), "minhash-sets")
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    wanted = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).unionByName(large.select(F.col("node").alias("row"))).distinct()
+    # Ids that several rows hold: their texts may be read more than once below.
+    often = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    wanted = rows.join(wanted, "row").join(often, "doc_id", "left").select("doc_id", "mark", F.col("row").alias("node"), F.col("n").isNotNull().alias("again"))
+    texts = source.join(written(wanted, "minhash-wanted"), ["doc_id", "mark"]).select("node", "again", "text")
+    sets = written(texts.mapInArrow(_sets, "node bigint, again boolean, shingles binary"), "minhash-sets")
+    once = written(sets.where("again").dropDuplicates(["node"]), "minhash-sets-again")
+    sets = sets.where("NOT again").unionByName(once).select("node", "shingles")
+    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     verified = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(lambda frames: _verify_pairs(frames, jaccard), "a bigint, b bigint")
 
     dealt = large.withColumn("parts", _parts(F.col("size"), F.col("shingles")))
-    dealt = dealt.select("key", "parts", "n_shingles", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
-    inner = dealt.select("key", "part", F.lit(-1).alias("other"), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("comp"))
+    dealt = dealt.select("key", "parts", "n_shingles", "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    inner = dealt.select("key", "part", F.lit(-1).alias("other"), F.lit(0).alias("side"), "node", F.col("node").alias("comp"))
     links = written(verified.unionByName(_in_chunks(inner, sets, jaccard)), "minhash-links")
     if not large.isEmpty():
         links = _join_rest(links, dealt, sets, jaccard)
-
-    parents = components(links, "minhash").select(F.col("node").alias("rep"), "component")
-    changed = classes.join(parents, "rep", "left").where("copies > 1 OR component IS NOT NULL")
-    changed = written(changed.select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component")), "minhash-changed")
-    out = narrow.join(changed, ["f1", "f2", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    return Classes(rows, classes, links)
 
 
 def _join_rest(links: DataFrame, dealt: DataFrame, sets: DataFrame, jaccard: tuple[int, int]) -> DataFrame:
     """The links, and those between different components of a large bucket."""
-    parents = written(components(links, "minhash-first"), "minhash-parents").withColumnRenamed("node", "doc_id")
-    now = dealt.join(parents, "doc_id", "left").select("key", "parts", "n_shingles", "part", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    parents = written(components(links, "minhash-first"), "minhash-parents")
+    now = dealt.join(parents, "node", "left").select("key", "parts", "n_shingles", "part", "node", F.coalesce("component", "node").alias("comp"))
     now = written(now, "minhash-now")
     counts = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     most = counts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
@@ -240,22 +246,62 @@ def _join_rest(links: DataFrame, dealt: DataFrame, sets: DataFrame, jaccard: tup
     minor = now.join(open_keys, "key").where(F.col("comp") != F.col("main"))
     minors = minor.groupBy("key").agg(_parts(F.count(F.lit(1)), F.sum("n_shingles")).alias("minor_parts"))
     minors = written(minors, "minhash-minors")
-    minor = minor.join(minors, "key").withColumn("other", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("minor_parts")).cast("int"))
+    minor = minor.join(minors, "key").withColumn("other", F.pmod(F.xxhash64("node", F.lit(5)), F.col("minor_parts")).cast("int"))
     chunks = F.sequence(F.lit(0), F.col("parts") - 1)
-    first = minor.select("key", F.explode(chunks).alias("part"), "other", F.lit(0).alias("side"), "doc_id", "comp")
+    first = minor.select("key", F.explode(chunks).alias("part"), "other", F.lit(0).alias("side"), "node", "comp")
     others = F.sequence(F.lit(0), F.col("minor_parts") - 1)
-    second = now.join(minors, "key").select("key", "part", F.explode(others).alias("other"), F.lit(1).alias("side"), "doc_id", "comp")
+    second = now.join(minors, "key").select("key", "part", F.explode(others).alias("other"), F.lit(1).alias("side"), "node", "comp")
     return links.unionByName(written(_in_chunks(first.unionByName(second), sets, jaccard), "minhash-rest"))
 
 
+def near_duplicates(docs: DataFrame, text: str = "text", jaccard: tuple[int, int] = JACCARD) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of docs (doc_id bigint, text).
+
+    A text's words are lower-cased in A-Z; its set holds its distinct 5-word shingles, or its whole
+    word sequence if it is shorter. Documents with jaccard[1] * shared >= jaccard[0] * union are linked. Null and
+    empty texts have no set and are linked with nothing. Equal sets form one class whose smallest id
+    stands for it. A null doc_id takes part in no link: component_id and kept are null. Rows that
+    share a doc_id are one document with several texts: what any of them is linked with is in its
+    component, which all its rows show. An empty table gives an empty table. See find_classes.
+    """
+    found = find_classes(docs, text, jaccard)
+    key = ["f1", "f2", "n_shingles"]
+    often = found.rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("f1", "f2") for f in (F.min, F.max)])
+    often = written(often.where("n > 1 AND (min_f1 != max_f1 OR min_f2 != max_f2)").select("doc_id"), "minhash-several")
+    several = found.rows.join(often, "doc_id", "left_semi").join(found.classes.select(*key, "node"), key).select(F.col("doc_id").alias("id"), "node")
+    several = written(several, "minhash-held")
+    parents = smallest_ids(found.classes.select("node", F.col("rep").alias("id")), found.links.unionByName(same_document(several)), "minhash")
+    parents = written(parents.select("node", F.col("least").alias("component")), "minhash-components")
+    changed = found.classes.join(parents, "node", "left").where("copies > 1 OR component IS NOT NULL")
+    changed = written(changed.select(*key, F.coalesce("component", "rep").alias("by_set")), "minhash-changed")
+    # A row without words of a document that also has a text follows that text.
+    by_id = several.join(parents, "node").groupBy("id").agg(F.min("component").alias("by_id")).withColumnRenamed("id", "doc_id")
+    nodes = several.join(found.classes.select("node", "rep"), "node").groupBy("id").agg(F.min("rep").alias("by_rep")).withColumnRenamed("id", "doc_id")
+    by_id = written(nodes.join(by_id, "doc_id", "left").select("doc_id", F.coalesce("by_id", "by_rep").alias("by_id")), "minhash-by-id")
+    out = found.rows.join(changed, key, "left").join(by_id, "doc_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("by_id", "by_set", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+
+
 def drop_near_duplicates(docs: DataFrame, text: str = "text", jaccard: tuple[int, int] = STAGE_JACCARD) -> DataFrame:
-    """docs without the rows whose document isn't the smallest of its component (see near_duplicates). Of rows that share
-    a kept doc_id one stays; rows with a null doc_id all stay."""
-    found = written(near_duplicates(docs, text, jaccard), "minhash-result")
-    kept = docs.join(written(found.where("NOT kept").select("doc_id").distinct(), "minhash-dropped"), "doc_id", "left_anti")
-    repeated = written(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "minhash-repeated")
-    if not repeated.isEmpty():
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """docs with one row of each group of near-duplicate texts (linked as in near_duplicates): of
+    those with its smallest doc_id one. Each row is a document of its own here, so a text that is a
+    copy of nothing stays, whatever its doc_id. Rows with a null doc_id, and those without words, all
+    stay. Columns pass through, whatever their names."""
+    found = find_classes(docs, text, jaccard)
+    parents = smallest_ids(found.classes.select("node", F.col("rep").alias("id")), found.links, "minhash")
+    parents = written(found.classes.select("node", "rep").join(parents, "node", "left"), "minhash-components")
+    heads = parents.where("rep = least").groupBy("component").agg(F.min("node").alias("row")).select("row")
+    heads = written(parents.where("component IS NULL").select(F.col("node").alias("row")).unionByName(heads), "minhash-heads")
+    known = found.rows.where("doc_id IS NOT NULL AND n_shingles > 0")
+    gone = written(known.join(heads, "row", "left_anti").select("doc_id", "mark").distinct(), "minhash-gone")
+    again = written(known.join(heads, "row", "left_semi").select("doc_id", "mark").join(gone, ["doc_id", "mark"], "left_semi"), "minhash-again")
+    id_, mark = fresh(docs, "id", "mark")
+    named = lambda t: t.select(F.col("doc_id").alias(id_), F.col("mark").alias(mark))
+    marked = docs.withColumns({id_: F.col("doc_id").cast("bigint"), mark: F.xxhash64("doc_id", text)})
+    kept = marked.join(named(gone), [id_, mark], "left_anti")
+    if not again.isEmpty():  # rows that stand more than once
+        kept = kept.unionByName(marked.join(named(again), [id_, mark], "left_semi").dropDuplicates([id_, mark]))
     return kept.select(*docs.columns)
 
 

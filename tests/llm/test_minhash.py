@@ -1,5 +1,6 @@
 """op1 against brute force over word sets."""
 
+import collections
 import random
 import re
 
@@ -69,6 +70,35 @@ def test_empty_table_null_ids_and_repeated_rows(spark):
     assert minhash.drop_near_duplicates(df).columns == df.columns
 
 
+def test_rows_that_share_an_id_are_one_document_but_texts_of_their_own(spark):
+    a, b, c = "a b c d e f g h", "p q r s t u v w", "k l m n o p q r"
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (7, c, 4), (9, b, 5), (9, None, 6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, mark int").repartition(3)
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
+    assert got == {(3, 4, 3, True), (5, 4, 3, False), (7, 4, 7, True), (9, 4, 3, False), (9, 0, 3, False)}
+    out = minhash.drop_near_duplicates(df)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect()), key=str) == [(3, a, 1), (5, b, 3), (7, c, 4), (9, None, 6)]
+
+
+def test_a_row_that_stands_many_times_is_compared_once(spark, monkeypatch):
+    sent = []
+    real = minhash._in_chunks
+
+    def spy(members, sets, jaccard):
+        sent.append(members.join(sets, "node").count())
+        return real(members, sets, jaccard)
+
+    monkeypatch.setattr(minhash, "_in_chunks", spy)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words))] * 2000 + [(i, " ".join([*words, f"x{i}"])) for i in range(2, 30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = collections.Counter(map(tuple, minhash.near_duplicates(df).collect()))
+    assert got[(1, 56, 1, True)] == 2000 and {(k[2], k[3]) for k in got if k[0] != 1} == {(1, False)}
+    assert sum(sent) < 10_000
+    assert [r.doc_id for r in minhash.drop_near_duplicates(df).collect()] == [1]
+
+
 def test_signatures_estimate_jaccard():
     import numpy as np
 
