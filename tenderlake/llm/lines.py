@@ -43,7 +43,8 @@ def drop_common_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_D
     ids = [c for c in docs.columns if c == "doc_id"]
     body = F.coalesce(F.col(text), F.lit(""))
     first, second = F.xxhash64(*ids, body), F.xxhash64(F.lit(2), *ids, body)
-    lines = docs.select(first.alias(d1), second.alias(d2), F.posexplode(F.split(body, "\n", -1)).alias("pos", "line"))
+    lines = docs.select(first.alias(d1), second.alias(d2), F.split(body, "\n", -1).alias("lines"))
+    lines = lines.select(d1, d2, F.posexplode("lines").alias("pos", "line"))
     lines = lines.select(d1, d2, "pos", _key(F.col("line")).alias("key")).where(F.length("key") >= min_length)
     lines = lines.select(d1, d2, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     found = lines.join(frequent, ["h1", "h2"], "left_semi").groupBy(d1, d2).agg(F.collect_set("pos").alias(gone))
