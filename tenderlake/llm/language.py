@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from .shared import table
 
-#: Bounds on what is learned from: documents and characters per language, and characters of one
-#: document (from as many places as SPREAD).
-DOCUMENTS, CHARACTERS, PER_DOCUMENT, SPREAD = 64, 32_768, 1_024, 4
-#: Characters parsed in one run; longer texts are several runs whose phrases add up.
+#: Bounds on the labelled rows learned from: documents and characters per language. Rows are taken
+#: whole or not at all.
+DOCUMENTS, CHARACTERS = 64, 49_152
+#: Symbols of a run: the runs of a text are parsed side by side, then joined where they meet.
 RUN = 512
 SLICE_CHARS = 1 << 20
 UNKNOWN = "und"
@@ -122,31 +122,70 @@ class Model:
 
     def phrases(self, encoded: list[np.ndarray]) -> np.ndarray:
         """Phrases per text and language: each text is parsed from left to right into the longest
-        pieces that the language's sample holds. All runs take a step at a time together."""
+        pieces that the language's sample holds, from its first symbol to its last.
+
+        All runs take a step at a time together, each as if a phrase began with it. Then the parse
+        that really enters a run is followed until it begins a phrase where the run's own did: from
+        there the two are one. A run that they leave apart hands its state on to the next."""
         out = np.zeros((len(encoded), len(self.languages)))
-        runs, owner = [], []
+        runs, owner, heads = [], [], []
         for i, symbols in enumerate(encoded):
             for s in range(0, len(symbols), RUN):
                 runs.append(symbols[s : s + RUN])
                 owner.append(i)
+                heads.append(s == 0)
         if not runs:
             return out
         order = np.argsort([-len(r) for r in runs], kind="stable")
+        column = np.empty(len(runs), np.int64)
+        column[order] = np.arange(len(runs))
         lengths = np.array([len(runs[k]) for k in order])
         grid = np.zeros((int(lengths[0]), len(runs)), self.points.dtype)
-        for column, k in enumerate(order):
-            grid[: lengths[column], column] = runs[k]
+        for c, k in enumerate(order):
+            grid[: lengths[c], c] = runs[k]
         alive = np.searchsorted(-lengths, -np.arange(len(grid)), side="left")  # runs longer than t
         owners = np.array(owner)[order]
+        # after[c]: the column of the run that follows in the same text, or -1.
+        after = np.full(len(runs), -1)
+        follows = np.flatnonzero(~np.array(heads))
+        after[column[follows - 1]] = column[follows]
         for language, root in enumerate(self.roots):
             state = np.full(len(runs), root, np.int32)
-            count = np.ones(len(runs), np.int32)
+            begins = np.zeros(grid.shape, bool)
             for t in range(len(grid)):
                 n = alive[t]
                 to = self._step(language, state[:n], grid[t, :n])
-                count[:n] += to >> 30
+                begins[t, :n] = to >> 30
                 state[:n] = to & np.int32(_BREAK - 1)
-            out[:, language] = np.bincount(owners, weights=count, minlength=len(encoded))
+            count = begins.sum(axis=0)
+            own = state.copy()  # where a run ends as things stand
+            entering = np.flatnonzero(after >= 0)
+            while len(entering):
+                at, now = after[entering], own[entering]
+                changed = []
+                extra, passed, t = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), 0
+                while len(at):
+                    ended = lengths[at] <= t
+                    if ended.any():  # never met: the whole run goes on as entered
+                        count[at[ended]] = extra[ended]
+                        moved = own[at[ended]] != now[ended]
+                        own[at[ended]] = now[ended]
+                        changed.append(at[ended][moved])
+                        at, now, extra, passed = at[~ended], now[~ended], extra[~ended], passed[~ended]
+                        continue
+                    to = self._step(language, now, grid[t, at])
+                    new, mine = to >> 30 > 0, begins[t, at]
+                    extra, passed = extra + new, passed + mine
+                    met = new & (mine | (t == 0))
+                    count[at[met]] = extra[met] + begins[:, at[met]].sum(axis=0) - passed[met]
+                    back = own[at[met]] != state[at[met]]
+                    own[at[met]] = state[at[met]]
+                    changed.append(at[met][back])
+                    at, now, extra, passed = at[~met], (to & np.int32(_BREAK - 1))[~met], extra[~met], passed[~met]
+                    t += 1
+                again = np.concatenate(changed) if changed else np.zeros(0, np.int64)
+                entering = again[after[again] >= 0]
+            out[:, language] = np.bincount(owners, weights=count, minlength=len(encoded)) + [len(x) > 0 for x in encoded]
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -171,20 +210,21 @@ def fold(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
 
 
-def training_text(docs: DataFrame, text: str = "text", lang: str = "lang", documents: int = DOCUMENTS) -> dict[str, str]:
-    """A bounded sample of labelled text per language: up to `documents` documents of each language,
-    those of smallest hash, and of each up to PER_DOCUMENT characters from evenly spread places.
-    Only this sample, at most documents * PER_DOCUMENT characters a language, is collected."""
-    ids = docs.where(F.col(lang).isNotNull()).select("doc_id", F.col(lang).alias("lang"), F.xxhash64("doc_id").alias("h"), F.length(text).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = ids.where("n > 0").withColumn("rank", rank).where(F.col("rank") <= documents).select("doc_id", F.col("lang").alias("sample_lang"))
-    step = PER_DOCUMENT // SPREAD
-    places = [F.substring(F.col(text), F.floor(F.greatest(F.length(text) - step, F.lit(0)) * k / max(SPREAD - 1, 1)).cast("int") + 1, F.lit(step)) for k in range(SPREAD)]
-    piece = F.when(F.length(text) <= PER_DOCUMENT, F.col(text)).otherwise(F.concat_ws("\n", *places))
-    rows = docs.select("doc_id", piece.alias("piece")).join(F.broadcast(ids), "doc_id").orderBy("sample_lang", "doc_id").collect()
+def training_text(docs: DataFrame, text: str = "text", lang: str = "lang", documents: int = DOCUMENTS, characters: int = CHARACTERS) -> dict[str, str]:
+    """A bounded sample of labelled rows per language, each text whole: in the order of a hash, up to
+    `documents` different rows whose texts come to `characters`; a text of more than an eighth of
+    that comes after all others, so that a few long ones don't make the sample, the shorter first. The first
+    row is taken however long it is. Nothing else is collected; repeated rows count once."""
+    rows = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.xxhash64("doc_id", text).alias("mark"), F.length(text).alias("n"))
+    order = [F.when(F.col("n") > characters // 8, F.col("n")).otherwise(0), "mark"]
+    first = rows.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= documents)
+    so_far = F.sum("n").over(Window.partitionBy("lang").orderBy("rank"))
+    first = first.withColumn("so_far", so_far).where((F.col("rank") == 1) | (F.col("so_far") <= characters)).select("lang", "mark", "rank")
+    found = docs.select(F.col(lang).alias("lang"), F.xxhash64("doc_id", text).alias("mark"), F.col(text).alias("text")).join(F.broadcast(first), ["lang", "mark"])  # documents rows a language
+    found = found.groupBy("lang", "mark", "rank").agg(F.first("text").alias("text"))
     out: dict[str, str] = {}
-    for r in rows:
-        out[r["sample_lang"]] = (out.get(r["sample_lang"], "") + "\n" + r["piece"])[:CHARACTERS]
+    for r in found.orderBy("lang", "rank").collect():
+        out[r["lang"]] = out.get(r["lang"], "") + "\n" + r["text"]
     return out
 
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tenderlake.llm import language
 from tenderlake.llm.language import UNKNOWN, Model, fold, identify, training_text
 
 SYLLABLES = {"aa": ["ka", "ro", "mi", "tes"], "bb": ["shu", "wen", "lia", "ging"], "cc": ["été", "ça", "œur", "ment"]}
@@ -28,17 +29,31 @@ def plain_phrases(sample, text):
     return count
 
 
-def test_phrases_are_those_of_a_greedy_parse():
+@pytest.mark.parametrize("run", [1, 3, 7, 64, 512])
+def test_phrases_are_those_of_a_greedy_parse(monkeypatch, run):
+    """Whatever the length of the runs that are parsed side by side."""
+    monkeypatch.setattr(language, "RUN", run)
     pick = random.Random(1)
     samples = {k: _text(k, pick, 60) for k in SYLLABLES}
     model = Model(samples)
-    for _ in range(20):
-        text = _text(pick.choice(list(SYLLABLES)), pick, pick.randint(1, 40))
-        got = model.phrases([model.encode(text)])[0]
+    texts = [_text(pick.choice(list(SYLLABLES)), pick, pick.choice([1, 5, 40, 300])) for _ in range(20)] + ["karo" * 500, "", "1"]
+    got = model.phrases([model.encode(text) for text in texts])
+    for row, text in zip(got, texts, strict=True):
         for k, lang in enumerate(model.languages):
-            known = all(c in fold(samples[lang]) for c in fold(text))
-            if known and len(fold(text)) <= 512:
-                assert got[k] == plain_phrases(samples[lang], text)
+            if all(c in fold(samples[lang]) for c in fold(text)):
+                assert row[k] == (plain_phrases(samples[lang], text) if fold(text)[:-1] else 0)
+    monkeypatch.setattr(language, "RUN", 1 << 30)
+    assert (got == model.phrases([model.encode(text) for text in texts])).all()
+
+
+def test_the_sample_is_bounded_and_whole(spark):
+    rows = [(i, f"text number {i} " * 10, "aa") for i in range(50)] + [(7, "one row often", "aa")] * 400 + [(100 + i, "x" * 9000, "aa") for i in range(5)] + [(200, "y" * 99_999, "bb")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    got = training_text(docs, documents=20, characters=3000)
+    texts = got["aa"].split("\n")[1:]
+    assert set(texts) <= {t for _, t, _ in rows} and len(texts) == len(set(texts)) and 2000 < sum(map(len, texts)) <= 3000 and not any(len(t) > 9000 for t in texts)
+    assert got["bb"] == "\n" + "y" * 99_999
+    assert training_text(docs.repartition(5), documents=20, characters=3000) == got
 
 
 def test_accuracy_and_edge_cases(spark):
@@ -68,8 +83,6 @@ def test_without_letters(text):
 
 
 def test_alphabets_of_any_size(monkeypatch):
-    from tenderlake.llm import language
-
     pick = random.Random(4)
     han = [chr(c) for c in range(0x4E00, 0x4E00 + 900)]
     lexicon = ["".join(han[3 * i : 3 * i + 3]) for i in range(300)]
