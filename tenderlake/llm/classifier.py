@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import table
@@ -16,8 +16,9 @@ from .spans import batches, text_slices
 #: WIDTH - STRIDE bytes, are a chunk whose strongest answer counts.
 WIDTH, STRIDE, PLACES = 8, 4, 32
 EMBEDDING, FILTERS, HIDDEN = 6, 32, 24
-#: Bounds on what is learned from: rows per label, and characters of one text (from SPREAD places).
-PER_LABEL, CHARACTERS, SPREAD = 1500, 4096, 8
+#: Bounds on the labelled rows learned from: rows and characters per label. Rows are taken whole or
+#: not at all.
+PER_LABEL, CHARACTERS = 1500, 1_500_000
 EPOCHS, BATCH, RATE, SEED = 8, 32, 0.004, 11
 _BYTES = WIDTH * EMBEDDING
 
@@ -138,24 +139,26 @@ class Network:
         }
 
 
-def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", per_label: int = PER_LABEL) -> Network:
-    """A network fitted on a bounded sample: per_label rows of each label, those of smallest hash,
-    and of each up to CHARACTERS characters, from SPREAD evenly spread places of longer texts. Only
-    the sample is collected. Rows without a label or with a null id are left out; of repeated labels
+def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", per_label: int = PER_LABEL, characters: int = CHARACTERS) -> Network:
+    """A network fitted on a bounded sample of whole rows: of each label the per_label rows of smallest
+    hash, as far as their texts come to `characters` (those of over a hundredth of that last, the
+    shorter first; one row always). Only the sample is collected. Rows without a label or with a null id are left out; of repeated labels
     of a document the largest counts. Without both labels the network stays as drawn."""
     known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y")).withColumn("h", F.xxhash64("doc_id"))
     # A top-k of each label: every task keeps its own first rows, so no label is gathered whole.
     first = [known.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_label) for y in (0, 1)]
-    chosen = first[0].unionByName(first[1]).select("doc_id", "y")
-    step = CHARACTERS // SPREAD
-    places = [F.substring(F.col(text), F.floor(F.greatest(F.length(text) - step, F.lit(0)) * k / max(SPREAD - 1, 1)).cast("int") + 1, F.lit(step)) for k in range(SPREAD)]
-    piece = F.when(F.length(text) <= CHARACTERS, F.col(text)).otherwise(F.concat_ws("", *places))
-    part = docs.select("doc_id", F.coalesce(piece, F.lit("")).alias("piece"), F.coalesce(F.octet_length(text), F.lit(0)).alias("size"))
-    # At most 2 * per_label ids are broadcast.
-    rows = part.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_label).collect()
+    chosen = first[0].unionByName(first[1]).select("doc_id", "y", "h")
+    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("body"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("n"))
+    # At most 2 * per_label ids are broadcast. What follows handles their rows alone.
+    order = [F.when(F.col("n") > characters // 100, F.col("n")).otherwise(0), "h", "doc_id", "n"]
+    rows = rows.join(F.broadcast(chosen), "doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("y").orderBy(*order)))
+    so_far = F.sum("n").over(Window.partitionBy("y").orderBy("rank"))
+    rows = rows.withColumn("so_far", so_far).where((F.col("rank") == 1) | ((F.col("so_far") <= characters) & (F.col("rank") <= per_label)))
+    rows = rows.select("h", "doc_id", "body", "y").orderBy("h", "doc_id", "body").collect()
     network = Network()
     if len({r["y"] for r in rows}) == 2:
-        network.fit([r["piece"].encode() for r in rows], [r["size"] for r in rows], [r["y"] for r in rows])
+        texts = [r["body"].encode() for r in rows]
+        network.fit(texts, [len(t) for t in texts], [r["y"] for r in rows])
     return network
 
 
