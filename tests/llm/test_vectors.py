@@ -31,9 +31,12 @@ def brute(rows, least=0.98):
     return sorted([(i, c, None if i is None else root(i), None if i is None else root(i) == i) for (i, _, _), c in zip(rows, n)], key=str)
 
 
-@pytest.mark.parametrize("tile", [512, 7])
-def test_links_match_brute_force(spark, monkeypatch, tile):
+@pytest.mark.parametrize(("tile", "split", "saving"), [(512, 8192, 0.67), (7, 8192, 0.67), (7, 10, 0.95), (512, 3, 2.0)])
+def test_links_match_brute_force(spark, monkeypatch, tile, split, saving):
     monkeypatch.setattr(vectors, "TILE", tile)
+    monkeypatch.setattr(vectors, "BLOCK", 5)
+    monkeypatch.setattr(vectors, "SPLIT", split)
+    monkeypatch.setattr(vectors, "SAVING", saving)
     pick = np.random.default_rng(3)
     rows = []
     for g in range(12):
@@ -49,6 +52,13 @@ def test_links_match_brute_force(spark, monkeypatch, tile):
     assert got == want
 
 
+def test_rows_that_share_an_id_share_a_component(spark):
+    rows = [(3, 1, [1.0, 0.0]), (5, 1, [1.0, 0.0]), (5, 1, [0.0, 1.0]), (9, 1, [0.0, 2.0]), (9, 1, None), (7, 1, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>")
+    got = sorted(map(tuple, vectors.near_duplicate_vectors(df).collect()))
+    assert got == sorted([(3, 1, 3, True), (5, 1, 3, False), (5, 1, 3, False), (9, 1, 3, False), (9, 0, 3, False), (7, 0, 7, True)])
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id bigint, label int, embedding array<float>")
     assert vectors.near_duplicate_vectors(df).collect() == []
