@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, match_spans, or_empty, squeeze, strip_chrome
+from .text import let, match_spans, or_empty, running_sums, squeeze, strip_chrome
 
 # Fixed values -------------------------------------------------------------------------------------
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -115,12 +115,7 @@ def cue_places(text: Column, cues: tuple[str, ...]) -> Column:
         # The text is cut before each place of the cue; no cue overlaps itself, so no place is missed.
         # A cut at the very start leaves no piece before it.
         parts = F.split(low, F.concat(F.lit(r"(?=\Q"), cue, F.lit(r"\E)")), F.lit(-1))
-        ends = F.aggregate(
-            F.slice(parts, F.lit(1), F.size(parts) - 1),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")),
-            lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["found"], F.array(acc["at"] + F.length(x))).alias("found")),
-            lambda acc: acc["found"],
-        )
+        ends = let(parts, lambda ps: running_sums(F.transform(F.slice(ps, F.lit(1), F.size(ps) - 1), F.length)))
         ends = F.when(F.startswith(low, cue), F.array_union(F.array(F.lit(0)), ends)).otherwise(ends)
         return F.transform(ends, lambda s: F.struct(s.alias("start"), (s + F.length(cue)).alias("end")))
 
@@ -167,10 +162,15 @@ def date_windows(text: Column, hits: Column, span: int = 260, cap: int = 7000) -
     kind = "array<struct<lo:int,hi:int>>"
     spans = F.array_sort(F.transform(hits, lambda h: F.struct(F.greatest(h["start"] - span, F.lit(0)).alias("lo"), F.least(h["end"] + span, F.length(t)).alias("hi"))))
 
+    # A part that isn't cut short by the text's ends holds 2 * span characters; more parts than fill
+    # the cap need not be gathered.
+    most = cap // (2 * span) + 4
+
     def merge(acc: Column, s: Column) -> Column:
         last = F.element_at(acc, -1)
         joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], s["hi"]).alias("hi"))))
-        return F.when((F.size(acc) > 0) & (s["lo"] <= F.get(acc, F.size(acc) - 1)["hi"] + 40), joined).otherwise(F.concat(acc, F.array(s)))
+        joins = (F.size(acc) > 0) & (s["lo"] <= F.get(acc, F.size(acc) - 1)["hi"] + 40)
+        return F.when(F.size(acc) >= most, acc).when(joins, joined).otherwise(F.concat(acc, F.array(s)))
 
     merged = F.aggregate(spans, F.array().cast(kind), merge)
 

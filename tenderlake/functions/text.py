@@ -173,6 +173,22 @@ def references(c: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(or_empty(c), F.lit(REFERENCE), F.lit(1)), lambda x: F.replace(F.upper(x), F.lit(" "), F.lit(""))))
 
 
+def running_sums(c: Column, step: int = 64) -> Column:
+    """The running sums of an array of lengths. Long arrays are summed within pieces of `step` and the
+    pieces then raised by what stands before them, so that no array grows one by one to full length."""
+    ints = F.array().cast("array<int>")
+
+    def sums(xs: Column) -> Column:
+        last = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0))
+        return F.aggregate(xs, ints, lambda acc, x: F.concat(acc, F.array((last(acc) + x).cast("int"))))
+
+    def long(xs: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / step).cast("int")), lambda k: sums(F.slice(xs, k * step + 1, F.lit(step))))
+        return let(pieces, lambda ps: let(sums(F.transform(ps, lambda q: F.element_at(q, -1))), lambda ends: F.flatten(F.transform(ps, lambda q, k: let(F.when(k > 0, F.get(ends, k - 1)).otherwise(0), lambda low: F.transform(q, lambda x: x + low))))))
+
+    return let(c, lambda xs: F.when(F.size(xs) <= step, sums(xs)).otherwise(long(xs)))
+
+
 def match_spans(c: Column, pattern: str, group: int = 0) -> Column:
     """Every match of a pattern as (start, end, value), by offset: what lies between matches and the
     matches alternate, so their running lengths are the offsets. Start counts from 0."""
@@ -182,25 +198,31 @@ def match_spans(c: Column, pattern: str, group: int = 0) -> Column:
     # The last gap has no match after it.
     zipped = F.arrays_zip(gap, hits.alias("value")) if group == 0 else F.arrays_zip(gap, hits.alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
     hit_of = "value" if group == 0 else "hit"
-    steps = F.filter(zipped, lambda x: x[hit_of].isNotNull())
-    kind = "struct<start:int,end:int,value:string>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("found"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.length(x[hit_of])
-        one = F.array(F.struct(s.alias("start"), e.alias("end"), x["value"].alias("value")))
-        return F.struct(e.alias("at"), F.concat(acc["found"], one).alias("found"))
+    def placed(steps: Column) -> Column:
+        ends = running_sums(F.transform(steps, lambda x: F.length(x["gap"]) + F.length(x[hit_of])))
+        return let(ends, lambda at: F.transform(steps, lambda x, i: F.struct((F.get(at, i) - F.length(x[hit_of])).alias("start"), F.get(at, i).alias("end"), x["value"].alias("value"))))
 
-    found = F.aggregate(steps, start, step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{kind}>"))
+    found = let(F.filter(zipped, lambda x: x[hit_of].isNotNull()), placed)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
 def reference_marks(c: Column) -> Column:
     """(start, value) of the first place of each distinct reference number, in order."""
-    marks = F.transform(match_spans(c, REFERENCE, 1), lambda m: F.struct(m["start"].alias("start"), F.replace(F.upper(m["value"]), F.lit(" "), F.lit("")).alias("value")))
-    values = F.transform(marks, lambda m: m["value"])
-    return F.filter(marks, lambda m, i: F.array_position(values, m["value"]) == i + 1)
+    marks = F.transform(match_spans(c, REFERENCE, 1), lambda m: F.struct(F.replace(F.upper(m["value"]), F.lit(" "), F.lit("")).alias("value"), m["start"].alias("start")))
+    # By value, then by place: the first of each value is the one that follows another value.
+    first = let(F.array_sort(marks), lambda ms: F.filter(ms, lambda m, i: (i == 0) | (F.get(ms, i - 1)["value"] != m["value"])))
+    return F.array_sort(F.transform(first, lambda m: F.struct(m["start"].alias("start"), m["value"].alias("value"))))
+
+
+def passes_gate(c: Column, has_date: Column, least: int = 1) -> Column:
+    """Whether a text is worth a reader: a keyword score of `least` or more."""
+    return keyword_score(c, has_date) >= least
+
+
+def is_over_by_words(c: Column) -> Column:
+    """F16: whether a text says that its notice is over; for analytics only, it decides nothing."""
+    return F.coalesce(c.rlike(DEAD_WORDS), F.lit(False))
 
 
 def keyword_score(c: Column, has_date: Column) -> Column:

@@ -22,6 +22,9 @@ ENRICHED = ("posted", "value", "setaside", "samId", "estimate", "citation")
 CARRIED = ("deleted", "deletedOn", "hidden", "hiddenOn", "switched", "switchedOn", "firstSeen", "notes", "verifyNotes")
 # --------------------------------------------------------------------------------------------------
 
+#: The most copies of a key that are gathered at a time.
+MAX_GATHERED = 2048
+
 #: Columns of a register row that the operators below read; rows may hold more.
 REGISTER = (
     "sol string, link string, title string, tier string, sector string, platform string, agency string, domestic boolean, post string, "
@@ -122,22 +125,37 @@ def _enrich(a: Column, b: Column, keep: Column, other: Column, kinds: dict[str,
     return F.struct(*[out[c].cast(kinds[c]).alias(c) for c in kinds])
 
 
-def merge_copies(rows: DataFrame, order: list[str]) -> DataFrame:
+def merge_copies(rows: DataFrame, order: list[str], most: int = MAX_GATHERED) -> DataFrame:
     """One row per canonical key, the copies folded from left to right in the given order (prior
     rows first, then worker by worker).
 
-    The fold isn't associative, so copies of a key are folded in one place; but rows without a twin
-    never enter it: they are told apart by a count, and only the few copies of a key are gathered."""
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name not in order and f.name != "key"}
-    keyed = rows if "key" in rows.columns else with_key(rows)
-    keyed = keyed.where("key != ''")
-    packed = keyed.groupBy("key").agg(F.collect_list(F.struct(F.struct(*order).alias("at"), F.struct(*kinds).alias("row"))).alias("copies"))
-    single, several = packed.where("size(copies) = 1"), packed.where("size(copies) > 1")
-    earlier = lambda x, y: F.when(x["at"] < y["at"], -1).when(x["at"] > y["at"], 1).otherwise(0)
-    several = several.withColumn("copies", F.array_sort("copies", earlier))
-    fold = F.aggregate(F.slice("copies", 2, 1 << 30), F.get("copies", 0)["row"], lambda acc, x: _merge_pair(acc, x["row"], kinds))
-    merged = several.select("key", fold.alias("row")).unionByName(single.select("key", F.get("copies", 0)["row"].alias("row")))
-    return merged.select("key", "row.*")
+    Keys are counted first. A row without a twin passes through; the copies of a key are gathered, up
+    to `most` at a time: the fold isn't associative, so a key with more of them is folded round by
+    round, each taking up where the one before ended, and no task holds more than a round of it."""
+    columns = [f.name for f in rows.schema if f.name not in order and f.name != "key"]
+    keyed = (rows if "key" in rows.columns else with_key(rows)).where("key != ''")
+    one = Window.partitionBy("key")
+    keyed = keyed.withColumns({"__n": F.count(F.lit(1)).over(one), "__round": F.floor((F.row_number().over(one.orderBy(*order)) - 1) / most).cast("int")})
+    single, several = keyed.where("__n = 1").select("key", *columns), keyed.where("__n > 1")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name in columns}
+    start = several.where("__round = 0").select("key", F.struct(*order).alias("at"), F.struct(*columns).alias("row"))
+    merged = _fold(start, order, kinds)
+    rounds = (rows if "key" in rows.columns else with_key(rows)).groupBy("key").count().where(F.col("count") > most).agg(F.max("count")).first()[0]
+    for k in range(1, -(-(rounds or 0) // most)):
+        more = several.where(F.col("__round") == k).select("key", F.struct(*order).alias("at"), F.struct(*columns).alias("row"))
+        before = merged.join(more.select("key").distinct(), "key", "left_semi").select("key", F.lit(None).cast(more.schema["at"].dataType).alias("at"), "row")
+        after = _fold(before.unionByName(more), order, kinds)
+        merged = merged.join(after.select("key"), "key", "left_anti").unionByName(after).checkpoint()
+    return merged.select("key", "row.*").unionByName(single)
+
+
+def _fold(copies: DataFrame, order: list[str], kinds: dict[str, str]) -> DataFrame:
+    """(key, row): the copies (key, at, row) of each key folded in the order of at; without at first."""
+    gathered = copies.groupBy("key").agg(F.collect_list(F.struct("at", "row")).alias("copies"))
+    earlier = lambda x, y: F.when(x["at"].isNull(), -1).when(y["at"].isNull(), 1).when(x["at"] < y["at"], -1).when(x["at"] > y["at"], 1).otherwise(0)
+    in_order = F.array_sort("copies", earlier)
+    fold = lambda all_: F.aggregate(F.slice(all_, 2, 1 << 30), F.get(all_, 0)["row"], lambda acc, x: _merge_pair(acc, x["row"], kinds))
+    return gathered.select("key", let(in_order, fold).alias("row"))
 
 
 def carry_previous(rows: DataFrame) -> DataFrame:

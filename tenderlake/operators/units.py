@@ -78,40 +78,42 @@ def reach(links_: DataFrame, hops: int = 3) -> DataFrame:
     return seen
 
 
-def _last_feed(s: Column) -> Column:
-    """The offset of the last line feed, -1 if there is none."""
-    return F.length(s) - F.length(F.substring_index(s, "\n", -1)) - 1
+def _lead(text: Column, pos: Column) -> Column:
+    """Where the block of a reference at pos starts: at the heading lines above it, at most LEAD_BACK
+    back. Only what stands so near is looked at."""
+    look = F.least(pos, F.lit(LEAD_BACK + 1))
+    near = F.substring(text, pos - look + 1, look)
+    first = F.instr(text, "\n") - 1  # -1: no line feed at all
+    above = lambda w, k: pos - F.length(F.substring_index(w, "\n", -k)) - 1  # noqa: E731  the k-th feed up
 
+    def start(w: Column) -> Column:
+        feeds = F.length(w) - F.length(F.replace(w, F.lit("\n"), F.lit("")))
+        further = (first >= 0) & (first < pos - look)
+        two, three = above(w, 2), above(w, 3)
+        higher = (two > 0) & (pos - two < LEAD_SHORT) & (feeds >= 3) & (pos - three <= LEAD_BACK)
+        line = F.when(feeds >= 2, F.when(higher, three).otherwise(two)).when(further, F.lit(0)).when(feeds == 1, above(w, 1)).otherwise(-1)
+        return F.when(line < 0, 0).otherwise(F.greatest(line, pos - LEAD_BACK, F.lit(0)))
 
-def _lead(before: Column) -> Column:
-    """Where a block starts, given what stands before its reference: at the heading lines above it, at
-    most LEAD_BACK back."""
-    pos = F.length(before)
-    here = let(before, _last_feed)
-
-    def above(here: Column) -> Column:
-        found = F.when(here > 0, _last_feed(F.substring(before, F.lit(1), here))).otherwise(-1)
-        return F.struct(here.alias("here"), F.when(found < 0, here).otherwise(found).alias("start"))
-
-    def higher(x: Column) -> Column:
-        up = F.when(x["start"] > 0, _last_feed(F.substring(before, F.lit(1), x["start"]))).otherwise(-1)
-        start = let(up, lambda u: F.when((pos - x["start"] < LEAD_SHORT) & (u >= 0) & (pos - u <= LEAD_BACK), u).otherwise(x["start"]))
-        return F.when(x["here"] < 0, 0).otherwise(F.greatest(start, pos - LEAD_BACK, F.lit(0)))
-
-    return let(let(here, above), higher)
+    return let(near, start)
 
 
 def split_listing(pages: DataFrame, text: str = "text", least: int = LEAST_BLOCK) -> DataFrame:
     """One row per notice of a page that lists two or more: its columns, sol and block. A block
     runs from its heading, never reaching the reference before it, to the next reference."""
-    marks = pages.withColumn("__marks", reference_marks(F.col(text))).where("size(__marks) >= 2")
-    each = marks.select(*pages.columns, "__marks", F.posexplode("__marks").alias("__i", "__m"))
-    pos = F.col("__m.start")
-    before = F.when(F.col("__i") > 0, F.get("__marks", F.col("__i") - 1)["start"] + 1).otherwise(0)
-    start = F.greatest(let(F.substring(F.col(text), F.lit(1), pos), _lead), before)
-    end = F.coalesce(F.get("__marks", F.col("__i") + 1)["start"], F.length(text))
-    block = let(start, lambda s: F.regexp_replace(F.substring(F.col(text), s + 1, F.greatest(s + least, end) - s), r"^\s+|\s+$", ""))
-    return each.select(*pages.columns, F.col("__m.value").alias("sol"), block.alias("block")).where(F.length("block") >= least)
+    body = F.col(text)
+
+    def blocks(marks: Column) -> Column:
+        def cut(m: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(marks, i - 1)["start"] + 1).otherwise(0)
+            end = F.coalesce(F.get(marks, i + 1)["start"], F.length(body))
+            block = let(F.greatest(_lead(body, m["start"]), before), lambda s: F.btrim(F.substring(body, s + 1, F.greatest(s + least, end) - s), F.lit(" \t\n\u000b\f\r")))
+            return F.struct(m["value"].alias("sol"), block.alias("block"))
+
+        return F.when(F.size(marks) >= 2, F.transform(marks, cut))
+
+    # Blocks are cut before they are rows, so that no row but the result's holds the page.
+    each = pages.select(*pages.columns, F.explode(let(reference_marks(body), blocks)).alias("__b"))
+    return each.select(*pages.columns, "__b.sol", "__b.block").where(F.length("block") >= least)
 
 
 def group_files(files: DataFrame, url: str = "url", text: str = "text", note: str = "note", order: str = "pos") -> DataFrame:

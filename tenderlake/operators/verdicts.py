@@ -87,21 +87,24 @@ def ground_dates(df: DataFrame, text: str = "text", compat_autojunk: bool = Fals
     date_proof and date_evidence (maps), dropped (list), date_warnings (list)."""
     fields = {"closing": ("closing_quote", D.DEADLINE_CUES), "posted": ("posted_quote", D.POSTED_CUES), "qa_due": ("qa_quote", D.QUESTION_CUES)}
     df = proof.with_citation_proofs(df, {f"__real_{field}": quote for field, (quote, _) in fields.items()}, text, compat_autojunk)
-    df = df.withColumn("__hits", D.scan_dates(F.col(text)))
-    df = df.withColumn("__printed", F.transform("__hits", lambda h: h["iso"]))
-    facts = {}
-    for field, (quote, cues) in fields.items():
-        beside = D.anchored_evidence if field == "closing" else D.date_evidence
-        places = (cues,) if field == "closing" else ()
-        facts[f"__why_{field}"] = proof.quoted_date(F.col(field), F.col(quote), F.col(f"__real_{field}"), D.find_dates(F.col(quote)), F.col("__printed"))
-        facts[f"__beside_{field}"] = beside(F.col(field), F.col(text), F.col("__hits"), *places)
-        facts[f"__near_{field}"] = F.lit(None).cast("string") if field == "closing" else D.nearest_after_cue(F.col(text), F.col("__hits"), cues)
-    # Computed once: as a field of one struct that is built inside a lambda.
-    df = df.withColumn("__f", let(F.lit(0), lambda _: F.struct(*[c.alias(k) for k, c in facts.items()])))
+
+    def facts(hits: Column) -> Column:
+        out = {"hits": hits}
+        for field, (quote, cues) in fields.items():
+            beside = D.anchored_evidence if field == "closing" else D.date_evidence
+            places = (cues,) if field == "closing" else ()
+            printed = F.transform(hits, lambda h: h["iso"])
+            out[f"why_{field}"] = proof.quoted_date(F.col(field), F.col(quote), F.col(f"__real_{field}"), D.find_dates(F.col(quote)), printed)
+            out[f"beside_{field}"] = beside(F.col(field), F.col(text), hits, *places)
+            out[f"near_{field}"] = F.lit(None).cast("string") if field == "closing" else D.nearest_after_cue(F.col(text), hits, cues)
+        return F.struct(*[c.alias(k) for k, c in out.items()])
+
+    # Computed once: as fields of one struct that is built inside a lambda.
+    df = df.withColumn("__f", let(D.scan_dates(F.col(text)), facts))
     added, proofs, evidence, dropped, warnings = {}, [], [], [], []
     for field, (quote, _) in fields.items():
         claim = F.col(field)
-        why, beside, near = (F.col("__f")[f"__{k}_{field}"] for k in ("why", "beside", "near"))
+        why, beside, near = (F.col("__f")[f"{k}_{field}"] for k in ("why", "beside", "near"))
         given = or_empty(claim) != ""
         quoted = given & (why == "")
         phrase = given & ~quoted & beside.isNotNull()
@@ -109,7 +112,7 @@ def ground_dates(df: DataFrame, text: str = "text", compat_autojunk: bool = Fals
         filled = F.when(~given | lost, near)
         added[f"__{field}"] = F.when(quoted | phrase, claim).otherwise(or_empty(filled))
         how = F.when(quoted, "quoted").when(phrase | filled.isNotNull(), "phrase")
-        words = F.when(quoted, F.substring(F.trim(F.regexp_replace(F.col(quote), r"\s+", " ")), 1, 300)).when(phrase, beside).otherwise(D.date_evidence(filled, F.col(text), F.col("__hits")))
+        words = F.when(quoted, F.substring(F.trim(F.regexp_replace(F.col(quote), r"\s+", " ")), 1, 300)).when(phrase, beside).otherwise(D.date_evidence(filled, F.col(text), F.col("__f")["hits"]))
         proofs.append(F.struct(F.lit(field).alias("key"), how.alias("value")))
         evidence.append(F.struct(F.lit(field).alias("key"), words.alias("value")))
         dropped.append(F.when(lost, F.lit(field)))
@@ -120,7 +123,7 @@ def ground_dates(df: DataFrame, text: str = "text", compat_autojunk: bool = Fals
     late = (F.col("__closing") != "") & (F.col("__posted") != "") & (F.col("__closing") < F.col("__posted"))
     clash = F.when(late, F.array(F.concat(F.lit("the closing date "), F.col("__closing"), F.lit(" is before the posted date "), F.col("__posted"))))
     df = df.withColumn("date_warnings", F.concat("date_warnings", F.coalesce(clash, F.array().cast("array<string>"))))
-    return df.withColumns({f: F.col(f"__{f}") for f in fields}).drop("__hits", *[c for c in df.columns if c.startswith("__")])
+    return df.withColumns({f: F.col(f"__{f}") for f in fields}).drop(*[c for c in df.columns if c.startswith("__")])
 
 
 def title_deadline(title: Column, text: Column) -> Column:

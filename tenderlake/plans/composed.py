@@ -12,7 +12,11 @@ AS_OF = "2016-06-30"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one whose files give fewer tasks than there are cores is dealt out anew, as what is
+    composed from its rows costs far more to work on than to move."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
 def compose(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -16,7 +16,7 @@ def find_dates_composed(spark, d: str) -> DataFrame:
 
 
 def ambiguous_numeric_dates(spark, d: str) -> DataFrame:
-    n = compose(spark, d, NOTICES).where("form = 1")
+    n = compose(spark, d, NOTICES)
     return n.select("id", F.array_join(D.ambiguous_dates(F.col("text")), ",").alias("readings"))
 
 
@@ -133,7 +133,7 @@ SELECT *, list_contains({_FOUND}, closing) AS printed, closing_quote = text AND
 
 ORACLES = {
     "find_dates_composed": oracle(f"SELECT id, array_to_string({_FOUND}, ',') AS dates FROM ({NOTICES})"),
-    "ambiguous_numeric_dates": oracle(f"SELECT id, CASE WHEN {_TWO} THEN array_to_string(list_sort([iso, {_SWAP}]), ',') ELSE '' END AS readings FROM ({NOTICES}) WHERE form = 1"),
+    "ambiguous_numeric_dates": oracle(f"SELECT id, CASE WHEN {_TWO} THEN array_to_string(list_sort([iso, {_SWAP}]), ',') ELSE '' END AS readings FROM ({NOTICES})"),
     "nearest_cue_date": oracle(f"SELECT id, {_DUE} AS due FROM ({NOTICES})"),
     "anchored_dates": oracle(f"SELECT id, form IN (0, 1, 2, 3) AS due_stands_by_cue, list_contains({_FOUND}, later) AS later_printed FROM ({NOTICES})"),
     "quoted_date_proof": oracle(f"""

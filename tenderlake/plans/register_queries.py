@@ -93,9 +93,11 @@ def canonical_key_groups(spark, d: str) -> DataFrame:
 def previous_rows(spark, d: str) -> DataFrame:
     """Rows that found their number replace the row known by its link."""
     rows = as_register(compose(spark, d, COPIES).where("shard = 0")).drop("shard")
-    old = rows.where("id % 3 = 0").withColumns({"sol": F.lit(""), "notes": F.lit("keep")})
-    new = rows.where("id % 3 = 0 AND id % 2 = 0").withColumn("prevKey", F.col("link"))
-    both = register.with_key(old.unionByName(new))
+    # Every order is known by its link; those with an even key come again, with number and link.
+    again = rows.withColumn("__again", F.explode(F.when(F.col("id") % 2 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    new = F.col("__again")
+    both = again.withColumns({"sol": F.when(new, F.col("sol")).otherwise(""), "notes": F.when(~new, "keep"), "prevKey": F.when(new, F.col("link"))})
+    both = register.with_key(both.drop("__again"))
     return register.carry_previous(both).select("id", "key", F.coalesce("notes", F.lit("")).alias("notes"))
 
 
@@ -225,7 +227,7 @@ WITH r AS (SELECT id, CASE WHEN id % 3 <> 0 THEN n_name END AS post, n_name FROM
 SELECT CASE WHEN id % 5 = 0 THEN 'l/' || (id % 100) WHEN id % 5 = 1 THEN '19AB' || lpad((id % 1000)::VARCHAR, 6, '0')
   ELSE replace(coalesce(post, 'C' || n_name), '_', '') || ':' || CASE WHEN id % 2 = 0 THEN 'RFQ' ELSE 'RFP' END || ':' || (id % 50) END AS key, count(*) AS n FROM r GROUP BY 1"""),
     "previous_rows": oracle(f"""
-SELECT id, CASE WHEN id % 2 = 0 THEN {_KEY} ELSE 'https://example.usembassy.gov/n/' || id END AS key, 'keep' AS notes FROM ({DATED}) WHERE id % 3 = 0"""),
+SELECT id, CASE WHEN id % 2 = 0 THEN {_KEY} ELSE 'https://example.usembassy.gov/n/' || id END AS key, 'keep' AS notes FROM ({DATED})"""),
     "junk_filter": oracle(f"""
 WITH r AS (SELECT id, id % 8 AS n, deadline, id % 9 = 0 AS kept FROM ({COPIES}) WHERE shard = 0)
 SELECT id, NOT kept AND (n IN (0, 1) OR (n = 2 AND deadline = '') OR (n = 3 AND deadline = '')) AS junk FROM r"""),

@@ -40,7 +40,7 @@ def exact_dup_groups(spark, d: str) -> DataFrame:
 def ledger_antijoin(spark, d: str) -> DataFrame:
     """Units that the capped ledger of finished hashes doesn't hold."""
     docs = read(spark, d, "documents").select("doc_id", identity.unit_hash(F.col("text")).alias("hash"))
-    ledger = register.cap_ledger(docs.where("doc_id % 3 = 0").select("hash").distinct(), 100)
+    ledger = register.cap_ledger(docs.where("doc_id % 3 = 0").select("hash").distinct())
     return register.without(docs, ledger, "hash").select("doc_id", "hash")
 
 
@@ -150,8 +150,8 @@ def brief_line(spark, d: str) -> DataFrame:
 
 
 def listing_split(spark, d: str) -> DataFrame:
-    """One listing per customer of ten: its orders as notices, cut apart again."""
-    o = compose(spark, d, DATED).where("cust % 10 = 0")
+    """One listing per customer: its orders as notices, cut apart again."""
+    o = compose(spark, d, DATED)
     entry = F.concat(F.lit("Notice about things\nNumber RFQ-"), F.col("id") + 1000, F.lit(" wants goods. "), F.repeat(F.lit("words "), 40), F.lit("Closing "), "iso", F.lit("\n\n"))
     pages = o.groupBy("cust").agg(F.array_sort(F.collect_list(F.struct("id", entry.alias("e")))).alias("es"))
     pages = pages.select("cust", F.array_join(F.transform("es", lambda x: x["e"]), "").alias("text"))
@@ -160,7 +160,7 @@ def listing_split(spark, d: str) -> DataFrame:
 
 
 def file_units(spark, d: str) -> DataFrame:
-    li = read(spark, d, "lineitem").where("l_orderkey % 5 < 3")
+    li = read(spark, d, "lineitem")
     o = F.col("l_orderkey")
     long = F.concat(F.lit("Terms for RFQ-"), o + 1000, F.lit(" "), F.repeat(F.lit("word "), 30))
     body = F.when(o % 5 == 0, long).when(F.col("l_linenumber") == 2, "short").otherwise(F.repeat(F.lit("word "), 30))
@@ -212,7 +212,7 @@ ORACLES = {
     "doc_unit_hash": f"SELECT doc_id, {_HASH} AS unit_hash FROM documents",
     "exact_dup_groups": f"SELECT {_HASH} AS unit_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "ledger_antijoin": f"""
-WITH h AS (SELECT doc_id, {_HASH} AS hash FROM documents), l AS (SELECT DISTINCT hash FROM h WHERE doc_id % 3 = 0 ORDER BY hash DESC LIMIT 100)
+WITH h AS (SELECT doc_id, {_HASH} AS hash FROM documents), l AS (SELECT DISTINCT hash FROM h WHERE doc_id % 3 = 0 ORDER BY hash DESC LIMIT 8000)
 SELECT doc_id, hash FROM h WHERE hash NOT IN (SELECT hash FROM l)""",
     "keyword_score": oracle(f"""
 SELECT id, 2 * regexp_matches(body, {_REF})::INT + regexp_matches(text, '20[0-9][0-9]')::INT + len(list_filter([{_SIGNALS}], lambda w: contains(lower(body), w))) AS score
@@ -263,11 +263,11 @@ SELECT kind, reason, reason IN ('key rejected', 'refused', 'out of credit') AS f
 SELECT id, CASE WHEN id % 2 = 0 THEN 'Lusaka wants ' ELSE '' END || 'office chairs ' || id || CASE WHEN id % 3 = 0 THEN ' (desk; lamp)' ELSE '' END
   || CASE WHEN id % 5 <> 0 THEN ' — closes ' || iso ELSE ' — no closing date is stated anywhere in it, so it needs checking' END AS brief FROM ({DATED})"""),
     "listing_split": oracle(f"""
-WITH o AS (SELECT *, count(*) OVER (PARTITION BY cust) AS n FROM ({DATED}) WHERE cust % 10 = 0)
+WITH o AS (SELECT *, count(*) OVER (PARTITION BY cust) AS n FROM ({DATED}))
 SELECT cust, 'RFQ-' || (id + 1000) AS sol, iso AS closing, 1::BIGINT AS n_refs FROM o WHERE n >= 2"""),
     "file_units": """
 WITH f AS (SELECT l_orderkey, 'https://x.example/f/RFQ-' || (l_orderkey + 1000) || '_part%20' || l_linenumber || '_' || l_partkey || '_' || l_suppkey || '.pdf' AS url,
-  'RFQ' || ' ' || (l_orderkey + 1000) AS spoken, CASE WHEN l_orderkey % 5 = 0 THEN 'Terms for RFQ-' || (l_orderkey + 1000) || ' ' || repeat('word ', 30) WHEN l_linenumber = 2 THEN 'short' ELSE repeat('word ', 30) END AS body FROM lineitem WHERE l_orderkey % 5 < 3),
+  'RFQ' || ' ' || (l_orderkey + 1000) AS spoken, CASE WHEN l_orderkey % 5 = 0 THEN 'Terms for RFQ-' || (l_orderkey + 1000) || ' ' || repeat('word ', 30) WHEN l_linenumber = 2 THEN 'short' ELSE repeat('word ', 30) END AS body FROM lineitem),
 k AS (SELECT *, CASE WHEN l_orderkey % 5 = 0 THEN 'RFQ-' || (l_orderkey + 1000) ELSE 'RFQ' || (l_orderkey + 1000) END AS key, length(body) >= 120 AS ok FROM f)
 SELECT key, count(*) FILTER (WHERE ok) AS ok, count(*) FILTER (WHERE NOT ok) AS fail, count(*) FILTER (WHERE ok) AS n_files,
   coalesce(sum(length(url) + length(body) + 16) FILTER (WHERE ok) + 2 * (count(*) FILTER (WHERE ok) - 1), 0)::BIGINT AS n_text FROM k GROUP BY key""",

@@ -56,7 +56,7 @@ def unfinished_jobs(spark, d: str) -> DataFrame:
 
 
 def documents_by_kind(spark, d: str) -> DataFrame:
-    li = read(spark, d, "lineitem").where("l_linenumber = 1")
+    li = read(spark, d, "lineitem")
     name = F.element_at(F.array(*[F.lit(n) for n in (*_NAMES, "index.html", "page.aspx?a=b", "data")]), (F.col("l_partkey") % 10 + 1).cast("int"))
     kind = F.when(F.col("l_suppkey") % 3 == 0, "application/pdf").when(F.col("l_suppkey") % 3 == 1, "text/html; charset=utf-8").otherwise("")
     return li.groupBy(name.alias("name"), kind.alias("type"), text.is_document(name, kind).alias("document")).agg(F.count(F.lit(1)).alias("n"))
@@ -85,7 +85,7 @@ SELECT user_id, count(*) FILTER (WHERE 100 - before >= 6) AS started, sum(cost)
 SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('hour', ts) DESC, event_id DESC) AS rank FROM events) WHERE rank <= 24""",
     "unfinished_jobs": oracle(f"SELECT tier, count(*) FILTER (WHERE {_REPAIRABLE}) AS unfinished, count(*) AS n FROM ({COPIES}) GROUP BY tier"),
     "documents_by_kind": f"""
-WITH f AS (SELECT [{", ".join(f"'{n}'" for n in (*_NAMES, "index.html", "page.aspx?a=b", "data"))}][l_partkey % 10 + 1] AS name, l_partkey % 10 AS p, CASE l_suppkey % 3 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/html; charset=utf-8' ELSE '' END AS type, l_suppkey % 3 AS s FROM lineitem WHERE l_linenumber = 1)
+WITH f AS (SELECT [{", ".join(f"'{n}'" for n in (*_NAMES, "index.html", "page.aspx?a=b", "data"))}][l_partkey % 10 + 1] AS name, l_partkey % 10 AS p, CASE l_suppkey % 3 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/html; charset=utf-8' ELSE '' END AS type, l_suppkey % 3 AS s FROM lineitem)
 SELECT name, type, p NOT IN (7, 8) AND s <> 1 AND (p IN (0, 3, 4, 5, 6) OR s = 0) AS document, count(*) AS n FROM f GROUP BY ALL""",
 }
 
