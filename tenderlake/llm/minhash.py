@@ -218,7 +218,8 @@ def find_classes(docs: DataFrame, text: str, jaccard: tuple[int, int]) -> Classe
     # Ids that several rows hold: their texts may be read more than once below.
     often = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     wanted = rows.join(wanted, "row").join(often, "doc_id", "left").select("doc_id", "mark", F.col("row").alias("node"), F.col("n").isNotNull().alias("again"))
-    texts = source.join(written(wanted, "minhash-wanted"), ["doc_id", "mark"]).select("node", "again", "text")
+    # Dealt by hash at every size: what is wanted grows with the table.
+    texts = source.join(written(wanted, "minhash-wanted").hint("merge"), ["doc_id", "mark"]).select("node", "again", "text")
     sets = written(texts.mapInArrow(_sets, "node bigint, again boolean, shingles binary"), "minhash-sets")
     once = written(sets.where("again").dropDuplicates(["node"]), "minhash-sets-again")
     sets = sets.where("NOT again").unionByName(once).select("node", "shingles")
