@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import checkpointed
 from ..functions.identity import canonical_key, previous_key
 from ..functions.text import any_of, let, or_empty
 
@@ -145,7 +146,7 @@ def merge_copies(rows: DataFrame, order: list[str], most: int = MAX_GATHERED) ->
         more = several.where(F.col("__round") == k).select("key", F.struct(*order).alias("at"), F.struct(*columns).alias("row"))
         before = merged.join(more.select("key").distinct(), "key", "left_semi").select("key", F.lit(None).cast(more.schema["at"].dataType).alias("at"), "row")
         after = _fold(before.unionByName(more), order, kinds)
-        merged = merged.join(after.select("key"), "key", "left_anti").unionByName(after).checkpoint()
+        merged = checkpointed(merged.join(after.select("key"), "key", "left_anti").unionByName(after))
     return merged.select("key", "row.*").unionByName(single)
 
 
@@ -267,6 +268,46 @@ def without(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return df.join(other.select(key), key, "left_anti")
 
 
+def with_finished(ledger: DataFrame, finished: DataFrame) -> DataFrame:
+    """The done-ledger with the hashes that a run finished, each once."""
+    return ledger.select("hash").unionByName(finished.select("hash")).distinct()
+
+
+def known_live(units: DataFrame, register: DataFrame, hint: str = "sol_hint") -> DataFrame:
+    """Units with `known`: whether their reference is that of a verified row that isn't over."""
+    plain = lambda c: F.upper(F.trim(or_empty(F.col(c))))
+    live = register.where((or_empty(F.col("verified")) == "VERIFIED") & ~_true(F.col("archived"))).select(plain("sol").alias("__live")).where("__live != ''").distinct()
+    return units.join(live, plain(hint) == F.col("__live"), "left").withColumn("known", F.col("__live").isNotNull()).drop("__live")
+
+
+def adopted_references(old: DataFrame, again: DataFrame) -> DataFrame:
+    """(key, sol, note) of the rows read again: the number that each may bear. A row that has one
+    keeps it. One without adopts what was read only if no other row bears that number; of several that
+    read the same free number the first key does. The rest stay without, with a note."""
+    plain = lambda c: F.upper(F.trim(or_empty(F.col(c))))
+    owners = old.where(plain("sol") != "").groupBy(plain("sol").alias("found")).agg(F.min("key").alias("owner"))
+    read = again.select("key", plain("sol").alias("found")).join(old.select("key", F.col("sol").alias("own")), "key")
+    bare = (or_empty(F.col("own")) == "") & (F.col("found") != "")
+    first = read.where(bare).groupBy("found").agg(F.min("key").alias("first"))
+    out = read.join(owners, "found", "left").join(first, "found", "left")
+    taken = bare & (F.coalesce("owner", "first") != F.col("key"))
+    note = F.concat(F.lit("re-scan read number "), F.col("found"), F.lit(", which belongs to another record"))
+    return out.select("key", F.when(~bare, or_empty(F.col("own"))).when(taken, "").otherwise(F.col("found")).alias("sol"), F.when(taken, note).alias("note"))
+
+
+def target_rows(register: DataFrame, want: str) -> DataFrame:
+    """The rows that a reference or a link names."""
+    is_it = lambda c: F.upper(F.trim(or_empty(F.col(c)))) == F.upper(F.trim(F.lit(want)))
+    return register.where(is_it("sol") | is_it("link"))
+
+
+def with_country_code(rows: DataFrame, codes: DataFrame) -> DataFrame:
+    """Rows with the code of their country, by its name without blanks at the ends; codes has
+    country and code, some names more than once."""
+    named = codes.groupBy(F.trim("country").alias("__name")).agg(F.min("code").alias("country_code"))
+    return rows.join(named, F.trim("country") == F.col("__name"), "left").drop("__name")
+
+
 def cap_ledger(ledger: DataFrame, most: int = 8000, newest: str | None = None) -> DataFrame:
     """The done-ledger cut to size: the newest entries if there is a time, else the largest hashes."""
     order = [F.col(newest).desc()] if newest else []
@@ -282,7 +323,7 @@ def first_per(df: DataFrame, key: str, order: str) -> DataFrame:
 
 def to_rows(df: DataFrame, as_of: str) -> DataFrame:
     """Answers and units as register rows (reads closing, qa_due and the fields of the answer)."""
-    past = (or_empty(F.col("closing")) != "") & (F.col("closing") < as_of)
+    past = (or_empty(F.col("deadline")) != "") & (F.col("deadline") < as_of)
     return df.withColumnsRenamed({"closing": "deadline", "qa_due": "qa", "est_value": "value"}).withColumns({
         "status": F.when(F.coalesce(past, F.lit(False)), "Expired").otherwise("Active"), "archived": F.coalesce(past, F.lit(False)),
         "sol": F.when(or_empty(F.col("sol")) != "", F.col("sol")).otherwise(or_empty(F.col("sol_hint"))), "updated": F.lit(as_of),

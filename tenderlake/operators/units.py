@@ -167,6 +167,17 @@ def api_notices(notices: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     return keyed.where("__key IS NOT NULL").dropDuplicates(["__key"]).unionByName(keyed.where("__key IS NULL")).drop("__key")
 
 
+def notice_texts(ids: DataFrame, notices: DataFrame, pages: DataFrame, documents: DataFrame, most: int = 8) -> DataFrame:
+    """Text and attachments of notices by id: title and description of the API's answer (id, title,
+    description, attachments) with the texts of the first attachments, else the text of the public page
+    (id, page). An id that neither knows has an empty text."""
+    told = notices.select("id", F.concat_ws("\n\n", F.nullif("title", F.lit("")), F.nullif("description", F.lit(""))).alias("told"), "attachments")
+    both = ids.select("id").distinct().join(told, "id", "left").join(pages.select("id", "page"), "id", "left")
+    text = F.coalesce(F.nullif("told", F.lit("")), F.col("page"), F.lit(""))
+    units = both.select(F.col("id").alias("key"), text.alias("text"), F.coalesce("attachments", F.array().cast("array<string>")).alias("attachments"))
+    return with_attachments(units, documents, most).withColumnRenamed("key", "id")
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Items (url, href, ...) of a later snapshot that the earlier one lacks."""
     return after.join(before.select("url", "href").distinct(), ["url", "href"], "left_anti")

@@ -116,3 +116,16 @@ def test_what_excludes(spark):
     df = spark.createDataFrame([(q, w) for q, w in QUOTES], "q string, want boolean")
     bad = df.withColumn("got", proof.citation_excludes(F.col("q"))).where("got.ok <> want").collect()
     assert bad == []
+
+
+def test_offsets_in_long_texts_take_linear_time(spark):
+    import re
+
+    from tenderlake.functions import text
+
+    n = 20_000
+    body = "".join(f"line {i} RFQ-{1000 + i % 700} due 2026-10-{1 + i % 28:02d}\n" for i in range(n))
+    df = spark.createDataFrame([(body,)], "t string")
+    got = df.select(text.match_spans(F.col("t"), text.REFERENCE, 1).alias("m"), text.reference_marks(F.col("t")).alias("r"), F.size(D.scan_dates(F.col("t"))).alias("n")).first()
+    assert [(m.start, m.end, m.value) for m in got.m] == [(m.start(), m.end(), m[1]) for m in re.finditer(text.REFERENCE, body)]
+    assert [(r.start, r.value) for r in got.r] == [(body.index(f"RFQ-{1000 + i} "), f"RFQ-{1000 + i}") for i in range(700)] and got.n == n

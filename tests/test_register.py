@@ -1,6 +1,7 @@
 """Identity, merge, archive and junk on the cases of FIXTURES.md."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +142,25 @@ def test_repair_backlog(spark):
     assert len(out) == 20 and sorted(r.rank for r in out) == list(range(20))
     assert {r.id for r in out if r["rank"] < 8} == set(range(12, 20))
     assert [sum(r.shard == s for r in out) for s in range(3)] == [7, 7, 6]
+
+
+def test_keys_with_many_copies_are_folded_round_by_round(spark):
+    pick = random.Random(3)
+    fields = T.StructType.fromDDL(register.REGISTER).fieldNames()
+    rows = []
+    for i in range(60):
+        row = dict.fromkeys(fields) | {"sol": "19AB1026Q0002" if i % 3 else f"19AB1026Q1{i:03d}", "link": "l", "tier": pick.choice(["BID", "NO", "MID"]), "deadline": pick.choice(["", "2026-11-01", "2026-12-01"])}
+        row |= {"archived": pick.random() < 0.3, "updated": f"2026-05-{pick.randint(1, 28):02d}", "source": "SITE", "files": [f"f{i}"], "repairTries": pick.randint(0, 3), "value": pick.choice(["", "5"])}
+        rows.append((*[row[f] for f in fields], i))
+    df = spark.createDataFrame(rows, f"{register.REGISTER}, pos int").repartition(3)
+    whole = {r.key: r for r in register.merge_copies(df, ["pos"]).collect()}
+    assert len(whole) == 21 and len(whole["19AB1026Q0002"].files) == 40
+    for most in (15,):
+        assert {r.key: r for r in register.merge_copies(df, ["pos"], most).collect()} == whole
+
+
+def test_numbers_are_adopted_only_if_free(spark):
+    old = spark.createDataFrame([("a", ""), ("b", None), ("c", ""), ("d", "N1"), ("e", "")], "key string, sol string")
+    again = spark.createDataFrame([("a", "n1"), ("b", "free"), ("c", " FREE "), ("d", "other"), ("e", None), ("z", "gone")], "key string, sol string")
+    got = {r.key: (r.sol, r.note is not None) for r in register.adopted_references(old, again).collect()}
+    assert got == {"a": ("", True), "b": ("FREE", False), "c": ("", True), "d": ("N1", False), "e": ("", False)}

@@ -31,13 +31,28 @@ def test_documents_of_all_kinds(spark):
     files = {
         "a.docx": (DOCX, "Closing 2026-10-12\na | b"), "b.xlsx": (XLSX, "[SHEET: Prices]\ndesk | 12"), "c.rtf": (rb"{\rtf1 Closing \b 2026-10-12}", "2026-10-12"),
         "d.csv": ("Clôture;2026-10-12".encode("utf-16"), "Clôture;2026-10-12"), "e.txt": ("Clôture 2026-10-12".encode("cp1252"), "Clôture 2026-10-12"), "f.txt": ("due 2026-10-12".encode("utf-16-le"), "due 2026-10-12"),
-        "g.zip": (_zip(one_txt="inner 2026-10-12"), "[ZIP MEMBER: one.txt]\ninner 2026-10-12"), "h.html": (b"<script>x</script><p>due 2026-10-12</p>", "due 2026-10-12"),
-        "i": (b"plain words that are long enough to be read as text", "plain words"), "j.docx": (b"broken", ""), "k.doc": (b"x", ""), "l.bin": (b"\xff\x00\x81", ""), "m.txt": (b"", ""), "n": (DOCX, "Closing 2026-10-12"),
+        "g.zip": (_zip(one_txt="inner 2026-10-12"), "inner 2026-10-12"), "h.html": (b"<script>x</script><p>due 2026-10-12</p>", "due 2026-10-12"),
+        "i": (b"plain words that are long enough to be read as text", "plain words"), "j.docx": (b"broken", ""), "k.doc": (b"x", ""), "l.bin": (b"\xff\x00\x81", ""), "m.txt": (b"", ""), "n": (DOCX, "Closing 2026-10-12"), "o.xls": (XLSX, "desk | 12"), "p.xls": (b"\xd0\xcf\x11\xe0old", ""),
     }
     df = spark.createDataFrame([(n, bytearray(b), None) for n, (b, _) in files.items()], "url string, content binary, content_type string")
     got = {r.url: r for r in readers.read_documents(df).collect()}
     for name, (_, want) in files.items():
         assert want in got[name].text and (bool(want) or (got[name].text == "" and got[name].note)), name
+    assert got["g.zip"].member == "one.txt" and got["a.docx"].member == ""
+
+
+def test_members_of_zip_files_are_rows(spark):
+    inner = _zip(deep_txt="deep 2026-10-12")
+    box = _zip(**{"a_txt": "first", "b_rtf": r"{\rtf1 second}", "c.bin": b"\xff\x00\x81", "d.zip": inner, "e.docx": b"PKbroken"})
+    many = _zip(**{f"m{i}_txt": f"member {i}" for i in range(30)})
+    df = spark.createDataFrame([("x.zip", bytearray(box), None), ("y", bytearray(many), "application/zip"), ("z.zip", bytearray(b"PKno"), None)], "url string, content binary, content_type string")
+    read = readers.read_documents(df)
+    got = {(r.url, r.member): (r.text, bool(r.note), r.truncated) for r in read.collect()}
+    assert got[("x.zip", "a.txt")] == ("first", False, False) and got[("x.zip", "d.zip/deep.txt")][0] == "deep 2026-10-12"
+    assert got[("x.zip", "c.bin")][:2] == ("", True) and got[("x.zip", "e.docx")][:2] == ("", True) and got[("z.zip", "")][:2] == ("", True)
+    assert len([k for k in got if k[0] == "y"]) == 26 and got[("y", "")] == ("", True, True)
+    joined = {r.url: r for r in readers.joined_members(read).collect()}
+    assert joined["x.zip"].text.startswith("[ZIP MEMBER: a.txt]\nfirst\n\n[ZIP MEMBER: b.rtf]") and joined["x.zip"].unread == 2 and joined["y"].truncated
 
 
 def test_what_is_a_document(spark):
