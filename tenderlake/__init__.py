@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,12 +24,42 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+#: The tables that each open step has written, the innermost step last.
+_steps: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, written once to the shared folder and read back: lost executors cost no
+    recomputation, the lineage is cut, and Spark sees the true size when it picks a join."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for step in _steps[-1:]:
+        step.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def step(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A step of which only the result stays: what it gives writes a table like `written`, and at the
+    end all other tables written within are deleted. What is kept belongs to the step around it."""
+    own: list[str] = []
+    _steps.append(own)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        path = own.pop()
+        for around in _steps[-2:-1]:
+            around.append(path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _steps.remove(own)
+        context = spark.sparkContext
+        for path in map(context._jvm.org.apache.hadoop.fs.Path, own):
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import money, or_empty
 
 LEAST_BASIS, LEAST_CONFIDENCE = 25, 0.35
+GIVEN_TEXT, READ_TEXT = 12000, 9000
 
 
 def wants_estimate() -> Column:
@@ -28,3 +29,8 @@ def accepted(low: Column, likely: Column, high: Column, basis: Column, confidenc
     good = (F.length(F.trim(or_empty(basis))) >= LEAST_BASIS) & (F.size(values) > 0) & (sure >= least_confidence)
     out = F.struct(first.alias("low"), mid.alias("likely"), last.alias("high"), display.alias("display"), F.substring(F.trim(basis), 1, 700).alias("basis"), F.round(sure, 2).alias("confidence"))
     return F.when(good, out)
+
+
+def estimator_body(text: Column) -> Column:
+    """What an estimator reads of a text."""
+    return F.substring(F.regexp_replace(F.substring(or_empty(text), 1, GIVEN_TEXT), r"[ \t\n\x0B\f\r]+", " "), 1, READ_TEXT)

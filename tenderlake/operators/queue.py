@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import written
 from ..functions.text import any_of, file_score, or_empty
 
 MAX_TRIES = 3
@@ -54,14 +55,16 @@ def repair_score() -> Column:
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """df with the place of each row in a total order, from 0. The order is laid out by ranges and
-    places are counted within them, so no task sorts the whole table."""
+    places are counted within them, so no task sorts the whole table. The ranges are written once: what
+    counts them and what numbers their rows read the same parts."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
-    parts = parts.sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()).withColumn("__at", F.col("__id") - F.shiftleft(F.shiftright("__id", 33), 33))
-    parts = parts.withColumn("__part", F.shiftright("__id", 33).cast("int"))
-    counts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    laid = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    part = F.shiftright("__id", 33)
+    laid = written(laid, "ranked").withColumns({"__part": part.cast("int"), "__at": F.col("__id") - F.shiftleft(part, 33)})
+    counts = laid.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return parts.join(F.broadcast(before.select("__part", "__before")), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__id", "__at", "__before")
+    # One row of counts for each range.
+    return laid.join(F.broadcast(before.select("__part", "__before")), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__id", "__at", "__before")
 
 
 def repair_queue(register: DataFrame, tie: str = "key") -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import checkpointed
+from .. import written
 from ..functions.identity import canonical_key, previous_key
 from ..functions.text import any_of, let, or_empty
 
@@ -132,21 +132,25 @@ def merge_copies(rows: DataFrame, order: list[str], most: int = MAX_GATHERED) ->
 
     Keys are counted first. A row without a twin passes through; the copies of a key are gathered, up
     to `most` at a time: the fold isn't associative, so a key with more of them is folded round by
-    round, each taking up where the one before ended, and no task holds more than a round of it."""
+    round, each taking up where the one before ended, and no task holds more than a round of it. A
+    round reads and writes nothing of the other keys."""
     columns = [f.name for f in rows.schema if f.name not in order and f.name != "key"]
     keyed = (rows if "key" in rows.columns else with_key(rows)).where("key != ''")
     one = Window.partitionBy("key")
     keyed = keyed.withColumns({"__n": F.count(F.lit(1)).over(one), "__round": F.floor((F.row_number().over(one.orderBy(*order)) - 1) / most).cast("int")})
     single, several = keyed.where("__n = 1").select("key", *columns), keyed.where("__n > 1")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name in columns}
-    start = several.where("__round = 0").select("key", F.struct(*order).alias("at"), F.struct(*columns).alias("row"))
-    merged = _fold(start, order, kinds)
-    rounds = (rows if "key" in rows.columns else with_key(rows)).groupBy("key").count().where(F.col("count") > most).agg(F.max("count")).first()[0]
-    for k in range(1, -(-(rounds or 0) // most)):
-        more = several.where(F.col("__round") == k).select("key", F.struct(*order).alias("at"), F.struct(*columns).alias("row"))
-        before = merged.join(more.select("key").distinct(), "key", "left_semi").select("key", F.lit(None).cast(more.schema["at"].dataType).alias("at"), "row")
-        after = _fold(before.unionByName(more), order, kinds)
-        merged = checkpointed(merged.join(after.select("key"), "key", "left_anti").unionByName(after))
+    placed = lambda df: df.select("key", F.struct(*order).alias("at"), F.struct(*columns).alias("row"))
+    merged = _fold(placed(several.where(F.col("__n") <= most)), order, kinds)
+    longest = (rows if "key" in rows.columns else with_key(rows)).where("key != ''").groupBy("key").count().agg(F.max("count")).first()[0] or 0
+    if longest > most:
+        many = written(several.where(F.col("__n") > most), "merge-many")
+        done = written(_fold(placed(many.where("__round = 0")), order, kinds), "merge-round")
+        for k in range(1, -(-longest // most)):
+            more = placed(many.where(F.col("__round") == k))
+            before = done.select("key", F.lit(None).cast(more.schema["at"].dataType).alias("at"), "row")
+            done = written(_fold(before.unionByName(more), order, kinds), "merge-round")
+        merged = merged.unionByName(done)
     return merged.select("key", "row.*").unionByName(single)
 
 

@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import written
 from ..functions.text import any_of, file_words, host, is_document, is_offsite, let, or_empty, reference, reference_marks
 
 # Fixed values -------------------------------------------------------------------------------------
 HINTS = ("tender", "procure", "solicit", "rfq", "rfp", "itb", "bid", "quotation", "notice", "opportunit")
-MAX_PAGES, MAX_DOCUMENTS, MAX_HTML = 8, 25, 15
+NOTICE_HINTS = ("notice", "tender", "rfq", "rfp", "itb", "eoi", "procurement", "solicitation", "bid", "opportunit", "award", "requisition")
+LISTING_SOCIAL = ("facebook", "twitter", "x.com", "linkedin", "youtube")
+SMELLS = ("solicitation", "rfq", "rfp", "itb", "ifb", "tender", "attachment", "amendment", "sow", "scope", "bid", "download", "annex", "document")
+CHASED = ("pdf", "doc", "docx", "xls", "xlsx", "xlsm", "rtf", "txt", "csv", "odt", "ods", "zip", "ppt", "pptx")
+PORTAL_NOTICE = r"(?i)https?://(?:www\.)?sam\.gov/opp/([0-9a-fA-F]{8,})"
+#: How many of a kind are looked at, stage by stage.
+CAPS = {"pages": (8, 4), "html": (15, 8), "files": (25, 12), "units": (12,), "blocks": (8,), "notices": (25, 10), "attachments": (15, 12, 8, 6)}
+MAX_PAGES, MAX_DOCUMENTS, MAX_HTML, MAX_HOPS = CAPS["pages"][0], CAPS["files"][0], CAPS["html"][0], 3
+NOTICE_TYPES, SEARCH_HOURS, SEARCH_LIMIT = ("o", "k", "r"), (14,), 60
 LEAST_FILE_TEXT, LEAST_BLOCK, LEAD_BACK, LEAD_SHORT = 120, 200, 220, 80
 # --------------------------------------------------------------------------------------------------
 
@@ -65,19 +74,60 @@ def candidates(links_: DataFrame, hints: tuple[str, ...] = HINTS) -> DataFrame:
     return first.withColumn("rank", rank).where(F.col("rank") <= most).select("url", "kind", "href", "rank")
 
 
-def reach(links_: DataFrame, hops: int = 3) -> DataFrame:
-    """(root, url, hop): what is reached from each page along links within its host in at most
-    `hops` steps, each place once, at its fewest steps."""
-    edges = links_.where(host(F.col("href")) == host(F.col("url"))).select(F.col("url").alias("from"), F.col("href").alias("to")).distinct()
-    seen = edges.select(F.col("from").alias("root")).distinct().select("root", F.col("root").alias("url"), F.lit(0).alias("hop"))
+def listed_notices(links_: DataFrame, hints: tuple[str, ...] = NOTICE_HINTS, most: int = CAPS["notices"][0]) -> DataFrame:
+    """(url, href, title, rank): the first notices that a listing page leads to, each place once."""
+    hay = F.lower(F.concat_ws(" ", "href", "anchor"))
+    good = links_.where(any_of(hay, hints) & ~any_of(hay, LISTING_SOCIAL))
+    first = good.groupBy("url", F.regexp_replace("href", "#.*$", "").alias("href")).agg(F.min(F.struct("pos", "anchor")).alias("at"))
+    rank = F.row_number().over(Window.partitionBy("url").orderBy("at.pos"))
+    return first.withColumn("rank", rank).where(F.col("rank") <= most).select("url", "href", F.substring(F.trim(or_empty(F.col("at.anchor"))), 1, 180).alias("title"), "rank")
+
+
+def within_cap(items: DataFrame, group: str, order: str, kind: str, stage: int = 0) -> DataFrame:
+    """The first items of each group, as many as a stage looks at, with their rank."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    return items.withColumn("rank", rank).where(F.col("rank") <= CAPS[kind][stage])
+
+
+def _walk(edges: DataFrame, hops: int) -> DataFrame:
+    """(root, url, hop, document) along edges (from, to, document). Nothing leads on from a document.
+    Each hop is written, so the next one starts from its rows."""
+    edges = written(edges, "walk-links")
+    seen = edges.select(F.col("from").alias("root")).distinct().select("root", F.col("root").alias("url"), F.lit(0).alias("hop"), F.lit(False).alias("document"))
     front = seen
     for hop in range(1, hops + 1):
-        new = front.join(edges, front["url"] == edges["from"]).select("root", F.col("to").alias("url")).distinct()
-        front = new.join(seen.select("root", "url"), ["root", "url"], "left_anti").withColumn("hop", F.lit(hop))
+        on = front.where("NOT document").select("root", "url")
+        new = on.join(edges.withColumnRenamed("from", "url"), "url").groupBy("root", F.col("to").alias("url")).agg(F.bool_or("document").alias("document"))
+        front = written(new.join(seen.select("root", "url"), ["root", "url"], "left_anti").select("root", "url", F.lit(hop).alias("hop"), "document"), "walk-front")
         seen = seen.unionByName(front)
     return seen
 
 
+def reach(links_: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
+    """(root, url, hop): what is reached from each page along links within its host in at most
+    `hops` steps, each place once, at its fewest steps."""
+    edges = links_.where(host(F.col("href")) == host(F.col("url"))).select(F.col("url").alias("from"), F.col("href").alias("to"), F.lit(False).alias("document")).distinct()
+    return _walk(edges, hops).drop("document")
+
+
+def chase(links_: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
+    """(root, url, hop, document): where the notice behind each page may be. Documents are always
+    followed, wherever they lie but on social sites, pages within the host if the link speaks of one."""
+    document = F.substring_index(F.lower("href"), "?", 1).rlike(rf"\.({'|'.join(CHASED)})$")
+    speaks = any_of(F.lower(F.concat_ws(" ", "href", "anchor")), SMELLS)
+    good = links_.withColumn("document", document).where(~is_offsite(F.col("href")) & (F.col("document") | ((host(F.col("href")) == host(F.col("url"))) & speaks)))
+    to = F.when(F.col("document"), F.col("href")).otherwise(F.regexp_replace("href", "#.*$", ""))
+    return _walk(good.select(F.col("url").alias("from"), to.alias("to"), "document").distinct(), hops)
+
+
+def redirects(reached: DataFrame, pages: DataFrame, html: str = "html") -> DataFrame:
+    """(root, notice_id): the notice of the portal that the first page reached (root, url, hop)
+    which names one leads to."""
+    named = pages.select("url", F.regexp_extract(or_empty(F.col(html)), PORTAL_NOTICE, 1).alias("notice_id")).where("notice_id != ''")
+    first = reached.join(named, "url").groupBy("root").agg(F.min(F.struct("hop", "url", "notice_id")).alias("first"))
+    return first.select("root", "first.notice_id")
+
+
 def _lead(text: Column, pos: Column) -> Column:
     """Where the block of a reference at pos starts: at the heading lines above it, at most LEAD_BACK
     back. Only what stands so near is looked at."""
@@ -116,15 +166,27 @@ def split_listing(pages: DataFrame, text: str = "text", least: int = LEAST_BLOCK
     return each.select(*pages.columns, "__b.sol", "__b.block").where(F.length("block") >= least)
 
 
-def group_files(files: DataFrame, url: str = "url", text: str = "text", note: str = "note", order: str = "pos") -> DataFrame:
-    """One row per notice of a set of loose files: sol, text, files, ok, fail, notes. A
-    file belongs to the reference in its text, else in its name, else to itself. Texts are gathered per
-    notice, in order."""
+def file_rows(files: DataFrame, url: str = "url", text: str = "text", note: str = "note", order: str = "pos") -> DataFrame:
+    """(key, sol, pos, url, text, ok, why) of loose files. A file belongs to the reference in its
+    text, else in its name, else to itself; one with hardly any text isn't ok."""
     words = or_empty(F.col(text))
     sol = F.coalesce(F.nullif(reference(words), F.lit("")), F.nullif(reference(file_words(F.col(url))), F.lit("")))
     ok = F.length(words) >= LEAST_FILE_TEXT
     said = F.when(~ok, F.coalesce(F.nullif(F.col(note), F.lit("")), F.lit("no readable text in this file"))).otherwise(F.nullif(F.col(note), F.lit("")))
-    f = files.select(F.coalesce(sol, F.col(url)).alias("key"), sol.alias("sol"), F.col(order).alias("pos"), F.col(url).alias("url"), words.alias("text"), ok.alias("ok"), said.alias("why"))
+    return files.select(F.coalesce(sol, F.col(url)).alias("key"), sol.alias("sol"), F.col(order).alias("pos"), F.col(url).alias("url"), words.alias("text"), ok.alias("ok"), said.alias("why"))
+
+
+def file_counts(rows: DataFrame) -> DataFrame:
+    """A16 of file_rows without their texts: (key, sol, ok, fail, n_text), however many files a notice has."""
+    length = F.length("url") + F.length("text") + 16
+    return rows.groupBy("key").agg(F.first("sol").alias("sol"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("fail"), F.coalesce(F.sum(F.when(F.col("ok"), length + 2)) - 2, F.lit(0)).alias("n_text"))
+
+
+def group_files(files: DataFrame, url: str = "url", text: str = "text", note: str = "note", order: str = "pos") -> DataFrame:
+    """One row per notice of a set of loose files: sol, text, files, ok, fail, notes. The
+    texts of a notice are joined in order, so its row is as large as they are; where that may be too
+    much, file_rows and file_counts give the same as rows and numbers."""
+    f = file_rows(files, url, text, note, order)
     listed = F.array_sort(F.collect_list(F.struct("pos", "url", "text", "ok", "why")))
     g = f.groupBy("key").agg(F.first("sol").alias("sol"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("fail"), listed.alias("all"))
     good = F.filter("all", lambda x: x["ok"])
@@ -167,6 +229,15 @@ def api_notices(notices: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     return keyed.where("__key IS NOT NULL").dropDuplicates(["__key"]).unionByName(keyed.where("__key IS NULL")).drop("__key")
 
 
+def search_turn(notices: DataFrame, hour: int, shard: int, order: str = "pos", kinds: tuple[str, ...] = NOTICE_TYPES, hours: tuple[int, ...] = SEARCH_HOURS, limit: int = SEARCH_LIMIT) -> DataFrame:
+    """What a run takes of the landed notices (ptype, country_code): only the first shard searches,
+    only at some hours, a page of the wanted types and a page of the domestic ones; api_notices drops
+    what stands on both."""
+    wanted = notices.where(F.col("ptype").isin(*kinds) & F.lit(shard == 0 and (not hours or hour in hours)))
+    page = lambda df: df.orderBy(order).limit(limit)
+    return page(wanted).unionByName(page(wanted.where("country_code = 'US'")))
+
+
 def notice_texts(ids: DataFrame, notices: DataFrame, pages: DataFrame, documents: DataFrame, most: int = 8) -> DataFrame:
     """Text and attachments of notices by id: title and description of the API's answer (id, title,
     description, attachments) with the texts of the first attachments, else the text of the public page

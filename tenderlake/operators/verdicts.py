@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import proof
-from ..functions.text import json_body, let, or_empty
+from ..functions.text import json_body, let, or_empty, strip_chrome
 
 TIERS = ("BID", "MID", "NO", "REVIEW")
 SECTORS = ("COTS", "SERVICES", "CONSTRUCTION", "MIXED")
 NO_CLOSING = "[no-closing]"
+BODY, EVIDENCE, SHOWN, LEAST_READABLE = 18000, 1500, 600, 180
 # Clauses on registration, which never hold a notice back.
 REGISTRATION = (
     r"(?i)\b(sam\.gov|system for award management|far\s*52\.204-7|unique entity (id|identifier)"
@@ -29,6 +30,14 @@ LIST_FIELDS = {"line_items": (120, 20), "submit_forms": (90, 12), "gotchas": (18
 # --------------------------------------------------------------------------------------------------
 
 
+def reader_texts(text: Column) -> Column:
+    """(body, evidence, shown, readable) of a notice: what a reader is given, what is kept of it as
+    evidence and shown in the register, and whether there is enough to judge."""
+    whole = F.regexp_replace(strip_chrome(text), r"[ \t\n\x0B\f\r]+", " ")
+    cut = lambda w, n: F.substring(w, 1, n)
+    return let(whole, lambda w: F.struct(cut(w, BODY).alias("body"), cut(w, EVIDENCE).alias("evidence"), cut(w, SHOWN).alias("shown"), (F.length(w) >= LEAST_READABLE).alias("readable")))
+
+
 def _get(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, f"$.{path}", kind)
 

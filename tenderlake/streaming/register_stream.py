@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.register import REGISTER, archive, is_junk, merge_copies, with_key
+from ..operators.register import REGISTER, archive, is_junk, merge_copies, stamp, with_key
 
 
 def merge_batch(prior: DataFrame | None, fresh: DataFrame, as_of: str) -> DataFrame:
-    """The register after a batch: prior rows first, then the batch's, folded per key."""
-    rows = fresh.withColumn("shard", F.lit(1)).withColumn("pos", F.xxhash64(*fresh.columns[:3]))
+    """The register after a batch: prior rows first, then the batch's by the time they were last worked
+    on, equal times by all they hold, folded per key."""
+    rows = fresh.withColumns({"shard": F.lit(1), "at": stamp(), "pos": F.xxhash64(F.to_json(F.struct("*")))})
     if prior is not None:
-        rows = prior.select(*fresh.columns).withColumn("shard", F.lit(0)).withColumn("pos", F.lit(0).cast("bigint")).unionByName(rows)
-    return archive(merge_copies(with_key(rows), ["shard", "pos"]).drop("key").where(~is_junk()), as_of)
+        before = prior.select(*fresh.columns).withColumns({"shard": F.lit(0), "at": F.lit(""), "pos": F.lit(0).cast("bigint")})
+        rows = before.unionByName(rows)
+    return archive(merge_copies(with_key(rows), ["shard", "at", "pos"]).drop("key").where(~is_junk()), as_of)
 
 
 def start(spark: SparkSession, source: str, table_dir: str, checkpoint: str, as_of: str, schema: str = REGISTER) -> StreamingQuery:
