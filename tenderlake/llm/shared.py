@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import shared_dir
+from .. import written  # noqa: F401  the operators' intermediate tables
 
 #: Characters that separate words, as a Java and RE2 class body and as plain characters.
 BLANKS = " \t\n\u000b\u000c\r"
@@ -15,15 +13,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once to the shared folder and read back: lost executors cost no
-    recomputation, the lineage is cut, and Spark sees the true size when it picks a join."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each led by as many underscores as keep it apart from the columns of df."""
     taken = {c.lower() for c in df.columns}
