@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, fertility, language, licenses, lines, minhash, mixing, packing, secrets, vectors
+from . import classifier, fertility, language, licenses, lines, minhash, mixing, packing, repeats, secrets, vectors
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality_rules": fertility.op8_quality_rules,
         "op9_mixing": mixing.op9_mixing,
         "op10_embedding_dedup": vectors.op10_embedding_dedup,
+        "op12_suffix_array_dedup": repeats.op12_suffix_array_dedup,
     }
 
 
