@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, fertility, language, licenses, lines, minhash, mixing, packing, repeats, secrets, vectors
+from . import centroids, classifier, fertility, language, licenses, lines, minhash, mixing, packing, repeats, secrets, vectors
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality_rules": fertility.op8_quality_rules,
         "op9_mixing": mixing.op9_mixing,
         "op10_embedding_dedup": vectors.op10_embedding_dedup,
+        "op11_centroid_clustering": centroids.op11_centroid_clustering,
         "op12_suffix_array_dedup": repeats.op12_suffix_array_dedup,
     }
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_dedup": lines.ORACLE,
         "op7_license_scan": licenses.ORACLE,
         "op9_mixing": mixing.ORACLE,
+        "op11_centroid_clustering": centroids.ORACLE,
     }
