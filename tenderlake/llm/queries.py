@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, classifier, fertility, language, licenses, lines, minhash, mixing, packing, repeats, secrets, vectors
+from . import centroids, classifier, fertility, language, licenses, lines, minhash, mixing, packing, repeats, secrets, spelling, vectors
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_embedding_dedup": vectors.op10_embedding_dedup,
         "op11_centroid_clustering": centroids.op11_centroid_clustering,
         "op12_suffix_array_dedup": repeats.op12_suffix_array_dedup,
+        "op13_spelling_variants": spelling.op13_spelling_variants,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_license_scan": licenses.ORACLE,
         "op9_mixing": mixing.ORACLE,
         "op11_centroid_clustering": centroids.ORACLE,
+        "op13_spelling_variants": spelling.ORACLE,
     }
