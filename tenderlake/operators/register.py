@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import written
 from ..functions.identity import canonical_key, previous_key
 from ..functions.text import any_of, let, or_empty
+from .fold import CARRIED, fold
 
 # Fixed values -------------------------------------------------------------------------------------
 INDEX_PATHS = ("/business", "/procurement", "/jobs", "/tenders", "/opportunities", "/doing-business")
@@ -18,14 +18,8 @@ NAV_TITLES = (
 )
 KNOWN_SITES = ("usembassy.gov", "sam.gov", "ungm.org", "undp.org", "iom.int", "ilo.org", "unicef.org")
 DEAD_STATUS = ("cancelled", "canceled", "removed", "expired", "closed", "withdrawn", "awarded", "superseded", "dead")
-#: Fields that a winner takes from the loser where it has none; the deadline only if it is alive.
-ENRICHED = ("posted", "value", "setaside", "samId", "estimate", "citation")
-CARRIED = ("deleted", "deletedOn", "hidden", "hiddenOn", "switched", "switchedOn", "firstSeen", "notes", "verifyNotes")
 # --------------------------------------------------------------------------------------------------
 
-#: The most copies of a key that are gathered at a time.
-MAX_GATHERED = 2048
-
 #: Columns of a register row that the operators below read; rows may hold more.
 REGISTER = (
     "sol string, link string, title string, tier string, sector string, platform string, agency string, domestic boolean, post string, "
@@ -79,88 +73,18 @@ def stamp(r: Column | None = None) -> Column:
     return F.greatest(or_empty(at("lastDeepScan")), or_empty(at("updated")))
 
 
-def first_wins(a: Column, b: Column) -> Column:
-    """Whether copy a outlives copy b: a newer copy that says the notice is over; else the one
-    whose deadline has evidence; else the richer; else the newer, and of equals a."""
-    gone_a, gone_b, at_a, at_b = _true(a["archived"]), _true(b["archived"]), stamp(a), stamp(b)
-    proof = lambda r: or_empty(F.try_element_at(r["dateEvidence"], F.lit("closing"))) != ""
-    proven_a, proven_b = proof(a), proof(b)
-    return (
-        F.when(gone_a & ~gone_b & (at_a >= at_b), True)
-        .when(gone_b & ~gone_a & (at_b >= at_a), False)
-        .when(proven_a != proven_b, proven_a)
-        .when(richness(a) != richness(b), richness(a) > richness(b))
-        .otherwise(at_a >= at_b)
-    )
-
-
-def _merge_pair(a: Column, b: Column, kinds: dict[str, str]) -> Column:
-    """One row of two copies: the winner's, with what only the loser has."""
-    sides = let(first_wins(a, b), lambda wins: F.struct(F.when(wins, a).otherwise(b).alias("keep"), F.when(wins, b).otherwise(a).alias("other")))
-    return let(sides, lambda x: _enrich(a, b, x["keep"], x["other"], kinds))
-
-
-def _enrich(a: Column, b: Column, keep: Column, other: Column, kinds: dict[str, str]) -> Column:
-    fill = lambda c: F.when(~_filled(keep[c], kinds[c]) & _filled(other[c], kinds[c]), other[c]).otherwise(keep[c])
-    out = {c: keep[c] for c in kinds}
-    for c in (*ENRICHED, *CARRIED):
-        if c in kinds:
-            out[c] = fill(c)
-    over = _true(keep["archived"]) | F.coalesce(keep["tier"] == "NO", F.lit(False))
-    out["deadline"] = F.when(over, keep["deadline"]).otherwise(fill("deadline"))
-    tries = F.greatest(F.coalesce(a["repairTries"], F.lit(0)), F.coalesce(b["repairTries"], F.lit(0)))
-    out["repairTries"] = F.when(tries > 0, tries).otherwise(keep["repairTries"])
-    scans = F.greatest(or_empty(a["lastDeepScan"]), or_empty(b["lastDeepScan"]))
-    out["lastDeepScan"] = F.when(scans != "", scans).otherwise(keep["lastDeepScan"])
-    tags = lambda r: F.filter(F.split(F.upper(F.replace(or_empty(r["source"]), F.lit("+"), F.lit(" "))), r"\s+"), lambda x: x != "")
-    out["source"] = F.when(F.size(F.array_union(tags(a), tags(b))) > 1, "Site+SAM").otherwise(keep["source"])
-    none = F.array().cast("array<string>")
-    notes = lambda r: F.coalesce(r, none)
-    said = lambda x: F.contains(x, F.lit("gave up")) | F.contains(x, F.lit("re-scan"))
-    gave_up = F.filter(F.concat(notes(a["verifyNotes"]), notes(b["verifyNotes"])), said)
-    plain = F.filter(notes(out["verifyNotes"]), lambda x: ~F.contains(x, F.lit("gave up")) & ~x.startswith("re-scan"))
-    redo = (or_empty(keep["verified"]) != "VERIFIED") & (F.size(gave_up) > 0)
-    out["verifyNotes"] = F.when(redo, F.slice(F.concat(plain, F.slice(gave_up, -1, 1)), 1, 6)).otherwise(out["verifyNotes"])
-    out["files"] = F.array_distinct(F.concat(notes(keep["files"]), notes(other["files"])))
-    out["fileCount"] = F.size(out["files"])
-    return F.struct(*[out[c].cast(kinds[c]).alias(c) for c in kinds])
-
-
-def merge_copies(rows: DataFrame, order: list[str], most: int = MAX_GATHERED) -> DataFrame:
-    """One row per canonical key, the copies folded from left to right in the given order (prior
+def merge_copies(rows: DataFrame, order: list[str]) -> DataFrame:
+    """One row per canonical key, the copies folded from left to right in the given order (prior
     rows first, then worker by worker).
 
-    Keys are counted first. A row without a twin passes through; the copies of a key are gathered, up
-    to `most` at a time: the fold isn't associative, so a key with more of them is folded round by
-    round, each taking up where the one before ended, and no task holds more than a round of it. A
-    round reads and writes nothing of the other keys."""
+    The fold isn't associative, so the copies of a key meet in one task, sorted by it: rows are dealt
+    by key, sorted within their partition and folded as they stream by. A row without a twin passes
+    through; a key of any number of copies takes the memory of one batch and one row. Copies that
+    agree in the whole order fold in no fixed order."""
     columns = [f.name for f in rows.schema if f.name not in order and f.name != "key"]
     keyed = (rows if "key" in rows.columns else with_key(rows)).where("key != ''")
-    one = Window.partitionBy("key")
-    keyed = keyed.withColumns({"__n": F.count(F.lit(1)).over(one), "__round": F.floor((F.row_number().over(one.orderBy(*order)) - 1) / most).cast("int")})
-    single, several = keyed.where("__n = 1").select("key", *columns), keyed.where("__n > 1")
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name in columns}
-    placed = lambda df: df.select("key", F.struct(*order).alias("at"), F.struct(*columns).alias("row"))
-    merged = _fold(placed(several.where(F.col("__n") <= most)), order, kinds)
-    longest = (rows if "key" in rows.columns else with_key(rows)).where("key != ''").groupBy("key").count().agg(F.max("count")).first()[0] or 0
-    if longest > most:
-        many = written(several.where(F.col("__n") > most), "merge-many")
-        done = written(_fold(placed(many.where("__round = 0")), order, kinds), "merge-round")
-        for k in range(1, -(-longest // most)):
-            more = placed(many.where(F.col("__round") == k))
-            before = done.select("key", F.lit(None).cast(more.schema["at"].dataType).alias("at"), "row")
-            done = written(_fold(before.unionByName(more), order, kinds), "merge-round")
-        merged = merged.unionByName(done)
-    return merged.select("key", "row.*").unionByName(single)
-
-
-def _fold(copies: DataFrame, order: list[str], kinds: dict[str, str]) -> DataFrame:
-    """(key, row): the copies (key, at, row) of each key folded in the order of at; without at first."""
-    gathered = copies.groupBy("key").agg(F.collect_list(F.struct("at", "row")).alias("copies"))
-    earlier = lambda x, y: F.when(x["at"].isNull(), -1).when(y["at"].isNull(), 1).when(x["at"] < y["at"], -1).when(x["at"] > y["at"], 1).otherwise(0)
-    in_order = F.array_sort("copies", earlier)
-    fold = lambda all_: F.aggregate(F.slice(all_, 2, 1 << 30), F.get(all_, 0)["row"], lambda acc, x: _merge_pair(acc, x["row"], kinds))
-    return gathered.select("key", let(in_order, fold).alias("row"))
+    in_order = keyed.repartition("key").sortWithinPartitions("key", *order).select("key", *columns)
+    return in_order.mapInArrow(fold, in_order.schema)
 
 
 def carry_previous(rows: DataFrame) -> DataFrame:

@@ -144,19 +144,49 @@ def test_repair_backlog(spark):
     assert [sum(r.shard == s for r in out) for s in range(3)] == [7, 7, 6]
 
 
-def test_keys_with_many_copies_are_folded_round_by_round(spark):
+def many_copies(spark, n, keys):
     pick = random.Random(3)
     fields = T.StructType.fromDDL(register.REGISTER).fieldNames()
     rows = []
-    for i in range(60):
-        row = dict.fromkeys(fields) | {"sol": "19AB1026Q0002" if i % 3 else f"19AB1026Q1{i:03d}", "link": "l", "tier": pick.choice(["BID", "NO", "MID"]), "deadline": pick.choice(["", "2026-11-01", "2026-12-01"])}
-        row |= {"archived": pick.random() < 0.3, "updated": f"2026-05-{pick.randint(1, 28):02d}", "source": "SITE", "files": [f"f{i}"], "repairTries": pick.randint(0, 3), "value": pick.choice(["", "5"])}
+    for i in range(n):
+        row = dict.fromkeys(fields) | {"sol": keys(i), "link": "l", "tier": pick.choice(["BID", "NO", "MID"]), "deadline": pick.choice(["", None, "2026-11-01", "2026-12-01"])}
+        row |= {"archived": pick.choice([None, False, False, True]), "updated": f"2026-05-{pick.randint(1, 28):02d}", "source": pick.choice(["SITE", "SAM", None]), "files": [f"f{i % 50}"], "repairTries": pick.randint(0, 3), "value": pick.choice(["", "5"])}
+        row |= {"verified": pick.choice(["VERIFIED", "UNVERIFIED"]), "verifyNotes": pick.choice([None, [], ["no title"], ["re-scan: gave up"]]), "dateEvidence": pick.choice([None, {}, {"closing": "x"}]), "citation": pick.choice([None, ("d", "q")]), "estimate": pick.choice([None, 0.0, 2.5])}
         rows.append((*[row[f] for f in fields], i))
-    df = spark.createDataFrame(rows, f"{register.REGISTER}, pos int").repartition(3)
-    whole = {r.key: r for r in register.merge_copies(df, ["pos"]).collect()}
-    assert len(whole) == 21 and len(whole["19AB1026Q0002"].files) == 40
-    for most in (15,):
-        assert {r.key: r for r in register.merge_copies(df, ["pos"], most).collect()} == whole
+    return spark.createDataFrame(rows, f"{register.REGISTER}, pos int").repartition(3)
+
+
+def test_copies_that_run_over_batches_fold_the_same(spark):
+    df = many_copies(spark, 90, lambda i: "19AB1026Q0002" if i % 3 else f"19AB1026Q1{i // 2:03d}").cache()
+    whole = sorted(register.merge_copies(df, ["pos"]).collect(), key=str)
+    assert len(whole) == 31 and max(len(r.files) for r in whole) >= 40
+    try:
+        for rows in (1, 7):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            assert sorted(register.merge_copies(df, ["pos"]).collect(), key=str) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_fold_is_one_pass_over_sorted_rows(spark):
+    plan = register.merge_copies(many_copies(spark, 5, str), ["pos"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan and plan.count("MapInArrow") == 1 and "hashpartitioning(key" in plan
+
+
+def test_one_key_may_hold_a_third_of_a_million_rows(spark):
+    """The hot key is folded in order: its last, newest, archived copy wins and all tries are counted."""
+    fields = T.StructType.fromDDL(register.REGISTER)
+    n = 1_000_000
+    at, hot = F.col("id"), F.col("id") % 3 == 0
+    given = {
+        "sol": F.when(hot, F.lit("19AB1026Q0002")).otherwise(F.concat(F.lit("19AB"), F.lpad(at.cast("string"), 8, "0"))), "link": F.lit("l"), "tier": F.lit("BID"),
+        "updated": F.lpad(at.cast("string"), 9, "0"), "archived": at == n - 1, "files": F.array((at % 7).cast("string")), "repairTries": (at % 11).cast("int"), "title": at.cast("string"),
+    }
+    df = spark.range(n, numPartitions=8).select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields], F.col("id").alias("pos"))
+    out = register.merge_copies(df, ["pos"])
+    r = out.where("sol = '19AB1026Q0002'").collect()
+    assert len(r) == 1 and (r[0].title, r[0].archived, r[0].repairTries, r[0].files[0]) == (str(n - 1), True, 10, str((n - 1) % 7))
+    assert sorted(r[0].files) == list("0123456") and out.count() == 1 + n - len(range(0, n, 3))
 
 
 def test_numbers_are_adopted_only_if_free(spark):
