@@ -128,37 +128,33 @@ def _anchor_rows(frames: Iterator[pa.RecordBatch], length: int, gram: int) -> It
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, numbers)], names=["h1", "h2", "size", "at", "run", "n", "gram", "context"])
 
 
-#: Symbols of nine bits that one number holds, and how often that is doubled.
-PACKED = 7
-
-
-def suffix_array(data: np.ndarray, starts: np.ndarray, block: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes at starts in the order of (block, bytes up to their text's end), and how many bytes
-    each shares with the one before, 0 in another block.
-
-    data holds each text as its bytes plus one and a 0 after the last; ends is where the text of each
-    suffix ends. Ranks by 7 bytes are doubled until they cover the longest suffix, then common
-    prefixes are found from the same ranks, the longest first."""
-    longest = int((ends - starts).max(initial=0)) + 1
-    packed = np.zeros(len(data), np.uint64)
-    padded = np.concatenate([data.astype(np.uint64), np.zeros(PACKED, np.uint64)])
-    for k in range(PACKED):
-        packed = (packed << np.uint64(9)) | padded[k : k + len(data)]
-    rank, width = np.unique(packed, return_inverse=True)[1].astype(np.uint64), PACKED
-    ranks = [(width, rank)]
-    while width < longest:
-        after = np.concatenate([rank[width:], np.zeros(min(width, len(rank)), np.uint64)])
-        rank, width = np.unique((rank << np.uint64(32)) | after, return_inverse=True)[1].astype(np.uint64), 2 * width
-        ranks.append((width, rank))
-    order = np.lexsort((rank[starts], block))
-    a, b = starts[order][:-1], starts[order][1:]
-    most = np.where(block[order][:-1] == block[order][1:], np.minimum(ends[order][:-1] - a, ends[order][1:] - b), 0)
-    shared = np.zeros(len(a), np.int64)
-    for width, rank in [*reversed(ranks), *[(1, data)] * (PACKED - 1)]:
-        fits = shared + width <= most
-        i, j = np.where(fits, a + shared, 0), np.where(fits, b + shared, 0)
-        shared += width * (fits & (rank[i] == rank[j]))
-    return order, np.concatenate([np.zeros(1, np.int64), shared])[: len(starts)]
+def suffix_arrays(matrix: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(column, order, prefixes) for each column of matrix from the last: the rows in the order of (key,
+    bytes from that column on), and how many bytes each shares from there with the row before it, 0
+    where that has another key.
+
+    A row of matrix is a text as its bytes plus one, with zeros around it, one at the end at least.
+    Each column is sorted by its byte and the rank in the column after it. A common prefix grows by
+    one where a row keeps the row before it; only other neighbours are compared byte by byte."""
+    rows, columns = matrix.shape
+    key = np.unique(keys, return_inverse=True)[1].astype(np.int64) << 40
+    rank, before, shared = np.zeros(rows, np.int64), np.full(rows, -1), np.zeros(rows, np.int64)
+    places = np.arange(rows)
+    for column in range(columns - 1, -1, -1):
+        byte = matrix[:, column].astype(np.int64)
+        order = np.argsort(key | (byte << 24) | rank, kind="stable")
+        rank[order] = places
+        own, last = order[1:], order[:-1]
+        alike = (key[own] == key[last]) & (byte[own] == byte[last]) & (byte[own] != 0)
+        stays = alike & (before[own] == last)
+        length = np.where(stays, shared[own] + 1, 0)
+        other = np.flatnonzero(alike & ~stays)
+        if len(other):
+            x, y = matrix[own[other], column:], matrix[last[other], column:]
+            length[other] = ((x != y) | (x == 0)).argmax(axis=1)
+        before[own], shared[own] = last, length
+        before[order[:1]], shared[order[:1]] = -1, 0
+        yield column, order, shared[order]
 
 
 def maximal_repeats(prefixes: np.ndarray, left: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -187,29 +183,42 @@ def maximal_repeats(prefixes: np.ndarray, left: np.ndarray, least: int) -> Itera
             stack.append([value, first, seen])
 
 
+def _various(prefixes: np.ndarray, left: np.ndarray, least: int) -> np.ndarray:
+    """Which suffixes are in a run that shares at least so many bytes and is preceded by more than one:
+    only there can an interval be a maximal repeat."""
+    shared = prefixes >= least
+    run = np.cumsum(~shared)
+    differs = shared.copy()
+    differs[1:] &= (left[1:] != left[:-1]) | (left[1:] < 0)
+    return np.bincount(run, differs, run[-1] + 1)[run] > 0
+
+
 def repeat_groups(contexts: list[bytes], keys: np.ndarray, places: np.ndarray, length: int) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray]:
     """The maximal repeats of at least length bytes among contexts: groups (first, last, bytes) of
     occurrences, and the context and the offset in it of each occurrence.
 
-    places says where the anchor lies in each context. Windows are compared within a key and at equal
+    places says where the anchor lies in each context. Suffixes are sorted within a key and at equal
     distance from the anchor, so a window never meets itself in another context of its text."""
     sizes = np.array([len(c) for c in contexts], np.int64)
-    data = np.frombuffer(b"\0".join([*contexts, b""]), np.uint8).astype(np.uint16) + np.uint16(1)
-    begins = np.cumsum(sizes + 1) - sizes - 1
-    data[begins + sizes] = 0
-    windows = sizes - length + 1
-    owner = np.repeat(np.arange(len(contexts)), windows)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    starts = begins[owner] + offset
-    distance = places[owner] - offset
-    block = np.unique(keys, return_inverse=True)[1][owner] * (int(places.max(initial=0)) + 1) + distance
-    order, prefixes = suffix_array(data, starts, block, (begins + sizes)[owner])
-    shared = prefixes >= length
-    near = shared.copy()
-    near[:-1] |= shared[1:]  # the rest is in no interval
-    order, prefixes = order[near], np.where(shared, prefixes, 0)[near]
-    left = np.where(offset[order] > 0, data[starts[order] - 1].astype(np.int64), -1)
-    return list(maximal_repeats(prefixes, left, length)), owner[order], offset[order]
+    lead = int(places.max(initial=0))
+    begins = lead - places
+    columns = int((begins + sizes).max(initial=0)) + 1
+    matrix = np.zeros((len(contexts), columns), np.uint16)
+    matrix[np.repeat(np.arange(len(contexts)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - begins, sizes)] = np.frombuffer(b"".join(contexts), np.uint8).astype(np.uint16) + 1
+    groups, owners, offsets, done = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for column, order, prefixes in suffix_arrays(matrix, keys):
+        if column > columns - length or not len(order):
+            continue
+        left = matrix[order, column - 1].astype(np.int64) - 1 if column else np.full(len(order), -1)
+        kept = _various(prefixes, left, length)
+        if kept.any():
+            order = order[kept]
+            # A run begins with a suffix that shares less, so runs stay apart.
+            groups += [(first + done, last + done, shared) for first, last, shared in maximal_repeats(prefixes[kept], left[kept], length)]
+            done += len(order)
+            owners.append(order)
+            offsets.append(column - begins[order])
+    return groups, np.concatenate(owners), np.concatenate(offsets)
 
 
 def covered(groups: list[tuple[int, int, int]], owner: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,7 +308,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         rows = long_.mapInArrow(lambda frames: _anchor_rows(frames, length, gram), "h1 bigint, h2 bigint, size int, at int, run int, n bigint, gram bigint, context bigint")
         rows = written(rows, "repeat-anchors")
         grams = rows.groupBy("gram").agg(F.sum("n").alias("total"), (F.min("context") != F.max("context")).alias("mixed")).where("total > 1").select("gram", "mixed")
-        found = keep(rows.join(grams, "gram"), "repeat-found")
+        found = keep(rows.join(written(grams, "repeat-grams"), "gram"), "repeat-found")  # a hot gram is split by the join
     with step(texts.sparkSession) as keep:
         at, before = F.col("at"), length - gram
         start = F.greatest(at - before, F.lit(0))

@@ -52,16 +52,22 @@ def test_equal_windows_have_anchors_at_equal_places(monkeypatch):
     assert all(set.intersection(*x) for x in seen.values())
 
 
+def suffixes(text):
+    """The suffix array of a text, its common prefixes and the letters before: each suffix is a row."""
+    matrix = np.zeros((len(text), len(text) + 1), np.uint16)
+    for i in range(len(text)):
+        matrix[i, : len(text) - i] = [ord(c) + 1 for c in text[i:]]
+    *_, (column, order, prefixes) = repeats.suffix_arrays(matrix, np.zeros(len(text), int))
+    assert column == 0
+    return order, prefixes, np.array([ord(text[i - 1]) if i else -1 for i in order])
+
+
 def test_intervals_are_the_maximal_repeats():
     text = "abcabxabcabyab"
-    data = np.frombuffer(text.encode() + b"\0", np.uint8).astype(np.uint16) + 1
-    data[-1] = 0
-    starts, zero = np.arange(len(text)), np.zeros(len(text), int)
-    order, prefixes = repeats.suffix_array(data, starts, zero, zero + len(text))
-    assert [text[i:] for i in order] == sorted(text[i:] for i in starts)
+    order, prefixes, left = suffixes(text)
+    assert [text[i:] for i in order] == sorted(text[i:] for i in range(len(text)))
     common = lambda x, y: next((k for k, (c, d) in enumerate(zip(x, y)) if c != d), min(len(x), len(y)))  # noqa: E731, B905
     assert prefixes.tolist() == [0, *[common(text[i:], text[j:]) for i, j in zip(order[:-1], order[1:], strict=True)]]
-    left = np.array([ord(text[i - 1]) if i else -1 for i in order])
     found = {(text[order[i] : order[i] + n], tuple(sorted(order[i : j + 1].tolist()))) for i, j, n in repeats.maximal_repeats(prefixes, left, 2)}
     # bcab and others always follow the same letter, so they are no repeats of their own
     assert found == {("ab", (0, 3, 6, 9, 12)), ("abcab", (0, 6))}
@@ -69,12 +75,12 @@ def test_intervals_are_the_maximal_repeats():
 
 def test_intervals_against_brute_force():
     pick = random.Random(5)
-    for _ in range(30):
+    for _ in range(60):
         text = "".join(pick.choice("ab") for _ in range(pick.randrange(2, 60)))
-        data = np.append(np.frombuffer(text.encode(), np.uint8).astype(np.uint16) + 1, 0).astype(np.uint16)
-        order, prefixes = repeats.suffix_array(data, np.arange(len(text)), np.zeros(len(text), int), np.full(len(text), len(text)))
-        left = np.array([ord(text[i - 1]) if i else -1 for i in order])
+        order, prefixes, left = suffixes(text)
         found = {text[order[i] : order[i] + n]: sorted(order[i : j + 1].tolist()) for i, j, n in repeats.maximal_repeats(prefixes, left, 3)}
+        kept = repeats._various(prefixes, left, 3)
+        few = {text[order[kept][i] : order[kept][i] + n]: sorted(order[kept][i : j + 1].tolist()) for i, j, n in repeats.maximal_repeats(prefixes[kept], left[kept], 3)}
         places = defaultdict(list)
         for i in range(len(text)):
             for j in range(i + 3, len(text) + 1):
@@ -84,7 +90,7 @@ def test_intervals_against_brute_force():
             before, after = {text[i - 1] if i else "" for i in at}, {text[i + len(s) : i + len(s) + 1] for i in at}
             if len(at) > 1 and (len(before) > 1 or "" in before) and (len(after) > 1 or "" in after):
                 want[s] = at
-        assert found == want
+        assert found == few == want
 
 
 @pytest.mark.parametrize(("seed", "alphabet", "group", "task"), [(1, "ab ", 4096, 4096), (2, "ab", 2, 3), (3, "abcdefgh ", 1, 1), (4, "abcdefgh é", 3, 5)])
