@@ -108,52 +108,84 @@ def date_evidence(iso: Column, text: Column, hits: Column) -> Column:
 
 
 def cue_places(text: Column, cues: tuple[str, ...]) -> Column:
-    """Every place of every cue as (start, end), by cue in list order, then by place; places may overlap."""
+    """Every place of every cue as (start, end, rank), by cue in list order (its rank), then by place;
+    places may overlap."""
     low = F.lower(or_empty(text))
 
     def places(cue: Column) -> Column:
+        word, rank = cue["word"], cue["rank"]
         # The text is cut before each place of the cue; no cue overlaps itself, so no place is missed.
         # A cut at the very start leaves no piece before it.
-        parts = F.split(low, F.concat(F.lit(r"(?=\Q"), cue, F.lit(r"\E)")), F.lit(-1))
+        parts = F.split(low, F.concat(F.lit(r"(?=\Q"), word, F.lit(r"\E)")), F.lit(-1))
         ends = let(parts, lambda ps: running_sums(F.transform(F.slice(ps, F.lit(1), F.size(ps) - 1), F.length)))
-        ends = F.when(F.startswith(low, cue), F.array_union(F.array(F.lit(0)), ends)).otherwise(ends)
-        return F.transform(ends, lambda s: F.struct(s.alias("start"), (s + F.length(cue)).alias("end")))
+        ends = F.when(F.startswith(low, word), F.array_union(F.array(F.lit(0)), ends)).otherwise(ends)
+        return F.transform(ends, lambda s: F.struct(s.alias("start"), (s + F.length(word)).alias("end"), rank.alias("rank")))
 
-    present = F.filter(F.array(*[F.lit(c) for c in cues]), lambda c: F.contains(low, c))
-    return F.flatten(F.transform(present, places))
+    listed = F.array(*[F.struct(F.lit(c).alias("word"), F.lit(i).alias("rank")) for i, c in enumerate(cues)])
+    return F.flatten(F.transform(F.filter(listed, lambda c: F.contains(low, c["word"])), places))
 
 
 def nearest_after_cue(text: Column, hits: Column, cues: tuple[str, ...] = DEADLINE_CUES, reach: int = 180) -> Column:
-    """Of the unambiguous dates that start at most `reach` characters after the end of a cue, the
-    nearest to one; of ties the earliest; NULL if there is none."""
-    def nearest(clear: Column, spots: Column) -> Column:
-        gap = lambda h: F.array_min(F.filter(F.transform(spots, lambda s: h["start"] - s["end"]), lambda g: (g >= 0) & (g <= reach)))
-        gaps = F.transform(clear, lambda h: F.struct(gap(h).alias("gap"), h["start"].alias("start"), h["iso"].alias("iso")))
-        return F.array_min(F.filter(gaps, lambda g: g["gap"].isNotNull()))["iso"]
+    """Of the unambiguous dates that start at most `reach` characters after the end of a cue, the
+    nearest to one; of ties the earliest; NULL if there is none.
 
-    clear = F.filter(hits, lambda h: ~h["ambiguous"])
-    return let(clear, lambda c: F.when(F.size(c) > 0, let(cue_places(text, cues), lambda spots: nearest(c, spots))))
+    Ends of cues and dates are put in one order, and one pass keeps the last cue before each date, so
+    the work is that of sorting them, however many there are of both."""
+    none = F.lit(None)
+    start = F.struct(none.cast("int").alias("cue"), none.cast("int").alias("gap"), none.cast("string").alias("iso"))
+
+    def meet(acc: Column, e: Column) -> Column:
+        gap = e["at"] - acc["cue"]
+        nearer = (gap <= reach) & (acc["gap"].isNull() | (gap < acc["gap"]))
+        dated = F.when(nearer, F.struct(acc["cue"].alias("cue"), gap.alias("gap"), e["iso"].alias("iso"))).otherwise(acc)
+        return F.when(e["date"], dated).otherwise(F.struct(e["at"].alias("cue"), acc["gap"].alias("gap"), acc["iso"].alias("iso")))
+
+    def nearest(clear: Column) -> Column:
+        # At one place a cue comes before a date, and dates by what they say.
+        ends = F.transform(cue_places(text, cues), lambda s: F.struct(s["end"].alias("at"), F.lit(False).alias("date"), F.lit("").alias("iso")))
+        dated = F.transform(clear, lambda h: F.struct(h["start"].alias("at"), F.lit(True).alias("date"), h["iso"].alias("iso")))
+        return F.aggregate(F.array_sort(F.concat(ends, dated)), start, meet, lambda acc: acc["iso"])
+
+    return let(F.filter(hits, lambda h: ~h["ambiguous"]), lambda clear: F.when(F.size(clear) > 0, nearest(clear)))
+
+
+def _anchoring_cue(iso: Column, text: Column, hits: Column, cues: tuple[str, ...], window: int) -> Column:
+    """The first cue, by list order and then by place, that has the date whole within 60 characters
+    before and `window` after its start, as (rank, start); NULL if none has.
+
+    Cues (60 characters early) and the places of the date are put in one order and passed from the
+    last: of the places at or after a cue only the one that ends first counts."""
+    kind = "struct<rank:int,start:int>"
+    begin = F.struct(F.lit(1 << 30).alias("end"), F.lit(None).cast(kind).alias("best"))
+
+    def meet(acc: Column, e: Column) -> Column:
+        cue = F.struct(e["rank"].alias("rank"), e["other"].alias("start"))
+        best = F.when(acc["end"] <= e["other"] + window, F.least(acc["best"], cue)).otherwise(acc["best"])
+        place = F.struct(F.least(acc["end"], e["other"]).alias("end"), acc["best"].alias("best"))
+        return F.when(e["rank"] < 0, place).otherwise(F.struct(acc["end"].alias("end"), best.alias("best")))
+
+    def first(mine: Column) -> Column:
+        early = F.transform(cue_places(text, cues), lambda s: F.struct((s["start"] - 60).alias("at"), s["rank"].alias("rank"), s["start"].alias("other")))
+        dated = F.transform(mine, lambda h: F.struct(h["start"].alias("at"), F.lit(-1).alias("rank"), h["end"].alias("other")))
+        # From the last; at one place a date, of rank -1, must come first: it is put half a place on.
+        later = lambda e: F.struct((e["at"] * -2 - F.when(e["rank"] < 0, 1).otherwise(0)).alias("at"), e["rank"].alias("rank"), e["other"].alias("other"))
+        return F.aggregate(F.array_sort(F.transform(F.concat(early, dated), later)), begin, meet, lambda acc: acc["best"])
+
+    return let(F.filter(hits, lambda h: h["iso"] == iso), lambda mine: F.when(F.size(mine) > 0, first(mine)))
 
 
 def anchored(iso: Column, text: Column, hits: Column, cues: tuple[str, ...] = DEADLINE_CUES, window: int = 200) -> Column:
     """Whether a date lies whole within 60 characters before or `window` after the start of a cue."""
-    beside = lambda s, h: (h["start"] >= s["start"] - 60) & (h["end"] <= s["start"] + window)
-    near = lambda mine: F.exists(cue_places(text, cues), lambda s: F.exists(mine, lambda h: beside(s, h)))
-    return let(F.filter(hits, lambda h: h["iso"] == iso), lambda mine: (F.size(mine) > 0) & near(mine))
+    return _anchoring_cue(iso, text, hits, cues, window).isNotNull()
 
 
 def anchored_evidence(iso: Column, text: Column, hits: Column, cues: tuple[str, ...] = DEADLINE_CUES, window: int = 200) -> Column:
     """The words round the first cue that anchors a date, NULL if none does."""
-    beside = lambda s, h: (h["start"] >= s["start"] - 60) & (h["end"] <= s["start"] + window)
-
-    def first(mine: Column) -> Column:
-        return F.when(F.size(mine) > 0, F.get(F.filter(cue_places(text, cues), lambda s: F.exists(mine, lambda h: beside(s, h))), 0))
-
     def words(spot: Column) -> Column:
         low = F.greatest(spot["start"] - 60, F.lit(0))
         return F.when(spot.isNotNull(), squeeze(F.substring(text, low + 1, spot["start"] + window - low)))
 
-    return let(let(F.filter(hits, lambda h: h["iso"] == iso), first), words)
+    return let(_anchoring_cue(iso, text, hits, cues, window), words)
 
 
 def date_windows(text: Column, hits: Column, span: int = 260, cap: int = 7000) -> Column:

@@ -12,11 +12,11 @@ AS_OF = "2016-06-30"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one whose files give fewer tasks than there are cores is dealt out anew, as what is
-    composed from its rows costs far more to work on than to move."""
+    """A table. Where the session is one machine, whose small files give a task or two, its rows are dealt
+    to the cores, as what is composed from them costs far more to work on than to move; a cluster
+    reads its splits as they are."""
     table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    return table.repartition(spark.sparkContext.defaultParallelism) if spark.sparkContext.master.startswith("local[") else table
 
 
 def compose(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

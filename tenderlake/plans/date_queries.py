@@ -42,16 +42,17 @@ def quoted_date_proof(spark, d: str) -> DataFrame:
     return c.select("id", why.alias("why"))
 
 
+#: Quotes cut from notices: case or white space changed, one character altered at any place, too short, or
+#: nowhere in it.
+QUOTED = f"""
+SELECT *, CASE id % 6 WHEN 0 THEN upper(substr(text, 5, 30)) WHEN 1 THEN replace(substr(text, 5, 30), ' ', '  ') WHEN 2 THEN substr(text, 1, 12)
+  WHEN 3 THEN 'these words stand nowhere in it' ELSE substr(text, 3, cast(id % 37 as int)) || '#' || substr(text, cast(4 + id % 37 as int), cast(40 - id % 37 as int)) END AS quote
+FROM ({NOTICES}) AS notices
+"""
+
+
 def citation_contains(spark, d: str) -> DataFrame:
-    """Quotes cut from notices, some with white space or case changed, some altered, some cut short."""
-    n = compose(spark, d, NOTICES)
-    cut = F.substring("text", 5, 30)
-    quote = (
-        F.when(F.col("id") % 4 == 0, F.upper(cut)).when(F.col("id") % 4 == 1, F.replace(cut, F.lit(" "), F.lit("  ")))
-        .when(F.col("id") % 4 == 2, F.substring("text", 1, 12)).otherwise("these words stand nowhere in it")
-    )
-    out = proof.with_citation_proof(n.withColumn("quote", quote), "quote", "text", "proven")
-    return out.select("id", "proven")
+    return proof.with_citation_proof(compose(spark, d, QUOTED), "quote", "text", "proven").select("id", "proven")
 
 
 def ground_dates_outcomes(spark, d: str) -> DataFrame:
@@ -139,6 +140,10 @@ ORACLES = {
     "quoted_date_proof": oracle(f"""
 SELECT id, CASE WHEN closing = '' THEN 'no date' WHEN closing_quote = '' THEN 'no quote' WHEN closing_quote <> text THEN 'quote not in document'
   WHEN NOT printed THEN 'date not in quote' ELSE '' END AS why FROM ({_PROVEN})"""),
+    "citation_contains": oracle(f"""
+WITH n AS (SELECT id, lower(trim(regexp_replace(quote, '[ ]+', ' ', 'g'))) AS q, lower(trim(regexp_replace(text, '[ ]+', ' ', 'g'))) AS s FROM ({QUOTED}))
+SELECT id, length(q) >= 15 AND (contains(s, q) OR len(list_filter(range(0, length(q) - greatest(25, floor(0.6::DOUBLE * length(q))::BIGINT) + 1),
+  lambda i: contains(s, substr(q, i + 1, greatest(25, floor(0.6::DOUBLE * length(q))::BIGINT))))) > 0) AS proven FROM n"""),
     "ground_dates_outcomes": oracle(f"""
 SELECT id, CASE WHEN closing = '' THEN '' WHEN real_quote AND printed THEN closing WHEN by_cue THEN closing WHEN near THEN closing ELSE '' END AS closing, posted,
   CASE WHEN closing = '' THEN '' WHEN real_quote AND printed THEN 'quoted' WHEN by_cue OR near THEN 'phrase' ELSE '' END AS proof,

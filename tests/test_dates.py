@@ -1,5 +1,9 @@
 """The date engine and proofs on the cases of FIXTURES.md."""
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,9 +96,76 @@ def test_quote_proof_tolerates_little(spark):
     assert got == {i: ok for i, (_, ok) in enumerate(rows)}
 
 
-def test_longest_block_is_exact():
-    assert proof.longest_block("abcdef", "xxbcdeyy") == 4
-    assert proof.longest_block("", "abc") == 0
+def longest_block(a, b):
+    """The length of the longest common block, cell by cell."""
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0, *[row[j] + 1 if x == y else 0 for j, y in enumerate(b)]]
+        best = max(best, *row)
+    return best
+
+
+@pytest.mark.parametrize("letters", ["ab", "abc ", "abcdefghijklmnop"])
+def test_blocks_match_the_longest_one(spark, letters):
+    pick = random.Random(letters)
+    word = lambda n: "".join(pick.choice(letters) for _ in range(n))
+    rows = [("", "x"), ("a" * 30, ""), ("a" * 30, "a" * 24), ("a" * 30, "a" * 25), ("a" * 24, "a" * 23), (None, "x"), ("x" * 40, None)]
+    for _ in range(300):
+        source = word(pick.randrange(1, 200))
+        i = pick.randrange(len(source))
+        quote = list(source[i : i + pick.randrange(10, 90)]) or ["a"]
+        for _ in range(pick.randrange(4)):
+            quote[pick.randrange(len(quote))] = pick.choice(["z", "", "zz"])
+        rows.append((word(pick.randrange(12)) + "".join(quote) + word(pick.randrange(30)), source))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, q string, s string")
+    got = {r.i: r.ok for r in proof.with_citation_proof(df, "q", "s", "ok").collect()}
+    norm = lambda t: " ".join((t or "").split(" ")).strip().lower()
+
+    def stands(q, s):
+        q, s = (re.sub(" +", " ", norm(x)) for x in (q, s))
+        return len(q) >= 15 and s != "" and (q in s or longest_block(q, s) >= max(25, int(0.6 * len(q))))
+
+    assert got == {i: stands(q, s) for i, (q, s) in enumerate(rows)} and len(set(got.values())) == 2
+    matcher = {r.i: r.ok for r in proof.with_citation_proof(df, "q", "s", "ok", compat_autojunk=True).collect()}
+    assert all(got[i] for i in matcher if matcher[i])
+
+
+def test_proof_of_citations_runs_no_python(spark):
+    df = spark.createDataFrame([("q", "s")], "q string, s string")
+    assert "Python" not in proof.with_citation_proof(df, "q", "s", "ok")._jdf.queryExecution().executedPlan().toString()
+
+
+def nearest(hits, spots, reach=180):
+    gaps = [(h.start - e, h.start, h.iso) for h in hits if not h.ambiguous for _, e, _ in spots if 0 <= h.start - e <= reach]
+    return min(gaps)[2] if gaps else None
+
+
+def test_sweeps_match_all_pairs(spark):
+    pick = random.Random(6)
+    parts = ["bids due ", "closing date: ", "due by ", "deadline: ", "deadline for ", "2026-10-20", "3 May 2026", "04/03/2026", "5.5.2027", " and ", " word" * 9, "x" * 50, "no later than ", "Cob "]
+    texts = ["".join(pick.choice(parts) + pick.choice(["", " "]) for _ in range(pick.randrange(0, 30))) for _ in range(150)]
+    df = spark.createDataFrame([(i, t, iso) for i, t in enumerate(texts) for iso in ("2026-10-20", "2027-05-05", "2030-01-01")], "i int, t string, iso string")
+    t, iso = F.col("t"), F.col("iso")
+    df = df.withColumns({"h": D.scan_dates(t), "c": D.cue_places(t, D.DEADLINE_CUES)})
+    out = df.select("*", D.nearest_after_cue(t, F.col("h")).alias("near"), D.anchored(iso, t, F.col("h")).alias("ok"), D.anchored_evidence(iso, t, F.col("h")).alias("words")).collect()
+    for r in out:
+        assert [(s, e, k) for s, e, k in r.c] == [(m.start(), m.start() + len(c), k) for k, c in enumerate(D.DEADLINE_CUES) for m in re.finditer(re.escape(c), r.t.lower())]
+        assert r.near == nearest(r.h, r.c)
+        cue = next((s for s, _, _ in r.c for h in r.h if h.iso == r.iso and h.start >= s - 60 and h.end <= s + 200), None)
+        assert r.ok == (cue is not None)
+        assert r.words == (None if cue is None else re.sub(r"\s+", " ", r.t[max(cue - 60, 0) : cue + 200]).strip())
+    assert {r.ok for r in out} == {True, False} and len({r.near for r in out}) > 3
+
+
+def test_many_dates_in_one_text_take_linear_time(spark):
+    """50,000 dates and as many cues: pairs of them would be 2.5 billion."""
+    n = 50_000
+    body = "".join(f"due by 2026-10-{1 + i % 28:02d} or bids due 3 x\n" for i in range(n))
+    df = spark.createDataFrame([(body,)], "t string").withColumn("h", D.scan_dates(F.col("t")))
+    start = time.time()
+    r = df.select(F.size("h").alias("n"), D.nearest_after_cue(F.col("t"), F.col("h")).alias("near"), D.anchored(F.lit("2026-10-07"), F.col("t"), F.col("h")).alias("ok")).first()
+    assert (r.n, r.near, r.ok) == (n, "2026-10-01", True)
+    assert time.time() - start < 120
 
 
 QUOTES = [
