@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import written
+from .. import step, written
 from ..functions.text import any_of, file_words, host, is_document, is_offsite, let, or_empty, reference, reference_marks
+from .queue import ranked
 
 # Fixed values -------------------------------------------------------------------------------------
 HINTS = ("tender", "procure", "solicit", "rfq", "rfp", "itb", "bid", "quotation", "notice", "opportunit")
@@ -91,16 +94,38 @@ def within_cap(items: DataFrame, group: str, order: str, kind: str, stage: int =
 
 def _walk(edges: DataFrame, hops: int) -> DataFrame:
     """(root, url, hop, document) along edges (from, to, document). Nothing leads on from a document.
-    Each hop is written, so the next one starts from its rows."""
-    edges = written(edges, "walk-links")
-    seen = edges.select(F.col("from").alias("root")).distinct().select("root", F.col("root").alias("url"), F.lit(0).alias("hop"), F.lit(False).alias("document"))
-    front = seen
-    for hop in range(1, hops + 1):
-        on = front.where("NOT document").select("root", "url")
-        new = on.join(edges.withColumnRenamed("from", "url"), "url").groupBy("root", F.col("to").alias("url")).agg(F.bool_or("document").alias("document"))
-        front = written(new.join(seen.select("root", "url"), ["root", "url"], "left_anti").select("root", "url", F.lit(hop).alias("hop"), "document"), "walk-front")
-        seen = seen.unionByName(front)
-    return seen
+
+    URLs are numbered once, the roots first and those of a host in a row, and leave the walk until its
+    end. Which roots have come to a URL is a mask for each 64 of them; a hop moves masks along the
+    links and joins them by OR, on the map side first, so what it shuffles are three numbers for each
+    link and 64 roots at most, whatever is reached. Each hop is written, so the next starts from its
+    rows; at the end only the rows that are asked for stay."""
+    none = F.lit(0).cast("long")
+    with step(edges.sparkSession) as keep:
+        edges = written(edges, "walk-links")
+        urls = edges.select(F.col("from").alias("url"), F.lit(True).alias("root")).unionByName(edges.select(F.col("to").alias("url"), F.lit(False).alias("root")))
+        urls = ranked(urls.groupBy("url").agg(F.bool_or("root").alias("root")), [F.col("root").desc(), host(F.col("url")), F.col("url")], "id")
+        urls = written(urls, "walk-urls")
+        number = lambda url, id_: urls.select(F.col("url").alias(url), F.col("id").alias(id_))
+        links_ = written(edges.join(number("from", "node"), "from").join(number("to", "next"), "to").select("node", "next", "document"), "walk-numbers")
+        block, bit = F.shiftright("id", 6), F.col("id").bitwiseAND(F.lit(63)).cast("int")
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+        front = urls.where("root").select(F.col("id").alias("node"), block.alias("block"), one.alias("new"), none.alias("papers"), F.lit(0).alias("hop"))
+        seen, fronts = front.select("node", "block", "new"), [front]
+        for hop in range(1, hops + 1):
+            leads = F.col("new").bitwiseAND(F.bitwise_not("papers"))
+            met = front.select("node", "block", leads.alias("go")).where("go != 0").join(links_, "node").groupBy(F.col("next").alias("node"), "block")
+            met = met.agg(F.bit_or("go").alias("go"), F.coalesce(F.bit_or(F.when(F.col("document"), F.col("go"))), none).alias("papers"))
+            before = seen.groupBy("node", "block").agg(F.bit_or("new").alias("before"))
+            met = met.join(before, ["node", "block"], "left").withColumn("new", F.col("go").bitwiseAND(F.bitwise_not(F.coalesce("before", none))))
+            front = written(met.where("new != 0").select("node", "block", "new", F.col("papers").bitwiseAND(F.col("new")).alias("papers"), F.lit(hop).alias("hop")), "walk-front")
+            seen = seen.unionByName(front.select("node", "block", "new"))
+            fronts.append(front)
+        reached = reduce(DataFrame.unionByName, fronts)
+        has = lambda mask, i: F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 1
+        each = reached.select("node", "block", "papers", "hop", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: has(F.col("new"), i))).alias("bit"))
+        each = each.select("node", (F.col("block") * 64 + F.col("bit")).alias("root_id"), "hop", has(F.col("papers"), F.col("bit")).alias("document"))
+        return keep(each.join(number("url", "node"), "node").join(number("root", "root_id"), "root_id").select("root", "url", "hop", "document"), "walk")
 
 
 def reach(links_: DataFrame, hops: int = MAX_HOPS) -> DataFrame:

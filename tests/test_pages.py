@@ -1,6 +1,7 @@
 """Ways to a notice, caps, and tables that only a step needs."""
 
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -21,6 +22,35 @@ def test_chase_follows_documents_anywhere_and_pages_that_speak_of_a_notice(spark
     assert [tuple(r) for r in units.redirects(out, pages).collect()] == [(at, "bbbbbbbb2")]
 
 
+def test_walks_match_breadth_first_search(spark):
+    """Over 150 roots, so masks have several blocks and full ones; rings, loops, documents that are pages too."""
+    pick = random.Random(12)
+    host = lambda i: f"https://h{i % 2}.example/"
+    page = lambda i: f"{host(i)}p/{i}"
+    links = [(page(i), page((i + 2 * pick.randrange(40)) % 160) + pick.choice(["", "#x", ".pdf", ".pdf#y"]), pick.choice(["tender", "more"])) for i in range(160) for _ in range(4)]
+    links += [(page(i), page(0), "bid") for i in range(0, 160, 2)] + [(page(7) + ".pdf", page(9), "tender"), (page(3), "https://other.example/d.doc?z", "x")]
+    df = spark.createDataFrame(links, "url string, href string, anchor string").repartition(3)
+    for hops in (1, 3, 5):
+        edges, want = {}, set()
+        for a, href, anchor in links:
+            paper = href.lower().split("?")[0].endswith((".pdf", ".doc"))
+            if paper or (href.startswith(a[:19]) and anchor != "more"):
+                edges.setdefault(a, set()).add((href if paper else href.split("#")[0], paper))
+        for root in edges:
+            seen, front = {root}, {root: False}
+            want.add((root, root, 0, False))
+            for hop in range(1, hops + 1):
+                met = {}
+                for u in (u for u, paper in front.items() if not paper):
+                    for v, paper in edges.get(u, ()):
+                        if v not in seen:
+                            met[v] = met.get(v, False) or paper
+                want |= {(root, v, hop, paper) for v, paper in met.items()}
+                seen, front = seen | set(met), met
+        got = [tuple(r) for r in units.chase(df, hops).select("root", "url", "hop", "document").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_walks_of_no_links(spark):
     none = spark.createDataFrame([], "url string, href string, anchor string")
     assert units.chase(none).count() == 0 and units.reach(none).count() == 0
