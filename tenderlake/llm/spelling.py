@@ -44,20 +44,16 @@ def _band(mask: Column, band: Column | int) -> Column:
     return F.call_function("shiftright", mask, F.lit(band * BITS) if isinstance(band, int) else band * BITS).bitwiseAND(F.lit((1 << BITS) - 1))
 
 
-def _half(word: Column, shorter: Column, half: int) -> Column:
-    """The first half of as many code points as the shorter of two words has, or what the second half
-    of them is at the end of the word: one edit leaves one of them alone."""
-    first = F.floor(shorter / 2).cast("int")
-    return F.substring(word, F.lit(1), first) if half == 0 else F.substring(word, F.length(word) - (shorter - first) + 1, shorter - first)
-
-
-def _keyed(words: DataFrame, shorter: list[Column]) -> DataFrame:
-    """A row for each band, each half and each length that the shorter word of a pair may have."""
-    places = [
-        F.struct(F.lit(band).alias("band"), F.lit(half).alias("half"), F.xxhash64(F.lit(band), F.lit(half), m, _band(F.col("mask"), band), _half(F.col("word"), m, half)).alias("key"))
-        for band in range(BANDS) for half in (0, 1) for m in shorter
-    ]
-    return words.select("word", "n", "mask", F.explode(F.array(*places)).alias("place")).select("word", "n", "mask", "place.*")
+def _keyed(words: DataFrame, spare: tuple[int, ...]) -> DataFrame:
+    """A row for each length that the shorter word of a pair may have (that of the word less one of
+    spare), each half of it and each band. The first half is as many code points at the start of the
+    word, the second what is left of the length at its end: one edit leaves one of them alone."""
+    sizes = F.array(*[F.length("word") - n for n in spare])
+    rows = words.select("word", "n", "mask", F.explode(sizes).alias("size"), F.floor(F.col("size") / 2).cast("int").alias("first"))
+    halves = F.array(F.substring("word", F.lit(1), F.col("first")), F.substring("word", F.length("word") - F.col("size") + F.col("first") + 1, F.col("size") - F.col("first")))
+    rows = rows.select("word", "n", "mask", "size", F.posexplode(halves).alias("half", "part"))
+    rows = rows.select("word", "n", "mask", "size", "half", "part", F.explode(F.array(*map(F.lit, range(BANDS)))).alias("band"))
+    return rows.select("word", "n", "mask", "half", "band", F.xxhash64("band", "half", "size", _band(F.col("mask"), F.col("band")), "part").alias("key"))
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
@@ -70,18 +66,17 @@ def near_pairs(words: DataFrame) -> DataFrame:
     every pair. Of the places where a pair meets the first one counts. Then masks that differ in more
     than two bits are dropped and the rest is verified, all within the join: no candidate is
     written."""
-    length = F.length("word")
-    words = words.withColumn("mask", parity_mask(F.col("word")))
-    a = _keyed(words, [length]).select(*[F.col(c).alias(f"a_{c}" if c != "key" else c) for c in ("key", "word", "n", "mask", "band", "half")])
-    b = _keyed(words, [length, length - 1]).select("key", F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("mask").alias("b_mask"), F.col("band").alias("b_band"), F.col("half").alias("b_half"))
-    x, y, changed = F.col("a_word"), F.col("b"), F.col("a_mask").bitwiseXOR(F.col("b_mask"))
-    band, half, m = F.col("a_band"), F.col("a_half"), F.length("a_word")
+    words = written(words.select("word", "n", parity_mask(F.col("word")).alias("mask")), "spelling-masks")
+    a = _keyed(words, (0,)).select("key", F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("mask").alias("a_mask"), F.col("band").alias("a_band"), F.col("half").alias("a_half"))
+    b = _keyed(words, (0, 1)).select("key", F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("mask").alias("b_mask"), F.col("band").alias("b_band"), F.col("half").alias("b_half"))
+    x, y, changed = F.col("a"), F.col("b"), F.col("a_mask").bitwiseXOR(F.col("b_mask"))
+    band, half = F.col("a_band"), F.col("a_half")
+    few = (F.bit_count(changed) <= 2) & (_band(changed, band) == 0)
     earlier_band = ((band > 0) & (_band(changed, 0) == 0)) | ((band > 1) & (_band(changed, 1) == 0))
-    earlier_half = (half == 1) & (_half(x, m, 0) == _half(y, m, 0))
-    same_place = (band == F.col("b_band")) & (half == F.col("b_half")) & (_band(changed, band) == 0)
-    near = (F.length(y) > m) | (x < y)
-    condition = (a["key"] == b["key"]) & same_place & near & (F.bit_count(changed) <= 2) & ~earlier_band & ~earlier_half & (F.levenshtein(x, y, 1) == 1)
-    return a.join(b, condition).select(x.alias("a"), "a_n", "b", "b_n")
+    same_place = (band == F.col("b_band")) & (half == F.col("b_half")) & ((F.length(y) > F.length(x)) | (x < y))
+    earlier_half = (half == 1) & F.startswith(y, F.substring(x, F.lit(1), F.floor(F.length(x) / 2).cast("int")))
+    condition = (a["key"] == b["key"]) & few & ~earlier_band & same_place & ~earlier_half & (F.levenshtein(x, y, 1) == 1)
+    return a.join(b, condition).select("a", "a_n", "b", "b_n")
 
 
 def _roots(forms: DataFrame) -> DataFrame:
