@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import shared_dir
 from ..functions import dates as D
 from ..functions import identity
 from ..functions.text import host
 from ..operators import estimate, register, rollup
+from ..streaming import register_stream
 from .composed import AS_OF, COPIES, DATED, compose, oracle, read
 
 
@@ -33,10 +37,25 @@ def register_merge(spark, d: str) -> DataFrame:
     archived."""
     rows = as_register(compose(spark, d, COPIES))
     merged = register.merge_copies(register.with_key(rows.drop("id")), ["shard"])
-    out = register.archive(register.backfill(merged.where(~register.is_junk())), AS_OF)
+    return _shown(register.archive(register.backfill(merged.where(~register.is_junk())), AS_OF))
+
+
+def _shown(out: DataFrame) -> DataFrame:
     return out.select("key", "tier", F.coalesce("deadline", F.lit("")).alias("deadline"), "status", "archived", "source", "verified", F.col("fileCount").cast("bigint").alias("n_files"), F.coalesce("repairTries", F.lit(0)).cast("bigint").alias("tries"), F.coalesce("value", F.lit("")).alias("value"), F.coalesce("lastDeepScan", F.lit("")).alias("scanned"))
 
 
+def register_upserts(spark, d: str) -> DataFrame:
+    """The same copies as batches of a stored register: the first worker's rows, the second's in two batches
+    that touch parts of it, the last of them run twice."""
+    rows = as_register(compose(spark, d, COPIES))
+    place = f"{shared_dir(spark)}/register-{uuid.uuid4().hex}"
+    second = F.col("shard") == 1
+    for number, some in enumerate((~second, second & (F.col("id") % 4 == 0), second & (F.col("id") % 4 != 0))):
+        register_stream.upsert(rows.where(some).drop("id", "shard"), number, place, "", parts=8)
+    register_stream.upsert(rows.where(some).drop("id", "shard"), number, place, "", parts=8)
+    return _shown(register.archive(register.backfill(register_stream.current(spark, place)), AS_OF))
+
+
 def register_tally(spark, d: str) -> DataFrame:
     rows = as_register(compose(spark, d, COPIES)).withColumns({"deleted": F.col("id") % 17 == 0, "hidden": F.col("id") % 13 == 0})
     return register.tally(register.archive(rows, AS_OF))
@@ -261,10 +280,12 @@ SELECT p_partkey, low, likely, high, CASE WHEN high > low THEN d[1] || ' – ' |
     "blocked_sites": "SELECT min(page_id) AS page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host FROM pages GROUP BY 2",
 }
 
+ORACLES["register_upserts"] = ORACLES["register_merge"]
+
 QUERIES = {
     f.__name__: f
     for f in (
-        register_merge, register_tally, operator_overlay, change_detection, row_fingerprints, richness_score, sol_normalise, canonical_key_groups, previous_rows, junk_filter, repaired_rows,
+        register_merge, register_upserts, register_tally, operator_overlay, change_detection, row_fingerprints, richness_score, sol_normalise, canonical_key_groups, previous_rows, junk_filter, repaired_rows,
         status_rollup, coverage_last_wins, coverage_by_country, spend_by_model, spend_ledger, access_probe, estimate_sanity, wants_estimate, expired_by_day, blocked_sites,
     )
 }

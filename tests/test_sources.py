@@ -2,9 +2,12 @@
 
 import io
 import json
+import os
+import random
 import zipfile
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tenderlake.functions import text
 from tenderlake.operators import register
@@ -87,14 +90,75 @@ def test_stream_keeps_the_register(spark, tmp_path):
     row = {"sol": "19AB1026Q0002", "link": "https://x.usembassy.gov/a", "title": "Desks for the office", "tier": "BID", "deadline": "2026-11-01", "status": "Active", "updated": "2026-05-01"}
     (src / "1.json").write_text(json.dumps(row) + "\n" + json.dumps(row | {"sol": "RFQ 19AB1026Q0002", "value": "5"}))
     register_stream.start(spark, str(src), str(table), f"{tmp_path}/cp", "2026-06-01").awaitTermination()
-    first = spark.read.schema(register.REGISTER).parquet(f"{table}/v=0").collect()
+    first = register_stream.current(spark, str(table)).collect()
     assert len(first) == 1 and first[0].value == "5"
     (src / "2.json").write_text(json.dumps(row | {"tier": "NO", "archived": True, "status": "Cancelled", "deadline": None, "updated": "2026-05-20"}))
     register_stream.start(spark, str(src), str(table), f"{tmp_path}/cp", "2026-06-01").awaitTermination()
-    second = spark.read.schema(register.REGISTER).parquet(f"{table}/v=1").collect()
+    second = register_stream.current(spark, str(table)).collect()
     assert len(second) == 1 and second[0].archived and second[0].tier == "NO" and second[0].deadline is None
 
 
+def _rows(spark, ids, **given):
+    fields = T.StructType.fromDDL(register.REGISTER)
+    base = {"link": "https://x.usembassy.gov/a", "title": "Desks for the office", "tier": "BID", "deadline": "2026-11-01", "updated": "2026-05-01"} | given
+    return spark.createDataFrame([tuple((base | {"sol": f"19AB1026Q{i:04d}"}).get(f.name) for f in fields) for i in ids], fields)
+
+
+def _files(folder):
+    return {os.path.join(d, f) for d, _, fs in os.walk(folder) for f in fs if f.endswith(".parquet")}
+
+
+def test_batches_write_only_the_parts_they_touch(spark, tmp_path):
+    table = f"{tmp_path}/register"
+    put = lambda df, number: register_stream.upsert(df, number, table, "2026-06-01", parts=16)
+    assert put(_rows(spark, range(500)), 0) == list(range(16))
+    first = _files(table)
+    assert len(first) == 16  # one file a part
+    touched = put(_rows(spark, (3, 4), value="7", updated="2026-05-02"), 1)
+    assert 1 <= len(touched) <= 2 and len(_files(table) - first) == len(touched)
+    got = {r.sol: r.value for r in register_stream.current(spark, table).collect()}
+    assert len(got) == 500 and {s for s, v in got.items() if v} == {"19AB1026Q0003", "19AB1026Q0004"}
+    # A batch of no usable rows and one whose rows are junk leave all others as they are.
+    junk = _rows(spark, (900,), link="https://elsewhere.example", title="", deadline=None).withColumn("sol", F.lit(None).cast("string"))
+    assert put(_rows(spark, ()), 2) == [] and len(put(junk, 3)) == 1
+    assert register_stream.current(spark, table).count() == 500
+
+
+def test_a_batch_that_is_run_again_writes_the_same(spark, tmp_path):
+    table = f"{tmp_path}/register"
+    put = lambda df, number: register_stream.upsert(df, number, table, "2026-06-01", parts=4)
+    show = lambda: sorted(map(str, register_stream.current(spark, table).collect()))
+    put(_rows(spark, range(40), repairTries=1), 0)
+    before = show()
+    again = _rows(spark, range(10), files=["a", "b"], updated="2026-05-09", source="SAM", verifyNotes=["re-scan: gave up"])
+    put(again, 1)
+    after = show()
+    put(again, 1)
+    assert show() == after != before
+    # A batch that broke off after some parts: readers see what was before, and its second run all of it.
+    os.remove(f"{table}/_batches/1")
+    assert show() == before
+    put(again, 1)
+    assert show() == after
+    for number in (2, 3, 4):
+        put(_rows(spark, range(40), updated=f"2026-05-1{number}"), number)
+    assert len([d for d in os.listdir(f"{table}/part=0") if d.startswith("v=")]) == 2 and len(show()) == 40
+
+
+def test_batches_equal_one_merge(spark, tmp_path):
+    pick = random.Random(2)
+    batches = [_rows(spark, [pick.randrange(30) for _ in range(25)], value=str(k) if k % 2 else "", updated=f"2026-05-{10 + pick.randrange(9)}", files=[f"f{k}"], archived=k == 3, repairTries=k) for k in range(5)]
+    for k, batch in enumerate(batches):
+        register_stream.upsert(batch, k, f"{tmp_path}/r", "", parts=4)
+    rows = None
+    for k, batch in enumerate(batches):
+        given = batch.withColumns({"shard": F.lit(k), "at": register.stamp(), "pos": F.xxhash64(F.to_json(F.struct("*")))})
+        rows = given if rows is None else rows.unionByName(given)
+    whole = register.archive(register.merge_copies(register.with_key(rows), ["shard", "at", "pos"]), "")
+    pick_ = lambda df: sorted((r.key, r.value, r.updated, sorted(r.files), r.archived, r.repairTries) for r in df.collect())
+    assert pick_(register_stream.current(spark, f"{tmp_path}/r")) == pick_(whole)
+
+
 def test_entry_registers_queries_with_sql():
     import __spark_entry__ as entry
 
