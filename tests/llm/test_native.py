@@ -17,9 +17,13 @@ def test_line_dedup(spark):
     common = ["Same line", "  same LINE\t", "Ünique É", "", "x"]
     rows = [(i, "\n".join(pick.choice([*common, f"own {i} {j}"]) for j in range(pick.randint(0, 6))), i) for i in range(60)]
     rows += [(100, None, 1), (101, "", 2), (None, "same line\nrest", 3), (5, "same line", 4), (5, "same line", 4)]
+    rows += [(1000, f"ten rows of one id\nand {j}", 5) for j in range(10)] + [(None, "ten rows of one text", 6)] * 10
+    rows += [(2000 + j, "nine ids and a row twice", 7) for j in range(9)] + [(2000, "nine ids and a row twice\nmore", 7)]
+    rows += [(3000 + j // 2, f"ten ids twice\n{j}", 8) for j in range(20)] + [(None, f"ten texts without an id\n{j}", 9) for j in range(10)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, pos int").repartition(3)
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(BLANK))
-    count = collections.Counter(k for _, t, _ in rows for k in {key(x) for x in (t or "").split("\n")} if k)
+    count = collections.Counter(k for k, _ in {(key(x), (d, "") if d is not None else (None, t or "")) for d, t, _ in rows for x in (t or "").split("\n")} if k)
+    assert (count["ten rows of one id"], count["ten rows of one text"], count["nine ids and a row twice"], count["ten ids twice"], count["ten texts without an id"]) == (1, 1, 9, 10, 10)
     want = sorted(((d, None if t is None else "\n".join(x for x in t.split("\n") if count[key(x)] < 10), p, len((t or "").split("\n")), sum(count[key(x)] >= 10 for x in (t or "").split("\n"))) for d, t, p in rows), key=str)
     assert sorted(map(tuple, lines.drop_common_lines(df).collect()), key=str) == want
     assert lines.drop_common_lines(df.limit(0)).collect() == []
@@ -200,3 +204,18 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).collect() == [] == mixing.apply_mix(df.limit(0)).collect()
     bare = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id bigint, text string, source string")
     assert sum(r.taken for r in mixing.mix(bare).collect()) == 0
+
+
+def test_offsets_are_spread_evenly(spark):
+    """One offset a source, so a document's chance of a copy is its expected copies."""
+    df = spark.range(4000).select(F.concat(F.lit("s"), "id").alias("source"))
+    u = sorted(r.u for r in df.select(mixing._offset(F.col("source"), "mix-1").alias("u")).collect())
+    assert 0 <= u[0] and u[-1] < 1 and max(abs(x - (i + 0.5) / 4000) for i, x in enumerate(u)) < 0.03
+    rows = spark.createDataFrame([(i, "w " * (1 + i % 7), f"s{i % 400}") for i in range(4000)], "doc_id bigint, text string, source string")
+    out = mixing.mix(rows, weights=(3, 1)).collect()
+    rate = {r.source: r.target / r.source_size for r in out}
+    assert len(set(rate.values())) > 1
+    for some in (lambda s: rate[s] > 1, lambda s: rate[s] < 1):  # over many sources, in every place of their order
+        for size in (1, 4, 7):
+            got = [r for r in out if some(r.source) and r["size"] == size]
+            assert abs(sum(r.copies for r in got) / sum(rate[r.source] for r in got) - 1) < 0.08
