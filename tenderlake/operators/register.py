@@ -141,11 +141,14 @@ def archive(df: DataFrame, as_of: str) -> DataFrame:
 
 def latest_decisions(log: DataFrame) -> DataFrame:
     """K7: what an operator's log of actions (key, action, tier, on) comes to: per key whether it is
-    deleted, hidden or switched, and since when. The latest action of each kind counts."""
-    kind = F.when(F.col("action").isin("delete", "restore"), "deleted").when(F.col("action").isin("hide", "unhide"), "hidden").when(F.col("action").isin("switch", "clear"), "switched")
-    last = log.withColumn("kind", kind).where("kind IS NOT NULL").groupBy("key").pivot("kind", ["deleted", "hidden", "switched"]).agg(F.max(F.struct("on", "action", "tier")))
-    on = lambda kind, action: F.when(F.col(kind)["action"] == action, F.col(kind)["on"])
-    return last.select("key", on("deleted", "delete").alias("deletedOn"), on("hidden", "hide").alias("hiddenOn"), on("switched", "switch").alias("switchedOn"), F.when(F.col("switched")["action"] == "switch", F.upper(F.col("switched")["tier"])).alias("tier"))
+    deleted, hidden or switched, and since when. The latest action of each kind counts, of one moment
+    the last by name; so the log may come in any order, as a table or as a stream."""
+    kinds = {"deleted": ("delete", "restore"), "hidden": ("hide", "unhide"), "switched": ("switch", "clear")}
+    latest = [F.max(F.when(F.col("action").isin(*pair), F.struct("on", "action", "tier"))).alias(kind) for kind, pair in kinds.items()]
+    last = log.where(F.col("action").isin(*[a for pair in kinds.values() for a in pair])).groupBy("key").agg(*latest)
+    stands = lambda kind, value: F.when(F.col(kind)["action"] == kinds[kind][0], value)
+    on = lambda kind: stands(kind, F.col(kind)["on"]).alias(f"{kind}On")
+    return last.select("key", on("deleted"), on("hidden"), on("switched"), stands("switched", F.upper(F.col("switched")["tier"])).alias("tier"))
 
 
 def apply_operator(df: DataFrame, decisions: DataFrame) -> DataFrame:

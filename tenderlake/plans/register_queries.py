@@ -61,16 +61,25 @@ def register_tally(spark, d: str) -> DataFrame:
     return register.tally(register.archive(rows, AS_OF))
 
 
-def operator_overlay(spark, d: str) -> DataFrame:
+def operator_rows(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """Register rows, some known by their link only, and a log of operators' actions on them."""
     rows = as_register(compose(spark, d, COPIES).where("shard = 0")).withColumn("sol", F.when(F.col("id") % 4 != 0, F.col("sol")).otherwise(""))
     key = F.when(F.col("id") % 4 != 0, F.concat(F.lit("19AB"), F.lpad(F.col("id").cast("string"), 7, "0"), F.lit("Q"))).otherwise(F.concat(F.lit("https://example.usembassy.gov/n/"), F.col("id").cast("string")))
     pick = lambda n, action, tier="": F.when(F.col("id") % n == 0, F.struct(key.alias("key"), F.lit(action).alias("action"), F.lit(tier).alias("tier"), F.lit(f"2016-01-{n:02d}").alias("on")))
     actions = F.array_compact(F.array(pick(7, "delete"), pick(14, "restore"), pick(5, "hide"), pick(11, "switch", "bid"), pick(22, "clear")))
-    log = rows.select(F.explode(actions).alias("a")).select("a.*")
-    out = register.apply_operator(rows, register.latest_decisions(log))
+    return rows, rows.select(F.explode(actions).alias("a")).select("a.*")
+
+
+def overlaid(rows: DataFrame, decisions: DataFrame) -> DataFrame:
+    out = register.apply_operator(rows, decisions)
     return out.select("id", "tier", "archived", "deleted", "hidden", "switched", F.col("unhiddenBecause").isNotNull().alias("unhidden"))
 
 
+def operator_overlay(spark, d: str) -> DataFrame:
+    rows, log = operator_rows(spark, d)
+    return overlaid(rows, register.latest_decisions(log))
+
+
 def change_detection(spark, d: str) -> DataFrame:
     rows = compose(spark, d, COPIES).where("shard = 0").select(F.col("id").cast("string").alias("key"), "id", "title", "deadline", "status", "tier")
     fp = lambda title: identity.fingerprint(F.col("key"), title, F.col("deadline"), F.col("status"), F.lit(None).cast("string"), F.lit(None).cast("string"))

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from .. import shared_dir
 from ..operators import ways
-from ..streaming import way_stream
+from ..streaming import decision_stream, way_stream
 from .composed import AS_OF, DATED, compose, oracle
+from .register_queries import ORACLES as REGISTER_ORACLES
+from .register_queries import operator_rows, overlaid
+
+OVERLAID = REGISTER_ORACLES["operator_overlay"]
 
 #: For each order the answers to its steps: some twice, some too early, readers in trouble up to four times.
 EVENTS = f"""
@@ -49,6 +53,14 @@ def notice_ways_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(way_stream.CHANGE).parquet(out).where("what = 'ended'").select(*_SHOWN)
 
 
+def operator_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The operators' log as a stream, a file at a time and in no order, laid over the register."""
+    rows, log = operator_rows(spark, d)
+    place = f"{shared_dir(spark)}/decisions-{uuid.uuid4().hex}"
+    decision_stream.start(spark, landed(log, "actions"), place, f"{place}-state", parts=4, files_a_batch=1).awaitTermination()
+    return overlaid(rows, decision_stream.decisions(spark, place))
+
+
 _WAYS = f"""
 WITH e AS (SELECT * FROM ({EVENTS})),
 a AS (SELECT key, min(said_at) AS said_at, bool_or(chars < 180) AS thin, bool_or(known) AS dup FROM e WHERE step = 'arrive' GROUP BY key),
@@ -77,6 +89,7 @@ x AS (
 ORACLES = {
     "notice_ways": oracle(f"{_WAYS} SELECT key, outcome, tries::INT AS tries, closing, tier, said_at, awaits FROM x"),
     "notice_ways_stream": oracle(f"{_WAYS} SELECT key, outcome, tries::INT AS tries, closing, tier, said_at FROM x WHERE outcome IS NOT NULL"),
+    "operator_stream": OVERLAID,
 }
 
-QUERIES = {f.__name__: f for f in (notice_ways, notice_ways_stream)}
+QUERIES = {f.__name__: f for f in (notice_ways, notice_ways_stream, operator_stream)}

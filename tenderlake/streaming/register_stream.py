@@ -3,17 +3,14 @@ which a batch reads and writes only those that it touches."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import step, written
 from ..operators.register import REGISTER, archive, is_junk, merge_copies, stamp, with_key
-from ..sources import files
-
-#: Parts of a register; as many as keep one of them a few hundred megabytes.
-PARTS = 64
+from .parts import PARTS, last_batch, part_of, replace, stored, touched
 
 
 def merge_batch(prior: DataFrame | None, fresh: DataFrame, as_of: str, deal: str = "key") -> DataFrame:
@@ -26,59 +23,26 @@ def merge_batch(prior: DataFrame | None, fresh: DataFrame, as_of: str, deal: str
     return archive(merge_copies(rows if "key" in rows.columns else with_key(rows), ["shard", "at", "pos"], deal), as_of)
 
 
-def _part(key: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
-
-
-def last_batch(spark: SparkSession, table_dir: str) -> int:
-    """The number of the last batch that was written whole, -1 before the first."""
-    return max(map(int, files.names(spark, f"{table_dir}/_batches")), default=-1)
-
-
-def _versions(spark: SparkSession, table_dir: str, upto: int) -> dict[int, list[int]]:
-    """The versions of each part, by the batches that wrote them, up to one of them."""
-    found = {}
-    for name in files.names(spark, table_dir):
-        if name.startswith("part="):
-            versions = sorted(int(v[2:]) for v in files.names(spark, f"{table_dir}/{name}") if v.startswith("v="))
-            if held := [v for v in versions if v <= upto]:
-                found[int(name[5:])] = held
-    return found
-
-
-def stored(spark: SparkSession, table_dir: str, upto: int, only: list[int] | None = None, schema: str = REGISTER) -> DataFrame:
-    """The rows of the parts, or of only some, as the batches up to a number left them."""
-    paths = [f"{table_dir}/part={p}/v={v[-1]}" for p, v in _versions(spark, table_dir, upto).items() if only is None or p in only]
-    kind = T.StructType([T.StructField("key", T.StringType()), *T.StructType.fromDDL(schema).fields])
-    return spark.read.schema(kind).parquet(*paths) if paths else spark.createDataFrame([], kind)
+def _kind(schema: str) -> T.StructType:
+    return T.StructType([T.StructField("key", T.StringType()), *T.StructType.fromDDL(schema).fields])
 
 
 def current(spark: SparkSession, table_dir: str, schema: str = REGISTER) -> DataFrame:
     """The register as its last whole batch left it, junk left out."""
-    return stored(spark, table_dir, last_batch(spark, table_dir), schema=schema).where(~is_junk())
+    return stored(spark, table_dir, _kind(schema), last_batch(spark, table_dir)).where(~is_junk())
 
 
 def upsert(batch: DataFrame, number: int, table_dir: str, as_of: str, parts: int = PARTS, schema: str = REGISTER) -> list[int]:
-    """Merge a batch into the parts that its keys touch; their numbers.
-
-    Each touched part gets a new version under the batch's number, by dynamic overwrite, so a batch
-    that is run again starts from the versions before it and writes the same. A file names the batch
-    once all its parts are there; until then readers see the versions before. Of versions the last two
-    stay. What reaches the driver are numbers of parts."""
+    """Merge a batch into the parts that its keys touch; their numbers. Prior rows are read of these parts
+    only, as the batches before left them, so a batch that is run again writes the same. Junk stays in
+    its part and is left out when read, so no part comes out empty."""
     spark = batch.sparkSession
     with step(spark):
-        rows = with_key(batch).where("key != ''").withColumn("part", _part(F.col("key"), parts))
-        rows = written(rows, "batch")
-        touched = sorted(r.part for r in rows.select("part").distinct().collect())
-        if touched:
-            prior = stored(spark, table_dir, number - 1, touched, schema).withColumn("part", _part(F.col("key"), parts))
-            merged = merge_batch(prior, rows, as_of, "part").withColumns({"part": _part(F.col("key"), parts), "v": F.lit(number)})
-            merged.write.partitionBy("part", "v").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(table_dir)
-    files.touch(spark, f"{table_dir}/_batches/{number}")
-    for part, versions in _versions(spark, table_dir, number).items():
-        for old in versions[:-2] if part in touched else ():
-            files.remove(spark, f"{table_dir}/part={part}/v={old}")
-    return touched
+        rows = written(with_key(batch).where("key != ''").withColumn("part", part_of(F.col("key"), parts)), "batch")
+        own = touched(rows)
+        prior = stored(spark, table_dir, _kind(schema), number - 1, own).withColumn("part", part_of(F.col("key"), parts))
+        replace(merge_batch(prior, rows, as_of, "part").withColumn("part", part_of(F.col("key"), parts)), number, table_dir, own)
+    return own
 
 
 def start(spark: SparkSession, source: str, table_dir: str, checkpoint: str, as_of: str, schema: str = REGISTER, parts: int = PARTS) -> StreamingQuery:
