@@ -277,9 +277,3 @@ def notice_texts(ids: DataFrame, notices: DataFrame, pages: DataFrame, documents
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Items (url, href, ...) of a later snapshot that the earlier one lacks."""
     return after.join(before.select("url", "href").distinct(), ["url", "href"], "left_anti")
-
-
-def changed_pages(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Pages (url, text_hash) whose text changed between snapshots."""
-    old = before.select("url", F.col("text_hash").alias("old_hash"))
-    return after.join(old, "url").where(~F.col("text_hash").eqNullSafe(F.col("old_hash"))).drop("old_hash")

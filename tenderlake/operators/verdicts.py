@@ -237,12 +237,6 @@ def verification(read_fail: Column, closing: Column, evidence: Column, warnings:
     return F.struct(F.when(F.size(reasons) == 0, "VERIFIED").otherwise("UNVERIFIED").alias("verified"), reasons.alias("reasons"))
 
 
-def is_transient(tier: Column, reason: Column) -> Column:
-    """a REVIEW that a provider's trouble caused and that is worth another try."""
-    low = F.lower(or_empty(reason))
-    return (tier == "REVIEW") & (low.startswith("ai") | low.rlike("provider|quota|cooling"))
-
-
 def outcome(df: DataFrame, as_of: str, text: str = "text") -> DataFrame:
     """K1, K2: the stage at which each unit's way ends, cheapest test first, and what becomes of it:
     a row that is kept, an entry of the done-ledger, neither. Needs text, known (reference already

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import claim_queries, date_queries, page_queries, register_queries, text_queries, way_queries, work_queries
+from . import claim_queries, date_queries, page_queries, register_queries, source_queries, text_queries, way_queries, work_queries
 
-_MODULES = (text_queries, date_queries, register_queries, work_queries, claim_queries, page_queries, way_queries)
+_MODULES = (text_queries, date_queries, register_queries, work_queries, claim_queries, page_queries, way_queries, source_queries)
 
 
 def queries() -> dict:
