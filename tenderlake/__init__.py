@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import io
 import uuid
 import zipfile
@@ -24,8 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: The tables that each open step has written, the innermost step last.
-_steps: list[list[str]] = []
+#: The tables that each open step has written, the innermost step last; each thread has its own steps.
+_steps: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("steps", default=())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -33,8 +34,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     recomputation, the lineage is cut, and Spark sees the true size when it picks a join."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for step in _steps[-1:]:
-        step.append(path)
+    for own in _steps.get()[-1:]:
+        own.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -44,19 +45,20 @@ def step(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]
     """A step of which only the result stays: what it gives writes a table like `written`, and at the
     end all other tables written within are deleted. What is kept belongs to the step around it."""
     own: list[str] = []
-    _steps.append(own)
+    outer = _steps.get()
+    token = _steps.set((*outer, own))
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         out = written(df, name)
         path = own.pop()
-        for around in _steps[-2:-1]:
+        for around in outer[-1:]:
             around.append(path)
         return out
 
     try:
         yield keep
     finally:
-        _steps.remove(own)
+        _steps.reset(token)
         context = spark.sparkContext
         for path in map(context._jvm.org.apache.hadoop.fs.Path, own):
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -88,11 +88,26 @@ def sampled(df: DataFrame, n: int, posts: int, pos: str = "pos") -> DataFrame:
     return df.where((F.col(pos) % step == 0) & (F.col(pos) < step * posts))
 
 
+def running_total(df: DataFrame, group: str, order: str, value: str, name: str) -> DataFrame:
+    """df with the sum of value over the rows of a group before each, in order; at equal places in no fixed
+    order. The table is laid out by ranges of (group, order), written once; a group that spans ranges
+    adds up what the ranges before hold of it, so no task holds a whole group."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = written(df.repartitionByRange(n, group, order).withColumn("__part", F.spark_partition_id()), "running")
+    earlier = lambda window: window.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast(df.schema[value].dataType)
+    sums = laid.groupBy(F.col(group).alias("__group"), F.col("__part").alias("__range")).agg(F.sum(value).alias("__sum"))
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(earlier(Window.partitionBy("__group").orderBy("__range"))), zero))
+    own = F.coalesce(F.sum(value).over(earlier(Window.partitionBy(group, "__part").orderBy(order))), zero)
+    joined = laid.withColumn("__own", own).join(sums, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__part") == F.col("__range")))
+    return joined.withColumn(name, F.col("__before") + F.col("__own")).select(*df.columns, name)
+
+
 def admitted(jobs: DataFrame, group: str, order: str, cost: str, cap: int, job_cost: int = JOB_COST) -> DataFrame:
     """Jobs with what was spent before each, and whether it may start: a job starts only while a
     whole one fits what is left; the first refusal ends the run."""
-    before = F.coalesce(F.sum(cost).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return jobs.withColumn("spent_before", before).withColumn("starts", F.lit(cap) - F.col("spent_before") >= job_cost)
+    out = running_total(jobs, group, order, cost, "spent_before")
+    return out.withColumn("starts", F.lit(cap) - F.col("spent_before") >= job_cost)
 
 
 def pick_attachments(files: DataFrame, key: str = "key", url: str = "url", pos: str = "pos", most: int = 12) -> DataFrame:

@@ -127,9 +127,9 @@ def gate_counts(spark, d: str) -> DataFrame:
 
 
 def ledger_after_run(spark, d: str) -> DataFrame:
-    """The ledger of the even documents after a run that finished every third."""
-    docs = read(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
-    return register.with_finished(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 3 = 0"))
+    """The ledger of the short documents after a run that finished all but the shortest."""
+    docs = read(spark, d, "documents").select("n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+    return register.with_finished(docs.where("n_chars < 2000"), docs.where("n_chars >= 500"))
 
 
 def notices_by_id(spark, d: str) -> DataFrame:
@@ -200,7 +200,7 @@ SELECT key, CASE WHEN id % 3 <> 0 THEN 'N' || id WHEN n = 0 THEN 'FREE' || id WH
   id % 3 = 0 AND (n = 3 AND others OR n = 6 AND key <> first) AS taken FROM t"""),
     "known_live_units": oracle(f"SELECT a.id, b.id IS NOT NULL AS known FROM ({DATED}) a LEFT JOIN (SELECT id FROM ({COPIES}) WHERE shard = 0 AND verified = 'VERIFIED' AND NOT archived) b ON b.id = a.id + 1"),
     "gate_counts": oracle(f"SELECT form, id % 2 = 0 AND form <> 5 AS passes, id % 5 = 0 AS over, count(*) AS n FROM ({NOTICES}) GROUP BY ALL"),
-    "ledger_after_run": "SELECT DISTINCT sha256(coalesce(text, '')) AS hash FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
+    "ledger_after_run": "SELECT DISTINCT sha256(coalesce(text, '')) AS hash FROM documents WHERE n_chars < 2000 OR n_chars >= 500",
     "notices_by_id": oracle(f"""
 SELECT id, CASE WHEN id % 3 <> 0 AND id % 6 <> 1 THEN 'T' || chr(10) || chr(10) || text WHEN id % 5 <> 0 THEN 'page ' || id ELSE '' END
   || CASE WHEN id % 3 = 0 OR id % 4 <> 0 THEN '' WHEN id % 8 = 0 THEN chr(10) || chr(10) || '[ATTACHMENT: a' || id || ']' || chr(10) || 'file' ELSE chr(10) || chr(10) END AS text, (id % 3 <> 0 AND id % 4 = 0 AND id % 8 <> 0)::BIGINT AS read_fail FROM ({NOTICES})"""),
