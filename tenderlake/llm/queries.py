@@ -20,6 +20,7 @@ def queries() -> dict:
         "op11_centroid_clustering": centroids.op11_centroid_clustering,
         "op12_suffix_array_dedup": repeats.op12_suffix_array_dedup,
         "op13_spelling_variants": spelling.op13_spelling_variants,
+        "secret_rescan": secrets.secret_rescan,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_mixing": mixing.ORACLE,
         "op11_centroid_clustering": centroids.ORACLE,
         "op13_spelling_variants": spelling.ORACLE,
+        "secret_rescan": secrets.RESCAN_ORACLE,
     }

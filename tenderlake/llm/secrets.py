@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,26 +83,32 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
     rows (blob, rules, spans) of the pairs of a blob and a rule version that ledger doesn't hold yet.
 
     Each blob is scanned once, in one copy, and only with the rules whose version it hasn't seen: a
-    new blob with all, an old one with those added or raised since. Which copy is settled on hashes and
-    ids alone; the text is then dealt out once, by blob and id, so that a large group of copies is
-    spread. A null text is the empty blob. Equal rows may both be scanned; the ledger keeps one.
+    new blob with all, an old one with those added or raised since. Copies of a blob, be they rows
+    repeated or rows without an id, become one within each task before they are dealt by blob, so a
+    large group of copies costs a row a task. A null text is the empty blob.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     blob = F.unhex(F.sha2(body, 256))
     paths = written(docs.select("doc_id", blob.alias("blob")), "secret-paths")
-    todo = paths.groupBy("blob").agg(F.min(F.xxhash64("doc_id")).alias("path"))
     every = F.array(*[F.lit(_name(r)) for r in rules])
-    if ledger is None:
-        todo = todo.withColumn("missing", every)
-    else:
+    todo = paths.select("blob").distinct().withColumn("missing", every)
+    if ledger is not None:
         seen = ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
         todo = todo.join(seen, "blob", "left").withColumn("missing", F.when(F.col("seen").isNull(), every).otherwise(F.array_except(every, "seen"))).drop("seen")
         todo = written(todo.where(F.size("missing") > 0), "secret-todo")
-    texts = docs.select(F.xxhash64("doc_id").alias("path"), blob.alias("blob"), body.alias("text"))
-    new = scan(texts.join(todo, ["blob", "path"]).select("blob", "text", "missing"), rules)
-    # Equal rows give equal ledger rows; rules are arrays, so they are told apart by blob alone.
-    new = new.groupBy("blob").agg(F.first("rules").alias("rules"), F.first("spans").alias("spans"))
-    return paths, written(new, "secret-ledger")
+    texts = docs.select(blob.alias("blob"), body.alias("text")).dropDuplicates(["blob"])
+    return paths, written(scan(texts.join(todo, "blob").select("blob", "text", "missing"), rules), "secret-ledger")
+
+
+def join_findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id and spans (start, end, rule) of each row of paths (doc_id, blob): what the ledger holds of
+    its blob for these rule versions, by start, then in the order of rules."""
+    order = F.array(*[F.lit(_name(r)) for r in rules])
+    hits = ledger.where(F.size("spans") > 0).select("blob", F.filter("spans", lambda s: F.array_contains(order, s["rule"])).alias("spans"))
+    hits = hits.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans")).where(F.size("spans") > 0)
+    ranked = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["rule"]).alias("rank"), s["end"].alias("end"), s["rule"].alias("rule"))))
+    hits = hits.select("blob", F.transform(ranked, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rule"].alias("rule"))).alias("spans"))
+    return paths.join(written(hits, "secret-hits"), "blob", "left").select("doc_id", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
 
 
 def _listed(spans: Column) -> Column:
@@ -116,13 +122,7 @@ def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[
     doc_id stays null. An empty table gives no rows."""
     paths, new = update_ledger(docs, ledger, rules, text)
     whole = new if ledger is None else ledger.unionByName(new)
-    order = F.array(*[F.lit(_name(r)) for r in rules])
-    hits = whole.where(F.size("spans") > 0).select("blob", F.filter("spans", lambda s: F.array_contains(order, s["rule"])).alias("spans"))
-    hits = hits.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans")).where(F.size("spans") > 0)
-    ranked = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["rule"]).alias("rank"), s["end"].alias("end"), s["rule"].alias("rule"))))
-    hits = hits.select("blob", F.transform(ranked, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rule"].alias("rule"))).alias("spans"))
-    out = paths.join(written(hits, "secret-hits"), "blob", "left")
-    return out.select("doc_id", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans")), whole
+    return join_findings(paths, whole, rules), whole
 
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
@@ -136,6 +136,24 @@ def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rules of an earlier day: hex runs in a version since raised, and no tokens with a prefix.
+EARLIER = tuple(replace(r, version=0) if r.kind == "hex" else r for r in RULES if r.kind != "prefixed")
+
+
+def secret_rescan(spark, sf_dir: str) -> DataFrame:
+    """The second day of a ledger: the first day saw the documents of up to 1000 characters with earlier
+    rules, the second sees all with the rules of today. n_new: rule versions that the second day
+    tried on the document's blob."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    _, ledger = find_secrets(docs.where(F.length("text") <= 1000), rules=EARLIER)
+    rows = docs.withColumn("doc_id", F.struct("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob")))
+    paths, new = update_ledger(rows, ledger)
+    found = join_findings(paths, ledger.unionByName(new))
+    tried = new.select(F.col("blob").alias("new_blob"), F.size("rules").cast("long").alias("n_new"))
+    joined = found.join(tried, F.col("doc_id.blob") == F.col("new_blob"), "left")
+    return joined.select(F.col("doc_id.doc_id").alias("doc_id"), _listed(F.col("spans")).alias("spans"), F.coalesce("n_new", F.lit(0).cast("long")).alias("n_new"))
+
+
 def _rule_sql(order: int, rule: Rule) -> str:
     pattern = "'" + rule.pattern.replace("'", "''") + "'"
     value = f"regexp_extract_all(text, {pattern}, {rule.group})"
@@ -163,3 +181,9 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN per ON d.doc_id = per.doc_id
 """
+
+RESCAN_ORACLE = f"""
+WITH s AS ({ORACLE}), old AS (SELECT DISTINCT text FROM documents WHERE length(text) <= 1000)
+SELECT s.doc_id, s.spans, CASE WHEN old.text IS NULL THEN {len(RULES)} ELSE {len({_name(r) for r in RULES} - {_name(r) for r in EARLIER})} END::BIGINT AS n_new
+FROM s JOIN documents d ON d.doc_id = s.doc_id LEFT JOIN old ON old.text = coalesce(d.text, '')
+"""

@@ -71,6 +71,15 @@ def test_a_raised_rule_scans_old_blobs_with_that_rule_only(spark):
     assert secrets.update_ledger(docs, ledger, raised)[1].count() == 0
 
 
+def test_repeated_rows_and_rows_without_an_id_are_scanned_once(spark):
+    rows = [(None, "token = abcdefghijklmnop")] * 2000 + [(1, "password: 0123456789abcdef0")] * 2000 + [(None, None), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    paths, new = secrets.update_ledger(df)
+    assert sorted(len(r.spans) for r in new.collect()) == [0, 1, 2] and paths.count() == len(rows)
+    found = collections.Counter((r.doc_id, len(r.spans)) for r in secrets.join_findings(paths, new).collect())
+    assert found == {(None, 1): 2000, (1, 2): 2000, (None, 0): 1, (2, 0): 1}
+
+
 def test_very_long_texts_take_linear_time(spark):
     hexes, lines_ = 60_000, 300_000
     df = spark.createDataFrame([(1, "0123456789abcdef0 " * hexes)], "doc_id bigint, text string")
