@@ -19,8 +19,9 @@ RUN = 512
 SLICE_CHARS = 1 << 20
 UNKNOWN = "und"
 _BREAK = 1 << 30
-#: Alphabets up to this width have dense transition tables; wider ones a sorted list of transitions.
-DENSE = 250
+#: Bytes that the dense transition tables of all languages may take together. The smallest come first;
+#: languages beyond have a sorted list of transitions, of at most 36 bytes a character of their sample.
+DENSE_BYTES = 96 << 20
 
 
 class Automaton:
@@ -54,46 +55,74 @@ class Automaton:
             last = state
 
 
+class Transitions:
+    """From (state, symbol) of one language to the next state, or, where the phrase ends, to the state
+    that begins a new one, marked with _BREAK. Symbols are the language's own: 0 a blank, then its
+    letters, the last any other. dense: as a table of all, else as the pairs that go on, sorted."""
+
+    def __init__(self, automaton: Automaton, width: int, dense: bool):
+        self.width = width
+        self.begins = np.full(width, _BREAK, np.int32)
+        for c, to in automaton.next[0].items():
+            self.begins[c] |= to
+        pairs = np.fromiter((x for state, own in enumerate(automaton.next) for c, to in own.items() for x in (state * width + c, to)), np.int64).reshape(-1, 2)
+        self.keys = self.targets = self.moves = None
+        if dense:
+            self.moves = np.tile(self.begins, len(automaton.next))
+            self.moves[pairs[:, 0]] = pairs[:, 1]
+        else:
+            pairs = pairs[np.argsort(pairs[:, 0])]
+            self.keys, self.targets = pairs[:, 0].copy(), pairs[:, 1].astype(np.int32)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.begins, self.keys, self.targets, self.moves) if x is not None)
+
+    def step(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        key = state * self.width + symbols  # 64 bits: a table may have more than 2**31 cells
+        if self.moves is not None:
+            return self.moves[key].astype(np.int64)
+        if not len(self.keys):
+            return self.begins[symbols].astype(np.int64)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.targets[at], self.begins[symbols]).astype(np.int64)
+
+
 class Model:
-    """Transitions of all languages, as one dense table or, for many letters, sorted by state and symbol: from (state, symbol) to the next state, or,
-    where the phrase ends, to the state that begins a new one, marked with _BREAK."""
+    """The transitions of each language over its own letters, so one more language costs its own table,
+    not a column in all others. Tables are dense up to dense_bytes together, the smallest first."""
 
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, str], dense_bytes: int = DENSE_BYTES):
         self.languages = sorted(samples)
-        letters = sorted({c for text in samples.values() for c in fold(text)} - {" "})
+        folded = {name: fold(samples[name]) for name in self.languages}
+        letters = sorted(set().union(*folded.values()) - {" "})
         self.symbols = {c: i + 1 for i, c in enumerate(letters)}
         self.width = len(letters) + 2  # blank, letters, any other letter
-        self.dense = self.width <= DENSE
-        tables, self.roots, self.scale, base = [], [], [], 0
-        keys, targets, self.begins = [], [], []
-        for name in self.languages:
-            text = fold(samples[name])
-            automaton = Automaton([self.symbols.get(c, 0) for c in text])
-            n = len(automaton.next)
-            root = np.full(self.width, base, np.int64)
-            for c, to in automaton.next[0].items():
-                root[c] = base + to
-            if self.dense:
-                moves = np.tile(root | _BREAK, (n, 1))
-                for state, followers in enumerate(automaton.next):
-                    for c, to in followers.items():
-                        moves[state, c] = base + to
-                tables.append(moves)
-            else:
-                for state, followers in enumerate(automaton.next):
-                    for c in sorted(followers):
-                        keys.append((base + state) * self.width + c)
-                        targets.append(base + followers[c])
-                self.begins.append((root | _BREAK).astype(np.int32))
-            self.roots.append(base)
-            # With more text come longer phrases, by its logarithm.
-            self.scale.append(np.log(max(len(text), 3)))
-            base += n
-        self.moves = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
-        self.keys, self.targets = np.array(keys, np.int64), np.array(targets, np.int32)
-        self.points = np.zeros(0x110000, np.uint8 if self.dense else np.uint32)
+        kind = np.uint8 if self.width <= 256 else np.uint32
+        self.points = np.zeros(0x110000, kind)
         for c, i in self.symbols.items():
             self.points[ord(c)] = i
+        # With more text come longer phrases, by its logarithm.
+        self.scale = [np.log(max(len(folded[name]), 3)) for name in self.languages]
+        self.local: list[np.ndarray] = []
+        self.tables: dict[str, Transitions] = {}
+        own = {name: sorted(set(folded[name]) - {" "}) for name in self.languages}
+        for name in self.languages:
+            local = np.full(self.width, len(own[name]) + 1, kind)
+            local[0] = 0
+            local[[self.symbols[c] for c in own[name]]] = np.arange(1, len(own[name]) + 1)
+            self.local.append(local)
+        left = dense_bytes
+        for name in sorted(self.languages, key=lambda k: len(folded[k]) * len(own[k])):
+            number = {" ": 0} | {c: i + 1 for i, c in enumerate(own[name])}
+            automaton = Automaton([number[c] for c in folded[name]])
+            size = 4 * len(automaton.next) * (len(own[name]) + 2)
+            self.tables[name] = Transitions(automaton, len(own[name]) + 2, size <= left)
+            left -= size if size <= left else 0
+
+    @property
+    def nbytes(self) -> int:
+        return self.points.nbytes + sum(t.nbytes for t in self.tables.values()) + sum(x.nbytes for x in self.local)
 
     def encode(self, text: str) -> np.ndarray:
         """Symbols of a text: letters in lower case, every run of anything else as one blank."""
@@ -113,13 +142,6 @@ class Model:
         symbols = symbols[keep]
         return symbols[: len(symbols) - 1] if len(symbols) and symbols[-1] == 0 else symbols
 
-    def _step(self, language: int, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        if self.dense:
-            return self.moves[state * np.int32(self.width) + symbols]
-        key = state.astype(np.int64) * self.width + symbols
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.targets[at], self.begins[language][symbols])
-
     def phrases(self, encoded: list[np.ndarray]) -> np.ndarray:
         """Phrases per text and language: each text is parsed from left to right into the longest
         pieces that the language's sample holds, from its first symbol to its last.
@@ -149,14 +171,15 @@ class Model:
         after = np.full(len(runs), -1)
         follows = np.flatnonzero(~np.array(heads))
         after[column[follows - 1]] = column[follows]
-        for language, root in enumerate(self.roots):
-            state = np.full(len(runs), root, np.int32)
+        for language, name in enumerate(self.languages):
+            step, own_symbols = self.tables[name].step, self.local[language][grid]
+            state = np.zeros(len(runs), np.int64)
             begins = np.zeros(grid.shape, bool)
             for t in range(len(grid)):
                 n = alive[t]
-                to = self._step(language, state[:n], grid[t, :n])
+                to = step(state[:n], own_symbols[t, :n])
                 begins[t, :n] = to >> 30
-                state[:n] = to & np.int32(_BREAK - 1)
+                state[:n] = to & (_BREAK - 1)
             count = begins.sum(axis=0)
             own = state.copy()  # where a run ends as things stand
             entering = np.flatnonzero(after >= 0)
@@ -173,7 +196,7 @@ class Model:
                         changed.append(at[ended][moved])
                         at, now, extra, passed = at[~ended], now[~ended], extra[~ended], passed[~ended]
                         continue
-                    to = self._step(language, now, grid[t, at])
+                    to = step(now, own_symbols[t, at])
                     new, mine = to >> 30 > 0, begins[t, at]
                     extra, passed = extra + new, passed + mine
                     met = new & (mine | (t == 0))
@@ -181,7 +204,7 @@ class Model:
                     back = own[at[met]] != state[at[met]]
                     own[at[met]] = state[at[met]]
                     changed.append(at[met][back])
-                    at, now, extra, passed = at[~met], (to & np.int32(_BREAK - 1))[~met], extra[~met], passed[~met]
+                    at, now, extra, passed = at[~met], (to & (_BREAK - 1))[~met], extra[~met], passed[~met]
                     t += 1
                 again = np.concatenate(changed) if changed else np.zeros(0, np.int64)
                 entering = again[after[again] >= 0]
@@ -232,7 +255,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of each row of docs; no shuffle. Null texts and texts without a
     letter are `und` with score 0; whole texts are parsed, however long; ties go to the first
     language by name; a null doc_id stays null; an empty table gives an empty table."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size: see training_text
+    # DENSE_BYTES and 36 bytes a sampled character at most: about 170 MB for 40 languages.
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:

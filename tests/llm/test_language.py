@@ -1,7 +1,9 @@
 """op6 against a plain greedy parse, and its accuracy on text that it hasn't seen."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from tenderlake.llm import language
@@ -82,7 +84,7 @@ def test_without_letters(text):
     assert model.predict([text, None])[0] == [UNKNOWN, UNKNOWN]
 
 
-def test_alphabets_of_any_size(monkeypatch):
+def test_alphabets_of_any_size():
     pick = random.Random(4)
     han = [chr(c) for c in range(0x4E00, 0x4E00 + 900)]
     lexicon = ["".join(han[3 * i : 3 * i + 3]) for i in range(300)]
@@ -92,7 +94,37 @@ def test_alphabets_of_any_size(monkeypatch):
     assert model.width > 600
     assert model.predict([chinese(40), _text("aa", pick, 30), _text("bb", pick, 30)])[0] == ["zz", "aa", "bb"]
     texts = [_text(k, pick, 40) + " Жя 日" for k in SYLLABLES]
-    dense = Model(samples)
-    monkeypatch.setattr(language, "DENSE", 0)
-    sparse = Model(samples)
+    dense, sparse = Model(samples), Model(samples, dense_bytes=0)
+    assert all(t.moves is not None for t in dense.tables.values()) and all(t.moves is None for t in sparse.tables.values())
     assert (dense.phrases([dense.encode(x) for x in texts]) == sparse.phrases([sparse.encode(x) for x in texts])).all()
+
+
+def test_forty_languages_stay_within_their_bytes():
+    """Full samples of 40 languages, each of 28 letters, in two scripts: what is broadcast and what the driver
+    needs while it is built."""
+    pick = random.Random(9)
+    samples, syllables = {}, {}
+    for k in range(40):
+        base = ord("a") if k % 2 else 0x430
+        letters = [chr(base + i) for i in range(26)] + [chr(0xE0 + k % 20), chr(0xF8 + k % 7)]
+        own = syllables[f"l{k:02d}"] = ["".join(pick.choice(letters) for _ in range(pick.randint(1, 3))) for _ in range(60)]
+        samples[f"l{k:02d}"] = " ".join("".join(pick.choice(own) for _ in range(pick.randint(1, 4))) for _ in range(8000))[: language.CHARACTERS]
+    tracemalloc.start()
+    model = Model(samples)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.nbytes < language.DENSE_BYTES + 40 * 36 * language.CHARACTERS < 180e6 and peak < 500e6
+    assert {t.moves is None for t in model.tables.values()} == {True, False}
+    texts = {k: " ".join("".join(pick.choice(own) for _ in range(pick.randint(1, 4))) for _ in range(30)) for k, own in syllables.items()}
+    names = model.predict(list(texts.values()))[0]
+    assert sum(a == b for a, b in zip(names, texts, strict=True)) >= 39
+
+
+def test_cells_beyond_32_bits():
+    """Where state and symbol make a number over 2**31, the step is still the right one."""
+    automaton = language.Automaton([1, 2, 1, 0])
+    small, wide = language.Transitions(automaton, 3, False), language.Transitions(automaton, 1 << 30, False)
+    for state in range(len(automaton.next)):
+        for symbol in range(3):
+            one, other = (t.step(np.array([state], np.int64), np.array([symbol], np.uint8)) for t in (small, wide))
+            assert one[0] == other[0]
