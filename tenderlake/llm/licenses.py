@@ -160,6 +160,10 @@ _COMMON = frozenset("a all and any are at be by for from in is it of on or that
 _MARKS = r"[\x00-\x09\x0b-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
 
 
+#: What ends a sentence or a paragraph, and the sign that takes its place before texts are normalised.
+_ENDS, _END = r"[.!?]+[ \t\n]+|\n[ \t]*\n", "\u241e"
+
+
 def normalised(c: Column) -> Column:
     """Lower case (A-Z), with every run of ASCII characters that are no letter or digit as one blank;
     line feeds stay."""
@@ -203,8 +207,8 @@ def template_table(spark: SparkSession, templates: dict[str, tuple[str, ...]] =
 def match_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, min_dice: tuple[int, int] = MIN_DICE, text: str = "text") -> DataFrame:
     """One row per row of docs (doc_id, licenses: array of (license, dice, n_segments) by name).
 
-    Compared with the templates are the lines of a text, the paragraphs between blank lines and the
-    whole text. Dice is 2 * shared bigrams / (bigrams of both), counting repeats. A segment of n
+    Compared with the templates are the lines of a text, the paragraphs between blank lines, the
+    sentences (so a notice of one sentence is found within a longer paragraph) and the whole text. Dice is 2 * shared bigrams / (bigrams of both), counting repeats. A segment of n
     bigrams can reach the threshold d only for templates of n * d / (2 - d) to n * (2 - d) / d
     bigrams: longer and shorter segments than any template allows are dropped before a bigram is
     made, and a bigram meets only templates of fitting size. Texts without any of the words that a
@@ -224,9 +228,10 @@ def match_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMP
     for word in anchor_words(templates, min_dice):
         initials.setdefault(word[0], []).append(word[1:])
     anchored = "(?:^|[^a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in initials.items()) + ")"
-    seg = docs.where(F.lower(text).rlike(anchored)).select(*key, normalised(body).alias("body"))
-    seg = seg.withColumn("lines", F.split("body", "\n", -1)).withColumn("parts", F.split("body", r"\n *\n", -1))
-    segments = F.concat("lines", F.when(F.size("parts") > 1, F.col("parts")).otherwise(none), F.when(F.size("lines") > 1, F.array("body")).otherwise(none))
+    seg = docs.where(F.lower(text).rlike(anchored)).select(*key, normalised(body).alias("body"), normalised(F.regexp_replace(body, _ENDS, _END)).alias("ended"))
+    seg = seg.withColumn("lines", F.split("body", "\n", -1)).withColumn("parts", F.split("body", r"\n *\n", -1)).withColumn("sentences", F.split("ended", _END, -1))
+    several = F.when(F.size("sentences") > 1, F.col("sentences")).otherwise(none)
+    segments = F.concat("lines", several, F.when(F.size("parts") > 1, F.col("parts")).otherwise(none), F.when(F.size("lines") > 1, F.array("body")).otherwise(none))
     seg = seg.select("k1", "k2", F.posexplode(F.transform(segments, _words)).alias("seg", "words"))
     seg = seg.select("k1", "k2", "seg", "words", (F.size("words") - 1).alias("size")).where(F.col("size").between(least, most))
     grams = seg.select("k1", "k2", "seg", "size", F.explode(_bigrams(F.col("words"))).alias("g")).select("k1", "k2", "seg", "size", "g.a", "g.b")
@@ -263,9 +268,9 @@ WITH t0(license, variant, text) AS (VALUES {_VALUES}),
 t1 AS (SELECT license, variant, {_SPLIT % (_NORMAL % "text")} AS w FROM t0),
 t AS (SELECT license, variant, len(w) - 1 AS t_size, w[i] AS a, w[i + 1] AS b, count(*) AS t_n
       FROM (SELECT *, unnest(generate_series(1, len(w) - 1)) AS i FROM t1) GROUP BY ALL),
-d0 AS (SELECT doc_id, {_NORMAL % "coalesce(text, '')"} AS body FROM documents),
-d AS (SELECT doc_id, body, string_split(body, chr(10)) AS lines, string_split_regex(body, '\\n *\\n') AS parts FROM d0),
-s0 AS (SELECT doc_id, list_concat(lines, CASE WHEN len(parts) > 1 THEN parts ELSE [] END, CASE WHEN len(lines) > 1 THEN [body] ELSE [] END) AS segs FROM d),
+d0 AS (SELECT doc_id, {_NORMAL % "coalesce(text, '')"} AS body, string_split({_NORMAL % f"regexp_replace(coalesce(text, ''), '{_ENDS}', '{_END}', 'g')"}, '{_END}') AS sentences FROM documents),
+d AS (SELECT doc_id, body, sentences, string_split(body, chr(10)) AS lines, string_split_regex(body, '\\n *\\n') AS parts FROM d0),
+s0 AS (SELECT doc_id, list_concat(lines, CASE WHEN len(sentences) > 1 THEN sentences ELSE [] END, CASE WHEN len(parts) > 1 THEN parts ELSE [] END, CASE WHEN len(lines) > 1 THEN [body] ELSE [] END) AS segs FROM d),
 s1 AS (SELECT doc_id, unnest(generate_series(1, len(segs))) AS seg, unnest(segs) AS s FROM s0),
 s2 AS (SELECT doc_id, seg, {_SPLIT % "s"} AS w FROM s1),
 s3 AS (SELECT doc_id, seg, len(w) - 1 AS size, unnest(w[1:len(w) - 1]) AS a, unnest(w[2:]) AS b FROM s2 WHERE len(w) > 1),

@@ -120,7 +120,8 @@ def _plain_licenses(text):
     norm = lambda x: re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), x))
     body = re.sub(r"[\x00-\x09\x0b-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", " ", text)
     parts = re.split("\n *\n", body)
-    segments = body.split("\n") + (parts if len(parts) > 1 else []) + ([body] if "\n" in body else [])
+    sentences = re.split(r"[.!?]+[ \t\n]+|\n[ \t]*\n", text)
+    segments = body.split("\n") + (sentences if len(sentences) > 1 else []) + (parts if len(parts) > 1 else []) + ([body] if "\n" in body else [])
     best = {}
     for s in segments:
         w = norm(s)
@@ -228,3 +229,35 @@ def test_offsets_are_spread_evenly(spark):
         for size in (1, 4, 7):
             got = [r for r in out if some(r.source) and r["size"] == size]
             assert abs(sum(r.copies for r in got) / sum(rate[r.source] for r in got) - 1) < 0.08
+
+
+def test_recall_of_altered_notices(spark):
+    """Notices altered down to each similarity, as a line, a paragraph of lines, and within a longer one."""
+    pick = random.Random(14)
+    grams = lambda words: collections.Counter(zip(words, words[1:]))
+    norm = lambda t: re.findall("[a-z0-9]+", t.lower())
+    dice = lambda a, b: 2 * sum((grams(a) & grams(b)).values()) / (len(a) + len(b) - 2)
+    given, rows = [(name, t) for name, ts in licenses.TEMPLATES.items() for t in ts if len(norm(t)) >= 12], []
+    for level in (0.95, 0.9, 0.85, 0.81):
+        for name, t in pick.sample(given, 40):
+            words = t.split()
+            while True:
+                new = list(words)
+                new[pick.randrange(len(new))] = pick.choice(["other", "", "whatever"])
+                if dice(norm(" ".join(new)), norm(t)) < level:
+                    break
+                words = new
+            altered = " ".join(w for w in words if w)
+            lines = "\n".join(" ".join(altered.split()[i : i + 8]) for i in range(0, len(altered.split()), 8))
+            inside = f"We wrote this tool in the spring. {altered.rstrip('.')}. It reads tables, and it is slow on large ones. More is told below."
+            rows += [(level, place, name, f"Some prose first.\n\n{body}\n\nAnd more of it.") for place, body in (("line", altered), ("lines", lines), ("inside", inside))]
+    df = spark.createDataFrame([(i, r[3]) for i, r in enumerate(rows)], "doc_id bigint, text string")
+    found = {r.doc_id: {x.license for x in r.licenses} for r in licenses.match_licenses(df).collect()}
+    hits, total = collections.Counter(), collections.Counter()
+    for i, (level, place, name, _) in enumerate(rows):
+        total[place, level] += 1
+        hits[place, level] += name in found[i]
+    recall = {k: hits[k] / total[k] for k in total}
+    # Within a longer paragraph those of several sentences may be missed.
+    assert all(r == 1 for (place, _), r in recall.items() if place != "inside") and all(r >= 0.75 for r in recall.values())
+    assert sum(hits.values()) >= 0.9 * sum(total.values())
