@@ -63,6 +63,65 @@ def zipped_members(spark, d: str) -> DataFrame:
     return out.select("url", "member", F.sha2("text", 256).alias("text"), "truncated")
 
 
+_W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+_M = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+
+
+def _office(group: pa.Table) -> pa.Table:
+    """The suppliers of a nation as three files: paragraphs and a table, two sheets, rich text."""
+    nation = group.column("s_nationkey")[0].as_py()
+    rows = sorted(zip(group.column("s_suppkey").to_pylist(), group.column("s_name").to_pylist(), strict=True))
+    paragraphs = "".join(f"<w:p><w:r><w:t>{name}</w:t></w:r></w:p>" for _, name in rows)
+    cells = lambda *values: "".join(f"<w:tc><w:p><w:r><w:t>{v}</w:t></w:r></w:p></w:tc>" for v in values)
+    table = "".join(f"<w:tr>{cells(key, name)}</w:tr>" for key, name in rows)
+    sheet = lambda key: "".join(f'<row><c t="s"><v>{i}</v></c><c><v>{k if key else -k}</v></c></row>' for i, (k, _) in enumerate(rows))
+    members = {
+        "docx": {"word/document.xml": f"<w:document {_W}><w:body>{paragraphs}<w:tbl>{table}</w:tbl></w:body></w:document>"},
+        "xlsx": {
+            "xl/workbook.xml": f'<workbook {_M}><sheets><sheet name="Keys"/><sheet name="Less"/></sheets></workbook>', "xl/sharedStrings.xml": f"<sst {_M}>{''.join(f'<si><t>{name}</t></si>' for _, name in rows)}</sst>",
+            "xl/worksheets/sheet1.xml": f"<worksheet {_M}><sheetData>{sheet(True)}</sheetData></worksheet>", "xl/worksheets/sheet2.xml": f"<worksheet {_M}><sheetData>{sheet(False)}</sheetData></worksheet>",
+        },
+    }
+    out = {"rtf": ("{\\rtf1\\ansi {\\b Suppliers} " + " ".join(name for _, name in rows) + "}").encode()}
+    for kind, files in members.items():
+        body = io.BytesIO()
+        with zipfile.ZipFile(body, "w") as box:
+            for name, text_ in files.items():
+                box.writestr(name, text_)
+        out[kind] = body.getvalue()
+    # Every second one without a telling name: its bytes tell its kind.
+    return pa.table({"url": [f"{nation}.{kind}" if nation % 2 else f"{nation}-{kind}" for kind in out], "content": pa.array(list(out.values()), pa.binary()), "content_type": pa.array([None] * len(out), pa.string())})
+
+
+def office_files(spark, d: str) -> DataFrame:
+    """Suppliers as text documents, workbooks and rich text, read back."""
+    suppliers = read(spark, d, "supplier").select("s_nationkey", "s_suppkey", "s_name")
+    files = suppliers.groupBy("s_nationkey").applyInArrow(_office, "url string, content binary, content_type string")
+    return readers.read_documents(files).select("url", F.sha2("text", 256).alias("text"), "note")
+
+
+def robots_rules(spark, d: str) -> DataFrame:
+    """Pages under robots.txt files of their hosts: some close a part, some all to others, some are missing."""
+    pages = read(spark, d, "pages").select("page_id", "url")
+    hosts = pages.select(text.host(F.col("url")).alias("host")).distinct()
+    closed = F.when(F.col("host").startswith("m."), F.lit("User-agent: *\nDisallow: /en/\n")).when(F.col("host").startswith("www."), F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow:\n")).otherwise(F.lit("User-agent: *\nDisallow: /\n"))
+    robots = hosts.where(~F.col("host").endswith(".org")).select("host", closed.alias("body"))
+    return readers.robots_allowed(pages, robots).select("page_id", "allowed")
+
+
+def json_documents(spark, d: str) -> DataFrame:
+    """Customers as a JSON document for each nation, some of them cut short, and a document that isn't there."""
+    place, key = _place(spark, "json"), F.col("c_custkey")
+    row = F.struct(key.alias("key"), F.when(key % 7 == 0, F.lit("many")).otherwise((key % 5).cast("string")).alias("n"))
+    documents = read(spark, d, "customer").groupBy("c_nationkey").agg(F.to_json(F.sort_array(F.collect_list(row))).alias("body"))
+    cut = F.when(F.col("c_nationkey") % 6 == 1, F.substring("body", 1, 30)).otherwise(F.col("body"))
+    documents.select("c_nationkey", cut.alias("body")).write.partitionBy("c_nationkey").text(place)
+    schema = "key bigint, n string"
+    found = readers.json_table(spark, place, schema).select("key", "n", F.col("_corrupt_record").isNotNull().alias("damaged"))
+    missing = readers.json_table(spark, f"{place}-not-there", schema).select("key", "n", F.lit(True).alias("damaged"))
+    return found.unionByName(missing).groupBy("damaged", "n").agg(F.count(F.lit(1)).alias("rows"), F.sum("key").alias("keys"))
+
+
 #: Records of twenty sources; one source wholly cut short, others here and there, some numbers as words.
 _LINES = """
 SELECT 'shard-' || cast(event_id % 20 as string) AS source, CASE WHEN event_id % 20 = 7 OR event_id % 13 = 5 THEN substr(props, 1, 4)
@@ -132,6 +191,18 @@ SELECT page_id % 40 AS bucket, sha256({_CLEAN.format("string_agg(url, chr(10) OR
     "zipped_members": f"""
 SELECT 'box-' || (doc_id // {BOX}) || '.zip' AS url, CASE WHEN doc_id % 5 = 0 THEN doc_id || '.zip/' ELSE '' END || doc_id || '.txt' AS member,
   sha256({_CLEAN.format("replace(coalesce(text, ''), chr(0), ' ')")}) AS text, false AS truncated FROM documents""",
+    "office_files": r"""
+WITH f AS (SELECT s_nationkey AS n, string_agg(s_name, chr(10) ORDER BY s_suppkey) || chr(10) || string_agg(s_suppkey || ' | ' || s_name, chr(10) ORDER BY s_suppkey) AS docx,
+  '[SHEET: Keys]' || chr(10) || string_agg(s_name || ' | ' || s_suppkey, chr(10) ORDER BY s_suppkey) || chr(10) || '[SHEET: Less]' || chr(10) || string_agg(s_name || ' | ' || -s_suppkey, chr(10) ORDER BY s_suppkey) AS xlsx,
+  'Suppliers ' || string_agg(s_name, ' ' ORDER BY s_suppkey) AS rtf FROM supplier GROUP BY 1),
+k AS (SELECT n, unnest([docx, xlsx, rtf]) AS text, unnest(['docx', 'xlsx', 'rtf']) AS kind FROM f)
+SELECT n || CASE WHEN n % 2 = 1 THEN '.' ELSE '-' END || kind AS url, sha256(trim(regexp_replace(text, '[ ]{2,}', ' ', 'g'))) AS text, '' AS note FROM k""",
+    "robots_rules": """
+WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, CASE WHEN host LIKE '%.org' OR host LIKE 'www.%' THEN true WHEN host LIKE 'm.%' THEN path NOT LIKE '/en/%' ELSE false END AS allowed FROM p""",
+    "json_documents": """
+SELECT false AS damaged, CASE WHEN c_custkey % 7 = 0 THEN 'many' ELSE (c_custkey % 5)::VARCHAR END AS n, count(*) AS rows, sum(c_custkey)::BIGINT AS keys FROM customer WHERE c_nationkey % 6 <> 1 GROUP BY ALL
+UNION ALL SELECT true, NULL, count(DISTINCT c_nationkey), NULL FROM customer WHERE c_nationkey % 6 = 1""",
     "damaged_records": """
 WITH l AS (SELECT event_id % 20 AS s, event_id % 20 = 7 OR event_id % 13 = 5 AS cut, event_id % 11 = 3 AS word, event_id % 17 = 4 AS none, event_id % 100 AS w, (props->>'$.k')::BIGINT AS k FROM events),
 p AS (SELECT s, NOT cut AND NOT word AND NOT none AS ok, NOT cut AND word AS back, w, k FROM l)
@@ -163,4 +234,4 @@ SELECT 'nation' AS "table", '{"n_nationkey":' || n_nationkey || ',"n_name":"' ||
 UNION ALL SELECT 'customer', '{"c_custkey":' || c_custkey || ',"c_nationkey":' || c_nationkey || '}' FROM customer""",
 }
 
-QUERIES = {f.__name__: f for f in (landed_files, zipped_members, damaged_records, link_history, page_versions, candidate_links, page_lines, published_tables)}
+QUERIES = {f.__name__: f for f in (landed_files, zipped_members, office_files, robots_rules, json_documents, damaged_records, link_history, page_versions, candidate_links, page_lines, published_tables)}
