@@ -194,3 +194,44 @@ def test_numbers_are_adopted_only_if_free(spark):
     again = spark.createDataFrame([("a", "n1"), ("b", "free"), ("c", " FREE "), ("d", "other"), ("e", None), ("z", "gone")], "key string, sol string")
     got = {r.key: (r.sol, r.note is not None) for r in register.adopted_references(old, again).collect()}
     assert got == {"a": ("", True), "b": ("FREE", False), "c": ("", True), "d": ("N1", False), "e": ("", False)}
+
+
+def test_running_totals_of_groups_that_span_ranges(spark):
+    pick = random.Random(5)
+    rows = [(pick.choice(["a", "a", "a", "b", None]), i, pick.randint(1, 9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, at int, cost int").repartition(5)
+    got = {(r.g, r.at): (r.spent_before, r.starts) for r in queue.admitted(df, "g", "at", "cost", 100).collect()}
+    spent, want = {}, {}
+    for g, at, cost in rows:
+        before = spent.get(g, 0)
+        want[g, at] = (before, 100 - before >= 6)
+        spent[g] = before + cost
+    assert got == want
+    assert queue.admitted(df.limit(0), "g", "at", "cost", 100).collect() == []
+
+
+def test_steps_of_threads_leave_each_other_alone(spark):
+    import os
+    import threading
+
+    import tenderlake
+
+    shared, ready, go = tenderlake.shared_dir(spark), threading.Event(), threading.Event()
+    out = {}
+
+    def other():
+        with tenderlake.step(spark) as keep:
+            mine = tenderlake.written(spark.range(3), "threadmine")
+            ready.set()
+            go.wait(60)
+            out["rows"] = keep(mine, "threadkept").count()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    ready.wait(60)
+    with tenderlake.step(spark):
+        tenderlake.written(spark.range(2), "threadmain")
+    go.set()
+    thread.join()
+    named = lambda n: [f for f in os.listdir(shared) if f.startswith(n)]
+    assert out["rows"] == 3 and not named("threadmain") and not named("threadmine") and len(named("threadkept")) == 1
