@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import step
 from .components import components, same_document, smallest_ids
 from .shared import fresh, table, written
 from .spans import FOLD, ORDER, _BYTE, batches, mix64, span_hashes, text_slices, word_spans
@@ -263,9 +264,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", jaccard: tuple[int, int
     empty texts have no set and are linked with nothing. Equal sets form one class whose smallest id
     stands for it. A null doc_id takes part in no link: component_id and kept are null. Rows that
     share a doc_id are one document with several texts: what any of them is linked with is in its
-    component, which all its rows show. An empty table gives an empty table. See find_classes.
+    component, which all its rows show. An empty table gives an empty table. See find_classes. Of the
+    tables written on the way only the result stays.
     """
-    found = find_classes(docs, text, jaccard)
+    with step(docs.sparkSession) as keep:
+        return keep(_components_of(find_classes(docs, text, jaccard)), "minhash-result")
+
+
+def _components_of(found: Classes) -> DataFrame:
     key = ["f1", "f2", "n_shingles"]
     often = found.rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("f1", "f2") for f in (F.min, F.max)])
     often = written(often.where("n > 1 AND (min_f1 != max_f1 OR min_f2 != max_f2)").select("doc_id"), "minhash-several")

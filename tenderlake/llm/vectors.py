@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import step
 from .components import same_document, smallest_ids
 from .shared import table, written
 
@@ -168,8 +169,14 @@ def near_duplicate_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE, v
     label are a cell. Linked unit vectors differ by at most sqrt(2 - 2 c) along any axis, so a cell
     that holds more than a few tiles is split into slabs along one leading principal axis after the
     other. A cell is dealt into tiles of about TILE vectors, and each task compares two tiles. A task
-    returns a count for each vector and a spanning forest of the links, never the pairs.
+    returns a count for each vector and a spanning forest of the links, never the pairs. Of the
+    tables written on the way only the result stays.
     """
+    with step(vectors.sparkSession) as keep:
+        return keep(_linked(vectors, min_cosine, vector), "vector-result")
+
+
+def _linked(vectors: DataFrame, min_cosine: float, vector: str) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "label", F.col(vector).cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
