@@ -165,12 +165,13 @@ def _parts(size, shingles) -> Column:
 
 
 def _in_chunks(members: DataFrame, sets: DataFrame, jaccard: tuple[int, int]) -> DataFrame:
-    """members: (key, part, other, side, node, comp) of comparing tasks."""
+    """members: side, node and comp of comparing tasks, which the other columns name."""
 
     def compare(group: pa.Table) -> pa.Table:
         return _chunk_links(group, jaccard)
 
-    return members.join(sets, "node").groupBy("key", "part", "other").applyInArrow(compare, "a bigint, b bigint")
+    task = [c for c in members.columns if c not in ("side", "node", "comp")]
+    return members.join(sets, "node").groupBy(*task).applyInArrow(compare, "a bigint, b bigint")
 
 
 @dataclass
@@ -237,22 +238,29 @@ def find_classes(docs: DataFrame, text: str, jaccard: tuple[int, int]) -> Classe
 
 
 def _join_rest(links: DataFrame, dealt: DataFrame, sets: DataFrame, jaccard: tuple[int, int]) -> DataFrame:
-    """The links, and those between different components of a large bucket."""
+    """The links, and those between different components of a large bucket.
+
+    Linked sets differ in size by the factor of the threshold at most, so the sizes of a bucket are cut
+    into ranges of that factor, and only equal and neighbouring ranges meet."""
     parents = written(components(links, "minhash-first"), "minhash-parents")
-    now = dealt.join(parents, "node", "left").select("key", "parts", "n_shingles", "part", "node", F.coalesce("component", "node").alias("comp"))
+    size_range = F.floor(F.log("n_shingles") / (math.log(jaccard[1] / jaccard[0]) * (1 + 1e-9))).cast("int")
+    now = dealt.join(parents, "node", "left").select("key", "n_shingles", size_range.alias("range"), "node", F.coalesce("component", "node").alias("comp"))
     now = written(now, "minhash-now")
     counts = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     most = counts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
     open_keys = written(most.where("comps > 1").select("key", F.col("top.comp").alias("main")), "minhash-open")
-    # The smaller components of a bucket, dealt anew, meet each chunk of the bucket.
-    minor = now.join(open_keys, "key").where(F.col("comp") != F.col("main"))
-    minors = minor.groupBy("key").agg(_parts(F.count(F.lit(1)), F.sum("n_shingles")).alias("minor_parts"))
-    minors = written(minors, "minhash-minors")
-    minor = minor.join(minors, "key").withColumn("other", F.pmod(F.xxhash64("node", F.lit(5)), F.col("minor_parts")).cast("int"))
-    chunks = F.sequence(F.lit(0), F.col("parts") - 1)
-    first = minor.select("key", F.explode(chunks).alias("part"), "other", F.lit(0).alias("side"), "node", "comp")
-    others = F.sequence(F.lit(0), F.col("minor_parts") - 1)
-    second = now.join(minors, "key").select("key", "part", F.explode(others).alias("other"), F.lit(1).alias("side"), "node", "comp")
+    now = now.join(open_keys, "key")
+    parts_of = lambda rows, name: rows.groupBy("key", "range").agg(_parts(F.count(F.lit(1)), F.sum("n_shingles")).alias(name))
+    minor = now.where(F.col("comp") != F.col("main"))
+    cells, minors = written(parts_of(now, "parts"), "minhash-cells"), written(parts_of(minor, "minor_parts"), "minhash-minors")
+    near = F.explode(F.array(F.col("range") - 1, F.col("range"), F.col("range") + 1))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt_to = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    # The smaller components of a bucket, dealt anew, meet each chunk of the ranges near to theirs.
+    first = minor.join(minors, ["key", "range"]).select("key", F.col("range").alias("mine"), dealt_to(5, "minor_parts").alias("other"), "node", "comp", near.alias("range"))
+    first = first.join(cells, ["key", "range"]).select("key", "range", upto("parts").alias("part"), "mine", "other", F.lit(0).alias("side"), "node", "comp")
+    second = now.join(cells, ["key", "range"]).select("key", "range", dealt_to(3, "parts").alias("part"), "node", "comp", near.alias("mine"))
+    second = second.join(minors.withColumnRenamed("range", "mine"), ["key", "mine"]).select("key", "range", "part", "mine", upto("minor_parts").alias("other"), F.lit(1).alias("side"), "node", "comp")
     return links.unionByName(written(_in_chunks(first.unionByName(second), sets, jaccard), "minhash-rest"))
 
 

@@ -107,3 +107,27 @@ def test_signatures_estimate_jaccard():
     b = np.concatenate([a[:800], np.unique(pick.integers(0, 2**63, 200).astype(np.uint64))])
     s = minhash.signatures([a, b], 512)
     assert abs((s[0] == s[1]).mean() - 800 / 1200) < 0.08
+
+
+def test_ranges_of_sizes_that_cannot_link_do_not_meet(spark, monkeypatch):
+    """A bucket of sets that share a band but differ in size: only those of near sizes are compared."""
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(minhash, "CHUNK", 4)
+    sent = []
+    real = minhash._in_chunks
+
+    def spy(members, sets, jaccard):
+        sent.append(members.count())
+        return real(members, sets, jaccard)
+
+    monkeypatch.setattr(minhash, "_in_chunks", spy)
+    pick = random.Random(3)
+    rows = []
+    for i in range(60):  # a hundred words in common, then more and more of their own
+        own = [f"o{i}w{k}" for k in range(int(100 * 1.15 ** (i % 12)) - 99)]
+        rows.append((i, " ".join([f"c{k}" for k in range(100)] + own)))
+    rows += [(100 + i, rows[i][1] + f" tail{i}") for i in range(0, 60, 7)]
+    pick.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(map(tuple, minhash.near_duplicates(df).collect())) == brute(rows)
+    assert len(sent) == 2 and sent[1] > 0
