@@ -8,6 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.identity import fingerprint
+from ..functions.text import first_title, or_empty
+
 # Fixed values -------------------------------------------------------------------------------------
 MAX_TRIES, LEAST_TEXT = 3, 180
 TROUBLE = ("provider", "quota", "cooling")
@@ -113,3 +116,42 @@ def follow(events: DataFrame, as_of: str, wait: int = WAIT) -> DataFrame:
     rows = _columns(events).where("key IS NOT NULL AND said_at IS NOT NULL")
     rows = rows.repartition("key").sortWithinPartitions("key", "said_at", "place", "tie")
     return rows.mapInArrow(lambda batches: _fold(batches, as_of, wait), f"key string, {WAY}")
+
+
+#: Outcomes that make a register row, and those after which a notice isn't looked at again.
+RECORDED = ("expired", "no_date", "complete")
+SETTLED = ("duplicate", "not_solicitation", *RECORDED)
+MOST_FILES = 15
+#: What a unit brings to its row.
+UNIT = ("sol_hint", "link", "post", "country", "platform", "agency", "domestic", "source", "text", "attachments")
+
+
+def register_rows(ways: DataFrame, units: DataFrame, as_of: str) -> DataFrame:
+    """K2: the register rows of the notices whose way has ended in one: the expired, archived as such; those
+    without a date anywhere, for someone to settle; and the complete, with their tier. ways is what
+    `follow` gives, units has key and UNIT. A notice without a unit makes no row; a null title is the
+    first usable line of the text, else the reference, else a word for what it is."""
+    ended = ways.where(F.col("outcome").isin(*RECORDED)).select("key", "outcome", F.col("tier").alias("decided"), F.col("closing").alias("read"))
+    rows = ended.join(units.select("key", *UNIT), "key")
+    over, undated = F.col("outcome") == "expired", F.col("outcome") == "no_date"
+    named = F.when(over, "(an expired notice)").when(undated, "(a notice without a date)").otherwise("(untitled)")
+    by = lambda expired, no_date, complete: F.when(over, expired).when(undated, no_date).otherwise(complete)
+    none, words = F.lit(None).cast("string"), lambda *notes: F.array(*[F.lit(n) if isinstance(n, str) else n for n in notes])
+    closed = F.concat(F.lit("closed on "), "read")
+    rows = rows.withColumns({
+        "sol": or_empty(F.col("sol_hint")), "title": F.coalesce(F.nullif(first_title(F.col("text")), F.lit("")), F.nullif("sol_hint", F.lit("")), named),
+        "tier": by(F.lit(""), F.lit("REVIEW"), F.col("decided")), "deadline": by(F.col("read"), none, F.col("read")), "status": by(F.lit("Expired"), F.lit("Check"), F.lit("Active")),
+        "archived": over, "archivedOn": F.when(over, F.lit(as_of)), "updated": F.lit(as_of), "noDate": undated, "needs": F.when(undated, F.lit("a closing date, from the notice itself")),
+        "verified": F.lit("UNVERIFIED"),
+        "verifyNotes": by(words(F.coalesce(closed, F.lit("the notice says that it is over")), "archived without reading its files"), words("no closing date anywhere", "not adjudicated"), F.array().cast("array<string>")),
+        "files": F.slice(F.coalesce("attachments", F.array().cast("array<string>")), 1, MOST_FILES), "fileCount": F.coalesce(F.array_size("attachments"), F.lit(0)),
+    })
+    rows = rows.withColumn("fp", fingerprint(*[F.col(c) for c in ("sol", "title", "deadline", "status")], none, F.col("link")))
+    made = ("sol", "title", "tier", "deadline", "status", "archived", "archivedOn", "updated", "noDate", "needs", "verified", "verifyNotes", "files", "fileCount", "fp")
+    return rows.select("key", "outcome", *made, *[c for c in UNIT if c not in ("sol_hint", "text", "attachments")])
+
+
+def finished(ways: DataFrame, units: DataFrame) -> DataFrame:
+    """The hashes that the done-ledger gets: of units (key, hash) whose way is settled. What was thin
+    or given up comes back."""
+    return ways.where(F.col("outcome").isin(*SETTLED)).select("key").join(units.select("key", "hash"), "key").select("hash").distinct()

@@ -33,6 +33,31 @@ def notice_ways(spark: SparkSession, d: str) -> DataFrame:
     return ways.follow(compose(spark, d, EVENTS), AS_OF).select(*_SHOWN, "awaits")
 
 
+#: What each order brings as a unit: some without a number, a usable title or any file; hashes recur.
+UNITS = f"""
+SELECT cast(id as string) AS key, 'u' || cast(id % 5000 as string) AS hash, CASE WHEN id % 3 = 0 THEN '' ELSE '19AB' || lpad(cast(id as string), 7, '0') || 'Q' END AS sol_hint,
+       'https://example.usembassy.gov/n/' || cast(id as string) AS link, 'P' || cast(cust % 7 as string) AS post, 'C' AS country, 'USGOV' AS platform, '' AS agency, id % 2 = 0 AS domestic, 'Site' AS source,
+       CASE WHEN id % 4 = 0 THEN 'Home' ELSE 'Menu' || chr(10) || 'Notice ' || cast(id as string) || ' of this year' END AS text, cast(id % 20 as int) AS n_files FROM ({DATED}) AS dated
+"""
+
+
+def _units(spark: SparkSession, d: str) -> DataFrame:
+    files = F.when(F.col("n_files") > 0, F.transform(F.sequence(F.lit(1), F.col("n_files")), lambda i: F.concat("link", F.lit("/"), i.cast("string"))))
+    return compose(spark, d, UNITS).withColumn("attachments", files)
+
+
+def settled_ways(spark: SparkSession, d: str) -> DataFrame:
+    """The register rows that the ended ways make."""
+    rows = ways.register_rows(ways.follow(compose(spark, d, EVENTS), AS_OF), _units(spark, d), AS_OF)
+    sizes = {"n_files": F.size("files").cast("bigint"), "n_all": F.col("fileCount").cast("bigint"), "n_notes": F.size("verifyNotes").cast("bigint")}
+    return rows.select("key", "outcome", "sol", "title", "tier", "deadline", "status", "archived", "archivedOn", "noDate", F.col("needs").isNotNull().alias("needs"), "fp", "post", *[c.alias(n) for n, c in sizes.items()])
+
+
+def finished_ways(spark: SparkSession, d: str) -> DataFrame:
+    """The hashes that the done-ledger gets."""
+    return ways.finished(ways.follow(compose(spark, d, EVENTS), AS_OF), _units(spark, d))
+
+
 def landed(rows: DataFrame, name: str, n: int = 3) -> str:
     """A folder with the rows as JSON files, dealt by hash, so they arrive in no order of time."""
     folder = f"{shared_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -90,6 +115,14 @@ ORACLES = {
     "notice_ways": oracle(f"{_WAYS} SELECT key, outcome, tries::INT AS tries, closing, tier, said_at, awaits FROM x"),
     "notice_ways_stream": oracle(f"{_WAYS} SELECT key, outcome, tries::INT AS tries, closing, tier, said_at FROM x WHERE outcome IS NOT NULL"),
     "operator_stream": OVERLAID,
+    "settled_ways": oracle(f"""{_WAYS}, made AS (
+  SELECT x.key, outcome, sol_hint AS sol, CASE WHEN text <> 'Home' THEN substr(text, 6) WHEN sol_hint <> '' THEN sol_hint WHEN outcome = 'expired' THEN '(an expired notice)' WHEN outcome = 'no_date' THEN '(a notice without a date)' ELSE '(untitled)' END AS title,
+    CASE outcome WHEN 'expired' THEN '' WHEN 'no_date' THEN 'REVIEW' ELSE tier END AS tier, CASE WHEN outcome <> 'no_date' THEN closing END AS deadline,
+    CASE outcome WHEN 'expired' THEN 'Expired' WHEN 'no_date' THEN 'Check' ELSE 'Active' END AS status, outcome = 'expired' AS archived, CASE WHEN outcome = 'expired' THEN '{AS_OF}' END AS "archivedOn",
+    outcome = 'no_date' AS "noDate", outcome = 'no_date' AS needs, link, post, least(n_files, 15)::BIGINT AS n_files, n_files::BIGINT AS n_all, CASE WHEN outcome = 'complete' THEN 0 ELSE 2 END::BIGINT AS n_notes
+  FROM x JOIN ({UNITS}) u ON u.key = x.key WHERE outcome IN ('expired', 'no_date', 'complete'))
+SELECT * EXCLUDE (link), substr(sha256(sol || '|' || title || '|' || coalesce(deadline, '') || '|' || status || '||' || link), 1, 16) AS fp FROM made"""),
+    "finished_ways": oracle(f"""{_WAYS} SELECT DISTINCT hash FROM x JOIN ({UNITS}) u ON u.key = x.key WHERE outcome IN ('duplicate', 'not_solicitation', 'expired', 'no_date', 'complete')"""),
 }
 
-QUERIES = {f.__name__: f for f in (notice_ways, notice_ways_stream, operator_stream)}
+QUERIES = {f.__name__: f for f in (notice_ways, notice_ways_stream, operator_stream, settled_ways, finished_ways)}

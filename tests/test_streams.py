@@ -110,3 +110,18 @@ def test_stream_of_answers_equals_the_batch(spark, tmp_path):
     asked = [(r.key, r.tries, r.retry_at) for r in rows if r.what == "ask again"]
     assert sorted(asked) == sorted((k, r.tries, r.retry_at) for k, r in waiting.items()) and {"w1", "w2"} <= {a[0] for a in asked}
     assert sum(r.what == "ended" for r in rows) == len(want)
+
+
+def test_ended_ways_make_rows_and_ledger_entries(spark):
+    told = [("a", "expired", None, "2026-05-31"), ("b", "expired", None, None), ("c", "no_date", None, None), ("d", "complete", "NO", "2026-11-01"), ("e", "thin", None, None), ("f", "given_up", None, "2026-11-01"), ("g", "duplicate", None, None), ("h", None, None, None), ("i", "not_solicitation", None, None), ("lost", "complete", "BID", "2026-11-01")]
+    done = spark.createDataFrame([(k, None, o, 0, c, t, 1, None) for k, o, t, c in told], f"key string, {ways.WAY}")
+    unit = lambda k, **g: {"key": k, "hash": f"h{k}", "sol_hint": "", "link": f"https://x/{k}", "post": "P", "country": None, "platform": "USGOV", "agency": None, "domestic": False, "source": "Site", "text": None, "attachments": None} | g
+    given = [unit("a", text="Home\nSupply of desks and chairs"), unit("b", sol_hint="19AB1026Q0002"), unit("c", attachments=[f"f{i}" for i in range(20)]), unit("d", hash="ha"), *map(unit, "efghi")]
+    units = spark.createDataFrame(given, "key string, hash string, " + ", ".join(f"{c} {'boolean' if c == 'domestic' else 'array<string>' if c == 'attachments' else 'string'}" for c in ways.UNIT))
+    rows = {r.key: r for r in ways.register_rows(done, units, "2026-06-01").collect()}
+    assert {k: (r.title, r.tier, r.status, r.archived, r.archivedOn, r.deadline, r.noDate, len(r.files), r.fileCount) for k, r in rows.items()} == {
+        "a": ("Supply of desks and chairs", "", "Expired", True, "2026-06-01", "2026-05-31", False, 0, 0), "b": ("19AB1026Q0002", "", "Expired", True, "2026-06-01", None, False, 0, 0),
+        "c": ("(a notice without a date)", "REVIEW", "Check", False, None, None, True, 15, 20), "d": ("(untitled)", "NO", "Active", False, None, "2026-11-01", False, 0, 0),
+    }
+    assert rows["a"].verifyNotes[0] == "closed on 2026-05-31" and rows["b"].verifyNotes[0] == "the notice says that it is over" and rows["d"].verifyNotes == [] and len({r.fp for r in rows.values()}) == 4
+    assert sorted(r.hash for r in ways.finished(done, units).collect()) == ["ha", "hb", "hc", "hg", "hi"]
