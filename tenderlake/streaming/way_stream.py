@@ -12,55 +12,71 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators import ways
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_EVENT = f"{ways.EVENT}, place int, tie bigint"
-_NAMES = tuple(f.split()[0] for f in _EVENT.split(", "))
+_WAITING = ", ".join(f"{ways.EVENT}, place int, tie bigint".split(", ")[1:])
+_NAMES = tuple(f.split()[0] for f in _WAITING.split(", "))
+_AT = _NAMES.index("said_at")
+#: All that is kept of a notice, in one value: where it stands, the answers that wait, when its timer goes
+#: off, and the retry_at for which a reader was asked again.
+_STATE = f"{ways.WAY}, waiting array<struct<{_WAITING.replace(', ', ',').replace(' ', ':')}>>, timer bigint, asked bigint"
 #: What the stream gives: a row when a notice's way ends, and one when a reader is to be asked again.
 CHANGE = f"key string, what string, {ways.WAY}"
 
 
 class Follow(StatefulProcessor):
     """Answers wait in state until the watermark has passed them, so all of a moment or before it are
-    there and count in order, however they arrive. A timer per answer brings that about; another asks
-    again, when a reader in trouble has been given its time and no answer came."""
+    there and count in order, however they arrive. A notice has one timer, for the first of them or for
+    asking a reader in trouble again, when it has been given its time and no answer came. When it goes
+    off, all that the watermark has passed is taken up in order of time: so a notice costs one read
+    and one write of its state a batch, however many answers it gets."""
 
     def __init__(self, as_of: str, wait: int):
         self.as_of, self.wait = as_of, wait
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.way = handle.getValueState("way", ways.WAY)
-        self.waiting = handle.getListState("waiting", _EVENT)
-
-    def _stands(self) -> dict:
-        return dict(zip(ways.WAY_FIELDS, self.way.get(), strict=True)) if self.way.exists() else ways.beginning()
+        self.state = handle.getValueState("state", _STATE)
+
+    def _held(self) -> tuple[dict, list[tuple], int | None, int | None]:
+        held = self.state.get()
+        if held is None:
+            return ways.beginning(), [], None, None
+        *way, waiting, timer, asked = held
+        return dict(zip(ways.WAY_FIELDS, way, strict=True)), [tuple(e) for e in waiting], timer, asked
+
+    def _hold(self, way: dict, waiting: list[tuple], timer: int | None, asked: int | None) -> None:
+        """Put the state, and set the timer where none is set or only a later one."""
+        times = [e[_AT] + 1 for e in waiting]
+        if way["retry_at"] not in (None, asked):
+            times.append(way["retry_at"])
+        first = min(times, default=None)
+        if first is not None and (timer is None or first < timer):
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+            timer = first
+        self.state.update((*(way[n] for n in ways.WAY_FIELDS), waiting, timer, asked))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if self._stands()["outcome"] is None:
-            for row in rows:
-                self.waiting.appendValue(tuple(row[n] for n in _NAMES))
-                self.handle.registerTimer(row["said_at"] + 1)
+        way, waiting, timer, asked = self._held()
+        if way["outcome"] is None:
+            self._hold(way, waiting + [tuple(row[n] for n in _NAMES) for row in rows], timer, asked)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now, way = expiredTimerInfo.getExpiryTimeInMs(), self._stands()
-        if way["outcome"] is not None:
-            return
-        held = [dict(zip(_NAMES, e, strict=True)) for e in self.waiting.get()] if self.waiting.exists() else []
-        due = sorted((e for e in held if e["said_at"] < now), key=lambda e: (e["said_at"], e["place"], e["tie"]))
-        for event in due:
-            way = ways.advance(way, event, self.as_of, self.wait)
-        ended, asked = way["outcome"] is not None, way["retry_at"] == now and not due
-        if due:
-            left = [] if ended else [tuple(e[n] for n in _NAMES) for e in held if e["said_at"] >= now]
-            if left:
-                self.waiting.put(left)
-            else:
-                self.waiting.clear()
-            self.way.update(tuple(way[n] for n in ways.WAY_FIELDS))
-            if way["retry_at"] is not None:
-                self.handle.registerTimer(way["retry_at"])
-        if ended or asked:
-            yield Row(key=key[0], what="ended" if ended else "ask again", **way)
+        way, waiting, _, asked = self._held()
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        due = sorted((dict(zip(_NAMES, e, strict=True)) for e in waiting if e[_AT] < passed), key=lambda e: (e["said_at"], e["place"], e["tie"]))
+        for event in (*due, None):
+            now = passed if event is None else event["said_at"]
+            if way["retry_at"] not in (None, asked) and way["retry_at"] <= now:
+                asked = way["retry_at"]
+                yield Row(key=key[0], what="ask again", **way)
+            if event is not None:
+                way = ways.advance(way, event, self.as_of, self.wait)
+            if way["outcome"] is not None:
+                yield Row(key=key[0], what="ended", **way)
+                break
+        self._hold(way, [] if way["outcome"] is not None else [e for e in waiting if e[_AT] >= passed], None, asked)
 
     def close(self) -> None:
         pass

@@ -125,3 +125,42 @@ def test_ended_ways_make_rows_and_ledger_entries(spark):
     }
     assert rows["a"].verifyNotes[0] == "closed on 2026-05-31" and rows["b"].verifyNotes[0] == "the notice says that it is over" and rows["d"].verifyNotes == [] and len({r.fp for r in rows.values()}) == 4
     assert sorted(r.hash for r in ways.finished(done, units).collect()) == ["ha", "hb", "hc", "hg", "hi"]
+
+
+def test_a_notice_has_one_timer_however_many_answers():
+    """What a notice costs a batch: a read and a write of state, a timer; none for each answer."""
+    calls, store, timers = [], {}, set()
+
+    class State:
+        def get(self):
+            calls.append("get")
+            return store.get("k")
+
+        def update(self, value):
+            calls.append("update")
+            store["k"] = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return State()
+
+        def registerTimer(self, at):
+            calls.append("timer")
+            timers.add(at)
+
+        def deleteTimer(self, at):
+            timers.discard(at)
+
+    class At:
+        def __init__(self, at):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: at
+
+    follow_ = way_stream.Follow("2026-06-01", ways.WAIT)
+    follow_.init(Handle())
+    log = [event("k", 0, "arrive"), event("k", 10, "triage"), *[event("k", 20 + i, "dates") for i in range(50)], event("k", 90, "adjudicate", **BUSY)]
+    list(follow_.handleInputRows(("k",), [e | {"place": ways.STEPS.index(e["step"]) + 1, "tie": i} for i, e in enumerate(log)], At(0)))
+    assert calls == ["get", "timer", "update"] and timers == {BASE + 1}
+    fire = lambda at: [(r.what, r.tries, r.retry_at) for r in follow_.handleExpiredTimer(("k",), At(at), At(at))]
+    timers.clear()
+    assert fire(BASE + 1000) == [] and calls[3:] == ["get", "timer", "update"] and timers == {BASE + 90 + ways.WAIT}
+    assert fire(BASE + 2 * ways.WAIT) == [("ask again", 1, BASE + 90 + ways.WAIT)] and fire(BASE + 3 * ways.WAIT) == []
