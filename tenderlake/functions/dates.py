@@ -54,13 +54,23 @@ def _part(c: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(c, pattern, group)
 
 
+#: What stands after a month's name before its date: that is found faster than the name, which any word may be.
+_AFTER_NAME = r"\s\d{1,2},?\s+20\d{2}\b"
+
+
+def _spans(text: Column, pattern: str) -> Column:
+    """The places of a pattern; a text that holds none costs one search."""
+    gate = _AFTER_NAME if pattern.startswith(r"\b([A-Za-z]") else pattern
+    return F.when(text.rlike(gate), match_spans(text, pattern)).otherwise(F.array())
+
+
 def _textual(text: Column, pattern: str, order: tuple[int, int, int]) -> Column:
     def hit(m: Column) -> Column:
         year, month, day = (_part(m["value"], pattern, g) for g in order)
         year = F.substring(F.concat(F.lit("20"), year), -4, 4)  # of two digits or four
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), build_date(year, month_number(month), day).alias("iso"), F.lit(False).alias("ambiguous"))
 
-    return F.transform(match_spans(text, pattern), hit)
+    return F.transform(_spans(text, pattern), hit)
 
 
 def _numeric(text: Column) -> Column:
@@ -74,18 +84,21 @@ def _numeric(text: Column) -> Column:
 
         return let(F.struct(build_date(y, b, a).alias("day_first"), build_date(y, a, b).alias("month_first")), readings)
 
-    return F.flatten(F.transform(match_spans(text, NUMERIC), hits))
+    return F.flatten(F.transform(_spans(text, NUMERIC), hits))
 
 
 def scan_dates(text: Column) -> Column:
     """D3: (start, end, iso, ambiguous) of every date, by place. A numeric date whose first two
     numbers can both be months gives both readings, marked ambiguous."""
-    t = or_empty(text)
-    found = F.concat(_numeric(t), *[_textual(t, p, order) for p, order in TEXTUAL])
-    # Hits that start at one place end at one too, so their fields sort them by place and date.
-    listed = F.array_sort(F.filter(found, lambda h: h["iso"].isNotNull()))
-    # Most texts hold no year: they cost one search.
-    return F.when(t.rlike(r"\d[-/.\s]|[A-Za-z]\.?[-\s]\d"), listed).otherwise(F.array().cast(f"array<{_HIT}>"))
+
+    def scan(t: Column) -> Column:
+        found = F.concat(_numeric(t), *[_textual(t, p, order) for p, order in TEXTUAL])
+        # Hits that start at one place end at one too, so their fields sort them by place and date.
+        listed = F.array_sort(F.filter(found, lambda h: h["iso"].isNotNull()))
+        # Most texts hold no year: they cost one search.
+        return F.when(t.rlike(r"\d[-/.,\s]"), listed).otherwise(F.array().cast(f"array<{_HIT}>"))
+
+    return let(or_empty(text), scan)
 
 
 def find_dates(text: Column) -> Column:
@@ -190,10 +203,7 @@ def anchored_evidence(iso: Column, text: Column, hits: Column, cues: tuple[str,
 
 def date_windows(text: Column, hits: Column, span: int = 260, cap: int = 7000) -> Column:
     """The parts of a text round its dates, those close to each other as one, up to cap characters."""
-    t = or_empty(text)
     kind = "array<struct<lo:int,hi:int>>"
-    spans = F.array_sort(F.transform(hits, lambda h: F.struct(F.greatest(h["start"] - span, F.lit(0)).alias("lo"), F.least(h["end"] + span, F.length(t)).alias("hi"))))
-
     # A part that isn't cut short by the text's ends holds 2 * span characters; more parts than fill
     # the cap need not be gathered.
     most = cap // (2 * span) + 4
@@ -204,23 +214,28 @@ def date_windows(text: Column, hits: Column, span: int = 260, cap: int = 7000) -
         joins = (F.size(acc) > 0) & (s["lo"] <= F.get(acc, F.size(acc) - 1)["hi"] + 40)
         return F.when(F.size(acc) >= most, acc).when(joins, joined).otherwise(F.concat(acc, F.array(s)))
 
-    merged = F.aggregate(spans, F.array().cast(kind), merge)
+    def cut(t: Column) -> Column:
+        spans = F.array_sort(F.transform(hits, lambda h: F.struct(F.greatest(h["start"] - span, F.lit(0)).alias("lo"), F.least(h["end"] + span, F.length(t)).alias("hi"))))
 
-    def take(acc: Column, s: Column) -> Column:
-        n = F.least(s["hi"] - s["lo"], cap - acc["used"])
-        chunk = F.when(n > 0, F.array(F.substring(t, s["lo"] + 1, n))).otherwise(F.array().cast("array<string>"))
-        return F.struct((acc["used"] + F.greatest(n, F.lit(0))).alias("used"), F.concat(acc["out"], chunk).alias("out"))
+        def take(acc: Column, s: Column) -> Column:
+            n = F.least(s["hi"] - s["lo"], cap - acc["used"])
+            chunk = F.when(n > 0, F.array(F.substring(t, s["lo"] + 1, n))).otherwise(F.array().cast("array<string>"))
+            return F.struct((acc["used"] + F.greatest(n, F.lit(0))).alias("used"), F.concat(acc["out"], chunk).alias("out"))
 
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("out"))
-    return F.array_join(F.aggregate(merged, start, take, lambda acc: acc["out"]), "\n...\n")
+        start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("out"))
+        return F.array_join(F.aggregate(F.aggregate(spans, F.array().cast(kind), merge), start, take, lambda acc: acc["out"]), "\n...\n")
+
+    return let(or_empty(text), cut)
 
 
 def triage_excerpt(text: Column, head: int = 1800, cap: int = 5600) -> Column:
     """The head of a text without navigation, and what is round the dates of the rest."""
-    t = strip_chrome(text)
-    rest = F.substring(t, head + 1, 1 << 30)
-    windows = F.when(F.length(t) > head, date_windows(rest, scan_dates(rest), cap=cap)).otherwise("")
-    return F.concat(F.substring(t, 1, head), F.when(windows != "", F.concat(F.lit("\n...\n"), windows)).otherwise(""))
+    def cut(t: Column) -> Column:
+        windows = let(F.substring(t, head + 1, 1 << 30), lambda rest: date_windows(rest, scan_dates(rest), cap=cap))
+        joined = lambda w: F.concat(F.substring(t, 1, head), F.when(w != "", F.concat(F.lit("\n...\n"), w)).otherwise(""))
+        return let(F.when(F.length(t) > head, windows).otherwise(""), joined)
+
+    return let(strip_chrome(text), cut)
 
 
 def expired(deadline: Column, as_of: Column) -> Column:

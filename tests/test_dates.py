@@ -1,5 +1,6 @@
 """The date engine and proofs on the cases of FIXTURES.md."""
 
+import datetime
 import random
 import re
 import time
@@ -200,3 +201,46 @@ def test_offsets_in_long_texts_take_linear_time(spark):
     got = df.select(text.match_spans(F.col("t"), text.REFERENCE, 1).alias("m"), text.reference_marks(F.col("t")).alias("r"), F.size(D.scan_dates(F.col("t"))).alias("n")).first()
     assert [(m.start, m.end, m.value) for m in got.m] == [(m.start(), m.end(), m[1]) for m in re.finditer(text.REFERENCE, body)]
     assert [(r.start, r.value) for r in got.r] == [(body.index(f"RFQ-{1000 + i} "), f"RFQ-{1000 + i}") for i in range(700)] and got.n == n
+
+
+def _plain_scan(text):
+    """Every pattern by Python's own matching."""
+    months = {m: i for i, m in enumerate(D.MONTHS, 1)}
+    number = lambda x: int(x) if x.isdigit() else months.get(x[:3].lower(), 0)
+
+    def iso(y, m, d):
+        try:
+            return datetime.date(int(y if len(y) == 4 else f"20{y}"), number(m), number(d)).isoformat()
+        except ValueError:
+            return None
+
+    out = []
+    for m in re.finditer(D.NUMERIC, text, re.ASCII):
+        a, b, y = m.groups()
+        both = [iso(y, b, a), iso(y, a, b)]
+        two = None not in both and both[0] != both[1]
+        out += [(m.start(), m.end(), x, two) for x in (both if two else [both[0] or both[1]])]
+    for pattern, order in D.TEXTUAL:
+        out += [(m.start(), m.end(), iso(*(m.group(g) for g in order)), False) for m in re.finditer(pattern, text, re.ASCII)]
+    return sorted(x for x in out if x[2])
+
+
+def test_dates_are_those_of_plain_matching(spark):
+    pick = random.Random(5)
+    bits = ["12", "3", "2026", "26", "March", "mar", "Sept.", "Decembers", "word", "filler", "-", "/", ".", ",", " ", " ", "  ", "\n", "20", "31", "x", "2026-03-12", "March 12, 2026", "5/6/2026", "7 Jul 2026", "1-Aug-26"]
+    texts = ["".join(pick.choice(bits) for _ in range(pick.randrange(1, 14))) for _ in range(400)] + ["", "filler " * 50, "by March\n\n 12,\t2026", "March 12 2026March 13, 2026"]
+    got = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", D.scan_dates(F.col("t")).alias("h")).collect()
+    assert {r.id: [tuple(h) for h in r.h] for r in got} == {i: _plain_scan(t) for i, t in enumerate(texts)}
+
+
+def test_excerpts_strip_navigation_once(spark):
+    """The stripped text stands in the plan once, not once for each use."""
+    frame = spark.createDataFrame([("Home\nOffers due 12 March 2026. " + "filler " * 400 + "By 5 May 2026.",)], "t string").select(D.triage_excerpt(F.col("t")).alias("x"))
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("jump into the main content") == 1
+    assert frame.first().x.endswith("By 5 May 2026.") and "\n...\n" in frame.first().x
+
+
+def test_texts_without_a_pattern_cost_one_search_of_it(spark):
+    """Each pattern's texts are cut into matches only where it has one; a name is looked for by what follows it."""
+    plan = spark.range(1).select(D.scan_dates(F.concat(F.col("id").cast("string"), F.lit(""))).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("RLIKE") >= 1 + 1 + len(D.TEXTUAL)
