@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, written
 from .spans import IS_BLANK, ORDER, Cache, batches, gather, mix64, span_hashes, text_slices, word_spans
 from .tokens import vocabulary_path
 
@@ -41,9 +41,12 @@ BANDS = {
     "other": (0.25, 8.0, 0.95, 3.0, 0.2),
     "latin additional": (0.95, 6.5, 0.15, 4.5, 1.05),
 }
-#: Languages with bands of their own: measured on at most SAMPLE rows each, of which LEAST must pass the
-#: base rule in one script; of more languages than LANGUAGES the most frequent.
-SAMPLE, LEAST, LANGUAGES = 200, 30, 1000
+#: Languages with bands of their own: those of which LEAST rows pass the base rule in one script. SAMPLE
+#: bounds the rows that language_medians measures of each; None: all of them. Of more pairs than
+#: LANGUAGES it gives the most frequent; against_languages has no such bound.
+SAMPLE, LEAST, LANGUAGES = None, 30, 1000
+#: Letters per token are counted to so many decimals, so that medians come from counts of bounded number.
+DECIMALS = 4
 #: A text of a language may fall short of the median letters per token of its language, by either
 #: vocabulary, by the share SPREAD and by SMALL over the root of its words: short texts vary more.
 SPREAD, SMALL = 0.10, 0.6
@@ -232,25 +235,77 @@ def _measured(batch: pa.RecordBatch, path: tuple[str, str]) -> Iterator[tuple[in
 def language_medians(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary: str | None = None, second: str | None = None) -> dict[tuple[str, str], tuple[float, float]]:
     """For each (language, script) with enough texts, their median letters per token by either vocabulary.
 
-    Measured on the SAMPLE rows of each language of smallest hash; of a script those that pass the base
-    rule must be LEAST. The driver gets two numbers for each of at most LANGUAGES pairs. Rows without
-    a language or a text play no part; as medians, they move little with a minority of poor texts."""
+    Of a script the rows that pass the base rule must be LEAST. The driver gets two numbers for each
+    of at most LANGUAGES pairs. Rows without a language or a text play no part; as medians, they move
+    little with a minority of poor texts."""
     path = vocabulary or vocabulary_path(VOCABULARY), second or vocabulary_path(SECOND_VOCABULARY)
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.lit(None).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    if SAMPLE is not None:
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text")))
+        rows = rows.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).drop("rank")
+    groups = _medians(_figures(rows, path))
+    return {(r["lang"], r["script"]): (r["a"], r["b"]) for r in groups.orderBy(F.desc("n"), "lang", "script").limit(LANGUAGES).collect()}
+
+
+_FIGURES = "doc_id bigint, lang string, script string, no_text boolean, " + ", ".join(f"{c} bigint" for c in (*_COLUMNS, "n_mojibake")) + ", token_entropy double"
+
+
+def _figures(docs: DataFrame, path: tuple[str, str]) -> DataFrame:
+    """What is measured of each row of docs (doc_id, text, lang)."""
 
     def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames):
             for first, end, m in _measured(batch, path):
-                base, _ = verdict(m)
+                own = [batch.column(i).slice(first, end - first) for i in (0, 2)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array([_SCRIPTS[i] for i in m["script"]]), *map(pa.array, _per_token(m)), pa.array(~base)], names=["lang", "script", "a", "b", "counts"]
-                ).filter(pa.array(~base))
-
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
-    sample = rows.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("lang", "text")
-    figures = sample.mapInArrow(work, "lang string, script string, a double, b double, counts boolean")
-    groups = figures.groupBy("lang", "script").agg(F.count(F.lit(1)).alias("n"), F.median("a").alias("a"), F.median("b").alias("b")).where(F.col("n") >= LEAST)
-    return {(r["lang"], r["script"]): (r["a"], r["b"]) for r in groups.orderBy(F.desc("n"), "lang", "script").limit(LANGUAGES).collect()}
+                    [*own, pa.array([_SCRIPTS[i] for i in m["script"]]), batch.column(1).slice(first, end - first).is_null(), *[pa.array(m[c].astype(np.int64)) for c in (*_COLUMNS, "n_mojibake")], pa.array(m["token_entropy"])],
+                    names=["doc_id", "lang", "script", "no_text", *_COLUMNS, "n_mojibake", "token_entropy"],
+                )
+
+    return docs.select("doc_id", "text", "lang").mapInArrow(work, _FIGURES)
+
+
+def _medians(figures: DataFrame) -> DataFrame:
+    """lang, script, n and the median letters per token by either vocabulary (a, b), of all rows that have a
+    language and a text and pass the base rule. Rows are counted by language, script and figure first, so
+    a group holds a bounded number of figures, however many rows it has."""
+    fails = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
+    one = lambda name, tokens: F.struct(F.lit(name).alias("by"), F.round(F.col("n_letters") / F.greatest(tokens, F.lit(1)), DECIMALS).alias("value"))
+    both = F.array(one("a", F.col("n_tokens") - F.col("n_digit_tokens")), one("b", F.col("n_second")))
+    told = figures.where(F.col("lang").isNotNull() & ~F.col("no_text") & ~fails).select("lang", "script", F.inline(both))
+    counts = told.groupBy("lang", "script", "by", "value").agg(F.count(F.lit(1)).alias("n"))
+    per = counts.groupBy("lang", "script", "by").agg(F.percentile("value", F.lit(0.5), F.col("n")).alias("median"), F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    median = lambda name: F.max(F.when(F.col("by") == name, F.col("median"))).alias(name)
+    return per.groupBy("lang", "script").agg(F.max("n").alias("n"), median("a"), median("b"))
+
+
+def against_languages(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary: str | None = None, second: str | None = None, bands: dict = BANDS) -> DataFrame:
+    """`quality` with the medians of all languages of docs itself. Every row is measured once; the figures
+    are written, and the medians, of all rows, are joined to them by language and script."""
+    path = vocabulary or vocabulary_path(VOCABULARY), second or vocabulary_path(SECOND_VOCABULARY)
+    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    figures = written(_figures(named, path), "quality-figures")
+    medians = written(_medians(figures), "quality-medians").select("lang", "script", "a", "b")
+
+    def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            column = lambda name: batch.column(batch.schema.get_field_index(name))
+            m = {c: column(c).to_numpy(zero_copy_only=False) for c in (*_COLUMNS, "n_mojibake", "token_entropy")}
+            m["script"] = np.array([_SCRIPTS.index(x) for x in column("script").to_pylist()], np.int64)
+            own = np.stack([np.array([np.nan if x is None else x for x in column(c).to_pylist()], float) for c in ("a", "b")], axis=1)
+            yield _judged(column("doc_id"), m, bands, own)
+
+    return figures.join(medians, ["lang", "script"], "left").mapInArrow(work, SCHEMA)
+
+
+def _judged(ids: pa.Array, m: dict[str, np.ndarray], bands: dict, medians: np.ndarray) -> pa.RecordBatch:
+    base, kept = verdict(m, bands, medians=medians)
+    n = np.maximum(m["n_tokens"], 1)
+    return pa.RecordBatch.from_arrays(
+        [ids, *[pa.array(m[c].astype(np.int64)) for c in _COLUMNS], pa.array(base), pa.array(kept),
+         pa.array(m["word_chars"] / n), pa.array(m["n_byte_tokens"] / n), pa.array(m["token_entropy"]), pa.array([_SCRIPTS[i] for i in m["script"]], pa.string())],
+        names=["doc_id", *_COLUMNS, "base_failed", "kept", "chars_per_token", "byte_share", "token_entropy", "script"],
+    )
 
 
 def quality(docs: DataFrame, text: str = "text", vocabulary: str | None = None, second: str | None = None, bands: dict = BANDS, lang: str | None = None, medians: dict | None = None) -> DataFrame:
@@ -272,13 +327,7 @@ def quality(docs: DataFrame, text: str = "text", vocabulary: str | None = None,
             named = batch.column(2).to_pylist()
             for first, end, m in _measured(batch, path):
                 own = np.array([known.get((name, _SCRIPTS[i]), (np.nan, np.nan)) for name, i in zip(named[first:end], m["script"], strict=True)]).reshape(-1, 2)
-                base, kept = verdict(m, bands, medians=own)
-                n = np.maximum(m["n_tokens"], 1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), *[pa.array(m[c].astype(np.int64)) for c in _COLUMNS], pa.array(base), pa.array(kept),
-                     pa.array(m["word_chars"] / n), pa.array(m["n_byte_tokens"] / n), pa.array(m["token_entropy"]), pa.array([_SCRIPTS[i] for i in m["script"]])],
-                    names=["doc_id", *_COLUMNS, "base_failed", "kept", "chars_per_token", "byte_share", "token_entropy", "script"],
-                )
+                yield _judged(batch.column(0).slice(first, end - first), m, bands, own)
 
     name = F.col(lang).cast("string") if lang else F.lit(None).cast("string")
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"), name.alias("lang")).mapInArrow(work, SCHEMA)
@@ -286,4 +335,4 @@ def quality(docs: DataFrame, text: str = "text", vocabulary: str | None = None,
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality(docs, lang="lang", medians=language_medians(docs))
+    return against_languages(docs)
