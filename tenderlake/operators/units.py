@@ -58,11 +58,12 @@ def links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
 
 
 def procurement_pages(links_: DataFrame, hints: tuple[str, ...] = HINTS, most: int = MAX_PAGES) -> DataFrame:
-    """The first links of each page that stay on its host, lead to no social site and mention a hint."""
+    """The first links of each page that stay on its host, lead to no social site and mention a hint.
+    Of pages that share a URL, links of one place are ordered by what they lead to."""
     hay = F.lower(F.concat_ws(" ", "href", "anchor"))
     good = (host(F.col("href")) == host(F.col("url"))) & ~is_offsite(F.col("href")) & any_of(hay, hints)
     first = links_.where(good).groupBy("url", "href").agg(F.min("pos").alias("pos"))
-    rank = F.row_number().over(Window.partitionBy("url").orderBy("pos"))
+    rank = F.row_number().over(Window.partitionBy("url").orderBy("pos", "href"))
     return first.withColumn("rank", rank).where(F.col("rank") <= most).select("url", "href", "rank")
 
 
@@ -72,7 +73,7 @@ def candidates(links_: DataFrame, hints: tuple[str, ...] = HINTS) -> DataFrame:
     kind = F.when(is_document(F.col("href"), F.lit("")), "document").when(any_of(F.lower(F.concat_ws(" ", "href", "anchor")), hints), "page")
     bare = F.regexp_replace("href", "#.*$", "")
     first = links_.withColumn("kind", kind).where("kind IS NOT NULL").groupBy("url", "kind", bare.alias("href")).agg(F.min("pos").alias("pos"))
-    rank = F.row_number().over(Window.partitionBy("url", "kind").orderBy("pos"))
+    rank = F.row_number().over(Window.partitionBy("url", "kind").orderBy("pos", "href"))
     most = F.when(F.col("kind") == "document", MAX_DOCUMENTS).otherwise(MAX_HTML)
     return first.withColumn("rank", rank).where(F.col("rank") <= most).select("url", "kind", "href", "rank")
 
@@ -82,7 +83,7 @@ def listed_notices(links_: DataFrame, hints: tuple[str, ...] = NOTICE_HINTS, mos
     hay = F.lower(F.concat_ws(" ", "href", "anchor"))
     good = links_.where(any_of(hay, hints) & ~any_of(hay, LISTING_SOCIAL))
     first = good.groupBy("url", F.regexp_replace("href", "#.*$", "").alias("href")).agg(F.min(F.struct("pos", "anchor")).alias("at"))
-    rank = F.row_number().over(Window.partitionBy("url").orderBy("at.pos"))
+    rank = F.row_number().over(Window.partitionBy("url").orderBy("at.pos", "href"))
     return first.withColumn("rank", rank).where(F.col("rank") <= most).select("url", "href", F.substring(F.trim(or_empty(F.col("at.anchor"))), 1, 180).alias("title"), "rank")
 
 

@@ -104,3 +104,14 @@ def test_copies_in_one_batch_fold_by_time(spark):
     assert [(r.value, r.updated) for r in first.collect()] == [("late", "2026-05-03")]
     again = merge_batch(first, df.where("value = 'mid'"), "2026-06-01").collect()
     assert [(r.value, r.updated) for r in again] == [("late", "2026-05-03")]
+
+
+def test_links_of_pages_that_share_a_url_have_one_order(spark):
+    """Two pages of one URL have a link each at every place: their ranks don't depend on how rows are dealt."""
+    rows = [("https://a.example/x", f"https://a.example/tender/{(7 * i + 3 * j) % 20:02d}{j}", f"tender {j}", i) for i in range(6) for j in range(4)]
+    links = spark.createDataFrame(rows, "url string, href string, anchor string, pos int")
+    want = [href for _, href, _, _ in sorted(rows, key=lambda r: (r[3], r[1]))]
+    for dealt in (links, links.orderBy("href"), links.orderBy(F.desc("href")), links.repartition(7)):
+        for out in (units.procurement_pages(dealt, most=30), units.listed_notices(dealt, most=30), units.candidates(dealt)):
+            got = [r["href"] for r in out.orderBy("rank").collect()]
+            assert got == want[: len(got)] and len(got) >= 15
