@@ -73,7 +73,7 @@ def stamp(r: Column | None = None) -> Column:
     return F.greatest(or_empty(at("lastDeepScan")), or_empty(at("updated")))
 
 
-def merge_copies(rows: DataFrame, order: list[str], deal: str = "key") -> DataFrame:
+def merge_copies(rows: DataFrame, order: list[str], deal: str = "key", slices: int = 1) -> DataFrame:
     """One row per canonical key, the copies folded from left to right in the given order (prior
     rows first, then worker by worker).
 
@@ -81,10 +81,11 @@ def merge_copies(rows: DataFrame, order: list[str], deal: str = "key") -> DataFr
     by key, sorted within their partition and folded as they stream by. A row without a twin passes
     through; a key of any number of copies takes the memory of one batch and one row. Copies that
     agree in the whole order fold in no fixed order. deal may name a column that follows from the key,
-    by which rows are dealt instead; it isn't returned."""
+    by which rows are dealt instead, each of its values in slices by hash of the key; it isn't returned."""
     columns = [f.name for f in rows.schema if f.name not in (*order, "key", deal)]
     keyed = (rows if "key" in rows.columns else with_key(rows)).where("key != ''")
-    in_order = keyed.repartition(deal).sortWithinPartitions("key", *order).select("key", *columns)
+    dealt = (F.col(deal), F.pmod(F.xxhash64("key", F.lit("slice")), F.lit(slices))) if slices > 1 else (F.col(deal),)
+    in_order = keyed.repartition(*dealt).sortWithinPartitions("key", *order).select("key", *columns)
     return in_order.mapInArrow(fold, in_order.schema)
 
 

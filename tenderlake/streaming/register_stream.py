@@ -13,14 +13,14 @@ from ..operators.register import REGISTER, archive, is_junk, merge_copies, stamp
 from .parts import PARTS, last_batch, part_of, replace, stored, touched
 
 
-def merge_batch(prior: DataFrame | None, fresh: DataFrame, as_of: str, deal: str = "key") -> DataFrame:
+def merge_batch(prior: DataFrame | None, fresh: DataFrame, as_of: str, deal: str = "key", slices: int = 1) -> DataFrame:
     """The register after a batch: prior rows first, then the batch's by the time they were last worked
     on, equal times by all they hold, folded per key; rows without a key are left out."""
     rows = fresh.withColumns({"shard": F.lit(1), "at": stamp(), "pos": F.xxhash64(F.to_json(F.struct("*")))})
     if prior is not None:
         before = prior.select(*fresh.columns).withColumns({"shard": F.lit(0), "at": F.lit(""), "pos": F.lit(0).cast("bigint")})
         rows = before.unionByName(rows)
-    return archive(merge_copies(rows if "key" in rows.columns else with_key(rows), ["shard", "at", "pos"], deal), as_of)
+    return archive(merge_copies(rows if "key" in rows.columns else with_key(rows), ["shard", "at", "pos"], deal, slices), as_of)
 
 
 def _kind(schema: str) -> T.StructType:
@@ -35,13 +35,16 @@ def current(spark: SparkSession, table_dir: str, schema: str = REGISTER) -> Data
 def upsert(batch: DataFrame, number: int, table_dir: str, as_of: str, parts: int = PARTS, schema: str = REGISTER) -> list[int]:
     """Merge a batch into the parts that its keys touch; their numbers. Prior rows are read of these parts
     only, as the batches before left them, so a batch that is run again writes the same. Junk stays in
-    its part and is left out when read, so no part comes out empty."""
+    its part and is left out when read, so no part comes out empty. A part is dealt to tasks in slices,
+    so that what one task holds doesn't grow with the number of rows a part has, but falls with the
+    session's shuffle partitions; small slices are put together again by Spark."""
     spark = batch.sparkSession
     with step(spark):
         rows = written(with_key(batch).where("key != ''").withColumn("part", part_of(F.col("key"), parts)), "batch")
         own = touched(rows)
         prior = stored(spark, table_dir, _kind(schema), number - 1, own).withColumn("part", part_of(F.col("key"), parts))
-        replace(merge_batch(prior, rows, as_of, "part").withColumn("part", part_of(F.col("key"), parts)), number, table_dir, own)
+        slices = -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // max(len(own), 1))
+        replace(merge_batch(prior, rows, as_of, "part", slices).withColumn("part", part_of(F.col("key"), parts)), number, table_dir, own)
     return own
 
 

@@ -164,3 +164,21 @@ def test_entry_registers_queries_with_sql():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) >= 60
+
+
+def test_a_part_is_merged_by_many_tasks(spark, tmp_path):
+    """One part, however many rows it has, isn't the work of one task; no key is dealt to two."""
+    fields = spark.createDataFrame([], register.REGISTER).schema
+    rows = spark.createDataFrame([tuple({"sol": f"19AB1026Q{i % 200:04d}", "tier": "MID", "title": f"t{i}"}.get(f.name) for f in fields) for i in range(400)], fields)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        for number in range(2):  # the second upon the first
+            register_stream.upsert(rows, number, f"{tmp_path}/r", "", parts=1)
+    finally:
+        spark.conf.unset(name)
+    for number in range(2):
+        files = list((tmp_path / "r" / "part=0" / f"v={number}").glob("*.parquet"))
+        keys = [{r.key for r in spark.read.parquet(str(f)).select("key").collect()} for f in files]
+        assert len(files) == 4 and sum(map(len, keys)) == len(set.union(*keys)) == 200
+    assert register_stream.current(spark, f"{tmp_path}/r").count() == 200
