@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,8 @@ TROUBLE = ("provider", "quota", "cooling")
 
 #: Steps in the order in which a notice takes them; answers of one moment count in it too.
 STEPS = ("arrive", "triage", "dates", "adjudicate", "opinion")
+#: How a way ends.
+OUTCOMES = ("thin", "duplicate", "not_solicitation", "expired", "no_date", "given_up", "complete")
 #: An answer to a step: said_at is milliseconds of event time; what a step doesn't say is NULL.
 EVENT = "key string, said_at bigint, step string, chars int, known boolean, is_solicitation boolean, status string, closing string, tier string, reason string, upheld boolean"
 #: Where a notice stands: the step it waits for or its outcome, and when that came about.
@@ -86,36 +92,122 @@ def moment(step: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*[F.lit(s) for s in STEPS]), step), F.lit(0)).cast("int")
 
 
-def _columns(df: DataFrame) -> DataFrame:
+def _columns(df: DataFrame, as_of: str) -> DataFrame:
+    """Answers as what `advance` would read from each when it is awaited: the outcome that it settles, the
+    step it leads to, closing and tier where it sets them, and whether the reader was in trouble."""
     names = [f.split()[0] for f in EVENT.split(", ")]
-    return df.select(*names).withColumns({"place": moment(F.col("step")), "tie": F.xxhash64(*names)})
-
-
-def _fold(batches: Iterator[pa.RecordBatch], as_of: str, wait: int) -> Iterator[pa.RecordBatch]:
-    kind = pa.schema([("key", pa.string()), *[(n, {"tries": pa.int32(), "said_at": pa.int64(), "retry_at": pa.int64()}.get(n, pa.string())) for n in WAY_FIELDS]])
-    key, way = None, None
+    step, closing, reason = F.col("step"), or_empty(F.col("closing")), F.lower(or_empty(F.col("reason")))
+    dated = step.isin("triage", "dates")
+    trouble = (step == "adjudicate") & (F.col("tier") == "REVIEW") & reduce(or_, [F.contains(reason, F.lit(w)) for w in TROUBLE], F.startswith(reason, F.lit("ai")))
+    trouble = F.coalesce(trouble, F.lit(False))
+    over = (F.col("status") == "closed") | ((closing != "") & (closing < as_of))
+    ends = (
+        F.when(step == "arrive", F.when(F.coalesce("chars", F.lit(0)) < LEAST_TEXT, "thin").when(F.col("known"), "duplicate"))
+        .when((step == "triage") & ~F.col("is_solicitation"), "not_solicitation").when(dated & over, "expired").when((step == "dates") & (closing == ""), "no_date")
+        .when((step == "adjudicate") & ~trouble & ~F.col("tier").eqNullSafe("NO"), "complete").when(step == "opinion", "complete")
+    )
+    leads = F.when(step == "arrive", "triage").when(dated, F.when(closing == "", "dates").otherwise("adjudicate")).when(trouble, "adjudicate").otherwise("opinion")
+    tier = F.when((step == "adjudicate") & ~trouble, F.col("tier")).when((step == "opinion") & ~F.col("upheld"), F.when(F.col("tier").isin("BID", "MID", "REVIEW"), F.col("tier")).otherwise("MID"))
+    index = lambda c, words: (F.coalesce(F.array_position(F.array(*[F.lit(w) for w in words]), c), F.lit(0)) - 1).cast("tinyint")
+    return df.select(
+        "key", "said_at", moment(step).cast("tinyint").alias("place"), F.xxhash64(*names).alias("tie"), index(ends, OUTCOMES).alias("ends"), moment(leads).cast("tinyint").alias("leads"),
+        trouble.alias("trouble"), F.when(dated, F.nullif(closing, F.lit(""))).alias("closing"), tier.alias("tier"),
+    )
+
+
+def _taken(batch: pa.RecordBatch, starts: np.ndarray, first: dict, wait: int) -> dict[str, np.ndarray]:
+    """The ways of a batch's notices, which start at starts: arrays by notice. The first goes on from
+    where it stood. All notices go from one counting answer to the next at once, and no way counts more
+    than a few, so a round looks up for each notice the next answer to the step that it awaits."""
+    column = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
+    place, said_at, ends, leads, trouble = (column(n) for n in ("place", "said_at", "ends", "leads", "trouble"))
+    stop = np.append(starts[1:], len(place))
+    way = {"awaits": np.ones(len(starts), np.int8), "outcome": np.full(len(starts), -1, np.int8), "tries": np.zeros(len(starts), np.int32)}
+    way |= {n: np.full(len(starts), -1, np.int64) for n in ("last", "closing", "tier")}
+    way |= {"retry_at": np.zeros(len(starts), np.int64), "again": np.zeros(len(starts), bool)}
+    for name in ("awaits", "outcome", "tries"):
+        way[name][0] = first[name]
+    has = {name: batch.column(name).is_valid().to_numpy(zero_copy_only=False) for name in ("closing", "tier")}
+    of_step = [np.flatnonzero(place == s) for s in range(len(STEPS) + 1)]
+    at, going = starts - 1, np.flatnonzero(way["awaits"] > 0)
+    while len(going):
+        step, nxt = way["awaits"][going], np.full(len(going), len(place))
+        for s in np.unique(step):
+            mine = np.flatnonzero(step == s)
+            found = np.searchsorted(of_step[s], at[going[mine]], "right")
+            inside = found < len(of_step[s])
+            nxt[mine[inside]] = of_step[s][found[inside]]
+        on = nxt < stop[going]
+        going, nxt = going[on], nxt[on]
+        at[going] = way["last"][going] = nxt
+        tries = way["tries"][going]
+        end = np.where(trouble[nxt] & (tries + 1 >= MAX_TRIES), OUTCOMES.index("given_up"), ends[nxt])
+        way["again"][going] = trouble[nxt] & (end < 0)
+        way["retry_at"][going] = said_at[nxt] + wait * 2 ** tries.astype(np.int64)
+        way["tries"][going] += trouble[nxt]
+        way["outcome"][going], way["awaits"][going] = end, np.where(end < 0, leads[nxt], 0)
+        for name in ("closing", "tier"):
+            way[name][going[has[name][nxt]]] = nxt[has[name][nxt]]
+        going = going[end < 0]
+    return way
+
+
+def _words(words: tuple[str, ...], index: np.ndarray) -> pa.Array:
+    """The words at the index, NULL where it is negative."""
+    return pa.array(words, pa.string()).take(pa.array(index, mask=index < 0))
+
+
+def _ways(batch: pa.RecordBatch, starts: np.ndarray, first: dict, wait: int) -> pa.RecordBatch:
+    """Where the notices of a batch stand, a row each."""
+    way = _taken(batch, starts, first, wait)
+
+    def told(name: str, index: np.ndarray) -> pa.Array:
+        # What the first notice brought along stands before the values of the batch.
+        values = pa.concat_arrays([pa.array([first[name]], batch.schema.field(name).type), batch.column(name)])
+        index = index + 1
+        return values.take(pa.array(index, mask=(index == 0) & (np.arange(len(index)) > 0)))
+
+    retry_at = pa.array(way["retry_at"], mask=~way["again"])
+    if way["last"][0] < 0:  # no answer of the first counted here
+        retry_at = pa.concat_arrays([pa.array([first["retry_at"]], pa.int64()), retry_at.slice(1)])
+    columns = {
+        "key": batch.column("key").take(pa.array(starts)), "awaits": _words(STEPS, way["awaits"].astype(np.int64) - 1), "outcome": _words(OUTCOMES, way["outcome"].astype(np.int64)),
+        "tries": pa.array(way["tries"]), "closing": told("closing", way["closing"]), "tier": told("tier", way["tier"]), "said_at": told("said_at", way["last"]), "retry_at": retry_at,
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _fold(batches: Iterator[pa.RecordBatch], wait: int) -> Iterator[pa.RecordBatch]:
+    open_: pa.RecordBatch | None = None  # the last notice's row: more of its answers may come
     for batch in batches:
-        done = []
-        for event in batch.to_pylist():
-            if event["key"] != key:
-                if way is not None:
-                    done.append({"key": key} | way)
-                key, way = event["key"], beginning()
-            way = advance(way, event, as_of, wait)
-        yield pa.RecordBatch.from_pylist(done, kind)
-    if way is not None:
-        yield pa.RecordBatch.from_pylist([{"key": key} | way], kind)
+        if not batch.num_rows:
+            continue
+        keys = batch.column("key")
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)
+        row = open_.to_pylist()[0] if open_ is not None else None
+        goes_on = row is not None and row["key"] == keys[0].as_py()
+        if row is not None and not goes_on:
+            yield open_
+        first = row if goes_on else beginning()
+        first |= {"awaits": STEPS.index(first["awaits"]) + 1 if first["awaits"] else 0, "outcome": OUTCOMES.index(first["outcome"]) if first["outcome"] else -1}
+        out = _ways(batch, np.flatnonzero(new), first, wait)
+        yield out.slice(0, out.num_rows - 1)
+        open_ = out.slice(out.num_rows - 1)
+    if open_ is not None:
+        yield open_
 
 
 def follow(events: DataFrame, as_of: str, wait: int = WAIT) -> DataFrame:
     """K1: where each notice stands after its events (EVENT), a row a key: awaits, outcome, tries, closing,
-    tier, said_at (when the last counting answer came) and retry_at.
+    tier, said_at (when the last counting answer came) and retry_at: what `advance` makes of them one by one.
 
     Events are dealt by key and sorted within it by time, step and content, so any order of arrival
-    gives the same; one notice's state is held at a time. Events without a key or time are left out."""
-    rows = _columns(events).where("key IS NOT NULL AND said_at IS NOT NULL")
-    rows = rows.repartition("key").sortWithinPartitions("key", "said_at", "place", "tie")
-    return rows.mapInArrow(lambda batches: _fold(batches, as_of, wait), f"key string, {WAY}")
+    gives the same; a batch of events is held at a time, and of the notice that it ends in one row.
+    Events without a key or time are left out."""
+    rows = _columns(events, as_of).where("key IS NOT NULL AND said_at IS NOT NULL")
+    rows = rows.repartition("key").sortWithinPartitions("key", "said_at", "place", "tie").drop("tie")
+    return rows.mapInArrow(lambda batches: _fold(batches, wait), f"key string, {WAY}")
 
 
 #: Outcomes that make a register row, and those after which a notice isn't looked at again.

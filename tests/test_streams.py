@@ -2,7 +2,9 @@
 
 import json
 import random
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +76,48 @@ def test_ways_end_where_they_should(spark):
     assert ways.follow(spark.createDataFrame([], ways.EVENT), "2026-06-01").collect() == []
 
 
+@pytest.mark.parametrize("size", [10_000, 1, 2, 7])
+def test_ways_over_batches_equal_the_answers_taken_one_by_one(spark, size):
+    """No answer becomes a Python object; a notice's answers may run on over several batches."""
+    pick, base = random.Random(3), {f.split()[0]: None for f in ways.EVENT.split(", ")}
+    any_ = {
+        "step": [*ways.STEPS, *ways.STEPS, "adjudicate", "adjudicate", "else", None], "chars": [500, 500, 500, 20, None], "known": [False, False, True, None], "is_solicitation": [True, True, False, None],
+        "status": ["open", "open", "closed", None], "closing": ["", "2026-11-01", "2026-05-01", None], "tier": ["BID", "NO", "NO", "REVIEW", "REVIEW", "REVIEW", "odd", None],
+        "reason": ["AI down", "the Quota is used up", "provider", "low", None], "upheld": [True, False, False, None],
+    }
+    log = [base | {n: pick.choice(v) for n, v in any_.items()} | {"key": f"k{pick.randrange(60)}", "said_at": -5000 + n // 2} for n in range(3000)]
+    log += [base | {"key": k, "said_at": -9000 + n, "step": step, "chars": 500, "closing": "2026-11-01"} for k in ("k1", "k2", "k3") for n, step in enumerate(("arrive", "triage"))]
+    log += [base | {"key": "busy", "said_at": n, "step": step, "chars": 500, "closing": "2026-11-01", "tier": "REVIEW", "reason": "cooling"} for n, step in enumerate(("arrive", "triage", "adjudicate", "adjudicate", "dates"))]
+    log += [base | {"key": "idle", "said_at": 0}]
+    df = spark.createDataFrame(log, ways.EVENT)
+    want = {}
+    for r in ways_in_order(df):
+        want[r["key"]] = ways.advance(want.get(r["key"], ways.beginning()), r, "2026-06-01")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        got = ways.follow(df, "2026-06-01").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.key: {n: r[n] for n in ways.WAY_FIELDS} for r in got} == want and len(got) == len(want) == 62
+    assert len({w["outcome"] for w in want.values()}) > 4 and want["busy"]["retry_at"] == 3 + 2 * ways.WAIT
+
+
+def ways_in_order(df):
+    rows = df.withColumns({"place": ways.moment(F.col("step")), "tie": F.xxhash64(*df.columns)})
+    return [r.asDict() for r in rows.orderBy("key", "said_at", "place", "tie").collect()]
+
+
+def test_ways_make_no_python_objects_of_answers():
+    n = 400_000
+    steps = [ways.STEPS.index("arrive") + 1, *[0] * (n - 2), ways.STEPS.index("triage") + 1]
+    kind = {"key": pa.string(), "said_at": pa.int64(), "place": pa.int8(), "ends": pa.int8(), "leads": pa.int8(), "trouble": pa.bool_(), "closing": pa.string(), "tier": pa.string()}
+    values = {"key": ["hot"] * n, "said_at": range(n), "place": steps, "ends": [-1] * n, "leads": [2] * (n - 1) + [4], "trouble": [False] * n, "closing": [None] * (n - 1) + ["2026-11-01"], "tier": [None] * n}
+    hot = pa.RecordBatch.from_arrays([pa.array(values[c], t) for c, t in kind.items()], names=list(kind))
+    start = time.process_time()
+    (way,) = [r for out in ways._fold(iter([hot.slice(i, 10_000) for i in range(0, n, 10_000)]), ways.WAIT) for r in out.to_pylist()]
+    assert (way["awaits"], way["closing"], way["said_at"]) == ("adjudicate", "2026-11-01", n - 1) and time.process_time() - start < 0.4
+
+
 def test_stream_of_answers_equals_the_batch(spark, tmp_path):
     pick = random.Random(7)
     log = []
