@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,9 +71,13 @@ def merge(kept: dict, copy: dict, wins: bool) -> dict:
     return out
 
 
+#: The column that holds them and others as JSON, and the values that JSON leaves out.
+PACKED, _NONE = "__packed", dict.fromkeys((*DECIDING, *CHANGED))
+
+
 class _Kept:
     """What the copies of one key so far have made: the winner's row, by place in a batch, and the
-    values of the columns that decide or change."""
+    values of the packed columns."""
 
     __slots__ = ("batch", "row", "values", "copies")
 
@@ -94,18 +99,14 @@ def _rows_of(kept: list[_Kept]) -> Iterator[pa.RecordBatch]:
         by_batch.setdefault(id(x.batch), []).append(x)
     for own in by_batch.values():
         rows = own[0].batch.take(pa.array([x.row for x in own]))
-        merged = [x.copies > 1 for x in own]  # a single copy stays as it is
-        columns = []
-        for field, column in zip(rows.schema, rows.columns, strict=True):
-            if field.name in CHANGED and any(merged):
-                column = pa.array([x.values[field.name] for x in own], field.type)
-            columns.append(column)
-        yield pa.RecordBatch.from_arrays(columns, schema=rows.schema)
+        texts = [json.dumps(x.values) if x.copies > 1 else old for x, old in zip(own, rows.column(PACKED).to_pylist(), strict=True)]  # a single copy stays as it is
+        place = rows.schema.get_field_index(PACKED)
+        yield rows.set_column(place, rows.schema.field(place), pa.array(texts, rows.schema.field(place).type))
 
 
 def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per key of rows that come sorted by key and, within it, by order; copies may run on from
-    batch to batch. A row without a twin passes as it is, without becoming a Python object. What is
+    """One row per key of rows (key, PACKED and whatever else) that come sorted by key and, within it, by order;
+    copies may run on from batch to batch. A row without a twin passes as it is, without becoming a Python object. What is
     held is one batch and one merged row, however many copies a key has."""
     open_: _Kept | None = None
     for batch in batches:
@@ -119,15 +120,13 @@ def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.flatnonzero(~alone)
         if alone.any():
             yield batch.filter(pa.array(alone))
-        names = [n for n in (*DECIDING, *CHANGED) if n in batch.schema.names]
-        chosen = batch.take(pa.array(rows))
-        lists = {n: chosen.column(n).to_pylist() for n in names}
+        texts = batch.column(PACKED).take(pa.array(rows)).to_pylist()
         done = []
         if open_ is not None and new[0]:
             done.append(open_)
             open_ = None
         for i, row in enumerate(rows.tolist()):
-            values = {n: lists[n][i] for n in names}
+            values = _NONE | json.loads(texts[i])
             if open_ is not None and not new[row]:
                 open_.add(batch, row, values)
                 continue

@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.identity import canonical_key, previous_key
 from ..functions.text import any_of, let, or_empty
-from .fold import CARRIED, fold
+from .fold import CARRIED, CHANGED, DECIDING, PACKED, fold
 
 # Fixed values -------------------------------------------------------------------------------------
 INDEX_PATHS = ("/business", "/procurement", "/jobs", "/tenders", "/opportunities", "/doing-business")
@@ -73,20 +74,37 @@ def stamp(r: Column | None = None) -> Column:
     return F.greatest(or_empty(at("lastDeepScan")), or_empty(at("updated")))
 
 
+def _as_json(kind: T.DataType) -> bool:
+    """Whether JSON gives values of a type back as they were."""
+    if isinstance(kind, T.StructType):
+        return all(_as_json(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.MapType):
+        return isinstance(kind.keyType, T.StringType) and _as_json(kind.valueType)
+    return _as_json(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, (T.StringType, T.BooleanType, T.IntegerType, T.LongType, T.DoubleType))
+
+
 def merge_copies(rows: DataFrame, order: list[str], deal: str = "key", slices: int = 1) -> DataFrame:
     """One row per canonical key, the copies folded from left to right in the given order (prior
     rows first, then worker by worker).
 
     The fold isn't associative, so the copies of a key meet in one task, sorted by it: rows are dealt
     by key, sorted within their partition and folded as they stream by. A row without a twin passes
-    through; a key of any number of copies takes the memory of one batch and one row. Copies that
+    through; a key of any number of copies takes the memory of one batch and one row. Columns
+    travel as one text of JSON; those of a type that JSON wouldn't give back as it was travel as they are,
+    unless the fold reads them, which takes them as REGISTER types them. Copies that
     agree in the whole order fold in no fixed order. deal may name a column that follows from the key,
     by which rows are dealt instead, each of its values in slices by hash of the key; it isn't returned."""
-    columns = [f.name for f in rows.schema if f.name not in (*order, "key", deal)]
+    columns = [f for f in rows.schema if f.name not in (*order, "key", deal)]
+    fields = T.StructType([T.StructField(f.name, f.dataType) for f in columns if f.name in (*DECIDING, *CHANGED) or _as_json(f.dataType)])
+    plain = [f.name for f in columns if f.name not in fields.names]
     keyed = (rows if "key" in rows.columns else with_key(rows)).where("key != ''")
+    # Each column of each row costs Spark time on its way to Python, so they go as one.
+    narrow = keyed.select(*dict.fromkeys(("key", deal, *order)), F.to_json(F.struct(*fields.names)).alias(PACKED), *plain)
     dealt = (F.col(deal), F.pmod(F.xxhash64("key", F.lit("slice")), F.lit(slices))) if slices > 1 else (F.col(deal),)
-    in_order = keyed.repartition(*dealt).sortWithinPartitions("key", *order).select("key", *columns)
-    return in_order.mapInArrow(fold, in_order.schema)
+    in_order = narrow.repartition(*dealt).sortWithinPartitions("key", *order).select("key", PACKED, *plain)
+    merged = in_order.mapInArrow(fold, in_order.schema)
+    # As a generator, so that a text is read once, whatever conditions on its columns follow.
+    return merged.select("key", *plain, F.inline(F.array(F.from_json(PACKED, fields, {"mode": "FAILFAST"})))).select("key", *[f.name for f in columns])
 
 
 def carry_previous(rows: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Identity, merge, archive and junk on the cases of FIXTURES.md."""
 
 import itertools
+import datetime
+import decimal
 import random
 
 import pytest
@@ -168,6 +170,23 @@ def test_copies_that_run_over_batches_fold_the_same(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_columns_of_copies_travel_as_one_and_come_back_as_they_were(spark):
+    """Each column on its way to Python costs Spark time for each row. Rows may hold more columns, of any type."""
+    kind = f"{register.REGISTER}, pos int, price decimal(38,18), at timestamp, share double, tags map<string,array<string>>, raw binary, n bigint"
+    fields = T.StructType.fromDDL(register.REGISTER).fieldNames()
+    odd = ["\u0000\n\"\\ é\U0001f600", decimal.Decimal("12345678901234567890.123456789012345678"), datetime.datetime(2026, 5, 1, 1, 2, 3, 456789), float("-inf"), {"": [None, ""], "b": None}, b"\x00\xff", 2**63 - 1]
+    made = lambda sol, pos, **g: tuple({"sol": sol, "link": "l", "title": odd[0], "notes": odd[0], "estimate": 0.1 + 0.2, "restrictions": [(None, "k", "")], "citation": (None, None), "updated": f"2026-05-0{pos}", **g}.get(f) for f in fields) + (pos, *odd[1:])
+    rows = [made("19AB1026Q0001", 1), made("19AB1026Q0002", 1, files=["a"], tier="BID"), made("19AB1026Q0002", 2, files=["b"], dateProof={"closing": None}, datesSeen=[])]
+    df = spark.createDataFrame(rows, kind)
+    out = register.merge_copies(df, ["pos"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    (arrow,) = [line for line in plan.splitlines() if "MapInArrow" in line]
+    assert arrow.count("#") < 20  # not 60 columns in and out
+    got, want = {r.sol: r for r in out.collect()}, df.drop("pos").collect()
+    assert got["19AB1026Q0001"].asDict() == want[0].asDict() | {"key": "19AB1026Q0001"} and out.columns == ["key", *df.drop("pos").columns]
+    assert sorted(got["19AB1026Q0002"].files) == ["a", "b"] and got["19AB1026Q0002"].tier == "BID" and got["19AB1026Q0002"].price == odd[1] and got["19AB1026Q0002"].citation is not None and got["19AB1026Q0002"].raw == b"\x00\xff"
+
+
 def test_fold_is_one_pass_over_sorted_rows(spark):
     plan = register.merge_copies(many_copies(spark, 5, str), ["pos"])._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Aggregate" not in plan and plan.count("MapInArrow") == 1 and "hashpartitioning(key" in plan
