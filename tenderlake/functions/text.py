@@ -189,22 +189,32 @@ def running_sums(c: Column, step: int = 64) -> Column:
     return let(c, lambda xs: F.when(F.size(xs) <= step, sums(xs)).otherwise(long(xs)))
 
 
-def match_spans(c: Column, pattern: str, group: int = 0) -> Column:
+def match_spans(c: Column, pattern: str, group: int = 0, gate: str | None = None) -> Column:
     """Every match of a pattern as (start, end, value), by offset: what lies between matches and the
-    matches alternate, so their running lengths are the offsets. Start counts from 0."""
+    matches alternate, so their running lengths are the offsets. Start counts from 0.
+
+    gate: a pattern found faster, without which there is no match."""
     text = or_empty(c)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    kind = "array<struct<start:int,end:int,value:string>>"
     gap = F.split(text, pattern, -1).alias("gap")
-    # The last gap has no match after it.
-    zipped = F.arrays_zip(gap, hits.alias("value")) if group == 0 else F.arrays_zip(gap, hits.alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
     hit_of = "value" if group == 0 else "hit"
 
     def placed(steps: Column) -> Column:
         ends = running_sums(F.transform(steps, lambda x: F.length(x["gap"]) + F.length(x[hit_of])))
         return let(ends, lambda at: F.transform(steps, lambda x, i: F.struct((F.get(at, i) - F.length(x[hit_of])).alias("start"), F.get(at, i).alias("end"), x["value"].alias("value"))))
 
-    found = let(F.filter(zipped, lambda x: x[hit_of].isNotNull()), placed)
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    def spans(hits: Column) -> Column:
+        # The last gap has no match after it.
+        zipped = F.arrays_zip(gap, hits.alias("value")) if group == 0 else F.arrays_zip(gap, hits.alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
+        found = let(F.filter(zipped, lambda x: x[hit_of].isNotNull()), placed)
+        if group:
+            return found
+        # A single match needs no sums.
+        value = F.get(hits, 0)
+        one = let(F.length(F.get(F.split(text, pattern, 2), 0)), lambda at: F.array(F.struct(at.alias("start"), (at + F.length(value)).alias("end"), value.alias("value"))))
+        return F.when(F.size(hits) == 1, one).otherwise(found)
+
+    return F.when(text.rlike(gate or pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)).otherwise(F.array().cast(kind))
 
 
 def reference_marks(c: Column) -> Column:

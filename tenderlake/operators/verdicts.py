@@ -87,13 +87,15 @@ def strip_registration(df: DataFrame) -> DataFrame:
     }).drop("__removed")
 
 
-def ground_dates(df: DataFrame, text: str = "text", compat_autojunk: bool = False) -> DataFrame:
+def ground_dates(df: DataFrame, text: str = "text", compat_autojunk: bool = False, hits: str | None = None) -> DataFrame:
     """Closing, posted and qa_due only as far as the source proves them.
 
     A date stands if the quote given for it stands in the text and holds the date; or, lower, if the
     text anchors it: the closing date by a deadline cue, the others by being printed. A closing date
     is never filled in; the other two may be, by the nearest date after a cue. Added columns:
-    date_proof and date_evidence (maps), dropped (list), date_warnings (list)."""
+    date_proof and date_evidence (maps), dropped (list), date_warnings (list).
+
+    hits: the column with the text's dates (D.scan_dates), where they have been scanned already."""
     fields = {"closing": ("closing_quote", D.DEADLINE_CUES), "posted": ("posted_quote", D.POSTED_CUES), "qa_due": ("qa_quote", D.QUESTION_CUES)}
     df = proof.with_citation_proofs(df, {f"__real_{field}": quote for field, (quote, _) in fields.items()}, text, compat_autojunk)
 
@@ -103,13 +105,13 @@ def ground_dates(df: DataFrame, text: str = "text", compat_autojunk: bool = Fals
             beside = D.anchored_evidence if field == "closing" else D.date_evidence
             places = (cues,) if field == "closing" else ()
             printed = F.transform(hits, lambda h: h["iso"])
-            out[f"why_{field}"] = proof.quoted_date(F.col(field), F.col(quote), F.col(f"__real_{field}"), D.find_dates(F.col(quote)), printed)
+            out[f"why_{field}"] = proof.quoted_date(F.col(field), F.col(quote), F.col(f"__real_{field}"), F.when(F.col(quote) == F.col(text), printed).otherwise(D.find_dates(F.col(quote))), printed)
             out[f"beside_{field}"] = beside(F.col(field), F.col(text), hits, *places)
             out[f"near_{field}"] = F.lit(None).cast("string") if field == "closing" else D.nearest_after_cue(F.col(text), hits, cues)
         return F.struct(*[c.alias(k) for k, c in out.items()])
 
     # Computed once: as fields of one struct that is built inside a lambda.
-    df = df.withColumn("__f", let(D.scan_dates(F.col(text)), facts))
+    df = df.withColumn("__f", let(F.col(hits) if hits else D.scan_dates(F.col(text)), facts))
     added, proofs, evidence, dropped, warnings = {}, [], [], [], []
     for field, (quote, _) in fields.items():
         claim = F.col(field)

@@ -93,8 +93,7 @@ def tier_gates(spark, d: str) -> DataFrame:
 
 
 def rule_vs_reader_eval(spark, d: str) -> DataFrame:
-    g = verdicts.ground_dates(compose(spark, d, CLAIMS))
-    g = g.withColumn("hits", D.scan_dates(F.col("text")))
+    g = verdicts.ground_dates(compose(spark, d, CLAIMS).withColumn("hits", D.scan_dates(F.col("text"))), hits="hits")
     hits = F.col("hits")
     return rollup.evaluate_readers(g.select(F.col("closing").alias("deadline"), F.try_element_at("date_proof", F.lit("closing")).alias("how"), D.nearest_after_cue(F.col("text"), hits).alias("rule"), F.transform(hits, lambda h: h["iso"]).alias("printed")))
 

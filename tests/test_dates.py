@@ -244,3 +244,36 @@ def test_texts_without_a_pattern_cost_one_search_of_it(spark):
     """Each pattern's texts are cut into matches only where it has one; a name is looked for by what follows it."""
     plan = spark.range(1).select(D.scan_dates(F.concat(F.col("id").cast("string"), F.lit(""))).alias("x"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("RLIKE") >= 1 + 1 + len(D.TEXTUAL)
+
+
+def test_days_and_words_that_are_no_dates_cost_no_failed_cast(spark):
+    """Days are told by numbers and names by their letters; the dates are those of the calendar."""
+    parts = [(y, m, d) for y in ("1999", "2000", "2023", "2024", "2100", "2101") for m in ("0", "1", "02", "9", "12", "13") for d in ("0", "1", "28", "29", "30", "31", "32")]
+    got = spark.createDataFrame(parts, "y string, m string, d string").select("*", D.build_date(F.col("y"), F.col("m"), F.col("d")).alias("iso"))
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "try_to_date" not in plan and "as date" not in plan
+
+    def plain(y, m, d):
+        try:
+            return datetime.date(int(y), int(m), int(d)).isoformat() if 2000 <= int(y) <= 2100 else None
+        except ValueError:
+            return None
+
+    assert {tuple(r)[:3]: r.iso for r in got.collect()} == {p: plain(*p) for p in parts}
+    names = [("October", 10), ("mAyor", 5), ("7", 7), ("07", 7), ("ju", None), ("", None), (None, None), ("words", None)]
+    assert [tuple(r) for r in spark.createDataFrame([(n,) for n, _ in names], "n string").select("n", D.month_number(F.col("n"))).collect()] == names
+
+
+def test_dates_scanned_before_are_not_scanned_again(spark):
+    """Grounding takes the dates of the text that a column holds; a cue's text is put in lower case once."""
+    text = "😀 112 March 2026, offers are due 12 March 2026. A visit is on 3 May 2026."
+    rows = [(text, "2026-03-12", q, "2026-05-03", "", "", "") for q in ("", text, "offers are due 12 March 2026", "offers are due on another day")]
+    df = spark.createDataFrame(rows, "text string, closing string, closing_quote string, posted string, posted_quote string, qa_due string, qa_quote string")
+    with_hits = df.withColumn("hits", D.scan_dates(F.col("text")))
+    again, once = verdicts.ground_dates(with_hits), verdicts.ground_dates(with_hits, hits="hits")
+    assert once.collect() == again.collect()
+    assert [r.date_proof.get("closing") for r in once.collect()] == ["phrase", "quoted", "quoted", "phrase"]
+    count = lambda frame: frame._jdf.queryExecution().analyzed().toString().count(D.NUMERIC)
+    assert count(once) < count(again)
+    places = df.select(D.cue_places(F.col("text"), D.DEADLINE_CUES).alias("x"))
+    assert places._jdf.queryExecution().analyzed().toString().count("lower(") == 1 and [tuple(p)[:2] for p in places.first().x] == [(text.index("offers are due"), text.index(" 12 March 2026."))]
