@@ -31,6 +31,8 @@ REFERENCE = (
     r"\b(19[A-Z]{2}\d{2}[A-Z0-9]{4,}|PR\d{6,}|[A-Z]{2,}-\d{2,}-[A-Z0-9-]+|"
     r"RFQ[-\s]?\d{3,}|RFP[-\s]?\d{3,}|ITB[-\s]?\d{3,}|SOL[-\s]?\d+)\b"
 )
+#: The same matches: a reference begins with 1 or a capital, so words in lower case aren't tried.
+_REFERENCE = r"(?=[1A-Z])" + REFERENCE
 SIGNALS = (
     "request for quotation", "request for proposal", "invitation for bid", "solicitation", "rfq", "rfp", "ifb", "itb",
     "offers are due", "quotation", "closing date", "deadline", "submit your", "scope of work", "statement of work",
@@ -165,12 +167,12 @@ def first_title(c: Column, limit: int = 140) -> Column:
 
 def reference(c: Column) -> Column:
     """P10: the first reference number of a text, or empty."""
-    return F.replace(F.upper(F.regexp_extract(or_empty(c), REFERENCE, 1)), F.lit(" "), F.lit(""))
+    return F.replace(F.upper(F.regexp_extract(or_empty(c), _REFERENCE, 1)), F.lit(" "), F.lit(""))
 
 
 def references(c: Column) -> Column:
     """P11 without offsets: the distinct reference numbers in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(or_empty(c), F.lit(REFERENCE), F.lit(1)), lambda x: F.replace(F.upper(x), F.lit(" "), F.lit(""))))
+    return F.array_distinct(F.transform(F.regexp_extract_all(or_empty(c), F.lit(_REFERENCE), F.lit(1)), lambda x: F.replace(F.upper(x), F.lit(" "), F.lit(""))))
 
 
 def running_sums(c: Column, step: int = 64) -> Column:
@@ -219,7 +221,7 @@ def match_spans(c: Column, pattern: str, group: int = 0, gate: str | None = None
 
 def reference_marks(c: Column) -> Column:
     """(start, value) of the first place of each distinct reference number, in order."""
-    marks = F.transform(match_spans(c, REFERENCE, 1), lambda m: F.struct(F.replace(F.upper(m["value"]), F.lit(" "), F.lit("")).alias("value"), m["start"].alias("start")))
+    marks = F.transform(match_spans(c, _REFERENCE, 1), lambda m: F.struct(F.replace(F.upper(m["value"]), F.lit(" "), F.lit("")).alias("value"), m["start"].alias("start")))
     # By value, then by place: the first of each value is the one that follows another value.
     first = let(F.array_sort(marks), lambda ms: F.filter(ms, lambda m, i: (i == 0) | (F.get(ms, i - 1)["value"] != m["value"])))
     return F.array_sort(F.transform(first, lambda m: F.struct(m["start"].alias("start"), m["value"].alias("value"))))

@@ -196,7 +196,8 @@ def file_rows(files: DataFrame, url: str = "url", text: str = "text", note: str
     """(key, sol, pos, url, text, ok, why) of loose files. A file belongs to the reference in its
     text, else in its name, else to itself; one with hardly any text isn't ok."""
     words = or_empty(F.col(text))
-    sol = F.coalesce(F.nullif(reference(words), F.lit("")), F.nullif(reference(file_words(F.col(url))), F.lit("")))
+    # The name is searched only where the text has none, and once.
+    sol = F.nullif(let(reference(words), lambda told: F.when(told != "", told).otherwise(reference(file_words(F.col(url))))), F.lit(""))
     ok = F.length(words) >= LEAST_FILE_TEXT
     said = F.when(~ok, F.coalesce(F.nullif(F.col(note), F.lit("")), F.lit("no readable text in this file"))).otherwise(F.nullif(F.col(note), F.lit("")))
     return files.select(F.coalesce(sol, F.col(url)).alias("key"), sol.alias("sol"), F.col(order).alias("pos"), F.col(url).alias("url"), words.alias("text"), ok.alias("ok"), said.alias("why"))
@@ -213,7 +214,7 @@ def group_files(files: DataFrame, url: str = "url", text: str = "text", note: st
     texts of a notice are joined in order, so its row is as large as they are; where that may be too
     much, file_rows and file_counts give the same as rows and numbers."""
     f = file_rows(files, url, text, note, order)
-    listed = F.array_sort(F.collect_list(F.struct("pos", "url", "text", "ok", "why")))
+    listed = F.sort_array(F.collect_list(F.struct("pos", "url", "text", "ok", "why")))
     g = f.groupBy("key").agg(F.first("sol").alias("sol"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("fail"), listed.alias("all"))
     good = F.filter("all", lambda x: x["ok"])
     return g.select(

@@ -115,3 +115,14 @@ def test_links_of_pages_that_share_a_url_have_one_order(spark):
         for out in (units.procurement_pages(dealt, most=30), units.listed_notices(dealt, most=30), units.candidates(dealt)):
             got = [r["href"] for r in out.orderBy("rank").collect()]
             assert got == want[: len(got)] and len(got) >= 15
+
+
+def test_files_are_searched_once_and_sorted_without_a_comparator(spark):
+    """A file's name is searched once, where its text has no reference; files of a notice come in order."""
+    rows = [(2, "https://x.example/f/RFQ-1234_b.pdf", "word " * 40, ""), (1, "https://x.example/f/RFQ-1234_a.pdf", "other " * 40, ""), (3, "https://x.example/f/c.pdf", "see rfq-1234 and xRFQ-999, 19AB23CDEF and RFQ-5678 " + "word " * 40, "")]
+    df = spark.createDataFrame(rows, "pos int, url string, text string, note string")
+    plan = units.file_rows(df).select("key")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("UrlCodec") == 1
+    groups = units.group_files(df)
+    assert "lambda left" not in groups._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.key: r.files for r in groups.collect()} == {"RFQ1234": [rows[1][1], rows[0][1]], "19AB23CDEF": [rows[2][1]]}
