@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import or_
 
@@ -92,7 +92,7 @@ def moment(step: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*[F.lit(s) for s in STEPS]), step), F.lit(0)).cast("int")
 
 
-def _columns(df: DataFrame, as_of: str) -> DataFrame:
+def columns(df: DataFrame, as_of: str) -> DataFrame:
     """Answers as what `advance` would read from each when it is awaited: the outcome that it settles, the
     step it leads to, closing and tier where it sets them, and whether the reader was in trouble."""
     names = [f.split()[0] for f in EVENT.split(", ")]
@@ -115,10 +115,11 @@ def _columns(df: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def _taken(batch: pa.RecordBatch, starts: np.ndarray, first: dict, wait: int) -> dict[str, np.ndarray]:
+def _taken(batch: pa.RecordBatch, starts: np.ndarray, first: dict, wait: int, each: Callable | None = None) -> dict[str, np.ndarray]:
     """The ways of a batch's notices, which start at starts: arrays by notice. The first goes on from
     where it stood. All notices go from one counting answer to the next at once, and no way counts more
-    than a few, so a round looks up for each notice the next answer to the step that it awaits."""
+    than a few, so a round looks up for each notice the next answer to the step that it awaits. each
+    gets the ways before a round, the notices that go on in it, and their next counting answers."""
     column = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
     place, said_at, ends, leads, trouble = (column(n) for n in ("place", "said_at", "ends", "leads", "trouble"))
     stop = np.append(starts[1:], len(place))
@@ -139,6 +140,8 @@ def _taken(batch: pa.RecordBatch, starts: np.ndarray, first: dict, wait: int) ->
             nxt[mine[inside]] = of_step[s][found[inside]]
         on = nxt < stop[going]
         going, nxt = going[on], nxt[on]
+        if each is not None:
+            each(way, going, nxt)
         at[going] = way["last"][going] = nxt
         tries = way["tries"][going]
         end = np.where(trouble[nxt] & (tries + 1 >= MAX_TRIES), OUTCOMES.index("given_up"), ends[nxt])
@@ -157,9 +160,8 @@ def _words(words: tuple[str, ...], index: np.ndarray) -> pa.Array:
     return pa.array(words, pa.string()).take(pa.array(index, mask=index < 0))
 
 
-def _ways(batch: pa.RecordBatch, starts: np.ndarray, first: dict, wait: int) -> pa.RecordBatch:
-    """Where the notices of a batch stand, a row each."""
-    way = _taken(batch, starts, first, wait)
+def _stand(batch: pa.RecordBatch, starts: np.ndarray, first: dict, way: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Where notices of a batch stand, a row each."""
 
     def told(name: str, index: np.ndarray) -> pa.Array:
         # What the first notice brought along stands before the values of the batch.
@@ -168,7 +170,7 @@ def _ways(batch: pa.RecordBatch, starts: np.ndarray, first: dict, wait: int) ->
         return values.take(pa.array(index, mask=(index == 0) & (np.arange(len(index)) > 0)))
 
     retry_at = pa.array(way["retry_at"], mask=~way["again"])
-    if way["last"][0] < 0:  # no answer of the first counted here
+    if len(starts) and way["last"][0] < 0:  # no answer of the first counted here
         retry_at = pa.concat_arrays([pa.array([first["retry_at"]], pa.int64()), retry_at.slice(1)])
     columns = {
         "key": batch.column("key").take(pa.array(starts)), "awaits": _words(STEPS, way["awaits"].astype(np.int64) - 1), "outcome": _words(OUTCOMES, way["outcome"].astype(np.int64)),
@@ -191,7 +193,8 @@ def _fold(batches: Iterator[pa.RecordBatch], wait: int) -> Iterator[pa.RecordBat
             yield open_
         first = row if goes_on else beginning()
         first |= {"awaits": STEPS.index(first["awaits"]) + 1 if first["awaits"] else 0, "outcome": OUTCOMES.index(first["outcome"]) if first["outcome"] else -1}
-        out = _ways(batch, np.flatnonzero(new), first, wait)
+        starts = np.flatnonzero(new)
+        out = _stand(batch, starts, first, _taken(batch, starts, first, wait))
         yield out.slice(0, out.num_rows - 1)
         open_ = out.slice(out.num_rows - 1)
     if open_ is not None:
@@ -205,11 +208,55 @@ def follow(events: DataFrame, as_of: str, wait: int = WAIT) -> DataFrame:
     Events are dealt by key and sorted within it by time, step and content, so any order of arrival
     gives the same; a batch of events is held at a time, and of the notice that it ends in one row.
     Events without a key or time are left out."""
-    rows = _columns(events, as_of).where("key IS NOT NULL AND said_at IS NOT NULL")
+    rows = columns(events, as_of).where("key IS NOT NULL AND said_at IS NOT NULL")
     rows = rows.repartition("key").sortWithinPartitions("key", "said_at", "place", "tie").drop("tie")
     return rows.mapInArrow(lambda batches: _fold(batches, wait), f"key string, {WAY}")
 
 
+#: An answer that waits or has counted, as `columns` has it; asked: a reader was asked again after it.
+ANSWER = pa.schema({"key": pa.string(), "said_at": pa.int64(), "place": pa.int8(), "tie": pa.int64(), "ends": pa.int8(), "leads": pa.int8(), "trouble": pa.bool_(), "closing": pa.string(), "tier": pa.string(), "asked": pa.bool_()})
+
+
+def take_up(answers: pa.Table, passed: int, wait: int) -> tuple[pa.RecordBatch | None, list[pa.RecordBatch], pa.Table, int | None]:
+    """The ways of many notices when event time has passed a moment, from their answers (ANSWER) in any
+    order: a row of each way that has ended; rows of those whose reader is to be asked again and
+    wasn't; the answers that still matter; and the moment to look again, if any. What matters of a
+    way that goes on are its answers yet to come and those that counted, from which it is the same
+    again."""
+    column = lambda t, name: t.column(name).to_numpy(zero_copy_only=False)
+    of = answers.column("key").combine_chunks().dictionary_encode().indices.to_numpy()
+    order = np.lexsort((column(answers, "tie"), column(answers, "place"), column(answers, "said_at"), of))
+    is_due = column(answers, "said_at")[order] < passed
+    later, of_due = order[~is_due], of[order[is_due]]
+    if not len(of_due):
+        return None, [], answers, min(column(answers, "said_at")[later] + 1, default=None)
+    (due,) = answers.take(order[is_due]).combine_chunks().to_batches()
+    starts = np.flatnonzero(np.append(True, of_due[1:] != of_due[:-1]))
+    first, said_at, asked = beginning() | {"awaits": 1, "outcome": -1}, column(due, "said_at"), column(due, "asked").copy()
+    counted, again = np.zeros(len(of_due), bool), []
+
+    def ask(way: dict[str, np.ndarray], going: np.ndarray, now: np.ndarray | int) -> None:
+        on = going[way["again"][going] & (way["retry_at"][going] <= now)]
+        on = on[~asked[way["last"][on]]]
+        asked[way["last"][on]] = True
+        again.append(_stand(due, starts[on], first, {n: v[on] for n, v in way.items()}))
+
+    def each(way: dict[str, np.ndarray], going: np.ndarray, nxt: np.ndarray) -> None:
+        ask(way, going, said_at[nxt])
+        counted[nxt] = True
+
+    way = _taken(due, starts, first, wait, each)
+    ask(way, np.arange(len(starts)), passed)
+    over = way["outcome"] >= 0
+    ended = _stand(due, starts, first, way).filter(pa.array(over))
+    later = later[~np.isin(of[later], of_due[starts[over]])]
+    counted &= ~np.repeat(over, np.diff(starts, append=len(of_due)))
+    due = due.set_column(due.schema.get_field_index("asked"), "asked", pa.array(asked)).filter(pa.array(counted))
+    asks = way["again"] & ~asked[way["last"]]
+    look = np.append(column(answers, "said_at")[later] + 1, way["retry_at"][asks])
+    return ended, again, pa.concat_tables([pa.Table.from_batches([due]), answers.take(later)]), min(look, default=None)
+
+
 #: Outcomes that make a register row, and those after which a notice isn't looked at again.
 RECORDED = ("expired", "no_date", "complete")
 SETTLED = ("duplicate", "not_solicitation", *RECORDED)

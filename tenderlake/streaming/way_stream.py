@@ -5,6 +5,9 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -20,6 +23,11 @@ _AT = _NAMES.index("said_at")
 _STATE = f"{ways.WAY}, waiting array<struct<{_WAITING.replace(', ', ',').replace(' ', ':')}>>, timer bigint, asked bigint"
 #: What the stream gives: a row when a notice's way ends, and one when a reader is to be asked again.
 CHANGE = f"key string, what string, {ways.WAY}"
+#: Notices are dealt into so many buckets, each with one state.
+BUCKETS = 1024
+#: Answers or keys in one value of a bucket's state at most, and values of keys at which they become fewer.
+_VALUE, _VALUES = 50_000, 64
+_NULLABLE = {pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}.get
 
 
 class Follow(StatefulProcessor):
@@ -82,6 +90,78 @@ class Follow(StatefulProcessor):
         pass
 
 
+def _packed(table: pa.Table) -> Iterator[tuple[bytes]]:
+    """The rows of a table as values of a list state."""
+    for batch in table.combine_chunks().to_batches(max_chunksize=_VALUE):
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_batch(batch)
+        yield (out.getvalue().to_pybytes(),)
+
+
+def _unpacked(values: list[tuple[bytes]], schema: pa.Schema) -> pa.Table:
+    return pa.concat_tables([schema.empty_table(), *(pa.ipc.open_stream(value).read_all() for (value,) in values)])
+
+
+class FollowMany(StatefulProcessor):
+    """What Follow does, for all notices of a bucket at once, and no answer is a Python object for long. What
+    a batch brings is put behind the answers that wait, which aren't read for it. The bucket has one
+    timer; when it goes off, the answers of its ways under way are read, and those written that
+    still matter (`ways.take_up`). Of an ended way its key stays, put behind the others' too."""
+
+    def __init__(self, wait: int):
+        self.wait = wait
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.answers = handle.getListState("answers", "rows binary")
+        self.ended = handle.getListState("ended", "keys binary")
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        firsts = []
+        for some in rows:
+            firsts.append(int(some["said_at"].min()) + 1)
+            for value in _packed(pa.Table.from_pandas(some.assign(asked=False), ways.ANSWER, preserve_index=False)):
+                self.answers.appendValue(value)
+        first, held = min(firsts), self.timer.get()
+        if held is None or first < held[0]:
+            if held is not None:
+                self.handle.deleteTimer(held[0])
+            self.handle.registerTimer(first)
+            self.timer.update((first,))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        keys = list(self.ended.get())
+        ended = _unpacked(keys, pa.schema([ways.ANSWER.field("key")]))
+        answers = _unpacked(list(self.answers.get()), ways.ANSWER)
+        if ended.num_rows:
+            answers = answers.filter(pc.invert(pc.is_in(answers.column("key"), ended.column("key").combine_chunks())))
+        over, again, answers, look = ways.take_up(answers, passed, self.wait)
+        for what, some in (*(("ask again", a) for a in again), ("ended", over)):
+            if some is not None and some.num_rows:
+                yield some.to_pandas(types_mapper=_NULLABLE).assign(what=what)
+        self.answers.clear()
+        for value in _packed(answers):
+            self.answers.appendValue(value)
+        if over is not None and over.num_rows:
+            new = pa.Table.from_batches([over.select(["key"])])
+            if len(keys) >= _VALUES:
+                self.ended.clear()
+                new = pa.concat_tables([ended, new])
+            for value in _packed(new):
+                self.ended.appendValue(value)
+        self.timer.clear()
+        if look is not None:
+            self.handle.registerTimer(int(look))
+            self.timer.update((int(look),))
+
+    def close(self) -> None:
+        pass
+
+
 @contextlib.contextmanager
 def state_store(spark: SparkSession) -> Iterator[None]:
     """The session with a state store that has timers, for streams that are started within."""
@@ -94,12 +174,19 @@ def state_store(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def follow_stream(events: DataFrame, as_of: str, late: str = "1 hour", wait: int = ways.WAIT) -> DataFrame:
+def follow_stream(events: DataFrame, as_of: str, late: str = "1 hour", wait: int = ways.WAIT, buckets: int = BUCKETS) -> DataFrame:
     """The changes (CHANGE) of a stream of events (ways.EVENT). An answer may come `late` behind the newest
     one and still count in its place; what comes later is lost. The session's state store must be
-    STATE_STORE."""
+    STATE_STORE.
+
+    Notices are dealt into buckets, which share a state; their number stays as long as a checkpoint does.
+    buckets=0 gives each notice a state of its own, for batches that touch few of very many notices."""
     timed = events.where("key IS NOT NULL AND said_at IS NOT NULL")
+    at = F.timestamp_millis("said_at").alias("event_time")
+    if buckets:
+        rows = ways.columns(timed, as_of).select(F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"), "*", at)
+        return rows.withWatermark("event_time", late).groupBy("bucket").transformWithStateInPandas(FollowMany(wait), CHANGE, "Append", "eventTime")
     names = [f.split()[0] for f in ways.EVENT.split(", ")]
-    timed = timed.select(*names, ways.moment(F.col("step")).alias("place"), F.xxhash64(*names).alias("tie"), F.timestamp_millis("said_at").alias("event_time"))
+    timed = timed.select(*names, ways.moment(F.col("step")).alias("place"), F.xxhash64(*names).alias("tie"), at)
     keyed = timed.withWatermark("event_time", late).groupBy("key")
     return keyed.transformWithState(Follow(as_of, wait), CHANGE, "Append", "eventTime")

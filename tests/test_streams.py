@@ -4,6 +4,7 @@ import json
 import random
 import time
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -208,3 +209,118 @@ def test_a_notice_has_one_timer_however_many_answers():
     timers.clear()
     assert fire(BASE + 1000) == [] and calls[3:] == ["get", "timer", "update"] and timers == {BASE + 90 + ways.WAIT}
     assert fire(BASE + 2 * ways.WAIT) == [("ask again", 1, BASE + 90 + ways.WAIT)] and fire(BASE + 3 * ways.WAIT) == []
+
+
+class Handle:
+    """A processor's handle over a plain store, for one grouping key; calls are counted."""
+
+    def __init__(self):
+        self.store, self.timers, self.calls = {}, set(), []
+
+    def _state(self, name):
+        call = lambda what, f: lambda *a: (self.calls.append(f"{name}.{what}"), f(*a))[1]
+        held = self.store
+        fs = {"get": lambda: held.get(name), "update": lambda v: held.update({name: v}), "clear": lambda: held.pop(name, None), "appendValue": lambda v: held.setdefault(name, []).append(v)}
+        return type("State", (), {k: staticmethod(call(k, f)) for k, f in fs.items()})
+
+    def getValueState(self, name, schema):
+        return self._state(name)
+
+    def getListState(self, name, schema):
+        state = self._state(name)
+        some = state.get
+        state.get = staticmethod(lambda: iter(some() or []))
+        return state
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class At:
+    def __init__(self, watermark, expiry=None):
+        self.getCurrentWatermarkInMs, self.getExpiryTimeInMs = lambda: watermark, lambda: expiry
+
+
+def played(made, key_of, given, batches, late):
+    """What a processor of each grouping key gives for batches, with the watermarks that Spark would have."""
+    kept, out, newest, before = {}, [], 0, 0
+    for batch in [*batches, [], []]:
+        watermark = max(before, newest - late)
+        groups = {}
+        for row in (r for r in batch if r["said_at"] > before):
+            groups.setdefault(key_of(row["key"]), []).append(row)
+        for k, rows in groups.items():
+            if k not in kept:
+                kept[k] = (made(), Handle())
+                kept[k][0].init(kept[k][1])
+            assert list(kept[k][0].handleInputRows((k,), given(rows), At(watermark))) == []
+        for k, (processor, handle) in kept.items():
+            for at in sorted(t for t in handle.timers if t <= watermark):
+                for some in processor.handleExpiredTimer((k,), At(watermark), At(watermark, at)):
+                    out += [some.asDict()] if not hasattr(some, "to_dict") else pa.RecordBatch.from_pandas(some, preserve_index=False).to_pylist()
+                handle.timers.discard(at)
+        newest, before = max([newest, *(r["said_at"] for r in batch)]), watermark
+    fields = ("key", "what", *ways.WAY_FIELDS)
+    return sorted((tuple(r[f] for f in fields) for r in out), key=str), kept
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_notices_of_a_bucket_go_as_each_alone(spark, monkeypatch, seed):
+    """Any order of arrival, late answers, readers asked again before, between and after answers."""
+    monkeypatch.setattr(way_stream, "_VALUES", 3)
+    monkeypatch.setattr(way_stream, "_VALUE", 20)
+    pick, wait = random.Random(seed), 40
+    log = []
+    for k in range(60):
+        at = pick.randrange(1500)
+        for step in ("arrive", "triage", "dates", "adjudicate", "adjudicate", "adjudicate", "opinion", "else"):
+            for _ in range(pick.choice([0, 1, 1, 1, 1, 2])):
+                given = {"closing": pick.choice(["", "2026-11-01", "2026-11-01", "2026-05-01"]), "known": pick.random() < 0.1, "upheld": pick.random() < 0.5, "tier": pick.choice(["BID", "NO", None])}
+                log.append(event(f"k{k}", at, step, **given | (BUSY if step == "adjudicate" and pick.random() < 0.7 else {})))
+                at += pick.choice([0, 5, 30, 100])
+    log = sorted(log, key=lambda e: e["said_at"] + pick.randrange(200)) + [event("clock", 10_000, "dates")]
+    names = [f.split()[0] for f in ways.EVENT.split(", ")]
+    df = spark.createDataFrame([tuple(e[n] for n in names) for e in log], ways.EVENT)
+    rows = [r.asDict() for r in df.withColumns({"place": ways.moment(F.col("step")), "tie": F.xxhash64(*df.columns)}).collect()]
+    frame = {r["tie"]: r for r in (r.asDict() for r in ways.columns(df, "2026-06-01").collect())}
+    size = pick.choice([25, 60])
+    batches = [rows[i : i + size] for i in range(0, len(rows), size)]
+    frames = lambda some: iter([pd.DataFrame([frame[r["tie"]] for r in some[i : i + 7]]) for i in range(0, len(some), 7)])
+    want, _ = played(lambda: way_stream.Follow("2026-06-01", wait), lambda k: k, iter, batches, 100)
+    for buckets in (1, 4):
+        got, kept = played(lambda: way_stream.FollowMany(wait), lambda k, n=buckets: sum(map(ord, k)) % n, frames, batches, 100)
+        assert got == want and {w[1] for w in want} == {"ended", "ask again"} and len(want) > 25
+    many = kept[next(iter(kept))][1]
+    assert len(many.store.get("ended", [])) <= 4 + 60 // 20  # keys of ended ways are put together
+
+
+def test_state_is_called_for_buckets_not_for_notices(spark):
+    df = spark.createDataFrame([tuple(event(f"k{i}", 10 * n, step).values()) for i in range(500) for n, step in enumerate(("arrive", "triage"))], f"{ways.EVENT}")
+    assert tuple(event("k", 0, "arrive")) == tuple(df.columns)
+    rows, handle, many = ways.columns(df, "2026-06-01").toPandas(), Handle(), way_stream.FollowMany(ways.WAIT)
+    many.init(handle)
+    list(many.handleInputRows((0,), iter([rows]), At(0)))
+    assert handle.calls == ["answers.appendValue", "timer.get", "timer.update"] and handle.timers == {BASE + 1}
+    list(many.handleInputRows((0,), iter([rows]), At(0)))
+    assert handle.calls[3:] == ["answers.appendValue", "timer.get"]  # what waits isn't read to put more behind it
+    assert list(many.handleExpiredTimer((0,), At(BASE + 5000), At(0, BASE + 1))) == [] and len(handle.calls) < 15
+    assert way_stream._unpacked(handle.store["answers"], ways.ANSWER).num_rows == 1000  # those that count, not their copies
+
+
+def test_streams_by_bucket_and_by_notice_are_one(spark, tmp_path):
+    log = [event(f"k{i}", 1000 * n + i, step, **(BUSY if i % 3 == 0 else {"tier": "BID"})) for i in range(30) for n, step in enumerate(("arrive", "triage", "adjudicate"))]
+    random.Random(5).shuffle(log)
+    for k in range(2):
+        put(tmp_path / "in", str(k), log[k::2] + [event("clock", 7_200_000 * 2 * k, "dates")])
+    got = []
+    for buckets in (0, 3):
+        out = f"{tmp_path}/out{buckets}"
+        with way_stream.state_store(spark):
+            events = spark.readStream.schema(ways.EVENT).option("maxFilesPerTrigger", 2).json(str(tmp_path / "in"))
+            changes = way_stream.follow_stream(events, "2026-06-01", buckets=buckets).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/cp{buckets}")
+            changes.trigger(availableNow=True).start().awaitTermination()
+        got.append(sorted(map(tuple, spark.read.schema(way_stream.CHANGE).parquet(out).collect()), key=str))
+    assert got[0] == got[1] and {r[1] for r in got[0]} == {"ended", "ask again"} and len(got[0]) == 30
