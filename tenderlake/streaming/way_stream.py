@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,6 +28,8 @@ CHANGE = f"key string, what string, {ways.WAY}"
 BUCKETS = 1024
 #: Answers or keys in one value of a bucket's state at most, and values of keys at which they become fewer.
 _VALUE, _VALUES = 50_000, 64
+#: Milliseconds before and after 1970 that pandas has timestamps for.
+_FAR = 9_223_000_000_000
 _NULLABLE = {pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}.get
 
 
@@ -90,6 +93,29 @@ class Follow(StatefulProcessor):
         pass
 
 
+def dealt(events: DataFrame, as_of: str, buckets: int) -> DataFrame:
+    """Answers by bucket, in as few columns as they fit: each one costs time on the way to Python. code holds
+    place, ends, leads and trouble; value is the closing date or the tier, whichever the step sets;
+    event_time keeps to the years that pandas knows."""
+    rows = ways.columns(events, as_of)
+    code = F.col("place") + (F.col("ends") + 1) * 8 + F.col("leads").cast("int") * 64 + F.col("trouble").cast("int") * 512
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
+    at = F.timestamp_millis(F.least(F.greatest("said_at", F.lit(-_FAR)), F.lit(_FAR)))
+    return rows.select(bucket.alias("bucket"), "key", "said_at", "tie", code.cast("smallint").alias("code"), F.coalesce("closing", "tier").alias("value"), at.alias("event_time"))
+
+
+def _answers(rows: pd.DataFrame) -> pa.Table:
+    """Answers as `dealt` gives them, as ways.ANSWER."""
+    code = rows["code"].to_numpy(np.int64)
+    place, value = code & 7, pa.array(rows["value"], pa.string(), from_pandas=True)
+    only = lambda *steps: pc.if_else(pa.array(np.isin(place, [ways.STEPS.index(s) + 1 for s in steps])), value, pa.scalar(None, pa.string()))
+    columns = {
+        "key": rows["key"], "said_at": rows["said_at"], "place": place, "tie": rows["tie"], "ends": (code >> 3 & 7) - 1, "leads": code >> 6 & 7,
+        "trouble": code >> 9 > 0, "closing": only("triage", "dates"), "tier": only("adjudicate", "opinion"), "asked": np.zeros(len(code), bool),
+    }
+    return pa.table([pa.array(columns[f.name]).cast(f.type) for f in ways.ANSWER], ways.ANSWER)
+
+
 def _packed(table: pa.Table) -> Iterator[tuple[bytes]]:
     """The rows of a table as values of a list state."""
     for batch in table.combine_chunks().to_batches(max_chunksize=_VALUE):
@@ -120,9 +146,9 @@ class FollowMany(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         firsts = []
-        for some in rows:
-            firsts.append(int(some["said_at"].min()) + 1)
-            for value in _packed(pa.Table.from_pandas(some.assign(asked=False), ways.ANSWER, preserve_index=False)):
+        for some in map(_answers, rows):
+            firsts.append(pc.min(some.column("said_at")).as_py() + 1)
+            for value in _packed(some):
                 self.answers.appendValue(value)
         first, held = min(firsts), self.timer.get()
         if held is None or first < held[0]:
@@ -182,11 +208,9 @@ def follow_stream(events: DataFrame, as_of: str, late: str = "1 hour", wait: int
     Notices are dealt into buckets, which share a state; their number stays as long as a checkpoint does.
     buckets=0 gives each notice a state of its own, for batches that touch few of very many notices."""
     timed = events.where("key IS NOT NULL AND said_at IS NOT NULL")
-    at = F.timestamp_millis("said_at").alias("event_time")
     if buckets:
-        rows = ways.columns(timed, as_of).select(F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"), "*", at)
-        return rows.withWatermark("event_time", late).groupBy("bucket").transformWithStateInPandas(FollowMany(wait), CHANGE, "Append", "eventTime")
+        return dealt(timed, as_of, buckets).withWatermark("event_time", late).groupBy("bucket").transformWithStateInPandas(FollowMany(wait), CHANGE, "Append", "eventTime")
     names = [f.split()[0] for f in ways.EVENT.split(", ")]
-    timed = timed.select(*names, ways.moment(F.col("step")).alias("place"), F.xxhash64(*names).alias("tie"), at)
+    timed = timed.select(*names, ways.moment(F.col("step")).alias("place"), F.xxhash64(*names).alias("tie"), F.timestamp_millis("said_at").alias("event_time"))
     keyed = timed.withWatermark("event_time", late).groupBy("key")
     return keyed.transformWithState(Follow(as_of, wait), CHANGE, "Append", "eventTime")

@@ -285,7 +285,7 @@ def test_notices_of_a_bucket_go_as_each_alone(spark, monkeypatch, seed):
     names = [f.split()[0] for f in ways.EVENT.split(", ")]
     df = spark.createDataFrame([tuple(e[n] for n in names) for e in log], ways.EVENT)
     rows = [r.asDict() for r in df.withColumns({"place": ways.moment(F.col("step")), "tie": F.xxhash64(*df.columns)}).collect()]
-    frame = {r["tie"]: r for r in (r.asDict() for r in ways.columns(df, "2026-06-01").collect())}
+    frame = {r["tie"]: r for r in way_stream.dealt(df, "2026-06-01", 4).toPandas().to_dict("records")}
     size = pick.choice([25, 60])
     batches = [rows[i : i + size] for i in range(0, len(rows), size)]
     frames = lambda some: iter([pd.DataFrame([frame[r["tie"]] for r in some[i : i + 7]]) for i in range(0, len(some), 7)])
@@ -300,7 +300,7 @@ def test_notices_of_a_bucket_go_as_each_alone(spark, monkeypatch, seed):
 def test_state_is_called_for_buckets_not_for_notices(spark):
     df = spark.createDataFrame([tuple(event(f"k{i}", 10 * n, step).values()) for i in range(500) for n, step in enumerate(("arrive", "triage"))], f"{ways.EVENT}")
     assert tuple(event("k", 0, "arrive")) == tuple(df.columns)
-    rows, handle, many = ways.columns(df, "2026-06-01").toPandas(), Handle(), way_stream.FollowMany(ways.WAIT)
+    rows, handle, many = way_stream.dealt(df, "2026-06-01", 1).toPandas(), Handle(), way_stream.FollowMany(ways.WAIT)
     many.init(handle)
     list(many.handleInputRows((0,), iter([rows]), At(0)))
     assert handle.calls == ["answers.appendValue", "timer.get", "timer.update"] and handle.timers == {BASE + 1}
@@ -310,8 +310,18 @@ def test_state_is_called_for_buckets_not_for_notices(spark):
     assert way_stream._unpacked(handle.store["answers"], ways.ANSWER).num_rows == 1000  # those that count, not their copies
 
 
+def test_answers_dealt_to_buckets_are_the_same_answers(spark):
+    pick = random.Random(4)
+    log = [event(f"k{i}", i - 300_000, pick.choice([*ways.STEPS, "else", None]), **{"closing": pick.choice([None, "", "2026-11-01", "x"]), "status": pick.choice(["open", "closed", None]), "tier": pick.choice([None, "NO", "REVIEW", "odd"]), "reason": pick.choice(["AI", None]), "upheld": pick.random() < 0.3, "known": i % 9 == 0, "is_solicitation": i % 8 > 0, "chars": i % 500}) for i in range(3000)]
+    df = spark.createDataFrame([tuple(e.values()) for e in log] + [("before", -5, "arrive", *[None] * 8), ("far", 10**15, "triage", *[None] * 8)], ways.EVENT)
+    want = {r.tie: r.asDict() | {"asked": False} for r in ways.columns(df, "2026-06-01").collect()}
+    got = {r["tie"]: r for r in way_stream._answers(way_stream.dealt(df, "2026-06-01", 8).toPandas()).to_pylist()}
+    assert got == want and len(got) == 3002 and len({(r["place"], r["ends"], r["leads"], r["trouble"]) for r in got.values()}) > 14
+
+
 def test_streams_by_bucket_and_by_notice_are_one(spark, tmp_path):
     log = [event(f"k{i}", 1000 * n + i, step, **(BUSY if i % 3 == 0 else {"tier": "BID"})) for i in range(30) for n, step in enumerate(("arrive", "triage", "adjudicate"))]
+    log += [event("long ago", -(10**13) - BASE, "arrive"), event("far", 10**13 - BASE, "arrive"), event("far", 10**13 - BASE, "triage")]
     random.Random(5).shuffle(log)
     for k in range(2):
         put(tmp_path / "in", str(k), log[k::2] + [event("clock", 7_200_000 * 2 * k, "dates")])
